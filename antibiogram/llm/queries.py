@@ -5,22 +5,83 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import mixing
 from .common import read
 from .exact_dedup import exact_groups
+from .langid import identify
+from .license_scan import license_scan
 from .line_rules import line_rules
+from .merkle import audit, tree
+from .packing import harmonic_pack
+from .quality_gam import quality_scores
+from .simhash import simhash_groups
+from .token_attribution import section_tokens
+
+
+def tokenizer(name: str) -> str:
+    """Where a public tokenizer's file is on this machine; the operators take the path as a parameter."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(read(spark, sf_dir, "documents"))
+
+
+def damaged(pages: DataFrame) -> DataFrame:
+    """The replica that op2 audits: ``pages`` with one in 101 pages altered, one in 103 lost and one in 107 repeated."""
+    key = F.col("page_id")
+    html = F.when(key % 101 == 7, F.concat(F.col("html"), F.lit("x"))).otherwise(F.col("html"))
+    return pages.where(key.isNull() | (key % 103 != 11)).select(
+        F.explode(F.when(key % 107 == 13, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))), "page_id", "url", html.alias("html")
+    ).drop("col")
+
+
+def op2_warc_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = read(spark, sf_dir, "pages")
+    return audit(tree(pages), tree(damaged(pages)))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(read(spark, sf_dir, "documents"))
+
+
+def op4_harmonic_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return harmonic_pack(read(spark, sf_dir, "documents"), tokenizer("word_bpe_49k.json"))
+
+
+def op5_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"), mixing.label_domain(), mixing.WEIGHTS)
+
+
+def op6_token_attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return section_tokens(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.tiktoken"))
+
+
+def op7_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
 
 
 def op8_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_rules(read(spark, sf_dir, "documents"))
 
 
+def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash_groups(read(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op8_line_rules, op10_exact_dedup)}
+    return {f.__name__: f for f in (
+        op1_language_id, op2_warc_merkle_audit, op3_license_scan, op4_harmonic_packing, op5_soft_mixing,
+        op6_token_attribution, op7_quality_gam, op8_line_rules, op9_simhash_dedup, op10_exact_dedup,
+    )}
 
 
 OP8_SQL = r"""
@@ -72,5 +133,23 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 """
 
 
+#: A page's record and its place: 1024 pages a file, offsets in the order of page_id.
+OP2_SQL = r"""
+WITH r AS (
+  SELECT page_id, page_id // 1024 AS warc_file, page_id % 1024 AS slot,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
+           || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html'
+           || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
+           || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
+  FROM pages),
+o AS (
+  SELECT *, CAST(strlen(record) AS BIGINT) AS bytes,
+         coalesce(sum(strlen(record)) OVER (PARTITION BY warc_file ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+  FROM r)
+SELECT warc_file, slot, CASE WHEN page_id % 103 = 11 THEN 'missing' ELSE 'corrupt' END AS status, CAST(at AS BIGINT) AS "offset", bytes
+FROM o WHERE page_id % 103 = 11 OR page_id % 101 = 7 OR page_id % 107 = 13
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_line_rules": OP8_SQL, "op10_exact_dedup": OP10_SQL}
+    return {"op2_warc_merkle_audit": OP2_SQL, "op8_line_rules": OP8_SQL, "op10_exact_dedup": OP10_SQL}
