@@ -26,8 +26,11 @@ FAN_OUT = 16
 PER_FILE = 1024
 
 
-def warc_record(key: str = "page_id", url: str = "url", body: str = "html") -> Column:
-    """The bytes, as text, of a WARC/1.1 resource record for a page."""
+LINE = "\r\n"
+
+
+def warc_record(key: str = "page_id", url: str = "url", body: str = "html", end: str = 2 * LINE) -> Column:
+    """The bytes, as text, of a WARC/1.1 resource record for a page, with ``end`` after the payload."""
     payload = F.coalesce(F.col(body), F.lit(""))
     return F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:"),
@@ -38,15 +41,15 @@ def warc_record(key: str = "page_id", url: str = "url", body: str = "html") -> C
         F.octet_length(payload).cast("string"),
         F.lit("\r\n\r\n"),
         payload,
-        F.lit("\r\n\r\n"),
+        F.lit(end),
     )
 
 
 def write_warc(pages: DataFrame, path: str, per_file: int = PER_FILE, key: str = "page_id", url: str = "url", body: str = "html") -> None:
     """One text file a WARC file, its records in order of their key, under ``path/warc_file=<n>/``."""
-    rows = pages.select(_file(key, per_file).alias("warc_file"), F.col(key).alias("_key"), warc_record(key, url, body).alias("value"))
+    rows = pages.select(_file(key, per_file).alias("warc_file"), F.col(key).alias("_key"), warc_record(key, url, body, LINE).alias("value"))
     rows = rows.repartition("warc_file").sortWithinPartitions("warc_file", "_key").select("warc_file", "value")
-    rows.write.partitionBy("warc_file").option("lineSep", "").text(path)
+    rows.write.partitionBy("warc_file").option("lineSep", LINE).text(path)
 
 
 def _file(key: str, per_file: int) -> Column:

@@ -154,9 +154,10 @@ def solve(rows: DataFrame, names: list[str], weights: dict[str, float], max_rate
     reached, least = there, np.inf
     for _ in range(rounds):
         off = np.abs(reached - target)
-        if (off <= tolerance * np.maximum(target, 1)).all() or off.sum() > 0.999 * least:
+        loss = (off**2 / np.maximum(there, 1e-9)).sum()
+        if (off <= tolerance * np.maximum(target, 1)).all() or loss > 0.999 * least:
             break
-        least = off.sum()
+        least = loss
         steps.append(list(np.where(there > 0, (reached - target) / np.maximum(there, 1e-9), 0.0)))
         reached = totals(rows, rate_column("p", steps, max_rate), len(names))
     return steps, target, reached

@@ -144,9 +144,9 @@ WITH r AS (
   FROM pages),
 o AS (
   SELECT *, CAST(strlen(record) AS BIGINT) AS bytes,
-         coalesce(sum(strlen(record)) OVER (PARTITION BY warc_file ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at
+         coalesce(sum(strlen(record)) OVER (PARTITION BY warc_file ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bytes_before
   FROM r)
-SELECT warc_file, slot, CASE WHEN page_id % 103 = 11 THEN 'missing' ELSE 'corrupt' END AS status, CAST(at AS BIGINT) AS "offset", bytes
+SELECT warc_file, slot, CASE WHEN page_id % 103 = 11 THEN 'missing' ELSE 'corrupt' END AS status, CAST(bytes_before AS BIGINT) AS "offset", bytes
 FROM o WHERE page_id % 103 = 11 OR page_id % 101 = 7 OR page_id % 107 = 13
 """
 

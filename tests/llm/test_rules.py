@@ -44,7 +44,7 @@ def test_line_rules(spark):
     for k in range(30):
         shared = "Shared line of words, " * 12
         rows.append((100 + k, prose(k, 60) + "\n" + shared + "\n" + prose(k, 30), "h1"))
-        rows.append((200 + k, f"only {k}\n" + "common  text HERE " * 40 + "\n" + prose(7, 50), "h2"))
+        rows.append((200 + k, f"only {k}\nCommon  text HERE " + prose(77, 150).replace("\n", " ") + "\n" + prose(k, 50), "h2"))
         rows.append((300 + k, prose(500, 70), "h3"))  # copies are one document
         rows.append((400 + k, prose(k, 25) + " | # $ " + prose(k, 25), "h4"))
     rows += [(None, prose(9, 90), "h1"), (None, prose(9, 90), "h1"), (100, prose(0, 60), "h1")]
