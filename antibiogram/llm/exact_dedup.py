@@ -30,9 +30,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE}+", " ")
     rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).withColumn("_h", hasher(F.col("_t")))
-    sizes = rows.groupBy("_h").agg(F.min("_id").alias("_keep"), F.count("*").alias("_n"))
+    sizes = table(rows.groupBy("_h").agg(F.min("_id").alias("_keep"), F.count("*").alias("_n")))
     rows = rows.withColumn("_sha", F.sha2("_t", 256))
-    found = lookup(rows, sizes, "_h", "_n", "_id", docs.count())
+    found = lookup(rows, sizes, "_h", "_n", "_id", sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
     found = found.withColumn("_t", F.when(F.col("_n") > 1, F.col("_t")))
     kept = (
         found.where((F.col("_n") > 1) & F.col("_id").eqNullSafe(F.col("_keep")))
