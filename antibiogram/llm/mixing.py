@@ -190,12 +190,15 @@ def mix(
 
 def mixed(docs: DataFrame, *args, id_col: str = "doc_id", **kwargs) -> DataFrame:
     """``docs`` with each row as often as ``mix`` says, all columns kept; rows with a null id stay once."""
-    copies = mix(docs, *args, id_col=id_col, **kwargs).where(F.col("copies") != 1).groupBy(id_col).agg(F.min("copies").alias("_copies"))
-    out = docs.join(copies, id_col, "left").withColumn("_copies", F.coalesce("_copies", F.lit(1)))
-    kept = out.where(F.col("_copies") > 0)
-    if kwargs.get("max_rate", 1.0) > 1:
-        kept = kept.withColumn("_copies", F.explode(F.sequence(F.lit(1), F.col("_copies"))))
-    return kept.select(docs.columns)
+    copies = mix(docs, *args, id_col=id_col, **kwargs).where(F.col("copies") != 1).groupBy(id_col).agg(F.min("copies").alias("n"))
+    twice = kwargs.get("max_rate", 1.0) > 1
+    copies = table(copies) if twice else copies
+    out = docs.join(copies.where("n = 0"), id_col, "left_anti")
+    if twice:
+        again = copies.where("n > 1").select(id_col, F.explode(F.sequence(F.lit(2), "n")).alias("n"))
+        whole = out.select(id_col, F.struct(*docs.columns).alias("_row"))
+        out = out.unionByName(whole.join(again, id_col).select("_row.*"))
+    return out.select(docs.columns)
 
 
 #: Domains of the ``labels`` table, and the shares of tokens that the registered query and the pipeline ask for.

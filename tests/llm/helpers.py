@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 #: Names that operators use inside, as columns of the caller's.
-CLASHING = ("_id", "_t", "_h", "fp", "key", "node", "start", "length", "text_hash", "host", "line", "score", "held_out", "kept", "tokens", "p", "rate", "_salt", "bucket")
+CLASHING = ("_id", "_t", "_h", "fp", "key", "node", "start", "length", "text_hash", "host", "line", "score", "held_out", "kept", "tokens", "p", "rate", "_salt", "bucket", "_copies", "copies", "n", "_again", "_p", "_f", "f", "r", "_s", "_y", "_domain", "section", "per_bin", "class_n", "full", "component_id", "keep_id")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 

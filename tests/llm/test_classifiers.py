@@ -118,6 +118,13 @@ def test_mixing(spark, tables):
     assert got["clean"] > 0.98 and got["toxic"] < 0.85 and got["low"] < 0.7
     expected = out.agg(*[F.sum(F.expr(f"tokens * rate * p_{k}")).alias(k) for k in mixing.WEIGHTS]).first().asDict()
     assert all(abs(v / sum(expected.values()) - mixing.WEIGHTS[k]) < 0.005 for k, v in expected.items())
+    wide = d.withColumns({"_copies": F.lit(1), "n": F.lit(1), "_again": F.lit(1)})
+    for most in (1.0, 2.0):
+        copies = {r.doc_id: r.copies for r in mixing.mix(wide, labels, mixing.label_domain(), mixing.WEIGHTS, most).collect()}
+        whole = mixing.mixed(wide, labels, mixing.label_domain(), mixing.WEIGHTS, max_rate=most)
+        came = {r.doc_id: r["count"] for r in whole.groupBy("doc_id").count().collect()}
+        assert whole.columns == wide.columns and came == {i: n for i, n in copies.items() if n} and max(came.values()) <= most
+    assert max(came.values()) == 2
     odd = docs(spark, [*[(k, t, None, None) for k, t in enumerate(ODD)], (None, "some words", None, None), (3, "a", None, None)], clash=True)
     none = labels.limit(0)
     assert {r.rate for r in mixing.mix(odd, none, mixing.label_domain(), mixing.WEIGHTS).collect()} == {1.0}
