@@ -2,15 +2,18 @@
 
 A line's normal form is lower case with runs of white space as one space. For every host, the distinct documents that
 have a line are counted, exact copies of a text as one document (copies are the dedup operators' concern). Lines of more
-documents than ``max_docs`` and than ``max_share`` of the host's documents are taken out; a document that loses more than
-``max_loss`` of its words is rejected as depleted. Only DataFrame functions are used.
+documents than ``max_docs`` and than ``max_share`` of the host's documents are taken out (``without_common_lines`` and
+``line_filter`` give the texts that are left, ``line_rules`` the counts of what was taken out of them); a document that
+loses more than ``max_loss`` of its words is rejected as depleted. Only DataFrame functions are used.
 
-Scale: texts are never shuffled; what moves is one (host, line hash) with a partial count for each task, and a slim row of
-counts for each document. A hot host or line therefore costs each task one row. The lines above the limits are broadcast
-only if they were counted to be few, else joined by shuffle, a hot line's rows summed before they move.
+Scale: what is counted is one (host, line hash) with a partial count for each task, so a hot host or line costs each task
+one row. Where no host has more than ``table_rows`` common lines, each host's lines are broadcast as a hash table and taken
+out where the text is read: no text is shuffled. Else each document's positions of common lines are found by a join (the
+lines broadcast only if they were counted to be few) and its text meets them in a shuffle.
 
-Edge cases: a null text has no words and fails the base rules; a null host is a host of its own; empty tables give empty
-tables; repeated rows and rows with a null id each get their row; further columns are ignored, whatever their names.
+Edge cases: a null text has no words, fails the base rules and stays null; lines without a word stay; a null host is a host
+of its own; empty tables give empty tables; repeated rows and rows with a null id each get their row; further columns are
+kept with the texts and ignored by the counts, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,18 +28,23 @@ NOT_SPACE = r"[^\x20\x09-\x0D]"
 SYMBOLS = "#*$%&|<>"
 
 
-def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, a row for each row."""
+def _words(text: Column) -> Column:
+    return F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+
+
+def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
+    """id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and ``also``, a row for each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    words = F.filter(F.split(text, f"{SPACE}+"), lambda w: w != "")
+    words = _words(text)
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(NOT_SPACE))
     n = F.size("_w")
     window_hashes = F.transform(
         F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))
     )
-    out = docs.select(F.col(id_col), text.alias("_t"), words.alias("_w"))
+    out = docs.select(F.col(id_col), text.alias("_t"), words.alias("_w"), *also)
     out = out.select(
         id_col,
+        *also,
         F.xxhash64("_t").alias("text_hash"),
         n.cast("long").alias("n_words"),
         F.length(F.regexp_replace("_t", f"{SPACE}+", "")).cast("long").alias("word_chars"),
@@ -59,6 +67,7 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
     return out.select(
         id_col,
+        *also,
         "text_hash",
         "n_words",
         "word_chars",
@@ -68,12 +77,16 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     )
 
 
+def _normal_lines(text: Column) -> Column:
+    """The lines in normal form but for spaces at their ends."""
+    return F.split(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " "), "\n")
+
+
 def doc_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """id, text_hash, host, line (hash of the normal form), words, pos: a row for each line that has a word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    normal = F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " ")
     rows = docs.select(
-        F.col(id_col), F.xxhash64(text).alias("text_hash"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.posexplode(F.split(normal, "\n")).alias("pos", "_line")
+        F.col(id_col), F.xxhash64(text).alias("text_hash"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.posexplode(_normal_lines(text)).alias("pos", "_line")
     ).withColumn("_line", F.trim("_line"))
     words = F.length("_line") - F.length(F.translate("_line", " ", "")) + 1
     return rows.where(F.col("_line") != "").select(id_col, "text_hash", "host", F.xxhash64("_line").alias("line"), words.cast("long").alias("words"), "pos")
@@ -87,6 +100,59 @@ def common_lines(lines: DataFrame, max_docs: int, max_share: float) -> DataFrame
     return often.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line", "n_docs")
 
 
+def _hash_tables(common: DataFrame) -> DataFrame:
+    """host, buckets: the host's common lines, hash h in bucket h mod the number of buckets, of which it has one a line."""
+    sizes = common.groupBy("host").agg(F.count("*").alias("n"))
+    used = common.join(sizes, "host").groupBy("host", F.pmod("line", "n").alias("b")).agg(F.collect_list("line").alias("l"))
+    every = sizes.select("host", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("b")).join(used, ["host", "b"], "left")
+    ordered = F.sort_array(F.collect_list(F.struct("b", F.coalesce("l", F.array().cast("array<bigint>")).alias("l"))))
+    return every.groupBy("host").agg(ordered.alias("s")).select("host", F.transform("s", lambda x: x["l"]).alias("buckets"))
+
+
+def _cleaned(
+    docs: DataFrame, row: Column, id_col: str, text_col: str, host_col: str, max_docs: int, max_share: float, broadcast_rows: int, table_rows: int
+) -> DataFrame:
+    """_id, _row, _text, _clean (the text without its common lines) and _gone (how many they are), a row for each row."""
+    rows = docs.select(F.col(id_col).alias("_id"), row.alias("_row"), F.col(text_col).alias("_text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"))
+    text = F.coalesce("_text", F.lit(""))
+    lines = doc_lines(docs, id_col, text_col, host_col).withColumnRenamed(id_col, "_key")
+    common = table(common_lines(lines, max_docs, max_share)).select("host", "line")
+    few = common.count() <= broadcast_rows
+    if few and common.groupBy("host").count().where(F.col("count") > table_rows).isEmpty():
+        rows = rows.join(F.broadcast(_hash_tables(common)), F.col("_host") == F.col("host"), "left")
+        rows = rows.withColumn("_hashes", F.when(F.col("buckets").isNotNull(), F.transform(_normal_lines(text), lambda x: F.xxhash64(F.trim(x)))))
+        bucket = lambda h: F.get("buckets", F.pmod(h, F.size("buckets")).cast("int"))
+        is_common = lambda i: F.array_contains(bucket(F.get("_hashes", i)), F.get("_hashes", i))
+        at = F.filter(F.sequence(F.lit(0), F.size("_hashes") - 1), is_common)
+        rows = rows.withColumn("_at", F.when(F.col("_hashes").isNotNull(), at))
+    else:
+        hits = lines.join(F.broadcast(common) if few else common, ["host", "line"], "left_semi")
+        hits = hits.groupBy("_key", "host", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("_at"))
+        rows = rows.join(hits, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_host") == F.col("host")) & (F.xxhash64(text) == F.col("text_hash")), "left")
+    rows = rows.select("_id", "_row", "_text", F.coalesce("_at", F.array().cast("array<int>")).alias("_at"))
+    rows = rows.withColumn("_lines", F.when(F.size("_at") > 0, F.split("_text", "\n")))
+    # What lies between one common line and the next, and behind the last.
+    ends = F.concat("_at", F.array(F.size("_lines")))
+    before = lambda k: F.coalesce(F.get("_at", k - 1), F.lit(-1))
+    left = F.flatten(F.transform(ends, lambda p, k: F.slice("_lines", before(k) + 2, p - before(k) - 1)))
+    return rows.select("_id", "_row", "_text", F.when(F.size("_at") > 0, F.array_join(left, "\n")).otherwise(F.col("_text")).alias("_clean"), F.size("_at").alias("_gone"))
+
+
+def without_common_lines(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    max_docs: int = 20,
+    max_share: float = 0.01,
+    broadcast_rows: int = 100_000,
+    table_rows: int = 5_000,
+) -> DataFrame:
+    """``docs``, row for row, each text without its common lines; the other lines are as they were and in their order."""
+    rows = _cleaned(docs, F.struct(*docs.columns), id_col, text_col, host_col, max_docs, max_share, broadcast_rows, table_rows)
+    return rows.select(*[F.col("_clean" if c == text_col else f"_row.{c}").alias(c) for c in docs.columns])
+
+
 def line_rules(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -98,30 +164,50 @@ def line_rules(
     max_share: float = 0.01,
     max_loss: float = 0.5,
     broadcast_rows: int = 100_000,
+    table_rows: int = 5_000,
 ) -> DataFrame:
     """A row for each document: its counts, ``base_failed``, the words in common lines and whether it is kept."""
-    base = base_counts(docs, id_col, text_col)
-    lines = doc_lines(docs, id_col, text_col, host_col)
-    common = table(common_lines(lines, max_docs, max_share))
-    if common.count() <= broadcast_rows:
-        hits = lines.join(F.broadcast(common.select("host", "line")), ["host", "line"], "left_semi")
-    else:
-        hits = lines.join(common.select("host", "line"), ["host", "line"], "left_semi")
-    # A position once, however often the row is repeated.
-    hits = hits.groupBy(id_col, "text_hash", "pos").agg(F.max("words").alias("words"))
-    lost = hits.groupBy(F.col(id_col).alias("_id"), F.col("text_hash").alias("_hash")).agg(F.sum("words").alias("common_line_words"), F.count("*").alias("common_lines"))
-    out = base.join(lost, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_hash")), "left").drop("_id", "_hash")
-    lost_words = F.coalesce("common_line_words", F.lit(0))
+    rows = _cleaned(docs, F.lit(None), id_col, text_col, host_col, max_docs, max_share, broadcast_rows, table_rows)
+    return _verdicts(rows, min_words, max_repeat_percent, max_loss).drop("_row", "_clean").withColumnRenamed("_id", id_col)
+
+
+def line_filter(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    min_words: int = 50,
+    max_repeat_percent: int = 50,
+    max_docs: int = 20,
+    max_share: float = 0.01,
+    max_loss: float = 0.5,
+    broadcast_rows: int = 100_000,
+    table_rows: int = 5_000,
+) -> DataFrame:
+    """The rows of ``docs`` that ``line_rules`` keeps, each text without its common lines."""
+    rows = _cleaned(docs, F.struct(*docs.columns), id_col, text_col, host_col, max_docs, max_share, broadcast_rows, table_rows)
+    kept = _verdicts(rows, min_words, max_repeat_percent, max_loss).where("kept")
+    return kept.select(*[F.col("_clean" if c == text_col else f"_row.{c}").alias(c) for c in docs.columns])
+
+
+def _verdicts(rows: DataFrame, min_words: int, max_repeat_percent: int, max_loss: float) -> DataFrame:
+    """The columns of ``line_rules`` for ``_cleaned`` rows, with ``_row`` and ``_clean``."""
+    out = base_counts(rows, "_id", "_text", ("_row", "_clean", "_gone"))
+    # The words that the removal took: those of the text less those of what is left.
+    lost_words = F.when(F.col("_gone") > 0, F.col("n_words") - F.size(_words(F.col("_clean")))).otherwise(F.lit(0))
+    out = out.withColumn("_lost", lost_words.cast("long"))
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return out.select(
-        id_col,
+        "_id",
+        "_row",
+        "_clean",
         "n_words",
         "word_chars",
         "n_symbols",
         "n_dup_lines",
         "n_repeat_words",
         failed.alias("base_failed"),
-        (~failed & (lost_words <= max_loss * F.col("n_words"))).alias("kept"),
-        F.coalesce("common_lines", F.lit(0)).cast("long").alias("common_lines"),
-        lost_words.cast("long").alias("common_line_words"),
+        (~failed & (F.col("_lost") <= max_loss * F.col("n_words"))).alias("kept"),
+        F.col("_gone").cast("long").alias("common_lines"),
+        F.col("_lost").alias("common_line_words"),
     )

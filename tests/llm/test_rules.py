@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 
 from helpers import ODD, docs, prose
 
-from antibiogram.llm.line_rules import line_rules
+from antibiogram.llm.line_rules import line_filter, line_rules, without_common_lines
 
 SPACE = r"[\x20\x09-\x0d]+"
 
@@ -55,3 +55,38 @@ def test_line_rules(spark):
         assert got == by_hand(rows, **limits)
     assert any(not r[6] and not r[7] for r in got) and any(r[7] for r in got)
     assert line_rules(df.limit(0)).isEmpty()
+
+
+def test_texts_without_common_lines(spark):
+    rows = [(k, t, f"h{k % 2}") for k, t in enumerate([*ODD[:6], *ODD[7:]])]
+    for k in range(30):
+        rows.append((100 + k, f"Menu  | Home\n\n{prose(k, 60)}\n menu | HOME\r\n \t\n{prose(1000 + k, 30)} Tail\nAll rights reserved\n", "h1"))
+        rows.append((200 + k, "Common line\n" + prose(k, 5) + "\nAnother common one", "h2"))
+        rows.append((300 + k, "common  LINE\nmenu | home\nCommon line", None))
+    rows += [(None, "Menu | Home\n" + prose(9, 90), "h1"), (None, "kept\nMenu | Home\nlast", "h1"), (100, "Menu | Home\nthe id again", "h1"), (500, rows[-1][1], "h9"), (500, rows[-1][1], "h2")]
+    rows += [(600, "Menu | Home\nCommon line\nown", "h1"), (600, "Menu | Home\nCommon line\nown", "h2")]  # id and text again, on another host
+    df = docs(spark, [(i, t, None, h) for i, t, h in rows], clash=True)
+    limits = {"max_docs": 10, "max_share": 0.1}
+    norm = lambda x: re.sub(r"[\x20\x09\x0b-\x0d]+", " ", x.lower()).strip(" ")
+    texts_of, hosts = defaultdict(set), defaultdict(set)
+    for _, t, h in rows:
+        for x in map(norm, (t or "").split("\n")):
+            if x:
+                texts_of[h or "", x].add(t)
+                hosts[h or ""].add(t)
+    common = {(h, x) for (h, x), ts in texts_of.items() if len(ts) > max(10, 0.1 * len(hosts[h]))}
+    assert {("h1", "menu | home"), ("h1", "all rights reserved"), ("h2", "common line")} <= common
+    clean = lambda t, h: None if t is None else "\n".join(x for x in t.split("\n") if (h or "", norm(x)) not in common)
+    want = sorted(((i, clean(t, h), h) for i, t, h in rows), key=str)
+    for paths in ({}, {"table_rows": 0}, {"broadcast_rows": 0}):  # hash tables, positions by broadcast, positions by shuffle
+        out = without_common_lines(df, **limits, **paths)
+        got = out.collect()
+        assert out.columns == df.columns and all(r._h == "mine" for r in got)
+        assert sorted(((r.doc_id, r.text, r.source) for r in got), key=str) == want
+    verdicts = line_rules(df, **limits).collect()
+    lost = sorted((str(r.doc_id), r.common_line_words) for r in verdicts)
+    assert lost == sorted((str(i), len(words(t or "")) - len(words(clean(t, h) or ""))) for i, t, h in rows)
+    kept = line_filter(df, **limits)
+    got = kept.collect()
+    assert kept.columns == df.columns and sorted(str(r.doc_id) for r in got) == sorted(str(r.doc_id) for r in verdicts if r.kept)
+    assert {(r.doc_id, r.text, r.source) for r in got} <= set(want) and any(100 <= (r.doc_id or 0) < 130 and "menu" not in r.text.lower() for r in got)
