@@ -12,7 +12,8 @@ Targets: the domain of the largest weight is kept whole (times ``max_rate``) and
 weight's share of that total, or all that they have where it is less. At ``max_rate`` 1 documents are thus only thinned out
 in domains that have more than their share. A document then
 comes floor(rate) times and once more with the chance of what is left (a hash of its id decides, so runs agree). Rates
-within ``settle`` of a whole number count as that number: what rounding noise the posteriors leave drops no document.
+at most ``settle`` below a whole number count as that number: what rounding noise the posteriors leave drops no document.
+No rate is rounded down, so a domain of which a small share is wanted is thinned out, not lost.
 
 Edge cases: a null or empty text has no tokens and keeps rate 1; without labelled rows there is one domain "other" and
 every rate is 1; labels of domains without a target weight count as "other", whose target is what it has; repeated rows
@@ -133,6 +134,11 @@ def rate_column(p: str, steps: list[list[float]], max_rate: float) -> Column:
     return F.aggregate(done, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), r - dot(s))))
 
 
+def settled(rate: Column, settle: float) -> Column:
+    """Rates at most ``settle`` below a whole number as that number, all others as they are."""
+    return F.when(F.ceil(rate) - rate <= settle, F.ceil(rate).cast("double")).otherwise(rate)
+
+
 def totals(rows: DataFrame, rate: Column, k: int) -> np.ndarray:
     """The expected tokens of each domain at these rates."""
     weighed = rows.select((F.col("tokens") * rate).alias("t"), "p")
@@ -178,8 +184,7 @@ def mix(
     model = train(docs, labels, domain, max_rows, id_col, text_col)
     rows = table(docs.select(F.col(id_col), posteriors(docs, model, text_col).alias("_f")).select(id_col, "_f.tokens", "_f.p"))
     steps, _, _ = solve(rows, model.names, weights, max_rate)
-    rate = F.when(F.col("tokens") == 0, 1.0).otherwise(rate_column("p", steps, max_rate))
-    rate = F.when(F.abs(rate - F.round(rate)) <= settle, F.round(rate)).otherwise(rate)
+    rate = F.when(F.col("tokens") == 0, 1.0).otherwise(settled(rate_column("p", steps, max_rate), settle))
     best = F.array_position("p", F.array_max("p")).cast("int")
     out = rows.select(
         id_col, "tokens", F.element_at(F.array(*[F.lit(n) for n in model.names]), best).alias("domain"), *[F.get("p", i).alias(f"p_{n}") for i, n in enumerate(model.names)], rate.alias("rate")

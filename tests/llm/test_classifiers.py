@@ -110,6 +110,23 @@ def test_solver(spark, sharp, feasible):
     assert not feasible or np.all(np.abs(reached - target) <= 2e-2 * target)
 
 
+def test_small_rates_stay(spark):
+    """A domain of which a fiftieth is wanted is thinned out, not lost, when the rates are settled."""
+    rng = np.random.default_rng(3)
+    of = rng.choice(3, 2000, p=[0.3, 0.6, 0.1])
+    noise = np.minimum(rng.exponential(0.002, (2000, 1)), 0.3)
+    p = np.eye(3)[of] * (1 - noise) + noise / 3
+    tokens = rng.integers(50, 1000, 2000)
+    rows = spark.createDataFrame([(int(t), [float(v) for v in q], int(d)) for t, q, d in zip(tokens, p, of, strict=True)], "tokens long, p array<double>, of int")
+    names = ["clean", "low", "toxic"]
+    steps, target, reached = mixing.solve(rows, names, mixing.WEIGHTS)
+    rate = mixing.settled(mixing.rate_column("p", steps, 1.0), 0.05)
+    got = mixing.totals(rows, rate, 3)
+    assert 0.01 < target[1] / mixing.totals(rows, F.lit(1.0), 3)[1] < 0.04
+    assert np.all(np.abs(got - reached) <= 0.05 * target) and np.all(np.abs(got / got.sum() - [0.94, 0.03, 0.03]) < 0.005)
+    assert rows.where("of = 1").where(rate > 0).count() > 0.5 * (of == 1).sum()
+
+
 def test_mixing(spark, tables):
     d, labels = tables
     out = mixing.mix(d, labels, mixing.label_domain(), mixing.WEIGHTS)
