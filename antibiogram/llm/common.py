@@ -1,17 +1,24 @@
-"""What several corpus operators share: tables, checkpoints, skew-safe lookups and components."""
+"""What several corpus operators share: tables, checkpoints, skew-safe lookups, row verdicts and components."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Separators of words in every contract of this subpackage, as a Java character class.
 SPACE = r"[\x20\x09-\x0D]"
+#: Keys of a set that may be broadcast: about 40 bytes each, so 10 MB at most.
+FEW_KEYS = 250_000
+#: Rows of one key that a single task may get in ``lookup``.
+KEY_ROWS = 1_000_000
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -37,30 +44,67 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(spark.sparkContext.applicationId)
 
 
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
 def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Before Python runs in tasks: they get this package, and, since rows are whole documents here, fewer rows at a time
-    (a value set by the user stays)."""
+    """Before Python runs in tasks: they get this package, and, since rows are whole documents here, fewer rows at a time.
+
+    Only Spark's own default is replaced; any other number is the user's and stays.
+    """
     ship_package(spark)
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) >= 10_000:
-        spark.conf.set(key, rows)
+    if spark.conf.get(_BATCH) == "10000" and spark.sparkContext.getConf().get(_BATCH) is None:
+        spark.conf.set(_BATCH, rows)
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; only where none is set (tests), a temporary one."""
+    """The shared folder that the cluster names. Only a local master, where driver and tasks share one disk, may do
+    without: it gets a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         named = tempfile.mkdtemp(prefix="checkpoints-")
         spark.sparkContext.setCheckpointDir(named)
     return named
 
 
+#: Paths that ``table`` wrote and nobody dropped yet, each with what deletes it.
+_TABLES: dict[str, object] = {}
+
+
 def table(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back: cuts lineage, survives lost executors,
-    and stays columnar, so later reads take only the columns they need."""
-    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    and stays columnar, so later reads take only the columns they need.
+
+    The folder stays while a result may still read it: until ``drop_tables``, the end of a ``scratch`` block, or the end of
+    the driver's process.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    if not _TABLES:
+        atexit.register(drop_tables)
+    hadoop_path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    _TABLES[path] = (hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hadoop_path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def drop_tables(paths: list[str] | None = None) -> None:
+    """Deletes the folders of these tables, or of all that this process wrote; frames that read them are of no use then."""
+    for path in list(_TABLES) if paths is None else paths:
+        found = _TABLES.pop(path, None)
+        if found is not None:
+            found[0].delete(found[1], True)
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Tables written inside are deleted at the end: for a step whose result has been written by then."""
+    before = set(_TABLES)
+    yield
+    drop_tables([p for p in _TABLES if p not in before])
 
 
 def is_held_out(doc_id: str = "doc_id") -> Column:
@@ -78,24 +122,53 @@ def unit_hash(*cols: str) -> Column:
 
 
 def lookup(rows: DataFrame, classes: DataFrame, key: str, size: str, spread: str, n_rows: int) -> DataFrame:
-    """``rows`` with the columns of ``classes`` (one row a ``key``, ``size`` = rows that have it), plus ``_salt``, ``_parts``.
+    """``rows`` with the columns of ``classes`` (one row a ``key``, ``size`` = rows that have it), plus ``_salt``.
 
-    A key with more than a thousandth of all rows is dealt over as many partitions as it has thousandths, by the hash of
-    the ``spread`` column. There are fewer than 1000 such keys whatever the input, so their list is broadcast.
+    A key of more than ``KEY_ROWS`` rows, or of a thousandth of all rows where that is less, is dealt over as many
+    partitions as it has such shares, by the hash of the ``spread`` column, so what one task gets of a key is bounded
+    whatever the input. The list of dealt keys, at most n_rows / share of them, is broadcast where it is short.
     """
-    share = max(n_rows // 1000, 16)
+    share = min(max(n_rows // 1000, 16), KEY_ROWS)
     parts = F.ceil(F.col(size) / share).cast("int")
     hot = classes.where(F.col(size) > share).select(key, parts.alias("_hot"))
+    hot = F.broadcast(hot) if n_rows // share <= FEW_KEYS else hot
     salted = (
-        rows.join(F.broadcast(hot), key, "left")
+        rows.join(hot, key, "left")
         .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_hot")), F.lit(0)).cast("int"))
         .drop("_hot")
     )
-    spread_out = classes.withColumn("_parts", F.greatest(parts, F.lit(1))).withColumn(
-        "_salt", F.explode(F.sequence(F.lit(0), F.when(F.col(size) > share, F.col("_parts") - 1).otherwise(F.lit(0))))
-    )
-    spread_out = spread_out.withColumn("_parts", F.when(F.col(size) > share, F.col("_parts")).otherwise(F.lit(1)))
-    return salted.join(spread_out.hint("shuffle_hash"), [key, "_salt"])
+    salts = F.sequence(F.lit(0), F.when(F.col(size) > share, parts - 1).otherwise(F.lit(0)))
+    return salted.join(classes.withColumn("_salt", F.explode(salts)).hint("shuffle_hash"), [key, "_salt"])
+
+
+def text_key(text: Column) -> Column:
+    """128 bits that stand for a text in ``without``; null is a text of its own."""
+    return F.unhex(F.md5(F.coalesce(F.concat(F.lit("+"), text), F.lit("-"))))
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str, tied: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the rows whose (id, text) is among ``gone`` (_id, _k), all columns kept; each row is judged by itself.
+
+    Of the rows of one (id, text) among ``tied`` a single one stays, any of them (they may differ in other columns). The
+    pairs are broadcast where they are few; else the rows meet them in one shuffle by (id, text).
+    """
+    names = [f"_c{k}" for k in range(len(docs.columns))]
+    rows = docs.toDF(*names)
+    key = rows[names[docs.columns.index(id_col)]], text_key(rows[names[docs.columns.index(text_col)]])
+    rows = rows.select("*", key[0].alias("_i"), key[1].alias("_t"))
+
+    def keyed(pairs: DataFrame) -> tuple[DataFrame, Column]:
+        pairs = table(pairs.select("_id", "_k").distinct())
+        few = pairs.count() <= FEW_KEYS
+        return (F.broadcast(pairs) if few else pairs), rows["_i"].eqNullSafe(pairs["_id"]) & (rows["_t"] == pairs["_k"])
+
+    pairs, on = keyed(gone)
+    left = rows.join(pairs, on, "left_anti")
+    if tied is not None and not tied.isEmpty():
+        pairs, on = keyed(tied)
+        once = rows.join(pairs, on, "left_semi").dropDuplicates(["_i", "_t"])
+        left = left.join(pairs, on, "left_anti").unionByName(once)
+    return left.select(*names).toDF(*docs.columns)
 
 
 def components(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -103,24 +176,28 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
 
     Each round every node points to the smallest id among itself and its neighbours, and the links that remain join the
     neighbours to that id (large star, then small star), so paths shrink by powers; rounds follow the logarithm of the
-    longest path. The links stay a table in the shared folder; the driver sees one number a round.
+    longest path. The links stay a table in the shared folder; the driver sees two numbers a round. Links of a node with
+    very many, such as the root of a large component, are dealt over partitions (``lookup``).
     """
     spark = links.sparkSession
     edges = table(
         links.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    if edges.isEmpty():
+    n = edges.count()
+    if not n:
         return spark.createDataFrame([], f"node {dict(links.dtypes)['a']}, root {dict(links.dtypes)['a']}")
     for _ in range(rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.sum((F.col("b") > F.col("a")).cast("long")).alias("n"))
+        up = lookup(both.where(F.col("b") > F.col("a")), low.where("n > 0"), "a", "n", "b", n)
+        large = table(up.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # every link now goes from a larger to a smaller id; small star: link a's smaller neighbours to its smallest
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        joined = lookup(large, low, "a", "n", "b", n)
         star = joined.select("a", F.col("m").alias("b")).union(joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")))
         new = table(star.distinct())
-        done = new.count() == edges.count() and new.join(edges, ["a", "b"], "left_anti").isEmpty()
+        was, n = n, new.count()
+        done = n == was and new.join(edges, ["a", "b"], "left_anti").isEmpty()
         edges = new
         if done:
             break

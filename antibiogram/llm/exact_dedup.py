@@ -1,12 +1,19 @@
 """Exact dedup: group by a 128-bit content hash, keep the smallest id, compare bytes inside groups.
 
 Texts are equal when identical after every run of white space becomes one space; null counts as empty. Only DataFrame
-functions are used. Whole texts are shuffled once, by hash; a group with more than a thousandth of all rows is dealt over
-several partitions (``common.lookup``), and only the text of the row that stays travels to each of them.
+functions are used.
 
-Edge cases: null or empty texts form one group; repeated rows count in ``group_size``, and each row that has the smallest
-id is kept, since ids are taken to be unique; rows with a null id never displace others and stay only where no row of
-their group has an id; an empty table gives an empty table; further columns are ignored, whatever their names.
+Scale: what is shuffled of every row is (id, hashes). Texts move only where their hash occurs twice, and as the smallest
+and the largest text of each (task, hash): a group is free of collisions exactly if these two agree over all tasks, so a
+group of any size costs each task one row. Hashes that occur twice are broadcast to the texts up to ``few`` of them;
+beyond that the smallest and largest text of every hash meet in one shuffle. Rows learn their group through
+``common.lookup``, which deals out hot groups.
+
+Edge cases: null or empty texts form one group; repeated rows count in ``group_size``, and ``exact_groups`` marks each row
+that has the smallest id as kept, since it tells rows apart by their id; rows with a null id never displace others and
+are marked as kept where no row of their group has an id; an empty table gives an empty table; further columns are
+ignored, whatever their names. ``exact_dedup`` keeps exactly one row of each group: it decides about (id, text), so rows
+that share an id but not the text are judged apart, and of rows that share both one stays; a null id comes last.
 """
 
 from __future__ import annotations
@@ -16,37 +23,57 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, lookup, table
+from .common import FEW_KEYS, SPACE, lookup, table, text_key, without
 
 
 def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher: Callable[[Column], Column] = content_hash) -> DataFrame:
+def _normal(text_col: str) -> Column:
+    return F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE}+", " ")
+
+
+def _first_row(*cols: str) -> Column:
+    """The smallest row by its id, null last, then by the other columns."""
+    return F.min(F.struct(F.col("_id").isNull().alias("no_id"), *[F.col(c) for c in ("_id", *cols)]))
+
+
+def _groups(docs: DataFrame, id_col: str, text_col: str, hasher: Callable[[Column], Column], few: int, key: bool) -> DataFrame:
+    """_id, _sha, _k (the raw text's key, if asked for), _keep, _keep_k and _n of the group, for each row of ``docs``."""
+    # Once the text is hashed, a row is its id and hashes.
+    hashed = docs.select(F.col(id_col).alias("_id"), _normal(text_col).alias("_t"), (text_key(F.col(text_col)) if key else F.lit(None).cast("binary")).alias("_k"))
+    prints = table(hashed.select("_id", hasher(F.col("_t")).alias("_h"), F.sha2("_t", 256).alias("_sha"), "_k"))
+    sizes = table(prints.groupBy("_h").agg(_first_row("_k").alias("f"), F.count("*").alias("_n")).select("_h", "_n", F.col("f._id").alias("_keep"), F.col("f._k").alias("_keep_k")))
+    found = lookup(prints, sizes, "_h", "_n", "_id", prints.count()).drop("_salt")
+    twice = sizes.where("_n > 1").select("_h")
+    texts = docs.select(_normal(text_col).alias("_t")).withColumn("_h", hasher(F.col("_t")))
+    if twice.count() <= few:
+        texts = texts.join(F.broadcast(twice), "_h", "left_semi")
+    odd = texts.groupBy("_h").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).where("lo <> hi").select("_h")
+    odd = table(odd)
+    if odd.isEmpty():
+        return found
+    return found.join(odd, "_h", "left_anti").unionByName(_told_apart(hashed, hasher, odd))
+
+
+def _told_apart(hashed: DataFrame, hasher: Callable[[Column], Column], odd: DataFrame) -> DataFrame:
+    """Rows whose hash stands for several texts, grouped by the text itself."""
+    rows = hashed.withColumn("_h", hasher(F.col("_t"))).join(odd, "_h", "left_semi").withColumn("_sha", F.sha2("_t", 256))
+    sizes = rows.groupBy("_h", "_t").agg(_first_row("_k").alias("f"), F.count("*").alias("_n"))
+    both = rows.join(sizes, ["_h", "_t"])
+    return both.select("_h", "_id", "_sha", "_k", "_n", F.col("f._id").alias("_keep"), F.col("f._k").alias("_keep_k"))
+
+
+def exact_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hasher: Callable[[Column], Column] = content_hash, few: int = FEW_KEYS
+) -> DataFrame:
     """A row for each row of ``docs``: id, keep_id, group_size, kept, text_sha256 (of the normalised text).
 
     ``hasher`` may be any function of the text; whatever it lets collide is told apart by the comparison of bytes.
     """
-    text = F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), f"{SPACE}+", " ")
-    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_t")).withColumn("_h", hasher(F.col("_t")))
-    sizes = table(rows.groupBy("_h").agg(F.min("_id").alias("_keep"), F.count("*").alias("_n")))
-    rows = rows.withColumn("_sha", F.sha2("_t", 256))
-    found = lookup(rows, sizes, "_h", "_n", "_id", sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0])
-    found = found.withColumn("_t", F.when(F.col("_n") > 1, F.col("_t")))
-    kept = (
-        found.where((F.col("_n") > 1) & F.col("_id").eqNullSafe(F.col("_keep")))
-        .dropDuplicates(["_h", "_salt"])
-        .groupBy("_h")
-        .agg(F.min("_t").alias("_kept_t"), F.max("_parts").alias("_parts"))
-        .select("_h", "_kept_t", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("_salt"))
-    )
-    same = (F.col("_n") == 1) | F.coalesce(F.col("_t") == F.col("_kept_t"), F.lit(False))
-    slim = table(found.join(kept, ["_h", "_salt"], "left").select("_id", "_h", "_sha", "_keep", "_n", same.alias("_same")))
-    odd = slim.where(~F.col("_same")).select("_h").distinct()
-    if not odd.isEmpty():
-        slim = slim.join(odd, "_h", "left_anti").unionByName(_told_apart(rows.join(odd, "_h", "left_semi")), allowMissingColumns=True)
-    return slim.select(
+    found = _groups(docs, id_col, text_col, hasher, few, key=False)
+    return found.select(
         F.col("_id").alias(id_col),
         F.col("_keep").alias("keep_id"),
         F.col("_n").alias("group_size"),
@@ -55,13 +82,10 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def _told_apart(rows: DataFrame) -> DataFrame:
-    """Rows whose hash stands for several texts, grouped by the text itself."""
-    sizes = rows.groupBy("_h", "_t").agg(F.min("_id").alias("_keep"), F.count("*").alias("_n"))
-    return rows.join(sizes, ["_h", "_t"]).select("_id", "_h", "_sha", "_keep", "_n")
-
-
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that ``exact_groups`` drops, all columns kept; rows with a null id stay."""
-    gone = exact_groups(docs, id_col, text_col).where(~F.col("kept") & F.col(id_col).isNotNull())
-    return docs.join(gone.select(id_col), id_col, "left_anti").select(docs.columns)
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", few: int = FEW_KEYS) -> DataFrame:
+    """``docs`` with one row of each group, all columns kept: that of the smallest id (null last), then of any of the rows
+    that share this id and text."""
+    found = table(_groups(docs, id_col, text_col, content_hash, few, key=True).where("_n > 1"))
+    stays = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_k") == F.col("_keep_k"))
+    tied = found.where(stays).groupBy("_id", "_k").count().where("count > 1")
+    return without(docs, found.where(~stays), id_col, text_col, tied)
