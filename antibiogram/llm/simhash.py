@@ -5,16 +5,21 @@ is 1 if set in over half the hashes. Fewer than three words: the whole sequence
 
 Links: fingerprints at most 3 bits apart. The 64 bits are cut into 6 blocks; two such fingerprints agree on 3 blocks at
 least, so each of the 20 choices of 3 blocks is a key of 31 to 33 bits and close pairs meet under one of them. Texts with
-one fingerprint are one class from the start. A key's classes meet in chunks of at most 2 x 1024 (pairs of chunks, where a
-key has more), and each meeting returns the links of a spanning forest, never all pairs: the classes that the links
-connect are the same. Components follow by star contraction on tables in the shared folder.
+one fingerprint are one class from the start. Keys of up to ``FEW`` classes are settled by native expressions over their few classes;
+classes of a key that has more meet in chunks of at most 2 x 1024 (pairs of chunks, where a key has more than one), and
+each meeting returns the links of a spanning forest, never all pairs: the classes that the links connect are the same.
+Components of fingerprints follow by star contraction on tables in the shared folder.
 
 Scale: a document moves as (id, fingerprint); a fingerprint as 20 keys of 16 bytes, first counted with a partial sum and
-kept only where a key has two. A hot fingerprint is dealt over partitions by ``common.lookup``.
+kept only where a key has two. Python sees only keys of more than ``FEW`` classes. A hot fingerprint is dealt over
+partitions by ``common.lookup``, as are the links of a large component.
 
 Edge cases: a null text counts as empty; documents without words share fingerprint zero and are linked like any others;
-texts of any length are hashed in pieces of 65536 shingles; repeated rows each get their row; rows with a null id get a
-fingerprint, and the smallest id of their component (null where it has none); an empty table gives an empty table.
+texts of any length are hashed in pieces of 65536 shingles; repeated rows each get their row; rows with a null id are
+linked like others and get the smallest id of their component (null where it has none); an empty table gives an empty
+table. ``simhash_dedup`` keeps exactly one row of each component: it decides about (id, text), so rows that share an id
+but not the component are judged apart, and of rows that share both one stays; a null id comes last. Ids may be of any
+type that can be ordered.
 """
 
 from __future__ import annotations
@@ -28,11 +33,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lookup, small_batches, table
+from .common import components, lookup, small_batches, table, text_key, without
 
 SEED = 42
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # first bit and width
 MAX_BITS = 3
+FEW = 8
 CHUNK = 1024
 PIECE = 1 << 16
 _ONES = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
@@ -61,10 +67,11 @@ def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(np.array([fingerprint(x) for x in t], np.uint64).view(np.int64))
 
 
-def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(_id, fp) with the fingerprint's 64 bits as a signed long."""
+def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Column | None = None) -> DataFrame:
+    """(_id, _k, fp) with the fingerprint's 64 bits as a signed long; ``_k`` is ``key``."""
     small_batches(docs.sparkSession)
-    return docs.select(F.col(id_col).alias("_id"), F.pandas_udf(_fingerprints, "long")(F.col(text_col)).alias("fp"))
+    key = F.lit(None).cast("binary") if key is None else key
+    return docs.select(F.col(id_col).alias("_id"), key.alias("_k"), F.pandas_udf(_fingerprints, "long")(F.col(text_col)).alias("fp"))
 
 
 def _block(fp: Column, first: int, width: int) -> Column:
@@ -82,14 +89,14 @@ def block_keys(fp: str = "fp") -> Column:
     return F.array(*keys)
 
 
-def forest(node: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
-    """(node, smallest node that it reaches) by links among these fingerprints, for all but the smallest ones.
+def forest(fp: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
+    """(fingerprint, smallest one that it reaches) by links among these, for all but the smallest ones.
 
-    Grows one component at a time from its smallest node: every step takes out of the rest whatever is near the frontier.
+    Grows one component at a time from its smallest member: every step takes out of the rest whatever is near the frontier.
     """
-    order = np.argsort(node)
-    node, bits = node[order], fp[order].astype(np.int64).view(np.uint64)
-    left, out = np.arange(len(node)), []
+    fp = np.sort(fp.astype(np.int64))
+    bits = fp.view(np.uint64)
+    left, out = np.arange(len(fp)), []
     while len(left) > 1:
         root, left = left[0], left[1:]
         frontier = [root]
@@ -97,44 +104,57 @@ def forest(node: np.ndarray, fp: np.ndarray, max_bits: int = MAX_BITS) -> list[t
             near = np.bitwise_count(bits[left] ^ bits[frontier.pop()]) <= max_bits
             hit = left[near]
             if len(hit):
-                out += [(int(node[i]), int(node[root])) for i in hit]
+                out += [(int(fp[i]), int(fp[root])) for i in hit]
                 frontier += hit.tolist()
                 left = left[~near]
     return out
 
 
-def _meet(key, rows: pd.DataFrame) -> pd.DataFrame:
-    return pd.DataFrame(forest(rows["node"].to_numpy(), rows["fp"].to_numpy()), columns=["a", "b"]).astype("int64")
+def _meet(rows: pd.DataFrame) -> pd.DataFrame:
+    return pd.DataFrame(forest(rows["fp"].to_numpy()), columns=["a", "b"]).astype("int64")
 
 
-def links(classes: DataFrame, chunk: int = CHUNK) -> DataFrame:
-    """(a, b) links that connect what fingerprints at most 3 bits apart connect; ``classes`` has distinct fp and node."""
-    keyed = classes.select("node", "fp", F.explode(block_keys()).alias("key"))
+def links(prints: DataFrame, chunk: int = CHUNK, few: int = FEW) -> DataFrame:
+    """(a, b) links that connect what fingerprints at most 3 bits apart connect; ``prints`` has distinct fp."""
+    keyed = prints.select("fp", F.explode(block_keys()).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    rows = keyed.join(shared.hint("shuffle_hash"), "key").withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
+    rows = keyed.join(shared.hint("shuffle_hash"), "key")
+    # The join has dealt the rows by key, so the few classes of a key come together without another shuffle.
+    small = rows.where(F.col("n") <= few).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+    behind = lambda x, i: F.filter(F.slice("fps", i + 2, few), lambda y: F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS)
+    close = small.select(F.explode(F.flatten(F.transform("fps", lambda x, i: F.transform(behind(x, i), lambda y: F.struct(y.alias("a"), x.alias("b")))))).alias("l"))
+    large = rows.where(F.col("n") > few).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
     own = F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int")
     meets = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1), lambda d: F.struct(F.least(own, d).alias("lo"), F.greatest(own, d).alias("hi"))
     )
-    small = rows.where(F.col("n") == 2).groupBy("key").agg(
-        F.max("node").alias("a"), F.min("node").alias("b"), F.bit_count(F.bit_xor("fp")).alias("apart")
-    )
-    large = rows.where(F.col("n") > 2).select("key", "node", "fp", F.explode(meets).alias("meet"))
-    met = large.groupBy("key", "meet").applyInPandas(_meet, "a long, b long")
-    return small.where(F.col("apart") <= MAX_BITS).select("a", "b").union(met)
+    met = large.select("key", "fp", F.explode(meets).alias("meet")).groupBy("key", "meet").applyInPandas(lambda rows: _meet(rows), "a long, b long")
+    return close.select("l.a", "l.b").union(met)
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, key: Column | None) -> DataFrame:
+    """_id, _k, fp, and of its component _keep and _keep_k (smallest id, null last, and the smallest key with it), for each row."""
+    prints = table(fingerprints(docs, id_col, text_col, key))
+    first = F.min(F.struct(F.col("_id").isNull().alias("no_id"), "_id", "_k"))
+    classes = table(prints.groupBy("fp").agg(first.alias("f"), F.count("*").alias("n")))
+    # Fingerprints are the nodes, since ids may be null or repeated; a component's name is found afterwards.
+    roots = table(components(links(classes.select("fp"))).select(F.col("node").alias("fp"), "root"))
+    names = classes.join(roots, "fp").groupBy("root").agg(F.min("f").alias("c"))
+    named = classes.join(roots.join(names, "root").select("fp", "c"), "fp", "left").select("fp", "n", F.coalesce("c", "f").alias("c"))
+    found = lookup(prints, named, "fp", "n", "_id", prints.count())
+    return found.select("_id", "_k", "fp", F.col("c._id").alias("_keep"), F.col("c._k").alias("_keep_k"))
 
 
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each row of ``docs``: id, fingerprint (16 hex digits), component_id (smallest id that it reaches)."""
-    prints = table(fingerprints(docs, id_col, text_col))
-    classes = table(prints.groupBy("fp").agg(F.min("_id").alias("node"), F.count("*").alias("n")))
-    roots = components(links(classes.where(F.col("node").isNotNull()).select("fp", "node")))
-    named = classes.join(roots, "node", "left").select("fp", "n", F.coalesce("root", "node").alias("component_id"))
-    found = lookup(prints, named, "fp", "n", "_id", prints.count())
-    return found.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    found = _classes(docs, id_col, text_col, None)
+    return found.select(F.col("_id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("_keep").alias("component_id"))
 
 
 def simhash_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without those whose component has a smaller id, all columns kept; rows with a null id stay."""
-    gone = simhash_groups(docs, id_col, text_col).where(F.col(id_col) > F.col("component_id"))
-    return docs.join(gone.select(id_col), id_col, "left_anti").select(docs.columns)
+    """``docs`` with one row of each component, all columns kept: that of the smallest id (null last), then of any of the
+    rows that share this id and text."""
+    found = table(_classes(docs, id_col, text_col, text_key(F.col(text_col))))
+    stays = F.col("_id").eqNullSafe(F.col("_keep")) & (F.col("_k") == F.col("_keep_k"))
+    tied = found.where(stays).groupBy("_id", "_k").count().where("count > 1")
+    return without(docs, found.where(~stays), id_col, text_col, tied)

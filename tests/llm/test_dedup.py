@@ -99,24 +99,66 @@ def test_long_text_in_pieces(monkeypatch):
     assert simhash.fingerprint(text) == whole == print_by_hand(text)
 
 
-@pytest.mark.parametrize("chunk", [4, 1024])
-def test_links_of_close_fingerprints(spark, chunk):
-    """Many fingerprints around a few centres: hot keys, met in chunks, link what all pairs would."""
+@pytest.mark.parametrize(("chunk", "few"), [(4, 2), (1024, 2), (1024, 8), (16, 1000)])
+def test_links_of_close_fingerprints(spark, chunk, few):
+    """Many fingerprints around a few centres: hot keys, met in chunks or joined, link what all pairs would."""
     r = random.Random(11)
     centres = [r.getrandbits(64) for _ in range(4)]
-    prints = {}
+    prints = set()
     for k in range(240):
         fp = centres[k % 4]
         for _ in range(r.randrange(6)):
             fp ^= 1 << r.randrange(64)
-        if fp not in prints.values():
-            prints[k] = fp
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    classes = spark.createDataFrame([(k, signed(fp)) for k, fp in prints.items()], "node long, fp long")
-    links = simhash.links(classes, chunk)
+        prints.add(fp - (1 << 64) if fp >> 63 else fp)
+    links = simhash.links(spark.createDataFrame([(fp,) for fp in prints], "fp long"), chunk, few)
     found = dict(map(tuple, common.components(links).collect()))
-    assert {k: found.get(k, k) for k in prints} == roots_by_hand(prints)
-    assert links.count() < 20 * len(prints) * 30
+    assert {k: found.get(k, k) for k in prints} == roots_by_hand({k: k % (1 << 64) for k in prints})
+    assert few > 8 or links.count() < 20 * len(prints) * 30
+
+
+REPEATED = [
+    (1, "same"), (3, "same"), (3, "unique text of id three"), (4, "a"), (1, "same"), (2, "same"), (None, "same"), (None, "alone without id"),
+    (None, "alone without id"), (None, None), (7, ""), (8, "a  b"), (8, "a b"), (9, "a b"), (10, prose(4, 200)), (10, prose(5, 200)), (11, prose(5, 200)),
+]
+
+
+def one_a_group(rows, group):
+    """The rows that stay: of each group the one with the smallest id, null last."""
+    groups = defaultdict(list)
+    for i, t in rows:
+        groups[group(i, t)].append((i is None, i or 0))
+    return sorted(str(min(g)) for g in groups.values())
+
+
+def test_dedup_judges_rows(spark):
+    """Repeated ids, rows and null ids: no text is lost, and no group keeps two rows."""
+    norm = lambda t: re.sub(r"[\x20\x09-\x0d]+", " ", t or "")
+    for rows in (REPEATED, REPEATED[::-1]):
+        df = docs(spark, [(i, t, None, f"s{k}") for k, (i, t) in enumerate(rows)], clash=True)
+        kept = exact_dedup.exact_dedup(df)
+        got = [(r.doc_id, r.text) for r in kept.collect()]
+        assert kept.columns == df.columns and {norm(t) for _, t in got} == {norm(t) for _, t in rows}
+        assert sorted(str((i is None, i or 0)) for i, _ in got) == one_a_group(rows, lambda i, t: norm(t))
+        assert sorted(map(str, exact_dedup.exact_dedup(df, few=0).select("doc_id").collect())) == sorted(map(str, kept.select("doc_id").collect()))
+        near = [(r.doc_id, r.text) for r in simhash.simhash_dedup(df).collect()]
+        prints = {t: print_by_hand(t) for _, t in rows}
+        assert {prints[t] for _, t in near} <= set(prints.values())
+        roots = roots_by_hand({p: p for p in prints.values()})
+        assert sorted(str((i is None, i or 0)) for i, _ in near) == one_a_group(rows, lambda i, t: roots[prints[t]])
+
+
+def test_null_ids_link(spark):
+    """Two documents that only a row without an id links are one component, whose name is the smaller id."""
+    base = prose(40, 400).split()
+    steps = [list(base)]
+    while len(steps) < 40:
+        steps.append([*steps[-1]])
+        steps[-1][len(steps) * 7 % 400] = f"new{len(steps)}"
+    prints = [print_by_hand(" ".join(s)) for s in steps]
+    apart = lambda a, b: bin(prints[a] ^ prints[b]).count("1")
+    chain = next((a, b, c) for a in range(40) for b in range(40) for c in range(40) if apart(a, b) <= 3 and apart(b, c) <= 3 and apart(a, c) > 3)
+    rows = [(5, " ".join(steps[chain[0]]), None, None), (None, " ".join(steps[chain[1]]), None, None), (4, " ".join(steps[chain[2]]), None, None)]
+    assert {r.component_id for r in simhash.simhash_groups(docs(spark, rows)).collect()} == {4}
 
 
 def test_components(spark):
