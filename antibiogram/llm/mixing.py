@@ -1,23 +1,29 @@
 """Mixing sources to target weights with soft membership.
 
 A classifier learnt from the labelled table gives every document a posterior over domains (multinomial logistic regression
-over hashed words and the features of ``quality_gam``). Document rates r >= 0 then follow by projected-gradient least
-squares: minimise sum over domains k of (sum_d r_d tokens_d p_dk - T_k)^2 / A_k, with T_k the target and A_k the expected
-tokens of the domain that are there. With each document's step weighted by its tokens, the gradient of a document is
-sum_k p_dk (S_k - T_k) / A_k and the largest curvature is 1, so the step is 1 and nothing needs tuning. A round is one
-aggregation of K numbers; the rates are never gathered, since a document's rate follows from its posterior and the list
-of the rounds' K-number steps. Rounds end when every total is within ``tolerance`` of its target or nothing moves.
-
-Targets: the domain of the largest weight is kept whole (times ``max_rate``) and sets the total; the others get their
-weight's share of that total, or all that they have where it is less. At ``max_rate`` 1 documents are thus only thinned out
-in domains that have more than their share. A document then
-comes floor(rate) times and once more with the chance of what is left (a hash of its id decides, so runs agree). Rates
-at most ``settle`` below a whole number count as that number: what rounding noise the posteriors leave drops no document.
-No rate is rounded down, so a domain of which a small share is wanted is thinned out, not lost.
+over hashed words and the features of ``quality_gam``; shares below ``floor`` are noise and count as zero). Document
+rates r >= 0 then follow by projected-gradient least squares: minimise sum over domains k of
+(sum_d r_d tokens_d p_dk - T_k)^2 / A_k, with T_k the target and A_k the expected tokens of the domain that are there. With
+each document's step weighted by its tokens, the gradient of a document is sum_k p_dk (S_k - T_k) / A_k and the largest
+curvature is 1, so the step is 1 and nothing needs tuning. A document's rate follows from its posterior and the list of the
+rounds' K-number steps, so rates are never gathered. The rounds run over a table of the posteriors' cells (``binned``: the
+tokens and their mean posterior in each cell of a grid), which one aggregation makes; a round is one sum of K numbers over
+that table. The rates and the totals that are reported are those of the documents' own posteriors. Rounds end when every
+total is within ``tolerance`` of its target or nothing moves.
+
+Targets: by default the total is the largest for which every domain can have its weight's share at rates up to
+``max_rate``: the minimum over domains of what is there x max_rate / weight. A scarce domain thus sets the total. With
+``whole`` a named domain is kept whole instead and sets the total; the others get their share of it, or all that they have
+where that is less, and then fall short of their weight. Each row carries its domain's target and the total reached, so a
+miss is seen. A document comes floor(rate) times and once more with the chance of what is left (a hash of the row decides,
+so runs agree).
+
+Tokens are white-space words unless ``tokens`` gives another count, a column of ``docs``.
 
 Edge cases: a null or empty text has no tokens and keeps rate 1; without labelled rows there is one domain "other" and
-every rate is 1; labels of domains without a target weight count as "other", whose target is what it has; repeated rows
-are rows; an empty table gives an empty table.
+every rate is 1; labels of domains without a target weight count as "other", whose target is what it has; a domain with a
+weight of which nothing is there has target 0 and does not bind the others; repeated rows and rows with a null id are rows
+like others, each with its own verdict (equal rows share it); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -112,14 +118,18 @@ def train(docs: DataFrame, labels: DataFrame, domain: Column, max_rows: int = 60
     return fit([np.asarray(f["s"], np.int64) for f in rows["f"]], x, np.array([names.index(d) for d in rows["_domain"]]), names)
 
 
-def posteriors(docs: DataFrame, model: Domains, text_col: str = "text") -> Column:
-    """A column (tokens, p) of a document: its words and its posterior over ``model.names``."""
+def posteriors(model: Domains, text_col: str = "text", floor: float = 0.05) -> Column:
+    """A column (tokens, p) of a document: its words and its posterior over ``model.names``, noise taken off."""
+
+    def sharp(p: np.ndarray) -> np.ndarray:
+        p = np.where(p < min(floor, p.max()), 0.0, p)
+        return p / p.sum()
 
     @F.pandas_udf("struct<tokens:long,p:array<double>>")
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for t in texts:
             words = [words_of(s) for s in t]
-            yield pd.DataFrame({"tokens": [len(w) for w in words], "p": [model.posterior(s, w) for s, w in zip(t, words, strict=True)]})
+            yield pd.DataFrame({"tokens": [len(w) for w in words], "p": [sharp(model.posterior(s, w)) for s, w in zip(t, words, strict=True)]})
 
     return run(F.col(text_col))
 
@@ -134,9 +144,12 @@ def rate_column(p: str, steps: list[list[float]], max_rate: float) -> Column:
     return F.aggregate(done, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), r - dot(s))))
 
 
-def settled(rate: Column, settle: float) -> Column:
-    """Rates at most ``settle`` below a whole number as that number, all others as they are."""
-    return F.when(F.ceil(rate) - rate <= settle, F.ceil(rate).cast("double")).otherwise(rate)
+def binned(rows: DataFrame, k: int, levels: int = 32) -> DataFrame:
+    """tokens and p (their mean) of each cell of the grid of posteriors that has tokens: for three domains 561 rows at most,
+    whatever the input."""
+    cell = F.transform("p", lambda x: F.floor(x * levels + 0.5).cast("int"))
+    sums = rows.where("tokens > 0").groupBy(cell.alias("cell")).agg(F.sum("tokens").alias("t"), *[F.sum(F.col("tokens") * F.get("p", i)).alias(f"s{i}") for i in range(k)])
+    return sums.select(F.col("t").alias("tokens"), F.array(*[F.col(f"s{i}") / F.col("t") for i in range(k)]).alias("p"))
 
 
 def totals(rows: DataFrame, rate: Column, k: int) -> np.ndarray:
@@ -146,22 +159,31 @@ def totals(rows: DataFrame, rate: Column, k: int) -> np.ndarray:
     return np.array([sums[f"s{i}"] for i in range(k)], float)
 
 
-def solve(rows: DataFrame, names: list[str], weights: dict[str, float], max_rate: float = 1.0, rounds: int = 40, tolerance: float = 2e-3) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
-    """(steps, targets, totals reached) for documents with ``tokens`` and ``p``."""
-    there = totals(rows, F.lit(1.0), len(names))
+def targets(there: np.ndarray, names: list[str], weights: dict[str, float], max_rate: float, whole: str | None) -> np.ndarray:
+    """The total that each domain is to have, from the expected tokens that are there."""
     w = np.array([weights.get(n, np.nan) for n in names])
-    use = np.isfinite(w) & (there > 0)
-    if use.sum() < 2:
+    use = np.nan_to_num(w) * (there > 0) > 0
+    if whole is not None and whole in names and use[names.index(whole)]:
+        total = there[names.index(whole)] * max_rate / w[names.index(whole)]
+    else:
+        total = min((there[use] * max_rate / w[use]).tolist(), default=0.0)
+    return np.where(np.isfinite(w), np.minimum(np.nan_to_num(w) * total, there * max_rate), there)
+
+
+def solve(
+    rows: DataFrame, names: list[str], weights: dict[str, float], max_rate: float = 1.0, whole: str | None = None, rounds: int = 60, tolerance: float = 1e-3
+) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
+    """(steps, targets, totals reached) for documents, or cells of them, with ``tokens`` and ``p``."""
+    there = totals(rows, F.lit(1.0), len(names))
+    if sum(n in weights and t > 0 for n, t in zip(names, there, strict=True)) < 2:
         return [], there, there
-    heaviest = int(np.argmax(np.where(use, np.nan_to_num(w), -1)))
-    total = there[heaviest] * max_rate / w[heaviest] if w[heaviest] > 0 else 0.0
-    target = np.where(np.isfinite(w), np.minimum(np.nan_to_num(w) * total, there * max_rate), there)
+    target = targets(there, names, weights, max_rate, whole)
     steps: list[list[float]] = []
     reached, least = there, np.inf
     for _ in range(rounds):
         off = np.abs(reached - target)
         loss = (off**2 / np.maximum(there, 1e-9)).sum()
-        if (off <= tolerance * np.maximum(target, 1)).all() or loss > 0.999 * least:
+        if (off <= tolerance * np.maximum(target, 1)).all() or loss > 0.9999 * least:
             break
         least = loss
         steps.append(list(np.where(there > 0, (reached - target) / np.maximum(there, 1e-9), 0.0)))
@@ -169,41 +191,69 @@ def solve(rows: DataFrame, names: list[str], weights: dict[str, float], max_rate
     return steps, target, reached
 
 
+def _rated(
+    docs: DataFrame, row: Column, labels: DataFrame, domain: Column, weights: dict[str, float], max_rate: float, whole: str | None, tokens: Column | None, max_rows: int, id_col: str, text_col: str
+) -> tuple[DataFrame, list[str]]:
+    """row, id, tokens, p, domain, rate, copies, domain_target, domain_reached for each row, and the domains' names."""
+    model = train(docs, labels, domain, max_rows, id_col, text_col)
+    names, k = model.names, len(model.names)
+    found = docs.select(row.alias("row"), F.col(id_col).alias("id"), (F.lit(None) if tokens is None else tokens).cast("long").alias("own"), posteriors(model, text_col).alias("f"))
+    rows = table(found.select("row", "id", F.coalesce("own", "f.tokens").alias("tokens"), "f.p"))
+    steps, _, _ = solve(table(binned(rows, k)), names, weights, max_rate, whole)
+    rate = rate_column("p", steps, max_rate)
+    there = totals(rows, F.lit(1.0), k)
+    target = targets(there, names, weights, max_rate, whole) if steps else there
+    reached = totals(rows, rate, k)
+    best = F.array_position("p", F.array_max("p")).cast("int")
+    of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), best)
+    out = rows.select(
+        "row", "id", "tokens", "p", of(names).alias("domain"), F.when(F.col("tokens") == 0, 1.0).otherwise(rate).alias("rate"),
+        of(target.tolist()).alias("domain_target"), of(reached.tolist()).alias("domain_reached"),
+    )
+    draw = F.pmod(F.xxhash64("id", "tokens", "p"), F.lit(1 << 40)) / float(1 << 40)
+    copies = F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")
+    return out.withColumn("copies", copies.cast("int")), names
+
+
 def mix(
     docs: DataFrame,
     labels: DataFrame,
     domain: Column,
     weights: dict[str, float],
     max_rate: float = 1.0,
-    settle: float = 0.05,
+    whole: str | None = None,
+    tokens: Column | None = None,
     max_rows: int = 6000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """id, tokens, domain (the likeliest), p_<domain>, rate and copies for each row of ``docs``."""
-    model = train(docs, labels, domain, max_rows, id_col, text_col)
-    rows = table(docs.select(F.col(id_col), posteriors(docs, model, text_col).alias("_f")).select(id_col, "_f.tokens", "_f.p"))
-    steps, _, _ = solve(rows, model.names, weights, max_rate)
-    rate = F.when(F.col("tokens") == 0, 1.0).otherwise(settled(rate_column("p", steps, max_rate), settle))
-    best = F.array_position("p", F.array_max("p")).cast("int")
-    out = rows.select(
-        id_col, "tokens", F.element_at(F.array(*[F.lit(n) for n in model.names]), best).alias("domain"), *[F.get("p", i).alias(f"p_{n}") for i, n in enumerate(model.names)], rate.alias("rate")
+    """id, tokens, domain (the likeliest), p_<domain>, rate, copies, domain_target and domain_reached for each row of ``docs``."""
+    rows, names = _rated(docs, F.lit(None), labels, domain, weights, max_rate, whole, tokens, max_rows, id_col, text_col)
+    return rows.select(
+        F.col("id").alias(id_col), "tokens", "domain", *[F.get("p", i).alias(f"p_{n}") for i, n in enumerate(names)], "rate", "copies", "domain_target", "domain_reached"
     )
-    draw = F.coalesce(F.pmod(F.xxhash64(F.col(id_col), F.lit("copies")), F.lit(1 << 40)) / float(1 << 40), F.lit(0.0))
-    return out.withColumn("copies", (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int")).cast("int"))
-
-
-def mixed(docs: DataFrame, *args, id_col: str = "doc_id", **kwargs) -> DataFrame:
-    """``docs`` with each row as often as ``mix`` says, all columns kept; rows with a null id stay once."""
-    copies = mix(docs, *args, id_col=id_col, **kwargs).where(F.col("copies") != 1).groupBy(id_col).agg(F.min("copies").alias("n"))
-    twice = kwargs.get("max_rate", 1.0) > 1
-    copies = table(copies) if twice else copies
-    out = docs.join(copies.where("n = 0"), id_col, "left_anti")
-    if twice:
-        again = copies.where("n > 1").select(id_col, F.explode(F.sequence(F.lit(2), "n")).alias("n"))
-        whole = out.select(id_col, F.struct(*docs.columns).alias("_row"))
-        out = out.unionByName(whole.join(again, id_col).select("_row.*"))
-    return out.select(docs.columns)
+
+
+def mixed(
+    docs: DataFrame,
+    labels: DataFrame,
+    domain: Column,
+    weights: dict[str, float],
+    max_rate: float = 1.0,
+    whole: str | None = None,
+    tokens: Column | None = None,
+    max_rows: int = 6000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """``docs`` with each row as often as ``mix`` says, all columns kept. The rows are written once with their posteriors, so
+    nothing is joined or shuffled."""
+    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    rows, _ = _rated(docs, row, labels, domain, weights, max_rate, whole, tokens, max_rows, id_col, text_col)
+    rows = rows.where("copies > 0")
+    if max_rate > 1:
+        rows = rows.select("row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("nth"))
+    return rows.select(*[F.col(f"row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 #: Domains of the ``labels`` table, and the shares of tokens that the registered query and the pipeline ask for.

@@ -110,21 +110,68 @@ def test_solver(spark, sharp, feasible):
     assert not feasible or np.all(np.abs(reached - target) <= 2e-2 * target)
 
 
-def test_small_rates_stay(spark):
-    """A domain of which a fiftieth is wanted is thinned out, not lost, when the rates are settled."""
-    rng = np.random.default_rng(3)
-    of = rng.choice(3, 2000, p=[0.3, 0.6, 0.1])
-    noise = np.minimum(rng.exponential(0.002, (2000, 1)), 0.3)
-    p = np.eye(3)[of] * (1 - noise) + noise / 3
-    tokens = rng.integers(50, 1000, 2000)
-    rows = spark.createDataFrame([(int(t), [float(v) for v in q], int(d)) for t, q, d in zip(tokens, p, of, strict=True)], "tokens long, p array<double>, of int")
-    names = ["clean", "low", "toxic"]
-    steps, target, reached = mixing.solve(rows, names, mixing.WEIGHTS)
-    rate = mixing.settled(mixing.rate_column("p", steps, 1.0), 0.05)
-    got = mixing.totals(rows, rate, 3)
-    assert 0.01 < target[1] / mixing.totals(rows, F.lit(1.0), 3)[1] < 0.04
-    assert np.all(np.abs(got - reached) <= 0.05 * target) and np.all(np.abs(got / got.sum() - [0.94, 0.03, 0.03]) < 0.005)
-    assert rows.where("of = 1").where(rate > 0).count() > 0.5 * (of == 1).sum()
+NAMES = ["a", "b", "c"]
+
+
+def pure(spark, sizes, each=100):
+    """Documents of one domain each: as many tokens of a domain as ``sizes`` says."""
+    p = np.eye(len(sizes)).tolist()
+    return spark.createDataFrame([(each, p[k]) for k, n in enumerate(sizes) for _ in range(n // each)], "tokens long, p array<double>")
+
+
+def test_scarce_domain(spark):
+    """A domain that is scarce sets the total, and the shares are those asked for; or, if told so, another stays whole."""
+    rows, weights = pure(spark, [90000, 9500, 500]), {"a": 0.5, "b": 0.25, "c": 0.25}
+    steps, target, reached = mixing.solve(rows, NAMES, weights)
+    assert np.allclose(target, [1000, 500, 500]) and np.allclose(reached, target, rtol=2e-3)
+    rates = {tuple(r.p): r.rate for r in rows.select("p", mixing.rate_column("p", steps, 1.0).alias("rate")).distinct().collect()}
+    assert rates[1.0, 0.0, 0.0] == pytest.approx(1 / 90, rel=0.01) and rates[0.0, 1.0, 0.0] == pytest.approx(1 / 19, rel=0.01) and rates[0.0, 0.0, 1.0] == 1
+    _, target, reached = mixing.solve(rows, NAMES, weights, whole="a")
+    assert np.allclose(target, [90000, 9500, 500]) and np.allclose(reached, target)
+    _, target, reached = mixing.solve(rows, NAMES, weights, max_rate=4.0)
+    assert np.allclose(target, [4000, 2000, 2000]) and np.allclose(reached, target, rtol=2e-3)
+    _, target, _ = mixing.solve(pure(spark, [1000, 1000, 0]), NAMES, weights)  # nothing of c
+    assert np.allclose(target, [1000, 500, 0])
+
+
+def test_impossible_mix(spark):
+    """Documents that all are half a and half b cannot be mixed: the optimum is returned, and the miss is reported."""
+    rows = spark.createDataFrame([(100, [0.5, 0.5])] * 50, "tokens long, p array<double>")
+    steps, target, reached = mixing.solve(rows, ["a", "b"], {"a": 0.9, "b": 0.1})
+    r = rows.select(mixing.rate_column("p", steps, 1.0).alias("r")).first().r
+    least = min(np.linspace(0, 1, 1001), key=lambda x: ((2500 * x - target) ** 2).sum())
+    assert abs(r - least) < 0.01 and np.allclose(reached, [2500 * r] * 2) and abs(reached[0] - target[0]) > 500
+
+
+@pytest.mark.parametrize("whole", [None, "a"])
+def test_cells_stand_for_documents(spark, whole):
+    """The solver over cells gives rates whose totals, over the documents' own posteriors, are those of the solver over them."""
+    rng = np.random.default_rng(5)
+    p = rng.dirichlet([0.1, 0.1, 0.05], 3000)
+    tokens = rng.integers(0, 1000, 3000)
+    rows = spark.createDataFrame([(int(t), [float(v) for v in q]) for t, q in zip(tokens, p, strict=True)], "tokens long, p array<double>")
+    weights = {"a": 0.6, "b": 0.25, "c": 0.15}
+    cells = mixing.binned(rows, 3)
+    assert cells.count() <= 33 * 34 // 2 and np.allclose(mixing.totals(cells, F.lit(1.0), 3), tokens @ p)
+    steps, target, _ = mixing.solve(cells, NAMES, weights, whole=whole)
+    reached = mixing.totals(rows, mixing.rate_column("p", steps, 1.0), 3)
+    direct = mixing.solve(rows, NAMES, weights, whole=whole)
+    assert np.allclose(target, direct[1]) and np.all(np.abs(reached - direct[2]) <= 0.01 * target)
+
+
+def test_rows_are_judged_by_themselves(spark, tables):
+    """Two texts of one id, and of none, each have their own verdict."""
+    labels = tables[1]
+    bad = tables[0].join(labels.where("quality = 0 AND toxic = 0"), "doc_id").select("text").limit(20)
+    good = tables[0].join(labels.where("quality = 1 AND toxic = 0"), "doc_id").select("text").limit(20)
+    for i in (5, None):
+        both = bad.unionByName(good).withColumn("doc_id", F.lit(i).cast("long"))
+        d = tables[0].select("doc_id", "text").unionByName(both.select("doc_id", "text"))
+        rates = mixing.mix(d, labels, mixing.label_domain(), mixing.WEIGHTS)
+        mine = rates.where(F.col("doc_id").eqNullSafe(F.lit(i)))
+        assert mine.count() >= 40 and mine.select("rate").distinct().count() > 1
+        kept = mixing.mixed(d, labels, mixing.label_domain(), mixing.WEIGHTS)
+        assert kept.where(F.col("doc_id").eqNullSafe(F.lit(i))).count() == mine.agg(F.sum("copies")).first()[0]
 
 
 def test_mixing(spark, tables):
@@ -135,6 +182,10 @@ def test_mixing(spark, tables):
     assert got["clean"] > 0.98 and got["toxic"] < 0.85 and got["low"] < 0.7
     expected = out.agg(*[F.sum(F.expr(f"tokens * rate * p_{k}")).alias(k) for k in mixing.WEIGHTS]).first().asDict()
     assert all(abs(v / sum(expected.values()) - mixing.WEIGHTS[k]) < 0.005 for k, v in expected.items())
+    said = {r.domain: (r.domain_target, r.domain_reached) for r in out.select("domain", "domain_target", "domain_reached").distinct().collect()}
+    assert all(v == pytest.approx(said[k][1]) and v == pytest.approx(said[k][0], rel=0.02) for k, v in expected.items())
+    half = mixing.mix(d, labels, mixing.label_domain(), mixing.WEIGHTS, tokens=F.length("text"))
+    assert half.join(d, "doc_id").where("tokens <> length(text)").isEmpty()
     wide = d.withColumns({"_copies": F.lit(1), "n": F.lit(1), "_again": F.lit(1)})
     for most in (1.0, 2.0):
         copies = {r.doc_id: r.copies for r in mixing.mix(wide, labels, mixing.label_domain(), mixing.WEIGHTS, most).collect()}
