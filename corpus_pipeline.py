@@ -31,8 +31,9 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents come at the rates that meet the target weights; the heaviest domain, the clean one, stays whole."""
-    return mixing.mixed(docs, read(spark, sf_dir, "labels"), mixing.label_domain(), mixing.WEIGHTS)
+    """Documents come at the rates that meet the target weights. The clean domain stays whole and sets the total, since the
+    stages before leave few other documents."""
+    return mixing.mixed(docs, read(spark, sf_dir, "labels"), mixing.label_domain(), mixing.WEIGHTS, whole="clean")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
