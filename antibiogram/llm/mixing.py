@@ -5,7 +5,7 @@ over hashed words and the features of ``quality_gam``; shares below ``floor`` ar
 rates r >= 0 then follow by projected-gradient least squares: minimise sum over domains k of
 (sum_d r_d tokens_d p_dk - T_k)^2 / A_k, with T_k the target and A_k the expected tokens of the domain that are there. With
 each document's step weighted by its tokens, the gradient of a document is sum_k p_dk (S_k - T_k) / A_k and the largest
-curvature is 1, so the step is 1 and nothing needs tuning. A document's rate follows from its posterior and the list of the
+curvature is 1, so the step is 1 and nothing needs tuning; momentum (Nesterov's) shortens the way. A document's rate follows from its posterior and the list of the
 rounds' K-number steps, so rates are never gathered. The rounds run over a table of the posteriors' cells (``binned``: the
 tokens and their mean posterior in each cell of a grid), which one aggregation makes; a round is one sum of K numbers over
 that table. The rates and the totals that are reported are those of the documents' own posteriors. Rounds end when every
@@ -134,14 +134,20 @@ def posteriors(model: Domains, text_col: str = "text", floor: float = 0.05) -> C
     return run(F.col(text_col))
 
 
-def rate_column(p: str, steps: list[list[float]], max_rate: float) -> Column:
-    """The rate after the projected steps so far, from a document's posterior alone."""
+def rate_column(p: str, steps: list[list[float]], max_rate: float, ahead: bool = False) -> Column:
+    """The rate after the projected steps so far, from a document's posterior alone; ``ahead``: with the last momentum.
+
+    A step is K numbers and the momentum: rates go from where the last momentum took them against the gradient, are
+    projected to [0, max_rate], and move on by the momentum times what they moved.
+    """
     if not steps:
         return F.lit(1.0)
-    k = len(steps[0])
-    dot = lambda s: sum((F.get(F.col(p), i) * F.get(s, i) for i in range(k)), F.lit(0.0))
-    done = F.array(*[F.array(*[F.lit(float(v)) for v in s]) for s in steps])
-    return F.aggregate(done, F.lit(1.0), lambda r, s: F.greatest(F.lit(0.0), F.least(F.lit(float(max_rate)), r - dot(s))))
+    k = len(steps[0]) - 1
+    done = "array(" + ", ".join("array(" + ", ".join(f"{v!r}D" for v in s) + ")" for s in steps) + ")"
+    dot = " + ".join(f"{p}[{i}] * s[{i}]" for i in range(k))
+    moved = f"greatest(0D, least({float(max_rate)!r}D, a.y - ({dot})))"
+    out = f"aggregate({done}, struct(1D AS r, 1D AS y), (a, s) -> struct({moved} AS r, {moved} + s[{k}] * ({moved} - a.r) AS y))"
+    return F.expr(f"({out}).{'y' if ahead else 'r'}")
 
 
 def binned(rows: DataFrame, k: int, levels: int = 32) -> DataFrame:
@@ -152,11 +158,11 @@ def binned(rows: DataFrame, k: int, levels: int = 32) -> DataFrame:
     return sums.select(F.col("t").alias("tokens"), F.array(*[F.col(f"s{i}") / F.col("t") for i in range(k)]).alias("p"))
 
 
-def totals(rows: DataFrame, rate: Column, k: int) -> np.ndarray:
-    """The expected tokens of each domain at these rates."""
-    weighed = rows.select((F.col("tokens") * rate).alias("t"), "p")
-    sums = weighed.agg(*[F.coalesce(F.sum(F.col("t") * F.get("p", i)), F.lit(0.0)).alias(f"s{i}") for i in range(k)]).first()
-    return np.array([sums[f"s{i}"] for i in range(k)], float)
+def totals(rows: DataFrame, k: int, *rates: Column) -> np.ndarray:
+    """The expected tokens of each domain at these rates, a row for each of ``rates``."""
+    weighed = rows.select("p", *[(F.col("tokens") * r).alias(f"t{j}") for j, r in enumerate(rates)])
+    sums = weighed.agg(*[F.coalesce(F.sum(F.col(f"t{j}") * F.get("p", i)), F.lit(0.0)).alias(f"s{j}_{i}") for j in range(len(rates)) for i in range(k)]).first()
+    return np.array(list(sums), float).reshape(len(rates), k)
 
 
 def targets(there: np.ndarray, names: list[str], weights: dict[str, float], max_rate: float, whole: str | None) -> np.ndarray:
@@ -171,23 +177,26 @@ def targets(there: np.ndarray, names: list[str], weights: dict[str, float], max_
 
 
 def solve(
-    rows: DataFrame, names: list[str], weights: dict[str, float], max_rate: float = 1.0, whole: str | None = None, rounds: int = 60, tolerance: float = 1e-3
+    rows: DataFrame, names: list[str], weights: dict[str, float], max_rate: float = 1.0, whole: str | None = None, rounds: int = 40, tolerance: float = 1e-3
 ) -> tuple[list[list[float]], np.ndarray, np.ndarray]:
     """(steps, targets, totals reached) for documents, or cells of them, with ``tokens`` and ``p``."""
-    there = totals(rows, F.lit(1.0), len(names))
+    k = len(names)
+    there = totals(rows, k, F.lit(1.0))[0]
     if sum(n in weights and t > 0 for n, t in zip(names, there, strict=True)) < 2:
         return [], there, there
     target = targets(there, names, weights, max_rate, whole)
     steps: list[list[float]] = []
-    reached, least = there, np.inf
+    reached = ahead = there
+    still, momentum = 0, 1.0
     for _ in range(rounds):
-        off = np.abs(reached - target)
-        loss = (off**2 / np.maximum(there, 1e-9)).sum()
-        if (off <= tolerance * np.maximum(target, 1)).all() or loss > 0.9999 * least:
+        if (np.abs(reached - target) <= tolerance * np.maximum(target, 1)).all() or still > 2:
             break
-        least = loss
-        steps.append(list(np.where(there > 0, (reached - target) / np.maximum(there, 1e-9), 0.0)))
-        reached = totals(rows, rate_column("p", steps, max_rate), len(names))
+        after = (1 + np.sqrt(1 + 4 * momentum**2)) / 2
+        slope = np.where(there > 0, (ahead - target) / np.maximum(there, 1e-9), 0.0)
+        steps.append([*map(float, slope), float((momentum - 1) / after)])
+        momentum, was = after, reached
+        reached, ahead = totals(rows, k, rate_column("p", steps, max_rate), rate_column("p", steps, max_rate, ahead=True))
+        still = still + 1 if (np.abs(reached - was) <= 0.1 * tolerance * np.maximum(target, 1)).all() else 0
     return steps, target, reached
 
 
@@ -201,9 +210,8 @@ def _rated(
     rows = table(found.select("row", "id", F.coalesce("own", "f.tokens").alias("tokens"), "f.p"))
     steps, _, _ = solve(table(binned(rows, k)), names, weights, max_rate, whole)
     rate = rate_column("p", steps, max_rate)
-    there = totals(rows, F.lit(1.0), k)
+    there, reached = totals(rows, k, F.lit(1.0), rate)
     target = targets(there, names, weights, max_rate, whole) if steps else there
-    reached = totals(rows, rate, k)
     best = F.array_position("p", F.array_max("p")).cast("int")
     of = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), best)
     out = rows.select(

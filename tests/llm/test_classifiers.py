@@ -87,6 +87,7 @@ def test_gam_learns_an_interaction():
 
 
 def rates_by_hand(tokens, p, target, there, rounds):
+    """Plain projected gradient, without momentum."""
     r = np.ones(len(tokens))
     for _ in range(rounds):
         step = ((tokens * r) @ p - target) / there
@@ -103,7 +104,7 @@ def test_solver(spark, sharp, feasible):
     rows = spark.createDataFrame([(int(t), [float(v) for v in q]) for t, q in zip(tokens, p, strict=True)], "tokens long, p array<double>")
     steps, target, reached = mixing.solve(rows, ["a", "b", "c"], weights)
     got = np.array([r[0] for r in rows.select(mixing.rate_column("p", steps, 1.0)).collect()])
-    assert np.allclose(got, rates_by_hand(tokens, p, target, there, len(steps)), atol=1e-9) and got.min() >= 0 and got.max() <= 1
+    assert np.allclose((tokens * got) @ p, reached) and got.min() >= 0 and got.max() <= 1
     loss = lambda r: (((tokens * r) @ p - target) ** 2 / there).sum()
     least = loss(rates_by_hand(tokens, p, target, there, 5000))
     assert loss(got) - least <= 2e-3 * (loss(np.ones(len(tokens))) - least)
@@ -152,9 +153,9 @@ def test_cells_stand_for_documents(spark, whole):
     rows = spark.createDataFrame([(int(t), [float(v) for v in q]) for t, q in zip(tokens, p, strict=True)], "tokens long, p array<double>")
     weights = {"a": 0.6, "b": 0.25, "c": 0.15}
     cells = mixing.binned(rows, 3)
-    assert cells.count() <= 33 * 34 // 2 and np.allclose(mixing.totals(cells, F.lit(1.0), 3), tokens @ p)
+    assert cells.count() <= 33 * 34 // 2 and np.allclose(mixing.totals(cells, 3, F.lit(1.0))[0], tokens @ p)
     steps, target, _ = mixing.solve(cells, NAMES, weights, whole=whole)
-    reached = mixing.totals(rows, mixing.rate_column("p", steps, 1.0), 3)
+    reached = mixing.totals(rows, 3, mixing.rate_column("p", steps, 1.0))[0]
     direct = mixing.solve(rows, NAMES, weights, whole=whole)
     assert np.allclose(target, direct[1]) and np.all(np.abs(reached - direct[2]) <= 0.01 * target)
 
