@@ -1,19 +1,20 @@
 """Quality rules: counts of words, symbols and repeats, and cross-document line frequency.
 
 A line's normal form is lower case with runs of white space as one space. For every host, the distinct documents that
-have a line are counted, exact copies of a text as one document (copies are the dedup operators' concern). Lines of more
-documents than ``max_docs`` and than ``max_share`` of the host's documents are taken out (``without_common_lines`` and
-``line_filter`` give the texts that are left, ``line_rules`` the counts of what was taken out of them); a document that
+have a line are counted; a document is a row, so exact copies count each. Lines of more than ``max_docs`` documents (and,
+if ``max_share`` is set, of more than that share of the host's documents) are taken out: ``without_common_lines`` and
+``line_filter`` give the texts that are left, ``line_rules`` the counts of what was taken out of them; a document that
 loses more than ``max_loss`` of its words is rejected as depleted. Only DataFrame functions are used.
 
-Scale: what is counted is one (host, line hash) with a partial count for each task, so a hot host or line costs each task
-one row. Where no host has more than ``table_rows`` common lines, each host's lines are broadcast as a hash table and taken
-out where the text is read: no text is shuffled. Else each document's positions of common lines are found by a join (the
-lines broadcast only if they were counted to be few) and its text meets them in a shuffle.
+Scale: a row's lines are hashed and made distinct where its text is read, so a line's documents are a plain count, summed
+in each task before it moves: a hot host or line costs each task one row. Where no host has more than ``table_rows`` common
+lines, each host's lines are broadcast as a hash table and taken out where the text is read: no text is shuffled. Else the
+lines' positions are found by joins: the ``broadcast_rows`` lines of most documents are broadcast, so what is joined by
+shuffle are only lines less frequent than all of these, and a document's text meets its positions in a shuffle.
 
 Edge cases: a null text has no words, fails the base rules and stays null; lines without a word stay; a null host is a host
-of its own; empty tables give empty tables; repeated rows and rows with a null id each get their row; further columns are
-kept with the texts and ignored by the counts, whatever their names.
+of its own, the same as an empty one; empty tables give empty tables; repeated rows and rows with a null id each get their
+row; further columns are kept with the texts and ignored by the counts, whatever their names.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def _words(text: Column) -> Column:
 
 
 def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", also: tuple[str, ...] = ()) -> DataFrame:
-    """id, text_hash, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and ``also``, a row for each row."""
+    """id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and ``also``, a row for each row."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     words = _words(text)
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(NOT_SPACE))
@@ -45,7 +46,6 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     out = out.select(
         id_col,
         *also,
-        F.xxhash64("_t").alias("text_hash"),
         n.cast("long").alias("n_words"),
         F.length(F.regexp_replace("_t", f"{SPACE}+", "")).cast("long").alias("word_chars"),
         (F.length("_t") - F.length(F.translate("_t", SYMBOLS, ""))).cast("long").alias("n_symbols"),
@@ -68,7 +68,6 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return out.select(
         id_col,
         *also,
-        "text_hash",
         "n_words",
         "word_chars",
         "n_symbols",
@@ -82,22 +81,20 @@ def _normal_lines(text: Column) -> Column:
     return F.split(F.regexp_replace(F.lower(text), r"[\x20\x09\x0B-\x0D]+", " "), "\n")
 
 
-def doc_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """id, text_hash, host, line (hash of the normal form), words, pos: a row for each line that has a word."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(
-        F.col(id_col), F.xxhash64(text).alias("text_hash"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.posexplode(_normal_lines(text)).alias("pos", "_line")
-    ).withColumn("_line", F.trim("_line"))
-    words = F.length("_line") - F.length(F.translate("_line", " ", "")) + 1
-    return rows.where(F.col("_line") != "").select(id_col, "text_hash", "host", F.xxhash64("_line").alias("line"), words.cast("long").alias("words"), "pos")
+def _line_hashes(text: Column) -> Column:
+    """The hash of each line's normal form, null for lines without a word."""
+    return F.transform(_normal_lines(text), lambda x: F.when(F.trim(x) != "", F.xxhash64(F.trim(x))))
 
 
-def common_lines(lines: DataFrame, max_docs: int, max_share: float) -> DataFrame:
-    """host, line, n_docs of the lines above the limits; exact copies on a host count as one document."""
-    once = lines.groupBy("host", "line", "text_hash").agg(F.lit(1).alias("one"))
-    often = once.groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
-    hosts = lines.groupBy("host", "text_hash").agg(F.lit(1).alias("one")).groupBy("host").agg(F.count("*").alias("host_docs"))
-    return often.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs")).select("host", "line", "n_docs")
+def common_lines(docs: DataFrame, text_col: str, host_col: str, max_docs: int, max_share: float) -> DataFrame:
+    """host, line (hash of the normal form), n_docs of the lines above the limits."""
+    hashes = F.array_compact(F.array_distinct(_line_hashes(F.coalesce(F.col(text_col), F.lit("")))))
+    rows = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), hashes.alias("lines"))
+    often = rows.select("host", F.explode("lines").alias("line")).groupBy("host", "line").agg(F.count("*").alias("n_docs")).where(F.col("n_docs") > max_docs)
+    if max_share > 0:
+        hosts = rows.where(F.size("lines") > 0).groupBy("host").agg(F.count("*").alias("host_docs"))
+        often = often.join(hosts, "host").where(F.col("n_docs") > max_share * F.col("host_docs"))
+    return often.select("host", "line", "n_docs")
 
 
 def _hash_tables(common: DataFrame) -> DataFrame:
@@ -115,18 +112,21 @@ def _cleaned(
     """_id, _row, _text, _clean (the text without its common lines) and _gone (how many they are), a row for each row."""
     rows = docs.select(F.col(id_col).alias("_id"), row.alias("_row"), F.col(text_col).alias("_text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("_host"))
     text = F.coalesce("_text", F.lit(""))
-    lines = doc_lines(docs, id_col, text_col, host_col).withColumnRenamed(id_col, "_key")
-    common = table(common_lines(lines, max_docs, max_share)).select("host", "line")
-    few = common.count() <= broadcast_rows
-    if few and common.groupBy("host").count().where(F.col("count") > table_rows).isEmpty():
-        rows = rows.join(F.broadcast(_hash_tables(common)), F.col("_host") == F.col("host"), "left")
-        rows = rows.withColumn("_hashes", F.when(F.col("buckets").isNotNull(), F.transform(_normal_lines(text), lambda x: F.xxhash64(F.trim(x)))))
+    common = table(common_lines(docs, text_col, host_col, max_docs, max_share))
+    if common.groupBy("host").count().where(F.col("count") > table_rows).isEmpty() and common.count() <= broadcast_rows:
+        rows = rows.join(F.broadcast(_hash_tables(common.select("host", "line"))), F.col("_host") == F.col("host"), "left")
+        rows = rows.withColumn("_hashes", F.when(F.col("buckets").isNotNull(), _line_hashes(text)))
         bucket = lambda h: F.get("buckets", F.pmod(h, F.size("buckets")).cast("int"))
         is_common = lambda i: F.array_contains(bucket(F.get("_hashes", i)), F.get("_hashes", i))
         at = F.filter(F.sequence(F.lit(0), F.size("_hashes") - 1), is_common)
         rows = rows.withColumn("_at", F.when(F.col("_hashes").isNotNull(), at))
     else:
-        hits = lines.join(F.broadcast(common) if few else common, ["host", "line"], "left_semi")
+        lines = rows.select(F.col("_id").alias("_key"), F.xxhash64(text).alias("text_hash"), F.col("_host").alias("host"), F.posexplode(_line_hashes(text)).alias("pos", "line")).where("line IS NOT NULL")
+        hot = table(common.orderBy(F.desc("n_docs"), "host", "line").limit(broadcast_rows).select("host", "line"))
+        cold = common.select("host", "line").join(hot, ["host", "line"], "left_anti")
+        hits = lines.join(F.broadcast(hot), ["host", "line"], "left_semi")
+        if not cold.isEmpty():
+            hits = hits.unionByName(lines.join(F.broadcast(hot), ["host", "line"], "left_anti").join(cold, ["host", "line"], "left_semi"))
         hits = hits.groupBy("_key", "host", "text_hash").agg(F.sort_array(F.collect_set("pos")).alias("_at"))
         rows = rows.join(hits, F.col("_id").eqNullSafe(F.col("_key")) & (F.col("_host") == F.col("host")) & (F.xxhash64(text) == F.col("text_hash")), "left")
     rows = rows.select("_id", "_row", "_text", F.coalesce("_at", F.array().cast("array<int>")).alias("_at"))
@@ -144,7 +144,7 @@ def without_common_lines(
     text_col: str = "text",
     host_col: str = "source",
     max_docs: int = 20,
-    max_share: float = 0.01,
+    max_share: float = 0.0,
     broadcast_rows: int = 100_000,
     table_rows: int = 5_000,
 ) -> DataFrame:
@@ -161,7 +161,7 @@ def line_rules(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     max_docs: int = 20,
-    max_share: float = 0.01,
+    max_share: float = 0.0,
     max_loss: float = 0.5,
     broadcast_rows: int = 100_000,
     table_rows: int = 5_000,
@@ -179,7 +179,7 @@ def line_filter(
     min_words: int = 50,
     max_repeat_percent: int = 50,
     max_docs: int = 20,
-    max_share: float = 0.01,
+    max_share: float = 0.0,
     max_loss: float = 0.5,
     broadcast_rows: int = 100_000,
     table_rows: int = 5_000,

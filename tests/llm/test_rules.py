@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 from helpers import ODD, docs, prose
 
@@ -17,13 +17,12 @@ def words(t):
 
 
 def by_hand(rows, max_docs, max_share, max_loss):
-    texts_of, hosts = defaultdict(set), defaultdict(set)
+    docs_of, hosts = Counter(), Counter()
     lines = lambda t: [re.sub(r"[\x20\x09\x0b-\x0d]+", " ", x.lower()).strip(" ") for x in t.split("\n")]
     for _, t, host in rows:
-        for x in lines(t or ""):
-            if x:
-                texts_of[host or "", x].add(t)
-                hosts[host or ""].add(t)
+        own = {x for x in lines(t or "") if x}
+        docs_of.update((host or "", x) for x in own)
+        hosts[host or ""] += bool(own)
     out = []
     for i, t, host in rows:
         t = t or ""
@@ -33,7 +32,7 @@ def by_hand(rows, max_docs, max_share, max_loss):
         covered = {k + d for k, g in enumerate(grams) if seen[g] > 1 for d in range(3)}
         own = [x for x in t.split("\n") if words(x)]
         failed = len(w) < 50 or 100 * len(covered) > 50 * len(w)
-        common = [x for x in lines(t) if x and len(texts_of[host or "", x]) > max(max_docs, max_share * len(hosts[host or ""]))]
+        common = [x for x in lines(t) if x and docs_of[host or "", x] > max(max_docs, max_share * hosts[host or ""])]
         lost = sum(len(x.split(" ")) for x in common)
         out.append((i, len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), len(own) - len(set(own)), len(covered), failed, not failed and lost <= max_loss * len(w), len(common), lost))
     return sorted(out, key=str)
@@ -45,14 +44,16 @@ def test_line_rules(spark):
         shared = "Shared line of words, " * 12
         rows.append((100 + k, prose(k, 60) + "\n" + shared + "\n" + prose(k, 30), "h1"))
         rows.append((200 + k, f"only {k}\nCommon  text HERE " + prose(77, 150).replace("\n", " ") + "\n" + prose(k, 50), "h2"))
-        rows.append((300 + k, prose(500, 70), "h3"))  # copies are one document
+        rows.append((300 + k, prose(500, 70), "h3"))  # copies are documents, so their line is common
         rows.append((400 + k, prose(k, 25) + " | # $ " + prose(k, 25), "h4"))
     rows += [(None, prose(9, 90), "h1"), (None, prose(9, 90), "h1"), (100, prose(0, 60), "h1")]
-    limits = {"max_docs": 10, "max_share": 0.1, "max_loss": 0.5}
     df = docs(spark, [(i, t, None, h) for i, t, h in rows], clash=True)
-    for few in (100_000, 0):  # common lines broadcast, and joined by shuffle
-        got = sorted((tuple(r) for r in line_rules(df, broadcast_rows=few, **limits).collect()), key=str)
-        assert got == by_hand(rows, **limits)
+    for share in (0.0, 0.1):
+        limits = {"max_docs": 10, "max_share": share, "max_loss": 0.5}
+        for few in (100_000, 2, 0):  # common lines as hash tables, some broadcast and the others joined by shuffle, all joined by shuffle
+            got = sorted((tuple(r) for r in line_rules(df, broadcast_rows=few, **limits).collect()), key=str)
+            assert got == by_hand(rows, **limits)
+    assert {r[7] for r in got if 300 <= (r[0] or 0) < 330} == {False}
     assert any(not r[6] and not r[7] for r in got) and any(r[7] for r in got)
     assert line_rules(df.limit(0)).isEmpty()
 
@@ -68,13 +69,12 @@ def test_texts_without_common_lines(spark):
     df = docs(spark, [(i, t, None, h) for i, t, h in rows], clash=True)
     limits = {"max_docs": 10, "max_share": 0.1}
     norm = lambda x: re.sub(r"[\x20\x09\x0b-\x0d]+", " ", x.lower()).strip(" ")
-    texts_of, hosts = defaultdict(set), defaultdict(set)
+    docs_of, hosts = Counter(), Counter()
     for _, t, h in rows:
-        for x in map(norm, (t or "").split("\n")):
-            if x:
-                texts_of[h or "", x].add(t)
-                hosts[h or ""].add(t)
-    common = {(h, x) for (h, x), ts in texts_of.items() if len(ts) > max(10, 0.1 * len(hosts[h]))}
+        own = {x for x in map(norm, (t or "").split("\n")) if x}
+        docs_of.update((h or "", x) for x in own)
+        hosts[h or ""] += bool(own)
+    common = {(h, x) for (h, x), n in docs_of.items() if n > max(10, 0.1 * hosts[h])}
     assert {("h1", "menu | home"), ("h1", "all rights reserved"), ("h2", "common line")} <= common
     clean = lambda t, h: None if t is None else "\n".join(x for x in t.split("\n") if (h or "", norm(x)) not in common)
     want = sorted(((i, clean(t, h), h) for i, t, h in rows), key=str)
