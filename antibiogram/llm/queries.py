@@ -99,15 +99,10 @@ cov AS (
   FROM (SELECT doc_id, i AS p FROM rep UNION ALL SELECT doc_id, i + 1 FROM rep UNION ALL SELECT doc_id, i + 2 FROM rep)
   GROUP BY doc_id),
 lines AS (
-  SELECT doc_id, host, t, pos, trim(raw, ' ') AS line
-  FROM (SELECT doc_id, host, t, unnest(parts) AS raw, unnest(range(len(parts))) AS pos
-        FROM (SELECT doc_id, host, t, string_split(regexp_replace(lower(t), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10)) AS parts FROM d))
+  SELECT doc_id, host, trim(raw, ' ') AS line
+  FROM (SELECT doc_id, host, unnest(string_split(regexp_replace(lower(t), '[\x20\x09\x0B-\x0D]+', ' ', 'g'), chr(10))) AS raw FROM d)
   WHERE trim(raw, ' ') <> ''),
-hosts AS (SELECT host, count(DISTINCT t) AS host_docs FROM lines GROUP BY host),
-common AS (
-  SELECT l.host, l.line FROM lines l JOIN hosts h ON l.host = h.host
-  GROUP BY l.host, l.line, h.host_docs
-  HAVING count(DISTINCT l.t) > 20 AND count(DISTINCT l.t) > 0.01 * h.host_docs),
+common AS (SELECT host, line FROM lines GROUP BY host, line HAVING count(DISTINCT doc_id) > 20),
 lost AS (
   SELECT doc_id, count(*) AS common_lines, sum(length(l.line) - length(replace(l.line, ' ', '')) + 1) AS common_line_words
   FROM lines l JOIN common c ON l.host = c.host AND l.line = c.line GROUP BY doc_id),
