@@ -1,39 +1,43 @@
 """Harmonic packing of tokenised documents into sequences of ``capacity`` tokens.
 
-Each document is encoded once, ended with ``end_id`` and cut greedily into whole sequences and pieces whose lengths are
-reciprocals of the capacity: capacity // j for j in ``DENOMINATORS``, the largest that fits first. A class's bins take
-exactly j pieces each, so they are full but for the division's remainder, and where a piece stands follows from its rank
-in its class alone: sequence rank // j, place rank % j. A piece that is short of the next larger class by a 64th of it at most
-is not cut but put there.
-
-Ranks need no pass through one task: pieces are numbered inside (class, bucket of the id), 256 buckets, and the counts of
-all buckets (at most classes x 256 rows, whatever the input) give each bucket its start. The last, unfilled bins of all
-classes together hold fewer than sum(j - 1) pieces, again whatever the input; they are packed first fit, longest first.
-
-What is written between the steps is a row of numbers for each piece; token ids never leave the task that made them.
-
-Edge cases: a null or empty text is the end id alone; documents of any length are cut; repeated rows are packed each;
-null ids are packed like others (in the bucket of null); an empty table gives an empty table; words are cached in each
-task process up to a fixed number of entries.
+Each document is encoded once, ended with ``end_id`` and cut into whole sequences and a rest. A rest goes uncut into the
+class of pieces of which j fit a sequence (at most capacity // j tokens each, j in ``DENOMINATORS``) if its slot there is
+nearly full: at most ``loss`` of the slot or ``spare`` tokens empty. Else a piece that fills the next smaller slot is cut off
+it and what remains is judged likewise. A class's bins take exactly j pieces each, so where a piece stands follows from its
+rank in its class alone: sequence rank // j, place rank % j.
+
+Ranks need no pass through one task and no sort: a task numbers the pieces of each class as it cuts them, and the counts of
+all (class, task) give each task its start. They are broadcast where they are few, else joined by (class, task), of which
+each has the pieces of one task at most. The last, unfilled bins of all classes together hold at most sum(j - 1) pieces,
+4540 whatever the input; they are packed first fit, longest first.
+
+What is written between the steps is a row of numbers for each piece; token ids never leave the task that made them. The
+numbering depends on how the input is split into tasks; it is fixed once written.
+
+Edge cases: a null or empty text is the end id alone; documents of any length are cut; repeated rows and rows with a null id
+are packed each, wherever they are read; ids may be of any type that a cast to text and back keeps (long, text, date); an
+empty table gives an empty table; words are cached in each task process up to a fixed number of entries.
 """
 
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import FEW_KEYS, small_batches, table
 
 CAPACITY = 2048
-#: Those whose capacity // j leaves least of a bin; the larger ones are few, since small pieces hold few tokens.
-DENOMINATORS = (*range(1, 17), 18, 20, 22, 24, 28, 32, 40, 48, 60, 64, 85, 97, 128, 170, 204, 256, 292, 341, 409, 512, 682, 1024, 2048)
-BUCKETS = 256
-PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, per_bin int"
+#: Numbers of pieces in a bin. Small pieces hold few tokens, so their classes lie further apart.
+DENOMINATORS = (*range(1, 49), 51, 54, 57, 60, 64, 70, 76, 85, 93, 102, 113, 128, 170, 256, 2048)
+PIECES = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, per_bin int, task long, nth long"
 MAX_WORDS = 300_000
 #: ASCII marks that the tokenizer always cuts from a word that they end.
 _MARKS = ".,!*&$%#:;)?\"|"
@@ -82,17 +86,17 @@ class WordEncoder:
         return np.frombuffer(b"".join([get(w) or word(w) for w in (text or "").encode("utf-8", "replace").split()]) + self.end, "<u4")
 
 
-def cut(n: int, capacity: int = CAPACITY, denominators: tuple[int, ...] = DENOMINATORS, slack: int = 64) -> list[tuple[int, int]]:
+def cut(n: int, capacity: int = CAPACITY, denominators: tuple[int, ...] = DENOMINATORS, loss: float = 0.1, spare: int = 16) -> list[tuple[int, int]]:
     """(length, pieces in a bin) of the pieces that a document of n tokens is cut into, in order."""
     out = [(capacity, 1)] * (n // capacity)
     left = n % capacity
-    sizes = [(capacity // j, j) for j in denominators]
-    for (size, j), (larger, fewer) in zip(sizes[1:], sizes, strict=False):
-        while left >= size:
-            if larger - larger // slack <= left:  # close to the larger class: a slot there, uncut
-                return [*out, (left, fewer)]
-            out.append((size, j))
-            left -= size
+    while left:
+        k = bisect_right(denominators, capacity // left)
+        slot = capacity // denominators[k - 1]
+        if slot - left <= max(loss * slot, spare) or k == len(denominators):
+            return [*out, (left, denominators[k - 1])]
+        out.append((capacity // denominators[k], denominators[k]))
+        left -= capacity // denominators[k]
     return out
 
 
@@ -107,22 +111,25 @@ def encoder(path: str, end_id: int) -> WordEncoder:
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each piece: id, start, length, checksum of its ids, the document's tokens and its class (pieces a bin)."""
+    """A row for each piece: id, start, length, checksum of its ids, the document's tokens, its class (pieces a bin), the task
+    that cut it and its number among the task's pieces of the class."""
     small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        enc = encoder(tokenizer_path, end_id)
+        enc, task = encoder(tokenizer_path, end_id), TaskContext.get().partitionId()
+        seen: Counter[int] = Counter()
         for batch in batches:
             rows = []
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
                 ids, start = enc.encode(text), 0
                 for length, j in cut(len(ids), capacity):
-                    rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length]), len(ids), j))
+                    rows.append((doc_id, start, length, zlib.crc32(ids[start : start + length]), len(ids), j, task, seen[j]))
                     start += length
+                    seen[j] += 1
             yield pd.DataFrame(rows, columns=[c.split()[0] for c in PIECES.split(", ")])
 
     texts = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"))  # pandas has no long with nulls
-    return texts.mapInPandas(run, PIECES).withColumn("doc_id", F.col("doc_id").cast("long"))
+    return texts.mapInPandas(run, PIECES)
 
 
 def first_fit(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -140,35 +147,35 @@ def first_fit(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, i
 
 def harmonic_pack(docs: DataFrame, tokenizer_path: str, end_id: int = 1, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, per_bin for each piece."""
-    cuts = table(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col).withColumn("bucket", F.pmod(F.xxhash64("doc_id"), F.lit(BUCKETS)).cast("int")))
-    counts = cuts.groupBy("per_bin", "bucket").agg(F.count("*").alias("n"))
-    before = Window.partitionBy("per_bin").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("per_bin", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
-    # At most len(DENOMINATORS) rows: the pieces and full bins of each class, and the id of its first sequence.
-    per_class = counts.groupBy("per_bin").agg(F.sum("n").alias("class_n")).withColumn("full", F.floor(F.col("class_n") / F.col("per_bin")))
+    id_type = docs.select(id_col).schema[0].dataType
+    cuts = table(pieces(docs, tokenizer_path, end_id, capacity, id_col, text_col))
+    counts = table(cuts.groupBy("per_bin", "task").agg(F.count("*").alias("n")))
+    before = Window.partitionBy("per_bin").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("per_bin", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
+    # At most len(DENOMINATORS) rows: the full bins of each class, and the id of its first sequence.
+    per_class = counts.groupBy("per_bin").agg(F.floor(F.sum("n") / F.col("per_bin")).alias("full"))
     all_classes = Window.orderBy("per_bin").rowsBetween(Window.unboundedPreceding, -1)
     per_class = table(per_class.withColumn("base", F.coalesce(F.sum("full").over(all_classes), F.lit(0))))
-    within = Window.partitionBy("per_bin", "bucket").orderBy("doc_id", "start", "doc_tokens", "ids_crc32")
     ranked = (
-        cuts.withColumn("nth", F.row_number().over(within) - 1)
-        .join(F.broadcast(starts), ["per_bin", "bucket"])
+        cuts.join(F.broadcast(starts) if counts.count() <= FEW_KEYS else starts, ["per_bin", "task"])
         .join(F.broadcast(per_class), "per_bin")
         .withColumn("rank", F.col("first") + F.col("nth"))
         .withColumn("bin", F.floor(F.col("rank") / F.col("per_bin")))
+        .withColumn("sequence_id", F.col("base") + F.col("bin"))
     )
-    ranked = table(ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "per_bin", "rank", "bin", "full", (F.col("base") + F.col("bin")).alias("sequence_id")))
     in_bin = Window.partitionBy("sequence_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
     whole = ranked.where(F.col("bin") < F.col("full")).withColumn("offset", F.coalesce(F.sum("length").over(in_bin), F.lit(0)))
     n_full = per_class.agg(F.coalesce(F.sum("full"), F.lit(0)).alias("n_full")).first()["n_full"]
+    out = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "per_bin"]
 
     def last(rows: pd.DataFrame) -> pd.DataFrame:
-        """The unfilled bins' pieces: fewer than sum(j - 1) rows."""
+        """The unfilled bins' pieces: at most sum(j - 1) rows."""
         rows = rows.sort_values(["per_bin", "rank"]).reset_index(drop=True)
         at = first_fit(rows["length"].tolist(), capacity)
         rows["sequence_id"], rows["offset"] = [n_full + k for k, _ in at], [o for _, o in at]
-        return rows[["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "per_bin"]]
+        return rows[out]
 
     names = "doc_id string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, per_bin int"
-    rest = ranked.where(F.col("bin") >= F.col("full")).drop("sequence_id").withColumn("doc_id", F.col("doc_id").cast("string")).withColumn("all", F.lit(0))
-    rest = rest.groupBy("all").applyInPandas(lambda rows: last(rows), names).withColumn("doc_id", F.col("doc_id").cast("long"))
-    return whole.select(rest.columns).unionByName(rest)
+    rest = ranked.where(F.col("bin") >= F.col("full")).drop("sequence_id").withColumn("all", F.lit(0))
+    rest = rest.groupBy("all").applyInPandas(lambda rows: last(rows), names)
+    return whole.select(out).unionByName(rest).withColumn("doc_id", F.col("doc_id").cast(id_type))
