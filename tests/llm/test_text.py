@@ -10,7 +10,7 @@ import pytest
 from helpers import ODD, docs, prose
 
 from antibiogram.llm import license_scan as ls
-from antibiogram.llm import merkle, packing
+from antibiogram.llm import licenses, merkle, packing
 from antibiogram.llm import token_attribution as ta
 from antibiogram.llm.queries import damaged, tokenizer
 
@@ -141,33 +141,122 @@ def longest_common(a, b):
     return row[-1]
 
 
+def patience_by_hand(a, b, before=False, behind=False):
+    """How many words a plain recursive patience alignment matches, with the longest of all anchor chains."""
+    if not a or not b:
+        return 0
+    once = [(a.index(w), b.index(w)) for w in set(a) & set(b) if a.count(w) == b.count(w) == 1]
+    chains = [()]
+    for x in sorted(once):
+        chains += [(*c, x) for c in chains if not c or c[-1][1] < x[1]]
+    most = max(map(len, chains))
+    if most:
+        # Which of equally long chains is taken is open; the operator's own must be among them.
+        mine = ls.anchors(a, 0, len(a), b, 0, len(b))
+        assert len(mine) == most and tuple(mine) in chains
+        total, last = most, (-1, -1)
+        for k, (i, j) in enumerate([*mine, (len(a), len(b))]):
+            total += patience_by_hand(a[last[0] + 1 : i], b[last[1] + 1 : j], before or k > 0, behind or k < most)
+            last = (i, j)
+        return total
+    if (before or not behind) and a[0] == b[0]:
+        return 1 + patience_by_hand(a[1:], b[1:], before, behind)
+    if (behind or not before) and a[-1] == b[-1]:
+        return 1 + patience_by_hand(a[:-1], b[:-1], before, behind)
+    return 0
+
+
 def test_increasing_and_alignment():
     r = random.Random(9)
-    for _ in range(200):
+    for _ in range(300):
         order = r.sample(range(12), 12)
         best = ls.increasing(list(enumerate(order)))
-        tails = [max([1] + [0] * 0)] * 12
+        tails = [1] * 12
         for i in range(12):
             tails[i] = 1 + max([tails[j] for j in range(i) if order[j] < order[i]], default=0)
         assert len(best) == max(tails) and all(a < c and b < d for (a, b), (c, d) in zip(best, best[1:], strict=False))
         a, b = ([r.choice("abcdefgh") for _ in range(r.randrange(14))] for _ in range(2))
         pairs = ls.align(a, b)
         assert all(a[i] == b[j] for i, j in pairs) and all(p < q and s < t for (p, s), (q, t) in zip(pairs, pairs[1:], strict=False))
-        assert len(pairs) <= longest_common(a, b)
+        assert len(pairs) <= longest_common(a, b) and len(pairs) >= patience_by_hand(a, b)
+    assert ls.align("permission x permission is hereby".split(), "permission is hereby".split())[0] == (2, 0)  # the stray one is left
+
+
+def test_scan_against_every_window():
+    """Every stretch that aligns is found or lies over a finding, and every finding aligns."""
+    r = random.Random(12)
+    t = ls.template("T", "released under the [[blue license]] version")
+    for case in range(150):
+        text = " ".join(r.choice(["released", "under", "the", "blue license", "blue", "license", "version", "noise", "other", "released under the blue license version"]) for _ in range(r.randrange(4, 18)))
+        words = ls.normal_words(text)
+        units = [u for u, _, _ in ls._units(text, words, t)]
+        threshold = r.choice([0.6, 0.8])
+        found = ls.find(units, t, threshold) if units else []
+        assert all(a[1] <= b[0] for a, b in zip(found, found[1:], strict=False))
+
+        def aligned(s, e):
+            pairs = ls.align(units[s:e], t.units)  # noqa: B023
+            size = sum(t.units[j].count(" ") + 1 for _, j in pairs)
+            return size if "blue license" in {t.units[j] for _, j in pairs} and size >= threshold * t.words else 0  # noqa: B023
+
+        for s, e, size in found:
+            assert size == aligned(s, e) or any(aligned(s, x) == size for x in range(e, len(units) + 1))
+        for s in range(len(units)):
+            for e in range(s + 1, min(len(units), s + 2 * len(t.units)) + 1):
+                if aligned(s, e):
+                    assert any(s < b and a < e for a, b, _ in found), (case, text, s, e)
 
 
 def test_license_scan(spark):
-    mit, gpl = ls.TEMPLATES["MIT-permission"], ls.TEMPLATES["GPL-3.0-or-later"]
+    mit, gpl = licenses.TEXTS["MIT"][0], next(t for n, t in licenses.templates() if n == "GPL-3.0-or-later").replace("[[", "").replace("]]", "")
     near = gpl.replace("Free Software Foundation", "Free Software Fund").upper()
     texts = [*ODD, prose(1, 300) + "\n" + mit + "\n" + prose(2, 300), near, mit + " " + prose(3, 50) + " " + mit, " ".join(mit.split()[:10]), "licensed under CC-BY-NC 4.0 today", "under the licensed licensed apache of version of"]
     df = docs(spark, [(k, t, None, None) for k, t in enumerate(texts)] + [(None, mit, None, None)], clash=True)
-    got = [(r.doc_id, r.license) for r in ls.license_scan(df).collect()]
+    found = ls.license_scan(df).collect()
     n = len(ODD)
-    assert sorted(got, key=str) == sorted([(n, "MIT-permission"), (n + 1, "GPL-3.0-or-later"), (n + 2, "MIT-permission"), (n + 2, "MIT-permission"), (n + 4, "CC-BY-NC-4.0"), (None, "MIT-permission")], key=str)
-    spans = {r.doc_id: (r.start, r.end, r.coverage) for r in ls.license_scan(df).collect()}
+    assert sorted([(r.doc_id, r.license) for r in found], key=str) == sorted([(n, "MIT"), (n + 1, "GPL-3.0-or-later"), (n + 2, "MIT"), (n + 2, "MIT"), (n + 4, "CC-BY-NC-4.0"), (None, "MIT")], key=str)
+    spans = {r.doc_id: (r.start, r.end, r.coverage) for r in found}
     start, end, coverage = spans[n]
     assert texts[n][start:end] == mit and coverage == 1.0 and 0.8 <= spans[n + 1][2] < 1
     assert ls.license_scan(df.limit(0)).isEmpty()
+    own = ls.license_scan(df, {"mine": "some words of [[my own]] license"})
+    assert own.isEmpty()
+
+
+KNOWN = [ls.template(*t) for t in licenses.templates()]
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("Released under the Apache License.", ["Apache"]),
+        ("Released under the BSD License.", ["BSD"]),
+        ("Released under the Zope License.", []),
+        ("Licensed under CC BY 4.0.", ["CC-BY-4.0"]),
+        ("Licensed under CC BY-NC-SA 4.0.", ["CC-BY-NC-SA-4.0"]),
+        ("This work is licensed under the GNU General Public License, version 2.", ["GPL-2.0"]),
+        ("This work is licensed under the GNU General Public License, version 3.", ["GPL-3.0"]),
+        ("Licensed under the GNU Lesser General Public License, version 2.1", ["LGPL-2.1"]),
+        ("// SPDX-License-Identifier: Apache-2.0", ["Apache-2.0"]),
+        ("SPDX-License-Identifier: GPL-2.0-or-later", ["GPL-2.0-or-later"]),
+        ("SPDX-License-Identifier: MIT-0", ["MIT-0"]),
+        ("SPDX-License-Identifier: BSD-3-Clause-Clear", []),
+        ("Distributed under the MIT License. Released under the MIT License.", ["MIT", "MIT"]),
+        ("permission given. " + licenses.TEXTS["MIT"][1], ["MIT"]),
+        (licenses.TEXTS["BSD-2-Clause"][0], ["BSD-2-Clause"]),
+        (licenses.TEXTS["BSD-3-Clause"][0].replace("[[", "").replace("]]", ""), ["BSD-3-Clause"]),
+    ],
+)
+def test_right_licenses(text, want):
+    found = ls.scan(text, KNOWN)
+    assert [f[0] for f in found] == want
+    assert not text.startswith("permission") or text[found[0][3] :].startswith("Permission is hereby")
+
+
+def test_every_template_finds_its_license():
+    for (name, text), t in zip(licenses.templates(), KNOWN, strict=True):
+        plain = text.replace("[[", "").replace("]]", "")
+        assert [f[0] for f in ls.scan(f"word {plain} word", KNOWN)] == [name], (name, t)
 
 
 def pages(spark, rows):
