@@ -273,7 +273,7 @@ def test_merkle_audit(spark, tmp_path):
     assert merkle.audit(ours, same).isEmpty()
     got = {(r.warc_file, r.slot): r for r in merkle.audit(ours, merkle.tree(pages(spark, theirs))).collect()}
     want = {(k // 1024, k % 1024): s for k, (s, _) in bad.items()} | {(0, 7): "extra"}
-    assert {k: r.status for k, r in got.items()} == want
+    assert {k: r.status for k, r in got.items()} == want and {r.records for r in got.values()} == {1}
     # Offsets: where the record begins in the written file.
     path = str(tmp_path / "warc")
     merkle.write_warc(pages(spark, rows), path)
@@ -284,7 +284,22 @@ def test_merkle_audit(spark, tmp_path):
     record = data[r.offset : r.offset + r.bytes]
     assert record.startswith(b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:2000>") and record.endswith(b"\r\n\r\n") and got[0, 7].offset is None
     none = merkle.tree(pages(spark, []))
-    assert merkle.audit(none, none).isEmpty() and merkle.audit(ours, none).count() == ours[0].count()
+    assert merkle.audit(none, none).isEmpty() and merkle.audit(ours, none).agg({"records": "sum"}).first()[0] == ours[0].count()
+
+
+def test_repeated_and_null_keys(spark):
+    """Each lost, added or altered record of a key that many have, or of none, is told; negative keys are not null ones."""
+    many = [(7, "u", f"version {k}", "x", "y") for k in range(50)] + [(7, "u", "same", "x", "y")] * 50
+    null = [(None, "u", f"page {k}", "x", "y") for k in range(50)]
+    rows = [*many, *null, (-1, "u", "minus one", "x", "y"), (8, "u", "eight", "x", "y"), (9, "u", "nine", "x", "y")]
+    lost = [many[3], null[4], null[5]]
+    theirs = [r for r in rows if r not in lost and r[0] not in (-1, 8)]
+    theirs.remove(many[-1])
+    theirs += [(None, "u", "new", "x", "y"), (8, "u", "8", "x", "y"), (-1, "u", "minus one", "x", "y"), (9, "u", "nine", "x", "y"), (9, "u", "nine", "x", "y")]
+    found = merkle.audit(merkle.tree(pages(spark, rows)), merkle.tree(pages(spark, theirs))).collect()
+    got = sorted((r.warc_file, r.slot, r.status, r.records) for r in found)
+    n = merkle.NULL_FILE
+    assert got == sorted([(0, 7, "missing", 1), (0, 7, "missing", 1), (n, 0, "missing", 1), (n, 0, "missing", 1), (n, 0, "extra", 1), (0, 8, "corrupt", 1), (0, 9, "extra", 2)])
 
 
 def test_damaged_replica(spark):
