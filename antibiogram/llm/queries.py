@@ -131,7 +131,7 @@ SELECT doc_id, keep_id, CAST(group_size AS BIGINT) AS group_size, doc_id = keep_
 #: A page's record and its place: 1024 pages a file, offsets in the order of page_id.
 OP2_SQL = r"""
 WITH r AS (
-  SELECT page_id, page_id // 1024 AS warc_file, page_id % 1024 AS slot,
+  SELECT page_id, html, page_id // 1024 AS warc_file, page_id % 1024 AS slot,
          'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || page_id || '>'
            || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html'
            || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
@@ -141,8 +141,13 @@ o AS (
   SELECT *, CAST(strlen(record) AS BIGINT) AS bytes,
          coalesce(sum(strlen(record)) OVER (PARTITION BY warc_file ORDER BY slot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS bytes_before
   FROM r)
-SELECT warc_file, slot, CASE WHEN page_id % 103 = 11 THEN 'missing' ELSE 'corrupt' END AS status, CAST(bytes_before AS BIGINT) AS "offset", bytes
-FROM o WHERE page_id % 103 = 11 OR page_id % 101 = 7 OR page_id % 107 = 13
+SELECT warc_file, slot, CASE WHEN page_id % 101 = 7 AND page_id % 103 <> 11 AND page_id % 107 <> 13 THEN 'corrupt' ELSE 'missing' END AS status,
+       CAST(bytes_before AS BIGINT) AS "offset", bytes, CAST(1 AS BIGINT) AS records
+FROM o WHERE page_id % 103 = 11 OR page_id % 101 = 7
+UNION ALL
+SELECT warc_file, slot, 'extra', NULL, CASE WHEN page_id % 101 = 7 THEN bytes + 1 + strlen(CAST(strlen(coalesce(html, '')) + 1 AS VARCHAR)) - strlen(CAST(strlen(coalesce(html, '')) AS VARCHAR)) ELSE bytes END,
+       CASE WHEN page_id % 101 = 7 THEN 2 ELSE 1 END
+FROM o WHERE page_id % 107 = 13 AND page_id % 103 <> 11
 """
 
 
