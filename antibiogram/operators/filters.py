@@ -32,10 +32,12 @@ def orphans(ast: DataFrame, samples: DataFrame) -> DataFrame:
 
 def overview(ast: DataFrame, samples: DataFrame, categories: Chosen = None, regions: Chosen = None, districts: Chosen = None, sites: Chosen = None, sources: Chosen = None, organisms: Chosen = None, antibiotics: Chosen = None) -> tuple[DataFrame, DataFrame]:
     """(samples, tests) of a dashboard selection. An empty selection of categories, regions or districts lifts the whole
-    sample filter."""
+    sample filter, one of organisms or antibiotics the filter of both."""
     if not any(s is not None and not len(s) for s in (categories, regions, districts)):
         samples = chosen(samples, source_category=categories, region=regions, district=districts, site_type=sites, source_type=sources)
-    return samples, of_samples(chosen(ast, organism=organisms, antibiotic=antibiotics), samples)
+    if not any(s is not None and not len(s) for s in (organisms, antibiotics)):
+        ast = chosen(ast, organism=organisms, antibiotic=antibiotics)
+    return samples, of_samples(ast, samples)
 
 
 def report(ast: DataFrame, samples: DataFrame, organisms: Chosen = None, antibiotics: Chosen = None, first: str | None = None, last: str | None = None, **dims: Chosen) -> DataFrame:

@@ -167,5 +167,10 @@ def date_range(ast: DataFrame) -> DataFrame:
 def most_frequent(ast: DataFrame, dim: str, n: int = 5, avoid_above: float = 50) -> DataFrame:
     """The n most tested values of a dimension, their R% (1 digit) and whether to avoid them."""
     rate = percent(n_of("R"), F.count("*"))
-    out = known(ast, dim).groupBy(dim).agg(F.count("*").alias("count"), F.round(rate, 1).alias("resistance_rate"), F.when(rate > avoid_above, "Avoid").otherwise("Usable").alias("advice"))
+    out = known(ast, dim).groupBy(dim).agg(F.count("*").alias("count"), F.round(rate, 1).alias("resistance_rate"), F.when(rate > avoid_above, "Avoid").otherwise("Use").alias("advice"))
     return out.orderBy(F.desc("count"), dim).limit(n)
+
+
+def most_sampled(samples: DataFrame, dim: str = "region", n: int = 5) -> DataFrame:
+    """The n values of a dimension that most samples come from."""
+    return known(samples, dim).groupBy(dim).agg(F.count("*").alias("count")).orderBy(F.desc("count"), dim).limit(n)

@@ -34,46 +34,44 @@ def missing_columns(df: DataFrame, sheet: str) -> list[str]:
     return sorted(set(REQUIRED[sheet]) - set(df.columns))
 
 
-def _found(rows: DataFrame, rule: str, sheet: str) -> DataFrame:
-    return rows.select(F.lit(rule).alias("rule_id"), F.lit(sheet).alias("sheet"), F.col("row_no").cast("long"), F.col("value").cast("string"))
+def _is_bad_number(col: str) -> Column:
+    return F.col(col).isNotNull() & F.col(col).try_cast("double").isNull()
 
 
-def _first(df: DataFrame, bad: Column, value: Column) -> DataFrame:
-    one = df.where(bad).agg(F.min(F.struct(F.col("row_no"), value.cast("string").alias("value"))).alias("f"))
-    return one.where(F.col("f").isNotNull()).select("f.row_no", "f.value")
+def _outside(col: str, allowed: tuple[str, ...]) -> tuple[str, list[tuple[Column, Column]]]:
+    """A missing value is outside too, and is reported as an empty one."""
+    return "value", [(~F.coalesce(F.col(col).isin(*allowed), F.lit(False)), F.coalesce(F.col(col), F.lit("")))]
 
 
-def _duplicates(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("row_no").alias("row_no")).where(F.col("n") > 1).select("row_no", F.concat_ws(" / ", *keys).alias("value"))
-
+def _bad_date(col: str) -> tuple[str, list[tuple[Column, Column]]]:
+    """Year, month and day in this order; months and days may have one digit."""
+    shaped = F.col(col).rlike(r"^\d{4}-\d{1,2}-\d{1,2}$")
+    day = F.try_to_date(F.when(shaped, F.col(col)), "yyyy-M-d")
+    return "first", [(F.col(col).isNotNull() & day.isNull(), F.col(col))]
 
-def _outside(df: DataFrame, col: str, allowed: tuple[str, ...]) -> DataFrame:
-    return df.where(F.col(col).isNotNull() & ~F.col(col).isin(*allowed)).groupBy(F.col(col).alias("value")).agg(F.min("row_no").alias("row_no"))
 
-
-def _not_a_number(df: DataFrame, *cols: str) -> DataFrame:
-    bad = lambda c: F.col(c).isNotNull() & F.col(c).try_cast("double").isNull()
-    any_bad, value = F.lit(False), F.lit(None).cast("string")
+def _bad_numbers(*cols: str) -> tuple[str, list[tuple[Column, Column]]]:
+    """Of several columns only rows that have all of them are judged."""
+    there = F.lit(True)
     for c in cols:
-        any_bad, value = any_bad | bad(c), F.coalesce(value, F.when(bad(c), F.col(c)))
-    return _first(df, any_bad, value)
-
-
-def _bad_date(df: DataFrame, col: str) -> DataFrame:
-    return _first(df, F.col(col).isNotNull() & F.try_to_date(F.col(col), "yyyy-MM-dd").isNull(), F.col(col))
+        there = there & F.col(c).isNotNull()
+    value = F.coalesce(*[F.when(_is_bad_number(c), F.col(c)) for c in cols])
+    return "first", [(there & value.isNotNull(), value)]
 
 
-def _blank(df: DataFrame, *cols: str) -> DataFrame:
+def _blank(*cols: str) -> tuple[str, list[tuple[Column, Column]]]:
     """Rows with nothing in a required column: of the first such column only."""
-    found = df.agg(*[F.min(F.when(F.col(c).isNull(), F.col("row_no"))).alias(c) for c in cols])
-    pairs = F.filter(F.array(*[F.when(F.col(c).isNotNull(), F.struct(F.col(c).alias("row_no"), F.lit(c).alias("value"))) for c in cols]), lambda x: x.isNotNull())
-    return found.select(F.get(pairs, 0).alias("f")).where(F.col("f").isNotNull()).select("f.row_no", "f.value")
+    return "column", [(F.col(c).isNull(), F.lit(c)) for c in cols]
 
 
-def _out_of_range(df: DataFrame) -> DataFrame:
+def _out_of_range() -> tuple[str, list[tuple[Column, Column]]]:
     lat, lon = F.col("latitude").try_cast("double"), F.col("longitude").try_cast("double")
     bad = lat.isNotNull() & lon.isNotNull() & ~(lat.between(-90, 90) & lon.between(-180, 180))
-    return df.where(bad).select("row_no", F.concat_ws(", ", "latitude", "longitude").alias("value"))
+    return "row", [(bad, F.concat_ws(", ", "latitude", "longitude"))]
+
+
+def _duplicates(df: DataFrame, *keys: str) -> DataFrame:
+    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("row_no").alias("row_no")).where(F.col("n") > 1).select("row_no", F.concat_ws(" / ", *keys).alias("value"))
 
 
 def _orphans(ast: DataFrame, samples: DataFrame) -> DataFrame:
@@ -81,29 +79,64 @@ def _orphans(ast: DataFrame, samples: DataFrame) -> DataFrame:
     return lost.groupBy(F.col("sample_id").alias("value")).agg(F.min("row_no").alias("row_no"))
 
 
-#: rule -> (sheet, function of (samples, ast) that gives row_no and value)
-RULES: dict[str, tuple[str, Callable[[DataFrame, DataFrame], DataFrame]]] = {
+#: rule -> (sheet, what a report names, [(whether a row is at fault, the value that is reported)]). What a report names:
+#: each ``row``, each distinct ``value`` with its first row, the ``first`` row, or the first row of the first ``column``.
+ROW_RULES: dict[str, tuple[str, Callable[[], tuple[str, list[tuple[Column, Column]]]]]] = {
+    "v_s_cat": ("samples", lambda: _outside("source_category", SOURCE_CATEGORIES)),
+    "v_s_date": ("samples", lambda: _bad_date("collection_date")),
+    "v_s_coord_range": ("samples", _out_of_range),
+    "v_s_coord_num": ("samples", lambda: _bad_numbers("latitude", "longitude")),
+    "v_s_req": ("samples", lambda: _blank("sample_id", "region", "district")),
+    "v_a_result": ("ast_results", lambda: _outside("result", RESULTS)),
+    "v_a_method": ("ast_results", lambda: _outside("method", METHODS)),
+    "v_a_guideline": ("ast_results", lambda: _outside("guideline", GUIDELINES)),
+    "v_a_date": ("ast_results", lambda: _bad_date("test_date")),
+    "v_a_req": ("ast_results", lambda: _blank("sample_id", "isolate_id", "organism", "antibiotic")),
+    "v_a_mic_num": ("ast_results", lambda: _bad_numbers("mic_value")),
+    "v_a_zone_num": ("ast_results", lambda: _bad_numbers("zone_diameter")),
+}
+#: rule -> (sheet, function of (samples, ast) that gives row_no and value): rules that look at several rows.
+TABLE_RULES: dict[str, tuple[str, Callable[[DataFrame, DataFrame], DataFrame]]] = {
     "v_s_dup": ("samples", lambda s, a: _duplicates(s.where(F.col("sample_id").isNotNull()), "sample_id")),
-    "v_s_cat": ("samples", lambda s, a: _outside(s, "source_category", SOURCE_CATEGORIES)),
-    "v_s_date": ("samples", lambda s, a: _bad_date(s, "collection_date")),
-    "v_s_coord_range": ("samples", lambda s, a: _out_of_range(s)),
-    "v_s_coord_num": ("samples", lambda s, a: _not_a_number(s, "latitude", "longitude")),
-    "v_s_req": ("samples", lambda s, a: _blank(s, "sample_id", "region", "district")),
     "v_a_dup": ("ast_results", lambda s, a: _duplicates(a, "isolate_id", "antibiotic")),
-    "v_a_result": ("ast_results", lambda s, a: _outside(a, "result", RESULTS)),
-    "v_a_method": ("ast_results", lambda s, a: _outside(a, "method", METHODS)),
-    "v_a_guideline": ("ast_results", lambda s, a: _outside(a, "guideline", GUIDELINES)),
-    "v_a_date": ("ast_results", lambda s, a: _bad_date(a, "test_date")),
     "v_a_orphan": ("ast_results", lambda s, a: _orphans(a, s)),
-    "v_a_req": ("ast_results", lambda s, a: _blank(a, "sample_id", "isolate_id", "organism", "antibiotic")),
-    "v_a_mic_num": ("ast_results", lambda s, a: _not_a_number(a, "mic_value")),
-    "v_a_zone_num": ("ast_results", lambda s, a: _not_a_number(a, "zone_diameter")),
 }
+RULES = {name: sheet for rules in (ROW_RULES, TABLE_RULES) for name, (sheet, _) in rules.items()}
+
+
+def _row_faults(df: DataFrame, sheet: str, names: list[str]) -> DataFrame:
+    """What these rules find in one sheet, by one pass over it and one aggregation."""
+    faults = []
+    for name in names:
+        kind, cases = ROW_RULES[name][1]()
+        for k, (bad, value) in enumerate(cases):
+            group = F.col("row_no").cast("string") if kind == "row" else value.cast("string") if kind == "value" else F.lit("")
+            fault = F.struct(F.lit(name).alias("rule_id"), group.alias("group"), F.struct(F.lit(k).alias("case"), F.col("row_no").cast("long").alias("row_no"), value.cast("string").alias("value")).alias("at"))
+            faults.append(F.when(bad, fault))
+    found = df.select(F.explode(F.array_compact(F.array(*faults))).alias("f")).groupBy("f.rule_id", "f.group").agg(F.min("f.at").alias("at"))
+    return found.select("rule_id", F.lit(sheet).alias("sheet"), "at.row_no", "at.value")
+
+
+def rules(names: list[str], samples: DataFrame, ast: DataFrame) -> DataFrame:
+    """rule_id, sheet, row_no and value of what these rules find."""
+    sheets = {"samples": trimmed(samples), "ast_results": trimmed(ast)}
+    found = []
+    for sheet, df in sheets.items():
+        own = [n for n in names if n in ROW_RULES and RULES[n] == sheet]
+        if own:
+            found.append(_row_faults(df, sheet, own))
+    for name in names:
+        if name in TABLE_RULES:
+            rows = TABLE_RULES[name][1](sheets["samples"], sheets["ast_results"])
+            found.append(rows.select(F.lit(name).alias("rule_id"), F.lit(RULES[name]).alias("sheet"), F.col("row_no").cast("long"), F.col("value").cast("string")))
+    out = found[0]
+    for df in found[1:]:
+        out = out.unionByName(df)
+    return out
 
 
 def rule(name: str, samples: DataFrame, ast: DataFrame) -> DataFrame:
-    sheet, find = RULES[name]
-    return _found(find(trimmed(samples), trimmed(ast)), name, sheet)
+    return rules([name], samples, ast)
 
 
 def structure(spark: SparkSession, samples: DataFrame | None, ast: DataFrame | None) -> DataFrame:
@@ -124,6 +157,4 @@ def validate(spark: SparkSession, samples: DataFrame | None, ast: DataFrame | No
     found = structure(spark, samples, ast)
     if not found.isEmpty():
         return found
-    for name in RULES:
-        found = found.unionByName(rule(name, samples, ast))
-    return found
+    return rules(list(RULES), samples, ast)

@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from antibiogram.operators import rates, score
 
-#: In order of priority: topic, words that ask for it.
+#: Topics in order of priority, and the words that ask for them.
 TOPICS = (
-    ("summary", ("summary", "overview", "overall")),
-    ("organism", ("organism", "bacteria", "pathogen")),
-    ("antibiotic", ("antibiotic", "drug", "medicine")),
-    ("region", ("region", "location", "area", "where")),
-    ("trend", ("trend", "over time", "change")),
-    ("recommend", ("recommend", "suggest", "advice")),
-    ("explain", ("how", "why")),
-    ("risk", ("risk", "danger")),
+    ("summary", ("summary", "overall", "resistance rate", "general")),
+    ("organism", ("organism", "pathogen", "bacteria", "species")),
+    ("antibiotic", ("antibiotic", "drug", "treatment", "susceptible")),
+    ("region", ("region", "geographic", "location", "hotspot")),
+    ("trend", ("trend", "temporal", "time", "change", "pattern")),
+    ("recommend", ("recommend", "suggest", "should", "action", "prevent")),
+    ("explain", ("how", "why", "explain", "mechanism", "develop")),
+    ("risk", ("risk", "danger", "threat", "concern", "critical")),
 )
 
 
@@ -24,6 +27,14 @@ def topic(query: str) -> str:
     return next((name for name, words in TOPICS if any(w in low for w in words)), "fallback")
 
 
+def routed(questions: DataFrame, col: str = "question") -> DataFrame:
+    """``questions`` with the topic of each, null counting as empty."""
+    low, found = F.lower(F.coalesce(F.col(col), F.lit(""))), F.lit("fallback")
+    for name, words in reversed(TOPICS):
+        found = F.when(reduce(lambda a, b: a | b, [low.contains(w) for w in words]), name).otherwise(found)
+    return questions.withColumn("topic", found)
+
+
 def answer(query: str, ast: DataFrame, samples: DataFrame) -> DataFrame:
     """The table that answers a question."""
     found = topic(query)
@@ -32,7 +43,7 @@ def answer(query: str, ast: DataFrame, samples: DataFrame) -> DataFrame:
     if found == "antibiotic":
         return rates.most_frequent(ast, "antibiotic")
     if found == "region":
-        return rates.most_frequent(rates.with_dims(ast, samples, "region"), "region")
+        return rates.most_sampled(samples, "region")
     if found == "trend":
         return score.half_trend(ast)
     if found == "recommend":

@@ -14,9 +14,13 @@ from pyspark.sql import functions as F
 
 from antibiogram.functions import interpret as ip
 from antibiogram.operators import compare, detect, filters, rates, score, validate
-from antibiogram.sources import adapter, catalog
+from antibiogram.sources import adapter, catalog, io
 
-from . import uploads
+from . import assistant, uploads
+
+
+EVERY = ("DS0", "DS1", "DS2", "DS3")
+_STORES: dict[tuple, str] = {}
 
 
 class Tables:
@@ -37,6 +41,22 @@ class Tables:
     def datasets(self) -> DataFrame:
         return adapter.datasets(self.spark, self.dir)
 
+    def store(self, *ids: str) -> str:
+        """A store of these datasets, written by ``io.write_dataset`` once in an application."""
+        key = (self.spark.sparkContext.applicationId, self.dir, ids)
+        if key not in _STORES:
+            path = io.store_folder(self.spark)
+            for r in self.datasets.where(F.col("dataset_id").isin(*ids)).collect():  # a row a dataset
+                own = F.col("dataset_id") == r.dataset_id
+                io.write_dataset(path, r.dataset_id, r.dataset_name, self.samples.where(own), self.ast.where(own), r.uploaded_by, r.uploaded_at, r.country, r.is_country_main)
+            _STORES[key] = path
+        return _STORES[key]
+
+    def scan(self, table: str, dataset_id: str | None = None) -> DataFrame:
+        """The stored table, as far as the adapter has its columns."""
+        names = {"samples": self.samples, "ast_results": self.ast}[table].columns
+        return io.scan(self.spark, self.store(*EVERY), table, dataset_id).select(names)
+
     def by(self, *dims: str) -> DataFrame:
         return rates.with_dims(self.ast, self.samples, *dims)
 
@@ -182,6 +202,16 @@ BURDEN = f"SELECT source_category, {R} AS r, count(*) AS n FROM {J} GROUP BY sou
 RECENT_COLS = ("isolate_id", "antibiotic", "organism", "result", "test_date")
 
 
+ASKED = ("resistance rate of this bacteria", "best treatment", "mechanism behind it", "weather")
+
+
+def _deleted(t: Tables) -> DataFrame:
+    """What is left of a store of its own, from which one dataset was deleted."""
+    path = t.store("DS2", *EVERY)
+    io.delete_dataset(t.spark, path, "DS2")
+    return io.scan(t.spark, path, "ast_results").groupBy("dataset_id").agg(F.count("*").alias("tests"))
+
+
 def _burden_rows(t: Tables) -> DataFrame:
     b = score.burden(t.samples, t.ast)
     return b.select("total_resistant_tests", "total_tests", "overall_resistance_rate", "public_health_impact", F.explode("resistance_by_category").alias("source_category", "category_rate"))
@@ -242,7 +272,7 @@ def _cross(variable: str, column: str | None = None) -> Entry:
 
 
 def _validation(name: str) -> Entry:
-    sheet = validate.RULES[name][0]
+    sheet = validate.RULES[name]
     return (
         lambda t: validate.rule(name, uploads.samples(t.spark, t.dir), uploads.tests(t.spark, t.dir)),
         f"SELECT '{name}' AS rule_id, '{sheet}' AS sheet, CAST(row_no AS BIGINT) AS row_no, value FROM ({uploads.SQL[name]})",
@@ -259,10 +289,10 @@ def _merged(t: Tables, k: int) -> DataFrame:
 
 ENTRIES: dict[str, Entry] = {
     # sources and catalog
-    "scan_samples": (lambda t: t.samples.where(F.col("dataset_id") == "DS1"), "SELECT * FROM samples WHERE dataset_id = 'DS1'"),
-    "scan_ast": (lambda t: t.ast.where(F.col("dataset_id") == "DS1"), "SELECT * EXCLUDE (l_linenumber, l_partkey, l_suppkey, l_quantity, nth) FROM ast WHERE dataset_id = 'DS1'"),
-    "scan_all_samples": (lambda t: t.samples, "SELECT * FROM samples"),
-    "scan_all_ast": (lambda t: t.ast, "SELECT * EXCLUDE (l_linenumber, l_partkey, l_suppkey, l_quantity, nth) FROM ast"),
+    "scan_samples": (lambda t: t.scan("samples", "DS1"), "SELECT * FROM samples WHERE dataset_id = 'DS1'"),
+    "scan_ast": (lambda t: t.scan("ast_results", "DS1"), "SELECT * EXCLUDE (l_linenumber, l_partkey, l_suppkey, l_quantity, nth) FROM ast WHERE dataset_id = 'DS1'"),
+    "scan_all_samples": (lambda t: t.scan("samples"), "SELECT * FROM samples"),
+    "scan_all_ast": (lambda t: t.scan("ast_results"), "SELECT * EXCLUDE (l_linenumber, l_partkey, l_suppkey, l_quantity, nth) FROM ast"),
     "cat_datasets": (lambda t: catalog.newest(t.datasets), "SELECT * FROM datasets"),
     "cat_main": (lambda t: catalog.main(t.datasets, "Ghana"), "SELECT * FROM datasets WHERE is_country_main AND country = 'Ghana'"),
     "cat_by_uploader": (lambda t: catalog.by_uploader(t.datasets, "b@lab.org"), "SELECT * FROM datasets WHERE uploaded_by = 'b@lab.org'"),
@@ -271,8 +301,36 @@ ENTRIES: dict[str, Entry] = {
         lambda t: catalog.set_main(t.datasets, "DS3", True, "Benin"),
         "SELECT * REPLACE (CASE WHEN dataset_id = 'DS3' THEN TRUE ELSE is_country_main END AS is_country_main, CASE WHEN dataset_id = 'DS3' THEN 'Benin' ELSE country END AS country) FROM datasets",
     ),
-    "del_dataset": (lambda t: t.ast.where(F.col("dataset_id") != "DS2").groupBy("dataset_id").agg(F.count("*").alias("tests")), "SELECT dataset_id, count(*) AS tests FROM ast WHERE dataset_id <> 'DS2' GROUP BY dataset_id"),
-    "src_health": (lambda t: t.datasets.agg(F.count("*").alias("datasets")), "SELECT count(*) AS datasets FROM datasets"),
+    "sink_dataset": (
+        lambda t: io.scan(t.spark, t.store(*EVERY), "datasets").select("dataset_id", "dataset_name", "rows_samples", "rows_tests", "country", "is_country_main"),
+        "SELECT dataset_id, dataset_name, rows_samples, rows_tests, country, is_country_main FROM datasets",
+    ),
+    "del_dataset": (_deleted, "SELECT dataset_id, count(*) AS tests FROM ast WHERE dataset_id <> 'DS2' GROUP BY dataset_id"),
+    "src_health": (lambda t: io.health(t.spark, t.store(*EVERY)), "SELECT count(*) AS datasets FROM datasets"),
+    "sink_template": (
+        lambda t: io.template(t.spark)["samples"].select("sample_id", "region", "source_category", "row_no"),
+        "SELECT * FROM (VALUES ('SAMPLE_001', 'Ashanti', 'ENVIRONMENT', CAST(2 AS BIGINT)), ('SAMPLE_002', 'Greater Accra', 'FOOD', 3), ('SAMPLE_003', 'Eastern', 'HUMAN', 4)) AS x(sample_id, region, source_category, row_no)",
+    ),
+    "v_empty": (
+        lambda t: validate.structure(t.spark, uploads.samples(t.spark, t.dir).limit(0), uploads.tests(t.spark, t.dir)),
+        "SELECT 'v_empty' AS rule_id, 'samples' AS sheet, CAST(NULL AS BIGINT) AS row_no, 'empty sheet' AS value",
+    ),
+    "v_s_cols": (
+        lambda t: validate.structure(t.spark, uploads.samples(t.spark, t.dir).drop("region", "latitude"), uploads.tests(t.spark, t.dir)),
+        "SELECT 'v_s_cols' AS rule_id, 'samples' AS sheet, CAST(NULL AS BIGINT) AS row_no, unnest(['latitude', 'region']) AS value",
+    ),
+    "v_a_cols": (
+        lambda t: validate.structure(t.spark, uploads.samples(t.spark, t.dir), uploads.tests(t.spark, t.dir).withColumnRenamed("result", " result ")),
+        "SELECT 'v_a_cols' AS rule_id, 'ast_results' AS sheet, CAST(NULL AS BIGINT) AS row_no, 'result' AS value",
+    ),
+    "src_excel_structure": (
+        lambda t: validate.structure(t.spark, None, uploads.tests(t.spark, t.dir)),
+        "SELECT 'src_excel_structure' AS rule_id, 'samples' AS sheet, CAST(NULL AS BIGINT) AS row_no, 'missing sheet' AS value",
+    ),
+    "a_route": (
+        lambda t: assistant.routed(t.datasets.select(F.concat(F.lit("What is the "), F.element_at(F.array(*[F.lit(q) for q in ASKED]), F.substring("dataset_id", 3, 9).cast("int") + 1)).alias("question"))),
+        "SELECT 'What is the ' || q AS question, topic FROM (VALUES (0, 'resistance rate of this bacteria', 'summary'), (1, 'best treatment', 'antibiotic'), (2, 'mechanism behind it', 'explain'), (3, 'weather', 'fallback')) AS x(k, q, topic)",
+    ),
     "merge_main": (lambda t: _merged(t, 2), "SELECT * REPLACE (CASE WHEN dataset_id = 'DS0' THEN rows_samples + (SELECT rows_samples FROM datasets WHERE dataset_id = 'DS1') ELSE rows_samples END AS rows_samples, CASE WHEN dataset_id = 'DS0' THEN rows_tests + (SELECT rows_tests FROM datasets WHERE dataset_id = 'DS1') ELSE rows_tests END AS rows_tests) FROM datasets"),
     "u_merge_samples": (lambda t: _merged(t, 0).select("dataset_id", "sample_id", "region", "district"), "SELECT * FROM " + MERGED.format("region, district", "samples")),
     "u_merge": (
@@ -296,7 +354,7 @@ ENTRIES: dict[str, Entry] = {
     "f_coords": (lambda t: filters.located(t.samples).select("sample_id", "latitude", "longitude"), "SELECT sample_id, latitude, longitude FROM samples WHERE latitude IS NOT NULL AND longitude IS NOT NULL"),
     "f_coords_num": (
         lambda t: filters.located_numbers(uploads.samples(t.spark, t.dir)).select("row_no", "latitude", "longitude").where(F.col("latitude").isNotNull()),
-        "SELECT o_orderkey + 2 AS row_no, CASE WHEN o_orderkey % 107 = 5 THEN 95.0E0 ELSE 5.0E0 END AS latitude, -1.0E0 AS longitude FROM orders WHERE o_orderkey % 103 <> 5",
+        "SELECT o_orderkey + 2 AS row_no, CASE WHEN o_orderkey % 107 = 5 THEN 95.0E0 ELSE 5.0E0 END AS latitude, -1.0E0 AS longitude FROM orders WHERE o_orderkey % 103 <> 5 AND o_orderkey % 206 <> 5",
     ),
     "f_options": (_options, " UNION ALL ".join(f"SELECT DISTINCT '{c}' AS filter, {c} AS value FROM {t}" for c, t in OPTIONS.items())),
     "f_group": (lambda t: filters.group(t.ast, t.samples, categories=("HUMAN",), regions=("ASIA",)).select("isolate_id", "antibiotic", "result"), f"SELECT isolate_id, antibiotic, result FROM {J} WHERE source_category = 'HUMAN' AND region = 'ASIA'"),
@@ -357,11 +415,12 @@ ENTRIES: dict[str, Entry] = {
     "agg_date_range": (lambda t: rates.date_range(t.ast), "SELECT min(test_date) AS first_date, max(test_date) AS last_date, count(test_date) AS dated_tests FROM ast"),
     **{
         f"agg_topn_{d}": (
-            lambda t, d=d: rates.most_frequent(t.by("region") if d == "region" else t.ast, d),
-            f"SELECT {d}, count(*) AS count, {_rate(1)} AS resistance_rate, CASE WHEN {_rate(None)} > 50 THEN 'Avoid' ELSE 'Usable' END AS advice FROM {J} GROUP BY {d} ORDER BY count DESC, {d} LIMIT 5",
+            lambda t, d=d: rates.most_frequent(t.ast, d),
+            f"SELECT {d}, count(*) AS count, {_rate(1)} AS resistance_rate, CASE WHEN {_rate(None)} > 50 THEN 'Avoid' ELSE 'Use' END AS advice FROM ast GROUP BY {d} ORDER BY count DESC, {d} LIMIT 5",
         )
-        for d in ("organism", "antibiotic", "region")
+        for d in ("organism", "antibiotic")
     },
+    "agg_topn_region": (lambda t: rates.most_sampled(t.samples), "SELECT region, count(*) AS count FROM samples GROUP BY region ORDER BY count DESC, region LIMIT 5"),
     # interpretation
     "i_interpret": _interpreted("reference"),
     "i_mech": (

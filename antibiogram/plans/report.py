@@ -1,7 +1,10 @@
-"""A report: named tables over one filtered set of tests, and a markdown rendering of their first rows."""
+"""A report: named tables over one filtered set of tests, and their first rows as markdown or HTML."""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from html import escape
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,19 +39,30 @@ def sections(ast: DataFrame, samples: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def quality_text(percent_dated: float) -> str:
-    return "good" if percent_dated >= 90 else "acceptable" if percent_dated >= 70 else "poor"
-
-
-def markdown(ast: DataFrame, samples: DataFrame, title: str = "Antimicrobial resistance report", rows: int = 20) -> str:
-    """The sections' first rows as markdown tables; the tests are cached meanwhile, since every section reads them."""
+def _rendered(ast: DataFrame, samples: DataFrame, rows: int) -> Iterator[tuple[str, list[str], list[list[str]]]]:
+    """(section, columns, its first rows as text); the tests are cached meanwhile, since every section reads them."""
     ast = ast.cache()
-    out = [f"# {title}"]
     try:
         for name, df in sections(ast, samples).items():
             flat = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-            out += ["", f"## {name}", "", "| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns)]
-            out += ["| " + " | ".join("" if v is None else v for v in r) + " |" for r in flat.limit(rows).collect()]
+            yield name, df.columns, [["" if v is None else v for v in r] for r in flat.limit(rows).collect()]
     finally:
         ast.unpersist()
+
+
+def markdown(ast: DataFrame, samples: DataFrame, title: str = "Antimicrobial resistance report", rows: int = 20) -> str:
+    """The sections' first rows as markdown tables."""
+    out = [f"# {title}"]
+    for name, columns, found in _rendered(ast, samples, rows):
+        out += ["", f"## {name}", "", "| " + " | ".join(columns) + " |", "|" + " --- |" * len(columns)]
+        out += ["| " + " | ".join(r) + " |" for r in found]
     return "\n".join(out) + "\n"
+
+
+def html(ast: DataFrame, samples: DataFrame, title: str = "Antimicrobial resistance report", rows: int = 20) -> str:
+    """The sections' first rows as tables of one HTML page."""
+    line = lambda tag, values: "<tr>" + "".join(f"<{tag}>{escape(v)}</{tag}>" for v in values) + "</tr>"
+    out = [f'<!DOCTYPE html><html><head><meta charset="utf-8"><title>{escape(title)}</title></head><body><h1>{escape(title)}</h1>']
+    for name, columns, found in _rendered(ast, samples, rows):
+        out += [f"<h2>{escape(name)}</h2><table>", line("th", columns), *[line("td", r) for r in found], "</table>"]
+    return "\n".join([*out, "</body></html>"]) + "\n"

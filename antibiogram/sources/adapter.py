@@ -87,8 +87,10 @@ def raw_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    first = Window.partitionBy("isolate_id", "antibiotic").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    rows = raw_tests(spark, sf_dir).withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1)
+    """One row for each isolate and antibiotic. Rows are dealt by the columns that join them with their samples, so the same
+    exchange serves this and that join, and a filter on either column reaches the scan."""
+    first = Window.partitionBy("dataset_id", "sample_id", "isolate_id", "antibiotic").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = raw_tests(spark, sf_dir).repartition("dataset_id", "sample_id").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1)
     return rows.drop("_nth", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 

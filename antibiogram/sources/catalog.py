@@ -37,11 +37,23 @@ def _blank(col: str) -> Column:
     return F.coalesce(F.trim(F.col(col)) == "", F.lit(True))
 
 
+def _numbered(df: DataFrame, order: tuple[str, ...], name: str) -> DataFrame:
+    """Rows numbered from 1 in this order. Only the counts of equal keys pass through one task; rows are numbered among those
+    of their key."""
+    keys = df.groupBy(*order).agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1))
+    starts = keys.select(*[F.col(c).alias(f"_{c}") for c in order], F.coalesce(before, F.lit(0)).alias("_first"))
+    on = F.lit(True)
+    for c in order:
+        on = on & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    nth = F.row_number().over(Window.partitionBy(*order).orderBy(F.lit(0)))
+    return df.withColumn("_nth", nth).join(starts, on).withColumn(name, F.col("_first") + F.col("_nth")).drop("_nth", "_first", *[f"_{c}" for c in order])
+
+
 def _named(df: DataFrame, col: str, source: str, kind: str, order: tuple[str, ...]) -> DataFrame:
     """``source-id``; blank ids are numbered ``source-kind-k`` in the given order. Only blank rows are numbered."""
-    nth = F.row_number().over(Window.partitionBy(_blank(col)).orderBy(*order))
     filled = df.where(~_blank(col)).withColumn(col, F.concat(F.lit(f"{source}-"), F.col(col)))
-    blank = df.where(_blank(col)).withColumn(col, F.concat(F.lit(f"{source}-{kind}-"), nth.cast("string")))
+    blank = _numbered(df.where(_blank(col)), order, "_k").withColumn(col, F.concat(F.lit(f"{source}-{kind}-"), F.col("_k").cast("string"))).drop("_k")
     return filled.unionByName(blank)
 
 
@@ -57,7 +69,11 @@ def merge(samples: DataFrame, ast: DataFrame, datasets: DataFrame, source: str,
     of = lambda df, d: df.where(F.col("dataset_id") == d)
     s, a = of(samples, source), of(ast, source)
     moved_s = _named(s, "sample_id", source, "sample", ("region", "district", "collection_date")).withColumn("dataset_id", F.lit(into))
-    moved_a = _named(a.withColumn("sample_id", F.when(~_blank("sample_id"), F.concat(F.lit(f"{source}-"), F.col("sample_id")))), "isolate_id", source, "isolate", ("organism", "antibiotic", "test_date")).withColumn(
+    # A test without a sample id belongs to the last of the samples without one; where there is none, to the bare prefix.
+    blanks = s.where(_blank("sample_id")).agg(F.count("*").alias("_blanks"))
+    nameless = F.when(F.col("_blanks") > 0, F.concat(F.lit(f"{source}-sample-"), F.col("_blanks").cast("string"))).otherwise(f"{source}-")
+    linked = a.join(F.broadcast(blanks)).withColumn("sample_id", F.when(_blank("sample_id"), nameless).otherwise(F.concat(F.lit(f"{source}-"), F.col("sample_id")))).drop("_blanks")
+    moved_a = _named(linked, "isolate_id", source, "isolate", ("organism", "antibiotic", "test_date")).withColumn(
         "dataset_id", F.lit(into)
     )
     added = s.agg(F.countDistinct("sample_id").alias("_s")).join(F.broadcast(a.agg(F.count("*").alias("_a"))))  # one row each

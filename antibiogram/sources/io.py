@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,30 +46,49 @@ def conform(df: DataFrame, schema) -> DataFrame:
     return df.select(*out)
 
 
-def write_dataset(path: str, dataset_id: str, name: str, samples: DataFrame, ast: DataFrame, by: str, at: str, country: str | None = None) -> None:
-    """Samples, tests and then the registry row, so that a dataset is listed only once it is whole."""
+def write_dataset(path: str, dataset_id: str, name: str, samples: DataFrame, ast: DataFrame, by: str, at: str, country: str | None = None, main: bool = False) -> None:
+    """Samples, tests and then the registry row, so that a dataset is listed only once it is whole. Each write replaces what
+    an earlier attempt left of the dataset; the counts are those of the written files."""
     spark = samples.sparkSession
+
+    def put(table: str, df: DataFrame) -> None:
+        df.write.partitionBy("dataset_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{table}")
+
     for table, df, schema in (("samples", samples, SAMPLES), ("ast_results", ast, AST)):
-        conform(df.withColumn("dataset_id", F.lit(dataset_id)), schema).write.partitionBy("dataset_id").mode("append").parquet(f"{path}/{table}")
-    row = (dataset_id, name, by, at, samples.count(), ast.count(), country, False)
-    spark.createDataFrame([row], DATASETS).write.mode("append").parquet(f"{path}/datasets")
+        put(table, conform(df.withColumn("dataset_id", F.lit(dataset_id)), schema))
+    n_samples, n_tests = (scan(spark, path, table, dataset_id).count() for table in ("samples", "ast_results"))
+    put("datasets", spark.createDataFrame([(dataset_id, name, by, at, n_samples, n_tests, country, main)], DATASETS))
 
 
 def scan(spark: SparkSession, path: str, table: str, dataset_id: str | None = None) -> DataFrame:
     """A table, or one dataset's partition of it."""
     schema = {"samples": SAMPLES, "ast_results": AST, "datasets": DATASETS}[table]
-    df = spark.read.schema(schema).parquet(f"{path}/{table}")
+    df = spark.read.schema(schema).parquet(f"{path}/{table}").select(schema.names)
     return df if dataset_id is None else df.where(F.col("dataset_id") == dataset_id)
 
 
 def delete_dataset(spark: SparkSession, path: str, dataset_id: str) -> None:
-    """Tests, samples, then the registry row. Partitions are dropped as folders; the small registry is written anew."""
+    """Tests, samples, then the registry row: a dataset's folder of each table."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for table in ("ast_results", "samples"):
+    for table in ("ast_results", "samples", "datasets"):
         folder = jvm.org.apache.hadoop.fs.Path(f"{path}/{table}/dataset_id={dataset_id}")
         folder.getFileSystem(conf).delete(folder, True)
-    rows = [tuple(r) for r in scan(spark, path, "datasets").where(F.col("dataset_id") != dataset_id).collect()]  # a row a dataset
-    spark.createDataFrame(rows, DATASETS).coalesce(1).write.mode("overwrite").parquet(f"{path}/datasets")
+
+
+def health(spark: SparkSession, path: str) -> DataFrame:
+    """One row: how many datasets the store lists."""
+    return scan(spark, path, "datasets").agg(F.count("*").alias("datasets"))
+
+
+def store_folder(spark: SparkSession) -> str:
+    """A new folder that driver and executors share: under the one that the cluster names, or, on a local master without one, a
+    temporary one."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not named:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        named = tempfile.mkdtemp(prefix="store-")
+    return f"{named}/store-{uuid.uuid4().hex}"
 
 
 def template(spark: SparkSession) -> dict[str, DataFrame]:

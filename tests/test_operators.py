@@ -197,6 +197,55 @@ def test_write_scan_delete(spark, quick, tmp_path):
     assert io.scan(spark, path, "ast_results").count() == 10 and rows(io.scan(spark, path, "datasets"), "dataset_id") == [("two",)]
 
 
+def test_write_is_idempotent(spark, quick, tmp_path):
+    path = str(tmp_path / "again")
+    for _ in range(2):
+        io.write_dataset(path, "one", "One", quick[1], quick[0], "a@lab.org", "2025-01-01")
+    assert io.scan(spark, path, "ast_results").count() == 10 and io.scan(spark, path, "datasets").count() == 1
+    r = io.scan(spark, path, "datasets").first()
+    assert (r.rows_samples, r.rows_tests) == (4, 10) and io.health(spark, path).first().datasets == 1
+
+
+def test_blanks_short_dates_and_half_coordinates(spark):
+    """What an upload may hold and the generated tables do not."""
+    good = io.template(spark)
+    s, a = good["samples"], good["ast_results"]
+    put = lambda df, col, value: df.withColumn(col, F.when(F.col("row_no") == 2, F.lit(value)).otherwise(F.col(col)))
+    for x, y, rule in ((s, put(a, "result", " "), "v_a_result"), (s, put(a, "method", None), "v_a_method"), (s, put(a, "guideline", "nan"), "v_a_guideline"), (put(s, "source_category", ""), a, "v_s_cat")):
+        assert rows(validate.validate(spark, x, y), "rule_id", "row_no", "value") == [(rule, 2, "")]
+    assert validate.validate(spark, put(s, "collection_date", "2024-1-5"), put(a, "test_date", "2024-01-5")).isEmpty()
+    for date in ("24-01-05", "2024-01-05 10:00", "2024-02-30", "2024/01/05"):
+        assert rows(validate.validate(spark, put(s, "collection_date", date), a), "rule_id") == [("v_s_date",)]
+    half = put(put(s, "latitude", "abc"), "longitude", None)
+    assert validate.validate(spark, half, a).isEmpty() and rows(validate.validate(spark, put(s, "latitude", "abc"), a), "value") == [("abc",)]
+
+
+def test_merge_links_blank_samples(spark):
+    """A test without a sample id belongs to the last renamed sample without one."""
+    s = fixtures.samples(spark, [("a", "R", "D", None, None, None), (None, "A", "D", None, None, None), (" ", "B", "D", None, None, None)]).withColumn("dataset_id", F.lit("E"))
+    t = fixtures.tests(spark, [("a", "i1", "o", "x", "S", None), (None, "i2", "o", "x", "R", None), ("", "i3", "o", "x", "R", None)]).withColumn("dataset_id", F.lit("E"))
+    registry = spark.createDataFrame([("D", 0, 0), ("E", 3, 3)], "dataset_id string, rows_samples long, rows_tests long")
+    ms, ma, _ = catalog.merge(s, t, registry, "E", "D")
+    assert sorted(rows(ms, "sample_id", "region")) == [("E-a", "R"), ("E-sample-1", "A"), ("E-sample-2", "B")]
+    assert sorted(rows(ma, "isolate_id", "sample_id")) == [("E-i1", "E-a"), ("E-i2", "E-sample-2"), ("E-i3", "E-sample-2")]
+
+
+def test_overview_lifts_both_filters(quick):
+    ast, samples = quick
+    assert filters.overview(ast, samples, organisms=(), antibiotics=("Ampicillin",))[1].count() == 10
+    assert filters.overview(ast, samples, organisms=("E. coli",), antibiotics=("Ampicillin",))[1].count() == 2
+
+
+def test_adapter_deals_rows_once(spark, sf_dir):
+    """One exchange serves the window and the join with the samples, and the dataset's filter is below both."""
+    from antibiogram.sources import adapter
+
+    plan = adapter.tests(spark, sf_dir).where("dataset_id = 'DS1'")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Window") < plan.index("= DS1")
+    joined = rates.with_dims(adapter.tests(spark, sf_dir), adapter.samples(spark, sf_dir).hint("merge"), "region")._jdf.queryExecution().executedPlan().toString()
+    assert sum("hashpartitioning(dataset_id" in x and "sample_id" in x for x in joined.split("\n")) == 2
+
+
 def test_set_main(spark):
     d = spark.createDataFrame([("a", None, False), ("b", "Togo", True)], "dataset_id string, country string, is_country_main boolean")
     assert sorted(rows(catalog.set_main(d, "a", True, "Ghana"), *d.columns)) == [("a", "Ghana", True), ("b", "Togo", True)]
@@ -206,8 +255,11 @@ def test_set_main(spark):
 def test_report_and_assistant(quick):
     text = report.markdown(*quick)
     assert "## Forecast" in text and "| Central | 1 | 1 | 100.0 |" in text
-    assert [assistant.topic(q) for q in ("Give me an overview", "Which drug?", "why so?", "hello")] == ["summary", "antibiotic", "explain", "fallback"]
+    assert [assistant.topic(q) for q in ("Give me an overview", "In general?", "Which drug?", "why so?", "Any threat?", "hello")] == ["fallback", "summary", "antibiotic", "explain", "risk", "fallback"]
     assert assistant.answer("which bacteria", *quick).first().organism == "E. coli"
+    assert rows(assistant.answer("hotspots", *quick), "region", "count")[0] == ("Ashanti", 2)
+    html = report.html(*quick, title="A & B")
+    assert "<h1>A &amp; B</h1>" in html and "<h2>Forecast</h2>" in html and "<td>Central</td><td>1</td><td>1</td><td>100.0</td>" in html
 
 
 def test_stream(spark, quick, tmp_path):
