@@ -111,6 +111,49 @@ def test_solver(spark, sharp, feasible):
     assert not feasible or np.all(np.abs(reached - target) <= 2e-2 * target)
 
 
+def test_votes_by_hand():
+    """Of one-versus-one machines the class with most votes, ties by margins, against plain loops."""
+    rng = np.random.default_rng(2)
+    names = np.array(["d", "b", "a", "c"])[rng.integers(0, 4, 200)]
+    x = rng.normal(size=(200, 6)).astype(np.float32) + (names[:, None] == np.array(["a", "b", "c", "d", "a", "b"])) * 2
+    votes = langid.fit_votes(x, names)
+    for v in x[:60]:
+        won, sums = {c: 0 for c in "abcd"}, {c: 0.0 for c in "abcd"}
+        for (i, j), w in zip(votes.pairs, votes.weights, strict=True):
+            m = sum(float(p) * float(q) for p, q in zip(w[:-1], v, strict=True)) + float(w[-1])
+            won["abcd"[i] if m >= 0 else "abcd"[j]] += 1
+            sums["abcd"[i]] += m
+            sums["abcd"[j]] -= m
+        got, score = votes.best(v)
+        assert got == max("abcd", key=lambda c: (won[c], round(sums[c], 4))) and 0 <= score <= 1
+    assert np.mean([votes.best(v)[0] == n for v, n in zip(x, names, strict=True)]) > 0.8
+
+
+def test_family_first(spark):
+    """The language is sought only in the family that won, and the score is the product of both."""
+    rng = np.random.default_rng(4)
+    texts = {lang: ["".join(rng.choice(list(letters), 40)) for _ in range(20)] for lang, letters in (("en", "abc "), ("de", "abd "), ("fr", "xyz "), ("es", "xyw "))}
+    x = np.array([langid.vector(t) for ts in texts.values() for t in ts])
+    model = langid.fit(x, np.array([n for n, ts in texts.items() for _ in ts], object))
+    assert model.families.classes == ["germanic", "romance"] and model.within["romance"].classes == ["es", "fr"]
+    for t in (t for ts in texts.values() for t in ts):
+        family, p = model.families.best(langid.vector(t))
+        lang, q = model.within[family].best(langid.vector(t))
+        assert model.predict(t) == (lang, p * q) and lang in langid.FAMILIES[family]
+
+
+def test_gam_score_by_hand():
+    """A score is the sum of one entry of each table, against plain loops over bins."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(500, 4))
+    m = quality_gam.fit(x, (x[:, 0] + x[:, 1] * x[:, 2] > 0).astype(float), rounds=20, pair_rounds=5)
+    cell = lambda cuts, v: sum(c <= v for c in cuts)
+    for v, got in zip(x[:50], m.score(x[:50]), strict=True):
+        z = m.intercept + sum(t[cell(c, y)] for t, c, y in zip(m.tables, m.cuts, v, strict=True))
+        z += sum(t[cell(m.coarse[i], v[i]), cell(m.coarse[j], v[j])] for i, j, t in m.pairs)
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
 NAMES = ["a", "b", "c"]
 
 
