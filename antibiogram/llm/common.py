@@ -7,8 +7,6 @@ import os
 import tempfile
 import uuid
 import zipfile
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,8 +76,7 @@ def table(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared folder as Parquet and read back: cuts lineage, survives lost executors,
     and stays columnar, so later reads take only the columns they need.
 
-    The folder stays while a result may still read it: until ``drop_tables``, the end of a ``scratch`` block, or the end of
-    the driver's process.
+    The folder stays while a result may still read it: until ``drop_tables`` or the end of the driver's process.
     """
     spark = df.sparkSession
     path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
@@ -91,6 +88,11 @@ def table(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tables_written() -> list[str]:
+    """The tables that are still there, in the order in which they were written."""
+    return list(_TABLES)
+
+
 def drop_tables(paths: list[str] | None = None) -> None:
     """Deletes the folders of these tables, or of all that this process wrote; frames that read them are of no use then."""
     for path in list(_TABLES) if paths is None else paths:
@@ -99,14 +101,6 @@ def drop_tables(paths: list[str] | None = None) -> None:
             found[0].delete(found[1], True)
 
 
-@contextmanager
-def scratch() -> Iterator[None]:
-    """Tables written inside are deleted at the end: for a step whose result has been written by then."""
-    before = set(_TABLES)
-    yield
-    drop_tables([p for p in _TABLES if p not in before])
-
-
 def is_held_out(doc_id: str = "doc_id") -> Column:
     """Rows that models never learn from; a null id counts as not held out (and is never learned from either)."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 4 == 2, F.lit(False))
