@@ -8,7 +8,8 @@ one of equals ("most", the default), or to the section of its first byte ("first
 Sections are the text's lines with their line end unless a table of spans (id, section, start, end in characters, end
 exclusive, not overlapping) is given. Tokens outside every section are counted under section null.
 
-Scale: with lines, nothing is shuffled; a given table is grouped by document, a document's own sections in one row.
+Scale: with lines, nothing is shuffled; a given table is grouped by document, a document's own sections in one row;
+sections without an id are left out before.
 
 Edge cases: a null or empty text has no rows; spans outside the text are cut to it and empty ones have no tokens; repeated
 rows give repeated counts; rows with a null id are counted (a given table cannot name them); an empty table gives an empty
@@ -120,7 +121,7 @@ def section_tokens(docs: DataFrame, tokenizer_path: str, sections: DataFrame | N
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col), F.col(text_col).alias("_t"))
     if sections is not None:
-        own = sections.groupBy(id_col).agg(F.collect_list(F.struct("start", "end", "section")).alias("_s"))
+        own = sections.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.collect_list(F.struct("start", "end", "section")).alias("_s"))
         rows = rows.join(own, id_col, "left").withColumn("_s", F.coalesce("_s", F.expr("CAST(array() AS array<struct<start:bigint,end:bigint,section:bigint>>)")))
     else:
         rows = rows.withColumn("_s", F.lit(None).cast("array<struct<start:bigint,end:bigint,section:bigint>>"))

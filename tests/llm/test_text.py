@@ -118,12 +118,15 @@ def test_attribution(spark, rule):
         own = [(a, b) for a, b in list(zip(cuts, cuts[1:], strict=False))[::2]]
         sections += [(k, n, a, b) for n, (a, b) in enumerate(own)]
         want[k] = attributed_by_hand(t, own, rule)
+    rows.append((None, "one two", None, None))  # its tokens are counted, but no section of a null id is its own
     df = docs(spark, rows, clash=True)
-    spans = spark.createDataFrame(sections, "doc_id long, section long, start long, end long")
+    spans = spark.createDataFrame([*sections, *[(None, n, 0, 3) for n in range(3)]], "doc_id long, section long, start long, end long")
     got = ta.section_tokens(df, BYTE_BPE, spans, rule).collect()
     for k, (counts, lost) in want.items():
         mine = {x.section: x.n_tokens for x in got if x.doc_id == k}
         assert mine.pop(None, 0) == lost and [mine[n] for n in range(len(counts))] == counts
+    nameless = [(x.section, x.n_tokens) for x in got if x.doc_id is None]
+    assert nameless == [(None, len(ta.encoder(BYTE_BPE).bounds("one two")) - 1)]
     by_line = ta.section_tokens(docs(spark, [(k, t, None, None) for k, t in enumerate([*ODD, *texts])]), BYTE_BPE, rule=rule)
     total = {x.doc_id: x.n for x in by_line.groupBy("doc_id").agg({"n_tokens": "sum"}).withColumnRenamed("sum(n_tokens)", "n").collect()}
     for k, t in enumerate([*ODD, *texts]):
