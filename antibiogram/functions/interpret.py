@@ -13,25 +13,77 @@ from pyspark.sql import functions as F
 
 from .exprs import has
 
-# Organism, antibiotic, then S/I/R bounds for CLSI MIC, CLSI DD, EUCAST MIC, EUCAST DD ("-": no such band).
+# Fixed values, a row each: organism, antibiotic, guideline, method, bound of S, lowest and highest I (None: no such band),
+# bound of R. The first organism and antibiotic that match are used.
 BREAKPOINTS = (
-    ("Enterobacteriaceae", "Amoxicillin", "8/16/32", "20/14-19/13", "8/16/32", "20/14-19/13"),
-    ("Enterobacteriaceae", "Ampicillin", "8/-/16", "17/-/16", "8/-/16", "17/-/16"),
-    ("Enterobacteriaceae", "Ceftazidime", "4/8/16", "21/18-20/17", "1/2-4/8", "23/20-22/19"),
-    ("Enterobacteriaceae", "Cefotaxime", "1/2/4", "26/23-25/22", "1/2/4", "23/20-22/19"),
-    ("Enterobacteriaceae", "Ciprofloxacin", "0.25/0.5/1", "21/16-20/15", "0.25/0.5/1", "21/16-20/15"),
-    ("Enterobacteriaceae", "Gentamicin", "4/8/16", "15/13-14/12", "2/4/8", "16/13-15/12"),
-    ("Enterobacteriaceae", "Tetracycline", "4/8/16", "15/12-14/11", "1/2/4", "16/13-15/12"),
-    ("Staphylococcus aureus", "Methicillin", "2/-/4", "10/-/9", "2/-/4", "10/-/9"),
-    ("Staphylococcus aureus", "Ciprofloxacin", "1/2/4", "21/16-20/15", "0.5/1/2", "22/19-21/18"),
-    ("Staphylococcus aureus", "Gentamicin", "4/8/16", "15/13-14/12", "1/2/4", "16/13-15/12"),
-    ("Enterococcus spp.", "Ampicillin", "8/-/16", "17/-/16", "4/-/8", "17/-/16"),
-    ("Enterococcus spp.", "Vancomycin", "4/8-16/32", "15/10-14/9", "4/8-16/32", "15/10-14/9"),
-    ("Pseudomonas aeruginosa", "Ceftazidime", "8/16/32", "18/15-17/14", "8/16/32", "18/15-17/14"),
-    ("Pseudomonas aeruginosa", "Ciprofloxacin", "0.5/1/2", "21/16-20/15", "0.5/1/2", "21/16-20/15"),
-    ("Pseudomonas aeruginosa", "Gentamicin", "4/8/16", "16/13-15/12", "4/8/16", "16/13-15/12"),
-    ("Acinetobacter spp.", "Ceftazidime", "4/8/16", "18/15-17/14", "4/8/16", "18/15-17/14"),
-    ("Acinetobacter spp.", "Ciprofloxacin", "1/2/4", "21/16-20/15", "1/2/4", "21/16-20/15"),
+    ("Enterobacteriaceae", "Amoxicillin", "CLSI", "MIC", 8, 16, 16, 32),
+    ("Enterobacteriaceae", "Amoxicillin", "CLSI", "DD", 20, 14, 19, 13),
+    ("Enterobacteriaceae", "Amoxicillin", "EUCAST", "MIC", 8, 16, 16, 32),
+    ("Enterobacteriaceae", "Amoxicillin", "EUCAST", "DD", 20, 14, 19, 13),
+    ("Enterobacteriaceae", "Ampicillin", "CLSI", "MIC", 8, None, None, 16),
+    ("Enterobacteriaceae", "Ampicillin", "CLSI", "DD", 17, None, None, 16),
+    ("Enterobacteriaceae", "Ampicillin", "EUCAST", "MIC", 8, None, None, 16),
+    ("Enterobacteriaceae", "Ampicillin", "EUCAST", "DD", 17, None, None, 16),
+    ("Enterobacteriaceae", "Ceftazidime", "CLSI", "MIC", 4, 8, 8, 16),
+    ("Enterobacteriaceae", "Ceftazidime", "CLSI", "DD", 21, 18, 20, 17),
+    ("Enterobacteriaceae", "Ceftazidime", "EUCAST", "MIC", 1, 2, 4, 8),
+    ("Enterobacteriaceae", "Ceftazidime", "EUCAST", "DD", 23, 20, 22, 19),
+    ("Enterobacteriaceae", "Cefotaxime", "CLSI", "MIC", 1, 2, 2, 4),
+    ("Enterobacteriaceae", "Cefotaxime", "CLSI", "DD", 26, 23, 25, 22),
+    ("Enterobacteriaceae", "Cefotaxime", "EUCAST", "MIC", 1, 2, 2, 4),
+    ("Enterobacteriaceae", "Cefotaxime", "EUCAST", "DD", 23, 20, 22, 19),
+    ("Enterobacteriaceae", "Ciprofloxacin", "CLSI", "MIC", 0.25, 0.5, 0.5, 1),
+    ("Enterobacteriaceae", "Ciprofloxacin", "CLSI", "DD", 21, 16, 20, 15),
+    ("Enterobacteriaceae", "Ciprofloxacin", "EUCAST", "MIC", 0.25, 0.5, 0.5, 1),
+    ("Enterobacteriaceae", "Ciprofloxacin", "EUCAST", "DD", 21, 16, 20, 15),
+    ("Enterobacteriaceae", "Gentamicin", "CLSI", "MIC", 4, 8, 8, 16),
+    ("Enterobacteriaceae", "Gentamicin", "CLSI", "DD", 15, 13, 14, 12),
+    ("Enterobacteriaceae", "Gentamicin", "EUCAST", "MIC", 2, 4, 4, 8),
+    ("Enterobacteriaceae", "Gentamicin", "EUCAST", "DD", 16, 13, 15, 12),
+    ("Enterobacteriaceae", "Tetracycline", "CLSI", "MIC", 4, 8, 8, 16),
+    ("Enterobacteriaceae", "Tetracycline", "CLSI", "DD", 15, 12, 14, 11),
+    ("Enterobacteriaceae", "Tetracycline", "EUCAST", "MIC", 1, 2, 2, 4),
+    ("Enterobacteriaceae", "Tetracycline", "EUCAST", "DD", 16, 13, 15, 12),
+    ("Staphylococcus aureus", "Methicillin", "CLSI", "MIC", 2, None, None, 4),
+    ("Staphylococcus aureus", "Methicillin", "CLSI", "DD", 10, None, None, 9),
+    ("Staphylococcus aureus", "Methicillin", "EUCAST", "MIC", 2, None, None, 4),
+    ("Staphylococcus aureus", "Methicillin", "EUCAST", "DD", 10, None, None, 9),
+    ("Staphylococcus aureus", "Ciprofloxacin", "CLSI", "MIC", 1, 2, 2, 4),
+    ("Staphylococcus aureus", "Ciprofloxacin", "CLSI", "DD", 21, 16, 20, 15),
+    ("Staphylococcus aureus", "Ciprofloxacin", "EUCAST", "MIC", 0.5, 1, 1, 2),
+    ("Staphylococcus aureus", "Ciprofloxacin", "EUCAST", "DD", 22, 19, 21, 18),
+    ("Staphylococcus aureus", "Gentamicin", "CLSI", "MIC", 4, 8, 8, 16),
+    ("Staphylococcus aureus", "Gentamicin", "CLSI", "DD", 15, 13, 14, 12),
+    ("Staphylococcus aureus", "Gentamicin", "EUCAST", "MIC", 1, 2, 2, 4),
+    ("Staphylococcus aureus", "Gentamicin", "EUCAST", "DD", 16, 13, 15, 12),
+    ("Enterococcus spp.", "Ampicillin", "CLSI", "MIC", 8, None, None, 16),
+    ("Enterococcus spp.", "Ampicillin", "CLSI", "DD", 17, None, None, 16),
+    ("Enterococcus spp.", "Ampicillin", "EUCAST", "MIC", 4, None, None, 8),
+    ("Enterococcus spp.", "Ampicillin", "EUCAST", "DD", 17, None, None, 16),
+    ("Enterococcus spp.", "Vancomycin", "CLSI", "MIC", 4, 8, 16, 32),
+    ("Enterococcus spp.", "Vancomycin", "CLSI", "DD", 15, 10, 14, 9),
+    ("Enterococcus spp.", "Vancomycin", "EUCAST", "MIC", 4, 8, 16, 32),
+    ("Enterococcus spp.", "Vancomycin", "EUCAST", "DD", 15, 10, 14, 9),
+    ("Pseudomonas aeruginosa", "Ceftazidime", "CLSI", "MIC", 8, 16, 16, 32),
+    ("Pseudomonas aeruginosa", "Ceftazidime", "CLSI", "DD", 18, 15, 17, 14),
+    ("Pseudomonas aeruginosa", "Ceftazidime", "EUCAST", "MIC", 8, 16, 16, 32),
+    ("Pseudomonas aeruginosa", "Ceftazidime", "EUCAST", "DD", 18, 15, 17, 14),
+    ("Pseudomonas aeruginosa", "Ciprofloxacin", "CLSI", "MIC", 0.5, 1, 1, 2),
+    ("Pseudomonas aeruginosa", "Ciprofloxacin", "CLSI", "DD", 21, 16, 20, 15),
+    ("Pseudomonas aeruginosa", "Ciprofloxacin", "EUCAST", "MIC", 0.5, 1, 1, 2),
+    ("Pseudomonas aeruginosa", "Ciprofloxacin", "EUCAST", "DD", 21, 16, 20, 15),
+    ("Pseudomonas aeruginosa", "Gentamicin", "CLSI", "MIC", 4, 8, 8, 16),
+    ("Pseudomonas aeruginosa", "Gentamicin", "CLSI", "DD", 16, 13, 15, 12),
+    ("Pseudomonas aeruginosa", "Gentamicin", "EUCAST", "MIC", 4, 8, 8, 16),
+    ("Pseudomonas aeruginosa", "Gentamicin", "EUCAST", "DD", 16, 13, 15, 12),
+    ("Acinetobacter spp.", "Ceftazidime", "CLSI", "MIC", 4, 8, 8, 16),
+    ("Acinetobacter spp.", "Ceftazidime", "CLSI", "DD", 18, 15, 17, 14),
+    ("Acinetobacter spp.", "Ceftazidime", "EUCAST", "MIC", 4, 8, 8, 16),
+    ("Acinetobacter spp.", "Ceftazidime", "EUCAST", "DD", 18, 15, 17, 14),
+    ("Acinetobacter spp.", "Ciprofloxacin", "CLSI", "MIC", 1, 2, 2, 4),
+    ("Acinetobacter spp.", "Ciprofloxacin", "CLSI", "DD", 21, 16, 20, 15),
+    ("Acinetobacter spp.", "Ciprofloxacin", "EUCAST", "MIC", 1, 2, 2, 4),
+    ("Acinetobacter spp.", "Ciprofloxacin", "EUCAST", "DD", 21, 16, 20, 15),
 )
 # Genera of the family.
 ENTEROBACTERIACEAE = ("escherichia", "klebsiella", "enterobacter", "salmonella", "shigella", "citrobacter", "serratia", "proteus", "providencia", "morganella", "yersinia", "erwinia")
@@ -61,14 +113,14 @@ def parse_bound(text: str | None) -> tuple[str, list[float]] | None:
     return ("range", [float(a), float(b)]) if b else (op or "=", [float(a)])
 
 
+#: The organisms and antibiotics of the breakpoints, in their order.
+PAIRS = tuple(dict.fromkeys(row[:2] for row in BREAKPOINTS))
+
+
 def rules() -> list[dict]:
     """A row for each (rule, guideline, method): nth, organism, antibiotic, guideline, method, s, i_low, i_high, r."""
-    out = []
-    for nth, (organism, antibiotic, *bounds) in enumerate(BREAKPOINTS):
-        for k, text in enumerate(bounds):
-            s, i, r = (parse_bound(x) for x in text.split("/"))
-            out.append({"nth": nth, "organism": organism, "antibiotic": antibiotic, "guideline": GUIDELINES[k // 2], "method": ("MIC", "DD")[k % 2], "s": s[1][0], "i_low": i and i[1][0], "i_high": i and i[1][-1], "r": r[1][0]})
-    return out
+    names = ("organism", "antibiotic", "guideline", "method", "s", "i_low", "i_high", "r")
+    return [{"nth": PAIRS.index(row[:2]), **dict(zip(names, row, strict=True))} for row in BREAKPOINTS]
 
 
 def normal_organism(col: str) -> Column:
@@ -97,7 +149,7 @@ def interpret(ast: DataFrame, mode: str = "reference") -> DataFrame:
     if mode not in ("reference", "intended"):
         raise ValueError(f"no mode {mode!r}")
     df = ast.withColumn("_org", normal_organism("organism"))
-    rule = _first([(matches("_org", o, mode) & has("antibiotic", a), F.lit(n)) for n, (o, a, *_) in enumerate(BREAKPOINTS)])
+    rule = _first([(matches("_org", o, mode) & has("antibiotic", a), F.lit(n)) for n, (o, a) in enumerate(PAIRS)])
 
     def any_of(col: str, names: tuple[str, ...]) -> Column:
         out = F.lit(False)

@@ -26,12 +26,13 @@ def two_categories(ast: DataFrame, samples: DataFrame, a: str, b: str) -> DataFr
 
 
 def category_antibiotics(ast: DataFrame, samples: DataFrame, a: str, b: str, top: int = 10) -> DataFrame:
-    """The most resisted antibiotics of either category, the other's rate beside it (0 where it is not among its own)."""
-    rates = report_rates(with_dims(ast, samples, "source_category").where(F.col("source_category").isin(a, b)), "source_category", "antibiotic", digits=1)
-    best = top_per_group(rates, "source_category", "antibiotic", top)
-    side = lambda c, name: best.where(F.col("source_category") == c).select("antibiotic", F.col("resistance_rate").alias(name))
-    out = side(a, "rate_a").join(side(b, "rate_b"), "antibiotic", "full")
-    return out.select("antibiotic", F.coalesce("rate_a", F.lit(0.0)).alias("rate_a"), F.coalesce("rate_b", F.lit(0.0)).alias("rate_b"))
+    """The most resisted antibiotics of either category (2 digits) and the other's rate of the same, 0 where it was not tested
+    there. Only tests with an organism and a result count."""
+    rows = known(with_dims(ast, samples, "source_category").where(F.col("source_category").isin(a, b)), "organism", "result")
+    ranked = top_per_group(report_rates(rows, "source_category", "antibiotic", digits=2), "source_category", "antibiotic", None)
+    side = lambda c: F.coalesce(F.max(F.when(F.col("source_category") == c, F.col("resistance_rate"))), F.lit(0.0))
+    out = ranked.groupBy("antibiotic").agg(side(a).alias("rate_a"), side(b).alias("rate_b"), F.min("rank").alias("_best"))
+    return out.where(F.col("_best") <= top).drop("_best")
 
 
 def two_periods(ast: DataFrame, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
@@ -44,7 +45,7 @@ def two_periods(ast: DataFrame, first: tuple[str, str], second: tuple[str, str])
 
 def period_organisms(ast: DataFrame, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:
     """R% (1 digit) of organisms tested in both windows, the largest change first."""
-    side = lambda w, k: report_rates(between(ast, *w), "organism").select("organism", F.col("resistance_rate").alias(f"rate_{k}"))
+    side = lambda w, k: report_rates(between(ast, *w), "organism", whole="*").select("organism", F.col("resistance_rate").alias(f"rate_{k}"))
     out = side(first, 1).join(side(second, 2), "organism").withColumn("change", F.round(F.col("rate_2") - F.col("rate_1"), 1))
     return out.orderBy(F.desc(F.abs("change")), "organism")
 
@@ -64,7 +65,7 @@ def compare_by(ast: DataFrame, dim: str, items: Sequence[str] | None = None, sam
 def compare_top(ast: DataFrame, dim: str, within: str, samples: DataFrame | None = None, top: int = 5) -> DataFrame:
     """For each item, its organisms or antibiotics with the highest R% (1 digit)."""
     rows = ast if samples is None else with_dims(ast, samples, dim)
-    return top_per_group(report_rates(rows, dim, within, digits=1), dim, within, top)
+    return top_per_group(report_rates(rows, dim, within, digits=1, whole="*"), dim, within, top)
 
 
 def first_items(ast: DataFrame, dim: str, n: int) -> DataFrame:

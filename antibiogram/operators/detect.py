@@ -61,6 +61,11 @@ def first_organism() -> Column:
     return F.min_by("organism", F.struct(F.col("test_date").isNull(), "test_date", "antibiotic"))
 
 
+def first_known(col: str) -> Column:
+    """The first value of a column that is there, in order of (test_date, antibiotic)."""
+    return F.min_by(col, F.struct(F.col(col).isNull(), F.col("test_date").isNull(), "test_date", "antibiotic"))
+
+
 def _screened(drugs: tuple[str, ...], resistant: bool = False) -> Column:
     """How many of the drugs the isolate was tested with (or resisted)."""
     hit = lambda d: has("antibiotic", d) & (F.coalesce(F.col("result") == "R", F.lit(False)) if resistant else F.lit(True))
@@ -152,7 +157,7 @@ def mdr(ast: DataFrame, resistance_threshold: int = 3) -> DataFrame:
     """Isolates resistant in at least so many drug classes, most first."""
     rows = known(ast, "isolate_id").where(F.col("result") == "R").withColumn("_class", drug_class())
     out = rows.groupBy(*ISOLATE).agg(
-        F.countDistinct("_class").alias("resistant_drug_classes"), first_organism().alias("organism"), F.min_by("sample_id", F.struct(F.col("test_date").isNull(), "test_date", "antibiotic")).alias("sample_id")
+        F.countDistinct("_class").alias("resistant_drug_classes"), first_known("organism").alias("organism"), first_known("sample_id").alias("sample_id")
     )
     return out.where(F.col("resistant_drug_classes") >= resistance_threshold).orderBy(F.desc("resistant_drug_classes"), *ISOLATE)
 

@@ -1,4 +1,8 @@
-"""Resistance rates by any dimension. Null dimensions have no row; ties are in order of the dimension."""
+"""Resistance rates by any dimension. Null dimensions have no row; ties are in order of the dimension.
+
+A test without a result counts where an operator speaks of rows, and not where it speaks of results; a group of which no
+test has a result has no row in the tables of S, I and R.
+"""
 
 from __future__ import annotations
 
@@ -39,7 +43,7 @@ def sir_table(ast: DataFrame, *dims: str) -> DataFrame:
     """S, I, R, total = S + I + R and their percentages (2 digits), most resistant first."""
     out = known(ast, *dims).groupBy(*dims).agg(n_of("S").alias("susceptible"), n_of("I").alias("intermediate"), n_of("R").alias("resistant"))
     total = F.col("susceptible") + F.col("intermediate") + F.col("resistant")
-    out = out.withColumn("total", total)
+    out = out.withColumn("total", total).where(F.col("total") > 0)
     for name in ("susceptible", "intermediate", "resistant"):
         out = out.withColumn(f"percent_{name}", percent(F.col(name), F.col("total"), 2))
     return out.orderBy(F.desc("percent_resistant"), *dims)
@@ -48,24 +52,25 @@ def sir_table(ast: DataFrame, *dims: str) -> DataFrame:
 def antibiotic_rates(ast: DataFrame, top: int | None = None) -> DataFrame:
     """antibiotic, resistant, total (S + I + R), resistance_rate (2 digits), highest first."""
     out = known(ast, "organism", "antibiotic").groupBy("antibiotic").agg(n_of("R").alias("resistant"), F.count_if(F.col("result").isin("S", "I", "R")).alias("total"))
-    out = out.withColumn("resistance_rate", percent(F.col("resistant"), F.col("total"), 2)).orderBy(F.desc("resistance_rate"), "antibiotic")
+    out = out.where(F.col("total") > 0).withColumn("resistance_rate", percent(F.col("resistant"), F.col("total"), 2)).orderBy(F.desc("resistance_rate"), "antibiotic")
     return out.limit(top) if top else out
 
 
 def shares(ast: DataFrame, *dims: str) -> DataFrame:
     """Unrounded percentages of R, I and S among a group's S, I and R."""
     n = F.count_if(F.col("result").isin("S", "I", "R"))
-    return known(ast, *dims).groupBy(*dims).agg(n.alias("total"), *[percent(n_of(r), n).alias(r) for r in ("R", "I", "S")])
+    return known(ast, *dims).groupBy(*dims).agg(n.alias("total"), *[percent(n_of(r), n).alias(r) for r in ("R", "I", "S")]).where(F.col("total") > 0)
 
 
 def place_table(ast: DataFrame, *dims: str, top: int | None = None) -> DataFrame:
-    """total (all rows), S, I, R and percent_resistant (2 digits), highest first; of a frame without ``result`` all are 0."""
-    if "result" not in ast.columns:
+    """total (rows with a result), S, I, R and percent_resistant (2 digits), highest first; of a frame without ``result`` all are 0."""
+    given = "result" in ast.columns
+    if not given:
         ast = ast.withColumn("result", F.lit(None).cast("string"))
     out = known(ast, *dims).groupBy(*dims).agg(
         F.count("result").alias("total"), n_of("S").alias("susceptible"), n_of("I").alias("intermediate"), n_of("R").alias("resistant"), F.coalesce(percent(n_of("R"), F.count("result"), 2), F.lit(0.0)).alias("percent_resistant")
     )
-    out = out.orderBy(F.desc("percent_resistant"), *dims)
+    out = (out.where(F.col("total") > 0) if given else out).orderBy(F.desc("percent_resistant"), *dims)
     return out.limit(top) if top else out
 
 
@@ -82,9 +87,10 @@ def heatmap(ast: DataFrame, organisms: int = 8, antibiotics: int = 10) -> DataFr
     """organism x antibiotic percent_resistant, 0 where untested: the first names of each in alphabetical order.
 
     The names become the pivot's columns, so they are looked up first: at most ``antibiotics`` strings."""
-    firsts = lambda c, n: known(ast, c).select(c).distinct().orderBy(c).limit(n)
+    judged = known(ast, "organism", "antibiotic").where(F.col("result").isin("S", "I", "R"))
+    firsts = lambda c, n: judged.select(c).distinct().orderBy(c).limit(n)
     names = [r[0] for r in firsts("antibiotic", antibiotics).collect()]
-    rows = ast.join(F.broadcast(firsts("organism", organisms)), "organism", "left_semi")
+    rows = judged.join(F.broadcast(firsts("organism", organisms)), "organism", "left_semi")
     if not names:
         return rows.select("organism").distinct()
     cells = [
@@ -100,9 +106,10 @@ def heatmap(ast: DataFrame, organisms: int = 8, antibiotics: int = 10) -> DataFr
 def comparison(ast: DataFrame, dim: str) -> DataFrame:
     """dim x result counts, total and the rates of R and S (2 digits) of the total."""
     n = F.count("result")
-    return known(ast, dim).groupBy(dim).agg(
+    out = known(ast, dim).groupBy(dim).agg(
         *[n_of(r).alias(r) for r in ("R", "I", "S")], n.alias("total"), percent(n_of("R"), n, 2).alias("resistance_rate"), percent(n_of("S"), n, 2).alias("susceptibility_rate")
     )
+    return out.where(F.col("total") > 0)
 
 
 def result_counts(ast: DataFrame, dataset_id: str | None = None) -> DataFrame:
@@ -110,22 +117,24 @@ def result_counts(ast: DataFrame, dataset_id: str | None = None) -> DataFrame:
     return rows.groupBy("organism", "antibiotic", "result").agg(F.count("*").alias("count"))
 
 
-def report_rates(ast: DataFrame, *dims: str, digits: int = 1) -> DataFrame:
-    """total_tests (rows with a result), resistant_count, resistance_rate, highest first."""
-    n = F.count("result")
+def report_rates(ast: DataFrame, *dims: str, digits: int = 1, whole: str = "result") -> DataFrame:
+    """total_tests (rows with a result; with ``whole="*"`` all rows), resistant_count, resistance_rate, highest first."""
+    n = F.count(whole)
     out = known(ast, *dims).groupBy(*dims).agg(n.alias("total_tests"), n_of("R").alias("resistant_count"), percent(n_of("R"), n, digits).alias("resistance_rate"))
     return out.orderBy(F.desc("resistance_rate"), *dims)
 
 
-def top_per_group(rates: DataFrame, group: str, item: str, n: int, rate: str = "resistance_rate") -> DataFrame:
-    """The n items of each group with the highest rate."""
+def top_per_group(rates: DataFrame, group: str, item: str, n: int | None, rate: str = "resistance_rate") -> DataFrame:
+    """The n items of each group with the highest rate (all, if there is no n), and their rank."""
     w = Window.partitionBy(group).orderBy(F.desc(rate), item)
-    return rates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
+    out = rates.withColumn("rank", F.row_number().over(w))
+    return out if n is None else out.where(F.col("rank") <= n)
 
 
 def sample_rates(ast: DataFrame) -> DataFrame:
-    n = F.count("result")
-    return ast.groupBy(*KEYS).agg(n_of("R").alias("resistant_count"), n.alias("total_count"), percent(n_of("R"), n).alias("resistance_rate"))
+    """Of each sample its R rows, its rows and the former's share of the latter."""
+    n = F.count("*")
+    return known(ast, "sample_id").groupBy(*KEYS).agg(n_of("R").alias("resistant_count"), n.alias("total_count"), percent(n_of("R"), n).alias("resistance_rate"))
 
 
 def value_counts(df: DataFrame, *cols: str) -> DataFrame:

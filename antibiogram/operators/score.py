@@ -22,7 +22,7 @@ ALTERNATIVES = {
 
 
 def half_trend(ast: DataFrame) -> DataFrame:
-    """Mean R% of the later half of dated tests against the earlier one, in order of (test_date, isolate_id, antibiotic).
+    """Mean R% of the later half of dated tests against the earlier one, in order of (test_date, isolate_id, antibiotic, result).
 
     The halves meet at rank n div 2. Only tests of the day that holds that rank have to be ranked: whole days before and
     after it are counted by day, so no task sorts the corpus."""
@@ -32,7 +32,7 @@ def half_trend(ast: DataFrame) -> DataFrame:
     days = days.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("half", F.floor(F.sum("n").over(Window.partitionBy()) / 2))
     split = (F.col("before") < F.col("half")) & (F.col("before") + F.col("n") > F.col("half"))
     middle = days.where(split).select("test_date", (F.col("half") - F.col("before")).alias("take"))
-    nth = F.row_number().over(Window.partitionBy("test_date").orderBy("isolate_id", "antibiotic"))
+    nth = F.row_number().over(Window.partitionBy("test_date").orderBy("isolate_id", "antibiotic", "result"))
     cut = rows.join(F.broadcast(middle), "test_date").withColumn("nth", nth)
     early = F.col("nth") <= F.col("take")
     parts = days.where(~split).select(
@@ -155,7 +155,7 @@ def insights(ast: DataFrame) -> DataFrame:
     """One row: risk, assessment, the most resistant organism and antibiotic, and what follows from them."""
     rate = percent(n_of("R"), F.count("*"))
     one = ast.agg(rate.alias("resistance_rate"), percent(n_of("S"), F.count("*")).alias("susceptibility_rate"))
-    top = lambda dim: report_rates(ast, dim, digits=2).limit(1).select(F.col(dim).alias(f"top_{dim}"), F.col("resistance_rate").alias(f"top_{dim}_rate"))
+    top = lambda dim: report_rates(ast, dim, digits=2, whole="*").limit(1).select(F.col(dim).alias(f"top_{dim}"), F.col("resistance_rate").alias(f"top_{dim}_rate"))
     out = one.join(F.broadcast(top("organism"))).join(F.broadcast(top("antibiotic")))  # one row each
     r = F.col("resistance_rate")
     return out.select(
@@ -184,7 +184,7 @@ def resistance_map(samples: DataFrame, ast: DataFrame) -> DataFrame:
 def alternatives(ast: DataFrame, organisms: int = 15, antibiotics: int = 3, keep: int = 3) -> DataFrame:
     """For the first high-risk organisms: their most resisted antibiotics and the first alternatives in alphabetical order."""
     names = high_risk(ast).limit(organisms).select("organism", F.col("resistance_rate").alias("organism_rate"), "risk_level")
-    top = top_per_group(report_rates(ast, "organism", "antibiotic", digits=9), "organism", "antibiotic", antibiotics)
+    top = top_per_group(report_rates(ast, "organism", "antibiotic", digits=9, whole="*"), "organism", "antibiotic", antibiotics)
     pairs = [x for k, v in ALTERNATIVES.items() for x in (F.lit(k), F.array(*[F.lit(a) for a in v]))]
     instead = F.coalesce(F.try_element_at(F.create_map(*pairs), F.col("antibiotic")), F.array(F.lit("Consult specialist")))
     rows = top.withColumn("_instead", instead).join(F.broadcast(names), "organism")

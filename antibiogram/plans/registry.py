@@ -16,7 +16,7 @@ from antibiogram.functions import interpret as ip
 from antibiogram.operators import compare, detect, filters, rates, score, validate
 from antibiogram.sources import adapter, catalog, io
 
-from . import assistant, uploads
+from . import assistant, gaps, uploads
 
 
 EVERY = ("DS0", "DS1", "DS2", "DS3")
@@ -391,7 +391,7 @@ ENTRIES: dict[str, Entry] = {
     "agg_db_counts": (lambda t: rates.result_counts(t.ast, "DS1"), "SELECT organism, antibiotic, result, count(*) AS count FROM ast WHERE dataset_id = 'DS1' GROUP BY ALL"),
     **{f"agg_report_{d}": _dim(d) for d in ("organism", "antibiotic", "region", "source_category", "district", "site_type", "source_type")},
     "agg_org_top_abx": (
-        lambda t: rates.top_per_group(rates.report_rates(t.ast.join(score.high_risk(t.ast).select("organism"), "organism", "left_semi"), "organism", "antibiotic", digits=2), "organism", "antibiotic", 3),
+        lambda t: rates.top_per_group(rates.report_rates(t.ast.join(score.high_risk(t.ast).select("organism"), "organism", "left_semi"), "organism", "antibiotic", digits=2, whole="*"), "organism", "antibiotic", 3),
         _top(_report("organism", "antibiotic", source=f"(SELECT * FROM ast WHERE organism IN (SELECT organism FROM ast GROUP BY organism HAVING {_rate(2)} >= 50))", digits=2), "organism", "antibiotic", 3),
     ),
     "agg_group_top5": _group_top("region", "organism"),
@@ -514,7 +514,7 @@ ENTRIES: dict[str, Entry] = {
     ),
     "j_full_topk": (
         lambda t: compare.category_antibiotics(t.ast, t.samples, "HUMAN", "ANIMAL"),
-        f", best AS ({_top(_report('source_category', 'antibiotic'), 'source_category', 'antibiotic', 10)}) SELECT coalesce(a.antibiotic, b.antibiotic) AS antibiotic, coalesce(a.resistance_rate, 0.0E0) AS rate_a, coalesce(b.resistance_rate, 0.0E0) AS rate_b FROM (SELECT * FROM best WHERE source_category = 'HUMAN') a FULL JOIN (SELECT * FROM best WHERE source_category = 'ANIMAL') b ON a.antibiotic = b.antibiotic",
+        f", best AS (SELECT *, row_number() OVER (PARTITION BY source_category ORDER BY resistance_rate DESC, antibiotic) AS rank FROM ({_report('source_category', 'antibiotic', digits=2)})) SELECT coalesce(a.antibiotic, b.antibiotic) AS antibiotic, coalesce(a.resistance_rate, 0.0E0) AS rate_a, coalesce(b.resistance_rate, 0.0E0) AS rate_b FROM (SELECT * FROM best WHERE source_category = 'HUMAN') a FULL JOIN (SELECT * FROM best WHERE source_category = 'ANIMAL') b ON a.antibiotic = b.antibiotic WHERE a.rank <= 10 OR b.rank <= 10",
     ),
     "c_period": (
         lambda t: compare.two_periods(t.ast, P1, P2),
@@ -545,6 +545,8 @@ ENTRIES: dict[str, Entry] = {
         f"SELECT *, rate_b - rate_a AS difference FROM (SELECT count(*) AS tests_a, {_rate(None)} AS rate_a FROM {J} WHERE source_category IN ('HUMAN', 'FOOD')), (SELECT count(*) AS tests_b, {_rate(None)} AS rate_b FROM {J} WHERE region IN ('ASIA', 'EUROPE'))",
     ),
     "m_overview": (lambda t: compare.overview_metrics(t.ast, t.samples), f"SELECT {_rate(1)} AS resistance_rate, count(*) AS tests, count(DISTINCT organism) AS organisms, (SELECT count(DISTINCT sample_id) FROM samples) AS samples FROM ast"),
+    # tables with gaps
+    **{name: (lambda t, run=run: run(*gaps.tables(t.samples, t.ast)), gaps.SQL + sql) for name, (run, sql) in gaps.QUERIES.items()},
     # upload rules
     **{name: _validation(name) for name in validate.RULES},
     "v_all": (_all_rules, " UNION ALL ".join(_validation(name)[1] for name in validate.RULES)),
