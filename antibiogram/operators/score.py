@@ -21,26 +21,42 @@ ALTERNATIVES = {
 }
 
 
+#: Into how many parts the day in the middle is split before any of its keys are put in order.
+SPLITS = 256
+
+
+def _with_before(counts: DataFrame, *order: str) -> DataFrame:
+    """Counts with how many rows come before each in this order. One row a day, part or key, in one task."""
+    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
+
+
+def _halves(counts: DataFrame) -> DataFrame:
+    """n and r of the first ``take`` rows and of the others; where a row of counts is cut in two, all or none of it is R."""
+    early = F.greatest(F.lit(0), F.least(F.col("n"), F.col("take") - F.col("before")))
+    early_r = F.when(early == F.col("n"), F.col("r")).otherwise(F.least(early, F.col("r")))
+    return counts.select(early.alias("n1"), early_r.alias("r1"), (F.col("n") - early).alias("n2"), (F.col("r") - early_r).alias("r2"))
+
+
 def half_trend(ast: DataFrame) -> DataFrame:
     """Mean R% of the later half of dated tests against the earlier one, in order of (test_date, isolate_id, antibiotic, result).
 
-    The halves meet at rank n div 2. Only tests of the day that holds that rank have to be ranked: whole days before and
-    after it are counted by day, so no task sorts the corpus."""
-    rows = known(ast, "test_date")
-    days = rows.groupBy("test_date").agg(F.count("*").alias("n"), n_of("R").alias("r"))
-    upto = Window.orderBy("test_date").rowsBetween(Window.unboundedPreceding, -1)  # one row a day
-    days = days.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0))).withColumn("half", F.floor(F.sum("n").over(Window.partitionBy()) / 2))
-    split = (F.col("before") < F.col("half")) & (F.col("before") + F.col("n") > F.col("half"))
-    middle = days.where(split).select("test_date", (F.col("half") - F.col("before")).alias("take"))
-    nth = F.row_number().over(Window.partitionBy("test_date").orderBy("isolate_id", "antibiotic", "result"))
-    cut = rows.join(F.broadcast(middle), "test_date").withColumn("nth", nth)
-    early = F.col("nth") <= F.col("take")
-    parts = days.where(~split).select(
-        *[F.when(first, F.col(c)).otherwise(0).alias(f"{c}{k}") for k, first in ((1, F.col("before") + F.col("n") <= F.col("half")), (2, F.col("before") >= F.col("half"))) for c in ("n", "r")]
-    ).unionByName(
-        cut.select(*[F.when(part, F.lit(1) if c == "n" else (F.col("result") == "R").cast("int")).otherwise(0).cast("long").alias(f"{c}{k}") for k, part in ((1, early), (2, ~early)) for c in ("n", "r")])
-    )
-    out = parts.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "r1", "n2", "r2")])
+    The halves meet at rank n div 2. Days are counted, then parts of the day that holds that rank, then keys of the part that
+    holds it: no row is ranked, equal rows are one count, and the task that puts keys in order gets 1/256 of one day's.
+    The parts begin at keys of that day drawn by hash, so they are the same however often they are computed."""
+    rows = known(ast, "test_date").select("test_date", "result", F.struct("isolate_id", "antibiotic", "result").alias("key"))
+    counted = [F.count("*").alias("n"), n_of("R").alias("r")]
+    cut = (F.col("before") < F.col("take")) & (F.col("before") + F.col("n") > F.col("take"))
+    days = _with_before(rows.groupBy("test_date").agg(*counted), "test_date").withColumn("take", F.floor(F.sum("n").over(Window.partitionBy()) / 2))
+    day = rows.join(F.broadcast(days.where(cut).select("test_date", (F.col("take") - F.col("before")).alias("take"))), "test_date")  # one row
+    drawn = day.groupBy(F.pmod(F.xxhash64("key"), F.lit(SPLITS))).agg(F.max_by("key", F.xxhash64("key", F.lit(1))).alias("key"))
+    points = drawn.agg(F.sort_array(F.collect_list("key")).alias("points"))  # one row of at most SPLITS keys
+    parted = day.join(F.broadcast(points)).withColumn("part", F.size(F.filter("points", lambda p: p < F.col("key")))).drop("points")
+    parts = _with_before(parted.groupBy("part", "take").agg(*counted), "part")
+    inside = parted.drop("take").join(F.broadcast(parts.where(cut).select("part", (F.col("take") - F.col("before")).alias("take"))), "part")  # one row
+    keys = _with_before(inside.groupBy("key", "take").agg(F.count("*").alias("n"), F.count_if(F.col("key.result") == "R").alias("r")), "key")
+    halves = _halves(days.where(~cut)).unionByName(_halves(parts.where(~cut))).unionByName(_halves(keys))
+    out = halves.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "r1", "n2", "r2")])
     change = percent(F.col("r2"), F.col("n2")) - percent(F.col("r1"), F.col("n1"))
     enough = F.col("n1") + F.col("n2") >= 2
     return out.select(

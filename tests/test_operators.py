@@ -167,6 +167,18 @@ def test_half_trend_against_sorting(spark, quick):
     assert (lambda x: (x.first_half_rate, x.second_half_rate))(score.half_trend(same_day).first()) == (100.0, 0.0)
 
 
+def test_half_trend_splits_a_hot_day(spark):
+    """One day holds nearly all rows, a third of them of one key, some without an isolate or a result."""
+    rows = [("s", f"i{k % 997:04d}" if k % 3 else None, "o", "a" if k % 2 else None, (None, "R", "S", "R", "I")[k % 5], "2024-01-02") for k in range(3000)]
+    rows += [("s", "x", "o", "a", "R", "2024-01-01")] * 7 + [("s", "x", "o", "a", "S", "2024-01-03")] * 4
+    rank = lambda x: (x is not None, x or "")
+    ordered = sorted(rows, key=lambda r: (r[5], rank(r[1]), rank(r[3]), rank(r[4])))
+    half = len(rows) // 2
+    share = lambda part: round(100 * sum(r[4] == "R" for r in part) / len(part), 2)
+    r = score.half_trend(fixtures.tests(spark, rows)).first()
+    assert (r.first_half_rate, r.second_half_rate) == (share(ordered[:half]), share(ordered[half:]))
+
+
 def test_empty_frames(spark):
     ast, samples = fixtures.tests(spark, []), fixtures.samples(spark, [])
     assert rates.stats(ast).first().total_tests == 0
