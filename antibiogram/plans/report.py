@@ -21,6 +21,7 @@ def sections(ast: DataFrame, samples: DataFrame) -> dict[str, DataFrame]:
         "Districts": by("district"),
         "Source categories": by("source_category"),
         "Site types": by("site_type"),
+        "Source types": by("source_type"),
         "Trend": rates.trend(ast),
         "Seasons": rates.seasons(ast),
         "Half trend": score.half_trend(ast),
