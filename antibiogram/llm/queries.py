@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import mixing
+from .best_fit import best_two_fit
 from .common import read
 from .exact_dedup import exact_groups
 from .langid import identify
@@ -17,7 +18,9 @@ from .merkle import audit, tree
 from .packing import harmonic_pack
 from .quality_gam import quality_scores
 from .simhash import simhash_groups
+from .spelling import spelling_variants
 from .token_attribution import section_tokens
+from .whitening import whiten
 
 
 def tokenizer(name: str) -> str:
@@ -77,10 +80,24 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(read(spark, sf_dir, "documents"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op12_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_two_fit(read(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+def op13_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The deviation as a long; null if it has more than 63 bits."""
+    return whiten(read(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_language_id, op2_warc_merkle_audit, op3_license_scan, op4_harmonic_packing, op5_soft_mixing,
         op6_token_attribution, op7_quality_gam, op8_line_rules, op9_simhash_dedup, op10_exact_dedup,
+        op11_spelling_variants, op12_best_two_fit, op13_embedding_whitening,
     )}
 
 
