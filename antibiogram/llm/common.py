@@ -110,26 +110,32 @@ def may_learn(doc_id: str = "doc_id") -> Column:
     return F.col(doc_id).isNotNull() & ~is_held_out(doc_id)
 
 
+def named(col: str) -> Column:
+    """The column of exactly this name, whatever its characters."""
+    return F.col("`" + col.replace("`", "``") + "`")
+
+
 def unit_hash(*cols: str) -> Column:
     """A number in [0, 1) that depends on the row's own values alone."""
     return F.pmod(F.xxhash64(*[F.col(c) for c in cols]), F.lit(1 << 40)) / float(1 << 40)
 
 
-def lookup(rows: DataFrame, classes: DataFrame, key: str, size: str, spread: str, n_rows: int) -> DataFrame:
+def lookup(rows: DataFrame, classes: DataFrame, key: str, size: str, spread: Column, n_rows: int) -> DataFrame:
     """``rows`` with the columns of ``classes`` (one row a ``key``, ``size`` = rows that have it), plus ``_salt``.
 
     A key of more than ``KEY_ROWS`` rows, or of a thousandth of all rows where that is less, is dealt over as many
-    partitions as it has such shares, by the hash of the ``spread`` column, so what one task gets of a key is bounded
-    whatever the input. The list of dealt keys, at most n_rows / share of them, is broadcast where it is short.
+    partitions as it has such shares, by the hash of ``spread``, so what one task gets of a key is bounded whatever the
+    input. ``spread`` must tell a key's rows apart, and be the same whenever they are read. There are at most n_rows / share
+    such keys; the share is large enough for their list to be broadcast.
     """
-    share = min(max(n_rows // 1000, 16), KEY_ROWS)
+    share = max(min(max(n_rows // 1000, 16), KEY_ROWS), n_rows // FEW_KEYS)
     parts = F.ceil(F.col(size) / share).cast("int")
-    hot = classes.where(F.col(size) > share).select(key, parts.alias("_hot"))
-    hot = F.broadcast(hot) if n_rows // share <= FEW_KEYS else hot
+    hot = F.broadcast(classes.where(F.col(size) > share).select(key, parts.alias("_hot")))
     salted = (
-        rows.join(hot, key, "left")
-        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_hot")), F.lit(0)).cast("int"))
-        .drop("_hot")
+        rows.withColumn("_spread", spread)
+        .join(hot, key, "left")
+        .withColumn("_salt", F.coalesce(F.pmod(F.xxhash64("_spread"), F.col("_hot")), F.lit(0)).cast("int"))
+        .drop("_hot", "_spread")
     )
     salts = F.sequence(F.lit(0), F.when(F.col(size) > share, parts - 1).otherwise(F.lit(0)))
     return salted.join(classes.withColumn("_salt", F.explode(salts)).hint("shuffle_hash"), [key, "_salt"])
@@ -183,11 +189,11 @@ def components(links: DataFrame, rounds: int = 60) -> DataFrame:
     for _ in range(rounds):
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.sum((F.col("b") > F.col("a")).cast("long")).alias("n"))
-        up = lookup(both.where(F.col("b") > F.col("a")), low.where("n > 0"), "a", "n", "b", n)
+        up = lookup(both.where(F.col("b") > F.col("a")), low.where("n > 0"), "a", "n", F.col("b"), n)
         large = table(up.select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         # every link now goes from a larger to a smaller id; small star: link a's smaller neighbours to its smallest
         low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
-        joined = lookup(large, low, "a", "n", "b", n)
+        joined = lookup(large, low, "a", "n", F.col("b"), n)
         star = joined.select("a", F.col("m").alias("b")).union(joined.where(F.col("b") != F.col("m")).select(F.col("b").alias("a"), F.col("m").alias("b")))
         new = table(star.distinct())
         was, n = n, new.count()

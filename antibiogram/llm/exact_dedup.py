@@ -6,8 +6,9 @@ functions are used.
 Scale: what is shuffled of every row is (id, hashes). Texts move only where their hash occurs twice, and as the smallest
 and the largest text of each (task, hash): a group is free of collisions exactly if these two agree over all tasks, so a
 group of any size costs each task one row. Hashes that occur twice are broadcast to the texts up to ``few`` of them;
-beyond that the smallest and largest text of every hash meet in one shuffle. Rows learn their group through
-``common.lookup``, which deals out hot groups.
+beyond that a bitmap of them is, 16 bits a hash and ``MAX_BITS`` at most (128 MB), and lets pass every text of such a hash
+and one in seventeen of the others, or more where the hashes are over 67 million. Rows learn their group through
+``common.lookup``, which deals out hot groups by their rows' places in the written table of hashes.
 
 Edge cases: null or empty texts form one group; repeated rows count in ``group_size``, and ``exact_groups`` marks each row
 that has the smallest id as kept, since it tells rows apart by their id; rows with a null id never displace others and
@@ -25,6 +26,9 @@ from pyspark.sql import functions as F
 
 from .common import FEW_KEYS, SPACE, lookup, table, text_key, without
 
+#: Bits of one bitmap of Spark's bitmap functions, and of all that are broadcast.
+BITMAP_BITS, MAX_BITS = 1 << 15, 1 << 30
+
 
 def content_hash(text: Column) -> Column:
     return F.unhex(F.md5(text))
@@ -45,11 +49,11 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, hasher: Callable[[Colum
     hashed = docs.select(F.col(id_col).alias("_id"), _normal(text_col).alias("_t"), (text_key(F.col(text_col)) if key else F.lit(None).cast("binary")).alias("_k"))
     prints = table(hashed.select("_id", hasher(F.col("_t")).alias("_h"), F.sha2("_t", 256).alias("_sha"), "_k"))
     sizes = table(prints.groupBy("_h").agg(_first_row("_k").alias("f"), F.count("*").alias("_n")).select("_h", "_n", F.col("f._id").alias("_keep"), F.col("f._k").alias("_keep_k")))
-    found = lookup(prints, sizes, "_h", "_n", "_id", prints.count()).drop("_salt")
+    found = lookup(prints, sizes, "_h", "_n", F.monotonically_increasing_id(), prints.count()).drop("_salt")
     twice = sizes.where("_n > 1").select("_h")
     texts = docs.select(_normal(text_col).alias("_t")).withColumn("_h", hasher(F.col("_t")))
-    if twice.count() <= few:
-        texts = texts.join(F.broadcast(twice), "_h", "left_semi")
+    n = twice.count()
+    texts = texts.join(F.broadcast(twice), "_h", "left_semi") if n <= few else _maybe_in(texts, twice, n)
     odd = texts.groupBy("_h").agg(F.min("_t").alias("lo"), F.max("_t").alias("hi")).where("lo <> hi").select("_h")
     odd = table(odd)
     if odd.isEmpty():
@@ -57,6 +61,19 @@ def _groups(docs: DataFrame, id_col: str, text_col: str, hasher: Callable[[Colum
     return found.join(odd, "_h", "left_anti").unionByName(_told_apart(hashed, hasher, odd))
 
 
+def _maybe_in(rows: DataFrame, hashes: DataFrame, n: int, max_bits: int = MAX_BITS) -> DataFrame:
+    """The rows whose ``_h`` is among n ``hashes``, and few others: a bit for each hash, in bitmaps of 4 kB that are broadcast."""
+    bits = BITMAP_BITS
+    while bits < min(16 * n, max_bits):
+        bits *= 2
+    bit = F.pmod(F.xxhash64("_h"), F.lit(bits))
+    number, at = F.floor(bit / BITMAP_BITS), (bit % BITMAP_BITS).cast("long")
+    maps = hashes.select(number.alias("_map"), at.alias("_at")).groupBy("_map").agg(F.bitmap_construct_agg("_at").alias("_bits"))
+    byte = F.conv(F.hex(F.substring("_bits", F.shiftright("_at", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    found = rows.withColumns({"_map": number, "_at": at}).join(F.broadcast(maps), "_map")
+    return found.where(F.getbit(byte, F.col("_at").bitwiseAND(7).cast("int")) == 1).select(*rows.columns)
+
+
 def _told_apart(hashed: DataFrame, hasher: Callable[[Column], Column], odd: DataFrame) -> DataFrame:
     """Rows whose hash stands for several texts, grouped by the text itself."""
     rows = hashed.withColumn("_h", hasher(F.col("_t"))).join(odd, "_h", "left_semi").withColumn("_sha", F.sha2("_t", 256))

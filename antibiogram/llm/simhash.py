@@ -8,10 +8,13 @@ least, so each of the 20 choices of 3 blocks is a key of 31 to 33 bits and close
 one fingerprint are one class from the start. Keys of up to ``FEW`` classes are settled by native expressions over their few classes;
 classes of a key that has more meet in chunks of at most 2 x 1024 (pairs of chunks, where a key has more than one), and
 each meeting returns the links of a spanning forest, never all pairs: the classes that the links connect are the same.
+A key of more than ``SPLIT`` classes is split by the same rule once more: the bits outside its three blocks are cut into
+six parts, three of which agree, so its classes meet under sub-keys that fix another half of these bits.
 Components of fingerprints follow by star contraction on tables in the shared folder.
 
 Scale: a document moves as (id, fingerprint); a fingerprint as 20 keys of 16 bytes, first counted with a partial sum and
-kept only where a key has two. Python sees only keys of more than ``FEW`` classes. A hot fingerprint is dealt over
+kept only where a key has two. Hot keys are never joined, and their classes are dealt by their sub-keys. Python sees only
+keys of more than ``FEW`` classes. A hot fingerprint is dealt over
 partitions by ``common.lookup``, as are the links of a large component.
 
 Edge cases: a null text counts as empty; documents without words share fingerprint zero and are linked like any others;
@@ -33,13 +36,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, lookup, small_batches, table, text_key, without
+from .common import FEW_KEYS, components, lookup, small_batches, table, text_key, without
 
 SEED = 42
 BLOCKS = ((0, 11), (11, 11), (22, 11), (33, 11), (44, 10), (54, 10))  # first bit and width
 MAX_BITS = 3
+CHOICES = tuple(combinations(BLOCKS, len(BLOCKS) - MAX_BITS))
 FEW = 8
 CHUNK = 1024
+SPLIT = 4096
 PIECE = 1 << 16
 _ONES = ((np.arange(256)[:, None] >> np.arange(8)) & 1).astype(np.int64)
 
@@ -78,15 +83,26 @@ def _block(fp: Column, first: int, width: int) -> Column:
     return F.shiftrightunsigned(fp, first).bitwiseAND(F.lit((1 << width) - 1))
 
 
+def _packed(fp: Column, parts: tuple[tuple[int, int], ...], above: Column) -> Column:
+    """The bits of these parts, behind those of ``above``."""
+    for first, width in parts:
+        above = F.shiftleft(above, width).bitwiseOR(_block(fp, first, width))
+    return above
+
+
 def block_keys(fp: str = "fp") -> Column:
-    """The 20 keys of a fingerprint: which three blocks, then their bits."""
-    keys = []
-    for t, chosen in enumerate(combinations(BLOCKS, len(BLOCKS) - MAX_BITS)):
-        key = F.lit(t).cast("long")
-        for first, width in chosen:
-            key = F.shiftleft(key, width).bitwiseOR(_block(F.col(fp), first, width))
-        keys.append(key)
-    return F.array(*keys)
+    """The 20 keys of a fingerprint: which three blocks, above 33 bits, and their bits."""
+    tops = [F.lit(t << 33 >> sum(w for _, w in chosen)) for t, chosen in enumerate(CHOICES)]
+    return F.array(*[_packed(F.col(fp), chosen, top.cast("long")) for chosen, top in zip(CHOICES, tops, strict=True)])
+
+
+def sub_keys(fp: str = "fp", key: str = "key") -> Column:
+    """The 20 keys of a fingerprint among those that share ``key``: its bits outside the key, in six parts of 5 or 6, three of
+    which agree as well. 16 bits or so are left, so a sub-key has at most 2 ** 18 fingerprints, however many a key has."""
+    left = [_packed(F.col(fp), tuple(b for b in BLOCKS if b not in chosen), F.lit(0).cast("long")) for chosen in CHOICES]
+    rest = F.element_at(F.array(*left), (F.shiftrightunsigned(F.col(key), 33) + 1).cast("int"))
+    parts = list(combinations([(6 * k, 6) for k in range(6)], 6 - MAX_BITS))
+    return F.transform(F.array(rest), lambda r: F.array(*[_packed(r, chosen, F.lit(t).cast("long")) for t, chosen in enumerate(parts)]))[0]
 
 
 def forest(fp: np.ndarray, max_bits: int = MAX_BITS) -> list[tuple[int, int]]:
@@ -114,13 +130,9 @@ def _meet(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(forest(rows["fp"].to_numpy()), columns=["a", "b"]).astype("int64")
 
 
-def links(prints: DataFrame, chunk: int = CHUNK, few: int = FEW) -> DataFrame:
-    """(a, b) links that connect what fingerprints at most 3 bits apart connect; ``prints`` has distinct fp."""
-    keyed = prints.select("fp", F.explode(block_keys()).alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > 1)
-    rows = keyed.join(shared.hint("shuffle_hash"), "key")
-    # The join has dealt the rows by key, so the few classes of a key come together without another shuffle.
-    small = rows.where(F.col("n") <= few).groupBy("key").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
+def _settled(rows: DataFrame, chunk: int, few: int) -> DataFrame:
+    """The links of rows (fp, key, sub, n), n being the fingerprints of (key, sub), which lie in one task each."""
+    small = rows.where(F.col("n") <= few).groupBy("key", "sub").agg(F.sort_array(F.collect_list("fp")).alias("fps"))
     behind = lambda x, i: F.filter(F.slice("fps", i + 2, few), lambda y: F.bit_count(x.bitwiseXOR(y)) <= MAX_BITS)
     close = small.select(F.explode(F.flatten(F.transform("fps", lambda x, i: F.transform(behind(x, i), lambda y: F.struct(y.alias("a"), x.alias("b")))))).alias("l"))
     large = rows.where(F.col("n") > few).withColumn("chunks", F.ceil(F.col("n") / chunk).cast("int"))
@@ -128,10 +140,35 @@ def links(prints: DataFrame, chunk: int = CHUNK, few: int = FEW) -> DataFrame:
     meets = F.transform(
         F.sequence(F.lit(0), F.col("chunks") - 1), lambda d: F.struct(F.least(own, d).alias("lo"), F.greatest(own, d).alias("hi"))
     )
-    met = large.select("key", "fp", F.explode(meets).alias("meet")).groupBy("key", "meet").applyInPandas(lambda rows: _meet(rows), "a long, b long")
+    met = large.select("key", "sub", "fp", F.explode(meets).alias("meet")).groupBy("key", "sub", "meet").applyInPandas(lambda rows: _meet(rows), "a long, b long")
     return close.select("l.a", "l.b").union(met)
 
 
+def _counted(keyed: DataFrame) -> DataFrame:
+    """Rows (fp, key, sub) with ``n``, where another fingerprint has the key. The join deals the rows by key, so the few of a key
+    come together without another shuffle."""
+    shared = keyed.groupBy("key", "sub").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    return keyed.join(shared.hint("shuffle_hash"), ["key", "sub"])
+
+
+def links(prints: DataFrame, chunk: int = CHUNK, few: int = FEW, split: int = SPLIT) -> DataFrame:
+    """(a, b) links that connect what fingerprints at most 3 bits apart connect; ``prints`` has distinct fp.
+
+    Keys of more than ``split`` fingerprints are not joined: their list, at most FEW_KEYS of them, is broadcast, and their
+    fingerprints meet under sub-keys instead."""
+    keyed = prints.select("fp", F.explode(block_keys()).alias("key"))
+    split = max(split, len(CHOICES) * prints.count() // FEW_KEYS)
+    hot = table(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > split).select("key"))
+    cold = keyed
+    found = []
+    if not hot.isEmpty():
+        cold = keyed.join(F.broadcast(hot), "key", "left_anti")
+        below = keyed.join(F.broadcast(hot), "key", "left_semi").select("fp", "key", F.explode(sub_keys()).alias("sub"))
+        found.append(_settled(_counted(below), chunk, few))
+    found.append(_settled(_counted(cold.withColumn("sub", F.lit(0).cast("long"))), chunk, few))
+    return found[0] if len(found) == 1 else found[0].union(found[1])
+
+
 def _classes(docs: DataFrame, id_col: str, text_col: str, key: Column | None) -> DataFrame:
     """_id, _k, fp, and of its component _keep and _keep_k (smallest id, null last, and the smallest key with it), for each row."""
     prints = table(fingerprints(docs, id_col, text_col, key))
@@ -141,7 +178,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, key: Column | None) ->
     roots = table(components(links(classes.select("fp"))).select(F.col("node").alias("fp"), "root"))
     names = classes.join(roots, "fp").groupBy("root").agg(F.min("f").alias("c"))
     named = classes.join(roots.join(names, "root").select("fp", "c"), "fp", "left").select("fp", "n", F.coalesce("c", "f").alias("c"))
-    found = lookup(prints, named, "fp", "n", "_id", prints.count())
+    found = lookup(prints, named, "fp", "n", F.monotonically_increasing_id(), prints.count())
     return found.select("_id", "_k", "fp", F.col("c._id").alias("_keep"), F.col("c._k").alias("_keep_k"))
 
 
