@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, table
+from .common import SPACE, named, table
 
 NOT_SPACE = r"[^\x20\x09-\x0D]"
 #: Symbols that the base rules count.
@@ -65,15 +65,15 @@ def base_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         lambda a, i: F.struct((a["total"] + F.least(F.lit(3), i - a["last"])).alias("total"), i.alias("last")),
         lambda a: a["total"],
     )
-    return out.select(
-        id_col,
-        *also,
+    counts = F.struct(
         "n_words",
         "word_chars",
         "n_symbols",
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
         F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"),
     )
+    # As rows of a generator, so that the optimizer moves no later filter into these expressions, of which it would make copies.
+    return out.select(id_col, *also, F.inline(F.array(counts)))
 
 
 def _normal_lines(text: Column) -> Column:
@@ -149,8 +149,8 @@ def without_common_lines(
     table_rows: int = 5_000,
 ) -> DataFrame:
     """``docs``, row for row, each text without its common lines; the other lines are as they were and in their order."""
-    rows = _cleaned(docs, F.struct(*docs.columns), id_col, text_col, host_col, max_docs, max_share, broadcast_rows, table_rows)
-    return rows.select(*[F.col("_clean" if c == text_col else f"_row.{c}").alias(c) for c in docs.columns])
+    rows = _cleaned(docs, F.struct(*[named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]), id_col, text_col, host_col, max_docs, max_share, broadcast_rows, table_rows)
+    return rows.select(*[F.col("_clean" if c == text_col else f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def line_rules(
@@ -185,9 +185,9 @@ def line_filter(
     table_rows: int = 5_000,
 ) -> DataFrame:
     """The rows of ``docs`` that ``line_rules`` keeps, each text without its common lines."""
-    rows = _cleaned(docs, F.struct(*docs.columns), id_col, text_col, host_col, max_docs, max_share, broadcast_rows, table_rows)
+    rows = _cleaned(docs, F.struct(*[named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)]), id_col, text_col, host_col, max_docs, max_share, broadcast_rows, table_rows)
     kept = _verdicts(rows, min_words, max_repeat_percent, max_loss).where("kept")
-    return kept.select(*[F.col("_clean" if c == text_col else f"_row.{c}").alias(c) for c in docs.columns])
+    return kept.select(*[F.col("_clean" if c == text_col else f"_row.c{k}").alias(c) for k, c in enumerate(docs.columns)])
 
 
 def _verdicts(rows: DataFrame, min_words: int, max_repeat_percent: int, max_loss: float) -> DataFrame:
