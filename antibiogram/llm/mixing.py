@@ -37,7 +37,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import may_learn, small_batches, table, unit_hash
+from .common import may_learn, named, small_batches, table, unit_hash
 from .quality_gam import FEATURES, features
 
 DIMS = 1 << 14
@@ -106,11 +106,13 @@ def _learnt_from(texts: pd.Series) -> pd.DataFrame:
 
 
 def train(docs: DataFrame, labels: DataFrame, domain: Column, max_rows: int = 6000, id_col: str = "doc_id", text_col: str = "text") -> Domains:
-    """A model of the domains of at most ``max_rows`` labelled rows (a hash of the id decides which)."""
+    """A model of the domains of at most ``max_rows`` labelled rows: a hash decides which, of the id among labels, of id and
+    text among rows, so that the limit holds where an id repeats."""
     small_batches(docs.sparkSession)
     chosen = labels.where(may_learn(id_col)).select(id_col, domain.alias("_domain")).where(F.col("_domain").isNotNull()).orderBy(unit_hash(id_col), id_col, "_domain").limit(max_rows)
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.pandas_udf(_learnt_from, "struct<s:array<int>,x:array<double>>")(text_col).alias("f"), "_domain", F.col(id_col).alias("_id")).toPandas()
-    rows = rows.sort_values(["_id", "_domain"])
+    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    learnt = found.select(F.pandas_udf(_learnt_from, "struct<s:array<int>,x:array<double>>")(text_col).alias("f"), "_domain", F.col(id_col).alias("_id"), unit_hash(id_col, text_col).alias("_u"))
+    rows = learnt.orderBy("_u", "_id", "_domain").limit(max_rows).toPandas().sort_values(["_id", "_domain", "_u"])
     names = sorted(set(rows["_domain"]))
     if len(names) < 2:
         return Domains(names or ["other"])
@@ -256,7 +258,7 @@ def mixed(
 ) -> DataFrame:
     """``docs`` with each row as often as ``mix`` says, all columns kept. The rows are written once with their posteriors, so
     nothing is joined or shuffled."""
-    row = F.struct(*[F.col(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
+    row = F.struct(*[named(c).alias(f"c{k}") for k, c in enumerate(docs.columns)])
     rows, _ = _rated(docs, row, labels, domain, weights, max_rate, whole, tokens, max_rows, id_col, text_col)
     rows = rows.where("copies > 0")
     if max_rate > 1:
