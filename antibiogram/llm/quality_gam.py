@@ -192,7 +192,8 @@ def fit(x: np.ndarray, y: np.ndarray, rounds: int = 150, rate: float = 0.15, n_b
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_rows: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> Gam:
-    """A model of the labels of at most ``max_rows`` rows, none of them held out."""
+    """A model of the labels of at most ``max_rows`` rows, none of them held out: a hash decides which, of the id among labels, of
+    id and text among rows, so that the limit holds where an id repeats."""
     small_batches(docs.sparkSession)
     chosen = (
         labels.where(may_learn(id_col) & F.col(label_col).isNotNull())
@@ -200,7 +201,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_ro
         .orderBy(unit_hash(id_col), id_col, "_y")
         .limit(max_rows)
     )
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.pandas_udf(_features, "array<double>")(text_col).alias("x"), "_y").toPandas()
+    found = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col)
+    learnt = found.select(F.pandas_udf(_features, "array<double>")(text_col).alias("x"), "_y", unit_hash(id_col, text_col).alias("_u"))
+    rows = learnt.orderBy("_u", "_y").limit(max_rows).toPandas()
     x = np.array(rows["x"].tolist(), float).reshape(-1, len(FEATURES))
     return fit(x, rows["_y"].to_numpy(float))
 
