@@ -13,7 +13,8 @@ are made in each task, so a key that a third of all records have costs each task
 
 Edge cases: null fields of a record count as empty; records with a null key are the one slot of a file of their own
 (``NULL_FILE``); records of a repeated key or of none are compared as a multiset, so each lost, added or altered one is
-told; empty replicas differ from others in every record; further columns are ignored, whatever their names.
+told; keys may be texts: those that are no whole numbers get a slot by their hash, in files of negative numbers, and keys that
+share it are compared like records of one key; empty replicas differ from others in every record; further columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +22,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import KEY_ROWS, table
 
 FAN_OUT = 16
 PER_FILE = 1024
 #: The file of records without a key; no quotient of a long is as low.
 NULL_FILE = -(1 << 63)
+#: Slots over which keys are dealt that are texts and no whole numbers.
+HASHED_SLOTS = 1 << 30
 LINE = "\r\n"
 
 
@@ -49,22 +52,30 @@ def warc_record(key: str = "page_id", url: str = "url", body: str = "html", end:
 def write_warc(pages: DataFrame, path: str, per_file: int = PER_FILE, key: str = "page_id", url: str = "url", body: str = "html") -> None:
     """A folder ``path/warc_file=<n>/`` a WARC file, its records in order of their key: a part, or several in order of their names
     where a file has very many records or lies across the ranges that the writing tasks take."""
-    rows = pages.select(_file(key, per_file).alias("warc_file"), F.col(key).alias("_key"), warc_record(key, url, body, LINE).alias("value"))
+    rows = pages.select(_file(_number(pages, key), per_file).alias("warc_file"), F.col(key).alias("_key"), warc_record(key, url, body, LINE).alias("value"))
     rows = rows.withColumn("_nth", F.monotonically_increasing_id())  # ranges may part equal keys
     rows = rows.repartitionByRange("warc_file", "_key", "_nth").sortWithinPartitions("warc_file", "_key", "_nth").select("warc_file", "value")
     rows.write.partitionBy("warc_file").option("lineSep", LINE).text(path)
 
 
-def _file(key: str, per_file: int) -> Column:
-    return F.coalesce(F.floor(F.col(key) / per_file).cast("long"), F.lit(NULL_FILE))
+def _number(pages: DataFrame, key: str) -> Column:
+    """A record's place in the order of keys: the key, or for a text that is no whole number a negative number by its hash."""
+    if pages.schema[key].dataType.typeName() != "string":
+        return F.col(key)
+    hashed = -1 - F.pmod(F.xxhash64(key), F.lit(HASHED_SLOTS))
+    return F.coalesce(F.col(key).try_cast("long"), F.when(F.col(key).isNotNull(), hashed))
+
+
+def _file(number: Column, per_file: int) -> Column:
+    return F.coalesce(F.floor(number / per_file).cast("long"), F.lit(NULL_FILE))
 
 
 def records(pages: DataFrame, per_file: int = PER_FILE, key: str = "page_id", url: str = "url", body: str = "html") -> DataFrame:
     """warc_file, slot, bytes, digest of each record."""
-    record = warc_record(key, url, body)
+    record, number = warc_record(key, url, body), _number(pages, key)
     return pages.select(
-        _file(key, per_file).alias("warc_file"),
-        F.coalesce(F.pmod(F.col(key), F.lit(per_file)), F.lit(0)).cast("long").alias("slot"),
+        _file(number, per_file).alias("warc_file"),
+        F.coalesce(F.pmod(number, F.lit(per_file)), F.lit(0)).cast("long").alias("slot"),
         F.octet_length(record).cast("long").alias("bytes"),
         F.sha2(record, 256).alias("digest"),
     )
@@ -108,6 +119,17 @@ def differing(ours: DataFrame, theirs: DataFrame) -> DataFrame:
     return both.where(~F.col("_ours").eqNullSafe(F.col("_theirs"))).select("warc_file", "slot")
 
 
+def _of_slots(side: list[DataFrame], slots: DataFrame) -> DataFrame:
+    """The records of these slots. Slots of more than ``KEY_ROWS`` records, at most one in so many records, are broadcast, so that
+    their records stay where they are."""
+    at = ["warc_file", "slot"]
+    hot = side[1].where(F.col("records") > KEY_ROWS).select(*at)
+    if hot.isEmpty():
+        return side[0].join(slots, at, "left_semi")
+    odd = table(hot.join(slots, at, "left_semi"))
+    return side[0].join(F.broadcast(hot), at, "left_anti").join(slots, at, "left_semi").unionByName(side[0].join(F.broadcast(odd), at, "left_semi"))
+
+
 def audit(ours: list[DataFrame], theirs: list[DataFrame], fan_out: int = FAN_OUT) -> DataFrame:
     """warc_file, slot, status (corrupt, missing, extra), offset, bytes and records, for the records that differ.
 
@@ -121,7 +143,7 @@ def audit(ours: list[DataFrame], theirs: list[DataFrame], fan_out: int = FAN_OUT
         below = lambda level: level.withColumn("_parent", F.floor(F.col("slot") / fan_out)).join(parent, ["warc_file", "_parent"], "left_semi")  # noqa: E731, B023
         suspects = table(differing(below(a), below(b)))
     # In these slots only: how many more of each record one side has.
-    sides = [side[0].join(suspects, ["warc_file", "slot"], "left_semi").withColumn("_n", F.lit(sign)) for side, sign in ((ours, 1), (theirs, -1))]
+    sides = [_of_slots(side, suspects).withColumn("_n", F.lit(sign)) for side, sign in ((ours, 1), (theirs, -1))]
     odd = sides[0].unionByName(sides[1]).groupBy("warc_file", "slot", "digest").agg(F.min("bytes").alias("bytes"), F.sum("_n").alias("_n")).where("_n <> 0")
     odd = table(odd)
     per_slot = odd.groupBy("warc_file", "slot").agg((F.count("*") == 2).alias("_two"), F.max("_n").alias("_most"), F.min("_n").alias("_least"))
