@@ -10,10 +10,11 @@ is one unit of the alignment: it stands in the text word for word, not as part o
 is not found, however much else is aligned.
 
 A document is read once, whole. A stretch of at most twice the template's units that holds enough of them is aligned from
-each of the template's words in it on (to each later one; for templates of more than ``SHORT`` units to ``ENDS`` of them),
-and the stretch with most aligned words counts; what lies before and behind it is searched likewise, so a license given
-twice is found twice. A notice that other text pulls apart to more than twice its length is not a finding. Nothing is
-shuffled; a task holds one batch of texts.
+each of the template's words in it on, to each later one, and the stretch with most aligned words counts; what lies before and
+behind it is searched likewise, so a license given twice is found twice. An end is passed over only if no alignment up to it
+can count: the longest common subsequence, which no alignment exceeds, is computed for all ends of a start in one pass over
+machine words. A notice that other text pulls apart to more than twice its length is not a finding. Nothing is shuffled; a
+task holds one batch of texts.
 
 Edge cases: a null or empty text has no finding; case, marks and white space do not matter; findings do not overlap: of
 templates that fit one stretch, the one with most aligned words is reported; repeated rows give repeated findings; rows with
@@ -27,6 +28,7 @@ from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -35,7 +37,6 @@ from pyspark.sql import functions as F
 from .common import small_batches
 from .licenses import templates as known_licenses
 
-SHORT, ENDS = 16, 12
 #: A word of the normal form, with its place in the text.
 WORD = re.compile(r"\w+(?:\.\d+)*")
 
@@ -102,13 +103,20 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
 
 @dataclass
 class Template:
-    """A license's units: words and, as one, the phrases in double brackets."""
+    """A license's units: words and, as one, the phrases in double brackets. ``places``: of each unit, a bit for each place;
+    ``largest``: the words of its largest units, by their number."""
 
     license: str
     units: list[str]
     phrases: list[list[str]]
     words: int
 
+    def __post_init__(self) -> None:
+        self.places: dict[str, int] = {}
+        for k, u in enumerate(self.units):
+            self.places[u] = self.places.get(u, 0) | 1 << k
+        self.largest = [0, *accumulate(sorted((u.count(" ") + 1 for u in self.units), reverse=True))]
+
 
 def template(name: str, text: str) -> Template:
     units: list[str] = []
@@ -167,6 +175,21 @@ def _may_start(units: list[str], t: Template, reach: int, need: float) -> list[i
     return out
 
 
+def most_aligned(units: list[str], t: Template, first: int, stop: int) -> list[int]:
+    """For each end after ``first``, up to ``stop``, how many words an alignment of the units up to it can have at most.
+
+    A bit for each of the template's units; those that are cleared are as many as the longest common subsequence has."""
+    whole = (1 << len(t.units)) - 1
+    rows, out = whole, []
+    for u in units[first:stop]:
+        bits = t.places.get(u)
+        if bits is not None:
+            same = rows & bits
+            rows = ((rows + same) | (rows - same)) & whole
+        out.append(t.largest[len(t.units) - rows.bit_count()])
+    return out
+
+
 def find(units: list[str], t: Template, threshold: float) -> list[tuple[int, int, int]]:
     """(first unit, unit after the last, aligned words) of each stretch of the text that holds the template."""
     need, reach = threshold * t.words - 1e-9, 2 * len(t.units)
@@ -174,16 +197,21 @@ def find(units: list[str], t: Template, threshold: float) -> list[tuple[int, int
     hits = [i for i, u in enumerate(units) if u in own]
     starts = _may_start(units, t, reach, need)
     phrases = {" ".join(p) for p in t.phrases}
+    fewest = [bisect_left(t.largest, n) for n in range(t.words + 1)]  # units that hold so many words
 
     def best(s: int, stop: int) -> tuple[int, int, int] | None:
         """The stretch from ``s`` on with most aligned words, of equals the shortest."""
-        ends = [e + 1 for e in hits[bisect_left(hits, s) : bisect_left(hits, min(stop, s + reach))]]
-        if len(t.units) > SHORT and len(ends) > ENDS:
-            ends = [ends[(k + 1) * len(ends) // ENDS - 1] for k in range(ENDS)]
+        last = min(stop, s + reach)
+        bound = most_aligned(units, t, s, last)
+        if not bound or bound[-1] < need:
+            return None
         found = None
-        for e in ends:
-            if e - s < need / t.words * len(t.units) * 0.5:
+        for e in [e + 1 for e in hits[bisect_left(hits, s) : bisect_left(hits, last)]]:
+            most = bound[e - s - 1]
+            if most < need or (found and most < found[2]):
                 continue
+            if found and found[2] == bound[-1] and found[1] - found[0] <= fewest[found[2]]:
+                break  # no later end has more words, or as many in fewer units
             pairs = align(units[s:e], t.units)
             size = sum(units[s + i].count(" ") + 1 for i, _ in pairs)
             if size >= need and phrases <= {t.units[j] for _, j in pairs}:

@@ -19,7 +19,7 @@ def test_sql(spark, sf_dir, duck, name):
 
 
 def test_one_query_an_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.queries()) == list(range(1, 14))
 
 
 def test_stages(spark, sf_dir, tmp_path):
