@@ -47,6 +47,33 @@ def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def file_no(sheet: str):
+    """Which of eight workbooks a row of the sheet is written to: that of its order."""
+    order = F.col("row_no") - 2 if sheet == "samples" else F.floor(F.col("row_no") / 10)
+    return (order % 8).cast("string")
+
+
+def _cell(key: str, *cases: tuple[int, str], otherwise: str) -> str:
+    return "CASE " + " ".join(f"WHEN {key} % {n} = 5 THEN {value}" for n, value in cases) + f" ELSE {otherwise} END"
+
+
+_O, _L = "o_orderkey", "l_orderkey"
+#: sheet -> SQL of its cells; samples with their rows in the eight workbooks (lines of an order may have one number).
+SHEET_SQL = {
+    "samples": f"""SELECT row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) + 1 AS row_no, {_cell(_O, (113, "'1'"), otherwise="CAST(o_orderkey AS VARCHAR)")} AS sample_id,
+        {_cell(_O, (101, "'2024-13-01'"), (7, "'2024-1-5'"), otherwise="strftime(o_orderdate, '%Y-%m-%d')")} AS collection_date,
+        {_cell(_O, (109, "'  '"), otherwise="' R' || (o_custkey % 5)")} AS region, 'D' || (o_custkey % 25) AS district, 'Hospital' AS site_type,
+        {_cell(_O, (97, "'PET' || (o_orderkey % 3)"), (91, "' '"), otherwise="'HUMAN'")} AS source_category, o_orderpriority AS source_type,
+        CAST(NULL AS VARCHAR) AS food_matrix, CAST(NULL AS VARCHAR) AS environment_matrix,
+        {_cell(_O, (103, "'abc'"), (107, "'95'"), otherwise="'5'")} AS latitude, {_cell(_O, (206, "NULL"), otherwise="'-1'")} AS longitude FROM orders""",
+    "ast_results": f"""SELECT {_cell(_L, (89, "'LOST' || l_orderkey"), otherwise="CAST(l_orderkey AS VARCHAR)")} AS sample_id, CAST(l_orderkey AS VARCHAR) AS isolate_id,
+        {_cell(_L, (83, "'nan'"), otherwise="'Escherichia coli'")} AS organism, 'A' || (l_partkey % 24) AS antibiotic,
+        {_cell(_L, (97, "'X' || (l_orderkey % 3)"), (91, "NULL"), otherwise="'S'")} AS result, {_cell(_L, (101, "'ETEST'"), (79, "'nan'"), otherwise="'MIC'")} AS method,
+        {_cell(_L, (103, "'BSAC'"), (73, "NULL"), otherwise="'CLSI'")} AS guideline,
+        {_cell(_L, (107, "'01/02/2024'"), (7, "'2024-01-5'"), otherwise="strftime(l_shipdate, '%Y-%m-%d')")} AS test_date,
+        {_cell(_L, (109, "'abc'"), otherwise="'1'")} AS mic_value, {_cell(_L, (113, "'n/a'"), otherwise="'20'")} AS zone_diameter FROM lineitem""",
+}
+
 #: rule -> SQL over ``orders`` or ``lineitem``; each gives row_no and value.
 SQL = {
     "v_s_dup": "SELECT min(o_orderkey + 2) AS row_no, id AS value FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 113 = 5 THEN '1' ELSE CAST(o_orderkey AS VARCHAR) END AS id FROM orders) GROUP BY id HAVING count(*) > 1",

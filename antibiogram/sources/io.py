@@ -1,4 +1,4 @@
-"""Files in and out: sheets of text, dataset tables partitioned by dataset_id, the template."""
+"""Files in and out: sheets of text, workbooks, dataset tables partitioned by dataset_id, the template."""
 
 from __future__ import annotations
 
@@ -8,27 +8,15 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import workbook
 from .schema import AST, DATASETS, REQUIRED, SAMPLES
-
-
-def sheet_names(path: str) -> list[str]:
-    """The sheets of a workbook. Workbooks have no Spark reader: pandas reads them in the driver, as one file's upload."""
-    import pandas as pd
-
-    return list(pd.ExcelFile(path).sheet_names)
+from .workbook import sheet_names as sheet_names
 
 
 def read_workbook(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Both sheets of an uploaded workbook as text, with row_no (the row's number in the sheet)."""
-    import pandas as pd
-
-    out = {}
-    for sheet in REQUIRED:
-        pdf = pd.read_excel(path, sheet_name=sheet, dtype=str)
-        pdf["row_no"] = range(2, len(pdf) + 2)
-        schema = ", ".join(f"`{c}` {'long' if c == 'row_no' else 'string'}" for c in pdf.columns)
-        out[sheet] = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None).values.tolist(), schema)
-    return out
+    """Both sheets of the uploaded workbooks under a path (a file or a folder) as text, with row_no (the row's number in the
+    sheet). A workbook that lacks one of them is an error; ``sheet_names`` tells before."""
+    return {sheet: workbook.read_sheet(spark, path, sheet) for sheet in REQUIRED}
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -46,23 +34,36 @@ def conform(df: DataFrame, schema) -> DataFrame:
     return df.select(*out)
 
 
-def write_dataset(path: str, dataset_id: str, name: str, samples: DataFrame, ast: DataFrame, by: str, at: str, country: str | None = None, main: bool = False) -> None:
-    """Samples, tests and then the registry row, so that a dataset is listed only once it is whole. Each write replaces what
-    an earlier attempt left of the dataset; the counts are those of the written files."""
-    spark = samples.sparkSession
+TABLES = {"samples": SAMPLES, "ast_results": AST, "datasets": DATASETS}
+
 
-    def put(table: str, df: DataFrame) -> None:
-        df.write.partitionBy("dataset_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{table}")
+def put(path: str, table: str, df: DataFrame) -> None:
+    """Rows of whole datasets into a table of the store; each dataset replaces what an earlier attempt left of it."""
+    conform(df, TABLES[table]).write.partitionBy("dataset_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{table}")
 
-    for table, df, schema in (("samples", samples, SAMPLES), ("ast_results", ast, AST)):
-        put(table, conform(df.withColumn("dataset_id", F.lit(dataset_id)), schema))
-    n_samples, n_tests = (scan(spark, path, table, dataset_id).count() for table in ("samples", "ast_results"))
-    put("datasets", spark.createDataFrame([(dataset_id, name, by, at, n_samples, n_tests, country, main)], DATASETS))
+
+def write_datasets(path: str, registry: DataFrame, samples: DataFrame, ast: DataFrame) -> None:
+    """The datasets that the registry lists, a write a table whatever their number: samples, tests and then the registry, so
+    that a dataset is listed only once it is whole. The registry's counts are those of the written files."""
+    spark, listed = registry.sparkSession, registry.select("dataset_id")
+    counts = registry.drop("rows_samples", "rows_tests")
+    for table, df, rows in (("samples", samples, "rows_samples"), ("ast_results", ast, "rows_tests")):
+        put(path, table, df.join(listed, "dataset_id", "left_semi"))
+        n = scan(spark, path, table).groupBy("dataset_id").agg(F.count("*").alias(rows))
+        counts = counts.join(n, "dataset_id", "left").withColumn(rows, F.coalesce(rows, F.lit(0)))
+    put(path, "datasets", counts)
+
+
+def write_dataset(path: str, dataset_id: str, name: str, samples: DataFrame, ast: DataFrame, by: str, at: str, country: str | None = None, main: bool = False) -> None:
+    """One dataset, as ``write_datasets`` does."""
+    own = F.lit(dataset_id)
+    registry = samples.sparkSession.createDataFrame([(dataset_id, name, by, at, None, None, country, main)], DATASETS)
+    write_datasets(path, registry, samples.withColumn("dataset_id", own), ast.withColumn("dataset_id", own))
 
 
 def scan(spark: SparkSession, path: str, table: str, dataset_id: str | None = None) -> DataFrame:
     """A table, or one dataset's partition of it."""
-    schema = {"samples": SAMPLES, "ast_results": AST, "datasets": DATASETS}[table]
+    schema = TABLES[table]
     df = spark.read.schema(schema).parquet(f"{path}/{table}").select(schema.names)
     return df if dataset_id is None else df.where(F.col("dataset_id") == dataset_id)
 
@@ -75,6 +76,11 @@ def delete_dataset(spark: SparkSession, path: str, dataset_id: str) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def health(spark: SparkSession, path: str) -> DataFrame:
     """One row: how many datasets the store lists."""
     return scan(spark, path, "datasets").agg(F.count("*").alias("datasets"))
@@ -108,5 +114,5 @@ def template(spark: SparkSession) -> dict[str, DataFrame]:
 
 
 def write_template(spark: SparkSession, path: str) -> None:
-    for sheet, df in template(spark).items():
-        df.drop("row_no").coalesce(1).write.mode("overwrite").csv(f"{path}/{sheet}", header=True)
+    """The example upload as a workbook with both sheets, in the folder ``path``."""
+    workbook.write_workbooks(template(spark), path, order="row_no")

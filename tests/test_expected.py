@@ -82,24 +82,3 @@ def test_gaps_are_there(spark, sf_dir):
     for df, cols in ((samples, ("region", "district", "source_category", "source_type")), (ast, ("organism", "antibiotic", "result", "test_date", "isolate_id"))):
         lacking = df.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in cols], F.count("*").alias("n")).first()
         assert all(0 < lacking[c] < lacking["n"] / 2 for c in cols)
-
-
-def test_template_files_are_read_back(spark, tmp_path):
-    io.write_template(spark, str(tmp_path / "t"))
-    for sheet, df in io.template(spark).items():
-        back = io.read_csv(spark, str(tmp_path / "t" / sheet))
-        key = ("sample_id",) if sheet == "samples" else ("isolate_id",)
-        assert [r[key[0]] for r in back.orderBy("row_no").collect()] == [r[key[0]] for r in df.orderBy("row_no").collect()]
-        assert set(back.columns) == set(df.columns) and back.agg(F.min("row_no")).first()[0] == 2
-
-
-def test_workbook(spark, tmp_path):
-    pytest.importorskip("openpyxl", reason="workbooks need openpyxl")
-    import pandas as pd
-
-    path = str(tmp_path / "upload.xlsx")
-    with pd.ExcelWriter(path) as book:
-        for sheet, df in io.template(spark).items():
-            df.drop("row_no").toPandas().to_excel(book, sheet_name=sheet, index=False)
-    assert io.sheet_names(path) == ["samples", "ast_results"]
-    assert io.read_workbook(spark, path)["samples"].select("sample_id", "row_no").first() == ("SAMPLE_001", 2)
