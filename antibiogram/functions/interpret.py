@@ -143,11 +143,13 @@ def _first(cases: list[tuple[Column, Column]]) -> Column:
     return out
 
 
-def interpret(ast: DataFrame, mode: str = "reference") -> DataFrame:
-    """``ast`` with interpreted_result, interpretation_guideline, interpretation_confidence, suspected_mechanism and
-    interpretation_notes. A guideline other than CLSI and EUCAST gives Unknown, "Unsupported guideline"."""
-    if mode not in ("reference", "intended"):
-        raise ValueError(f"no mode {mode!r}")
+#: What a rule is looked up by, and how many different ones may be matched apart from the tests.
+NAMES = ("organism", "antibiotic", "guideline", "method")
+FEW_NAMES = 100_000
+
+
+def _judged(ast: DataFrame, mode: str) -> DataFrame:
+    """Rows with the rule, the bounds and the mechanism of their names."""
     df = ast.withColumn("_org", normal_organism("organism"))
     rule = _first([(matches("_org", o, mode) & has("antibiotic", a), F.lit(n)) for n, (o, a) in enumerate(PAIRS)])
 
@@ -158,16 +160,41 @@ def interpret(ast: DataFrame, mode: str = "reference") -> DataFrame:
         return out
 
     mechanism = _first([(any_of("_org", o) & has("antibiotic", *a), F.lit(name)) for name, o, a, _ in MECHANISMS])
-    value = F.when(F.upper("method") == "MIC", F.col("mic_value")).when(F.upper("method") == "DD", F.col("zone_diameter"))
-    if mode == "intended":
-        value = F.when(~F.isnan(value), value)
-    df = df.withColumns({"_guide": F.upper("guideline"), "_method": F.upper("method"), "_rule": rule, "_mechanism": mechanism, "_given": value})
+    df = df.withColumns({"_guide": F.upper("guideline"), "_method": F.upper("method"), "_rule": rule, "_mechanism": mechanism})
     # The bounds are a fixed table of 68 rows. Joined, they also keep the matching from being repeated in later filters.
     listed = ", ".join(str(tuple("NULL" if r[k] is None else r[k] for k in ("nth", "guideline", "method", "s", "i_low", "i_high", "r"))).replace("'NULL'", "CAST(NULL AS DOUBLE)") for r in rules())
     bounds = df.sparkSession.sql(
         f"SELECT _rule, _guide, _method, CAST(s AS DOUBLE) AS _s, CAST(lo AS DOUBLE) AS _i_low, CAST(hi AS DOUBLE) AS _i_high, CAST(r AS DOUBLE) AS _r FROM VALUES {listed} AS b(_rule, _guide, _method, s, lo, hi, r)"
     )
-    df = df.join(F.broadcast(bounds), ["_rule", "_guide", "_method"], "left")
+    return df.join(F.broadcast(bounds), ["_rule", "_guide", "_method"], "left").drop("_org")
+
+
+def _matched(ast: DataFrame, mode: str, few: int) -> DataFrame:
+    """``_judged``, each name once: the tests' different names are few, so they are matched by themselves and joined to the tests by
+    broadcast. A table with more than ``few`` of them, and a stream, is matched row by row."""
+    if ast.isStreaming:
+        return _judged(ast, mode)
+    names = ast.select(*NAMES).distinct()
+    found = names.limit(few + 1).collect()
+    if len(found) > few:
+        return _judged(ast, mode)
+    judged = _judged(ast.sparkSession.createDataFrame(found, names.schema), mode)
+    judged = judged.select(*[F.col(c).alias(f"_of_{c}") for c in NAMES], *[c for c in judged.columns if c not in NAMES])
+    on = F.lit(True)
+    for c in NAMES:
+        on = on & F.col(c).eqNullSafe(F.col(f"_of_{c}"))
+    return ast.join(F.broadcast(judged), on).drop(*[f"_of_{c}" for c in NAMES])
+
+
+def interpret(ast: DataFrame, mode: str = "reference", few_names: int = FEW_NAMES) -> DataFrame:
+    """``ast`` with interpreted_result, interpretation_guideline, interpretation_confidence, suspected_mechanism and
+    interpretation_notes. A guideline other than CLSI and EUCAST gives Unknown, "Unsupported guideline"."""
+    if mode not in ("reference", "intended"):
+        raise ValueError(f"no mode {mode!r}")
+    value = F.when(F.upper("method") == "MIC", F.col("mic_value")).when(F.upper("method") == "DD", F.col("zone_diameter"))
+    if mode == "intended":
+        value = F.when(~F.isnan(value), value)
+    df = _matched(ast, mode, few_names).withColumn("_given", value)
     v, mic = F.when(~F.isnan("_given"), F.col("_given")), F.col("_method") == "MIC"
     between = v.between(F.col("_i_low"), F.col("_i_high"))
     result = (
@@ -191,7 +218,7 @@ def interpret(ast: DataFrame, mode: str = "reference") -> DataFrame:
         .otherwise(F.concat(F.lit("Based on "), F.col("_method"), F.lit(" value: "), F.col("_given").cast("string")))
     )
     df = df.withColumns({"interpretation_guideline": label, "interpretation_confidence": confidence, "interpretation_notes": notes})
-    return df.drop("_org", "_guide", "_method", "_rule", "_mechanism", "_given", "_s", "_i_low", "_i_high", "_r")
+    return df.drop("_guide", "_method", "_rule", "_mechanism", "_given", "_s", "_i_low", "_i_high", "_r")
 
 
 def fill_results(ast: DataFrame, mode: str = "reference") -> DataFrame:

@@ -124,6 +124,19 @@ def report_rates(ast: DataFrame, *dims: str, digits: int = 1, whole: str = "resu
     return out.orderBy(F.desc("resistance_rate"), *dims)
 
 
+def report_rates_of(ast: DataFrame, samples: DataFrame, *dims: str, digits: int = 1) -> DataFrame:
+    """``report_rates`` of each of these dimensions, of tests or of their samples: (dimension, value, total_tests, resistant_count,
+    resistance_rate), all by one pass over the tests, one join and one aggregation."""
+    rows = with_dims(ast, samples, *[d for d in dims if d not in ast.columns]).select(*dims, "result")
+    which = F.coalesce(*[F.when(F.grouping(d) == 0, F.lit(d)) for d in dims])
+    value = F.coalesce(*[F.when(F.grouping(d) == 0, F.col(d).cast("string")) for d in dims])
+    n = F.count("result")
+    out = rows.groupingSets([[F.col(d)] for d in dims], *dims).agg(
+        which.alias("dimension"), value.alias("value"), n.alias("total_tests"), n_of("R").alias("resistant_count"), percent(n_of("R"), n, digits).alias("resistance_rate")
+    )
+    return known(out, "value").select("dimension", "value", "total_tests", "resistant_count", "resistance_rate").orderBy("dimension", F.desc("resistance_rate"), "value")
+
+
 def top_per_group(rates: DataFrame, group: str, item: str, n: int | None, rate: str = "resistance_rate") -> DataFrame:
     """The n items of each group with the highest rate (all, if there is no n), and their rank."""
     w = Window.partitionBy(group).orderBy(F.desc(rate), item)
@@ -153,22 +166,10 @@ def period(date: str, kind: str):
     return F.date_format(c, {"month": "yyyy-MM", "year": "yyyy"}[kind])
 
 
-def trend(ast: DataFrame, kind: str = "month") -> DataFrame:
-    """Percentages of R, I and S (of S + I + R) for each period with dated tests, in order."""
-    return shares(known(ast, "test_date").withColumn("period", period("test_date", kind)), "period").orderBy("period")
-
-
 def rate_range(rates: DataFrame, dim: str) -> DataFrame:
     return rates.agg(F.min("resistance_rate").alias("lowest"), F.max("resistance_rate").alias("highest")).select(F.lit(dim).alias("dimension"), "lowest", "highest")
 
 
-def seasons(ast: DataFrame) -> DataFrame:
-    """Dry (November to March) and wet season: tests and R%; 0 without rows."""
-    dry = F.month("test_date").isin(11, 12, 1, 2, 3)
-    rate = lambda c: F.coalesce(percent(F.count_if(c & (F.col("result") == "R")), F.count_if(c)), F.lit(0.0))
-    return known(ast, "test_date").agg(F.count_if(dry).alias("dry_tests"), F.count_if(~dry).alias("wet_tests"), rate(dry).alias("dry_rate"), rate(~dry).alias("wet_rate"))
-
-
 def date_range(ast: DataFrame) -> DataFrame:
     return ast.agg(F.min("test_date").alias("first_date"), F.max("test_date").alias("last_date"), F.count("test_date").alias("dated_tests"))
 

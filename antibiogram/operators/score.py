@@ -21,7 +21,9 @@ ALTERNATIVES = {
 }
 
 
-#: Into how many parts the day in the middle is split before any of its keys are put in order.
+#: Keys that a single task may put in order.
+ORDERED_KEYS = 1_000_000
+#: Into how many parts a day of more rows is split before any of its keys are put in order.
 SPLITS = 256
 
 
@@ -31,32 +33,52 @@ def _with_before(counts: DataFrame, *order: str) -> DataFrame:
     return counts.withColumn("before", F.coalesce(F.sum("n").over(upto), F.lit(0)))
 
 
-def _halves(counts: DataFrame) -> DataFrame:
-    """n and r of the first ``take`` rows and of the others; where a row of counts is cut in two, all or none of it is R."""
-    early = F.greatest(F.lit(0), F.least(F.col("n"), F.col("take") - F.col("before")))
-    early_r = F.when(early == F.col("n"), F.col("r")).otherwise(F.least(early, F.col("r")))
-    return counts.select(early.alias("n1"), early_r.alias("r1"), (F.col("n") - early).alias("n2"), (F.col("r") - early_r).alias("r2"))
+def _middle_part(day: DataFrame, take: int, counted: list[Column], sums: list[int]) -> tuple[DataFrame, int]:
+    """The part of a day in which its rank ``take`` lies, and the rank in it; the other parts are added to ``sums``.
 
-
-def half_trend(ast: DataFrame) -> DataFrame:
+    Parts begin at keys of the day drawn by hash, so they are the same however often they are computed. The driver gets
+    at most SPLITS keys and as many counts."""
+    drawn = day.groupBy(F.pmod(F.xxhash64("key"), F.lit(SPLITS))).agg(F.max_by("key", F.xxhash64("key", F.lit(1))).alias("key"))
+    names = ("isolate_id", "antibiotic", "result")
+    points = F.array(*[F.struct(*[F.lit(key[n]).cast("string").alias(n) for n in names]) for _, key in drawn.collect()])
+    parted = day.withColumn("part", F.size(F.filter(points, lambda p: p < F.col("key"))))
+    middle = None
+    for part, n, r in sorted(map(tuple, parted.groupBy("part").agg(*counted).collect())):
+        if middle is None and take < n:
+            middle = part
+            continue
+        half = 0 if middle is None else 2
+        sums[half] += n
+        sums[half + 1] += r
+        take -= n if middle is None else 0
+    return (day.limit(0) if middle is None else parted.where(F.col("part") == middle)), take
+
+
+def half_trend(ast: DataFrame, ordered_keys: int = ORDERED_KEYS) -> DataFrame:
     """Mean R% of the later half of dated tests against the earlier one, in order of (test_date, isolate_id, antibiotic, result).
 
-    The halves meet at rank n div 2. Days are counted, then parts of the day that holds that rank, then keys of the part that
-    holds it: no row is ranked, equal rows are one count, and the task that puts keys in order gets 1/256 of one day's.
-    The parts begin at keys of that day drawn by hash, so they are the same however often they are computed."""
+    The halves meet at rank n div 2. A job counts days and finds the one that holds that rank; the frame returned reads that day
+    alone, whose distinct keys with their counts are put in order. A day of more than ``ordered_keys`` rows is first narrowed
+    to one of SPLITS parts, so no task orders a hot day."""
     rows = known(ast, "test_date").select("test_date", "result", F.struct("isolate_id", "antibiotic", "result").alias("key"))
     counted = [F.count("*").alias("n"), n_of("R").alias("r")]
-    cut = (F.col("before") < F.col("take")) & (F.col("before") + F.col("n") > F.col("take"))
     days = _with_before(rows.groupBy("test_date").agg(*counted), "test_date").withColumn("take", F.floor(F.sum("n").over(Window.partitionBy()) / 2))
-    day = rows.join(F.broadcast(days.where(cut).select("test_date", (F.col("take") - F.col("before")).alias("take"))), "test_date")  # one row
-    drawn = day.groupBy(F.pmod(F.xxhash64("key"), F.lit(SPLITS))).agg(F.max_by("key", F.xxhash64("key", F.lit(1))).alias("key"))
-    points = drawn.agg(F.sort_array(F.collect_list("key")).alias("points"))  # one row of at most SPLITS keys
-    parted = day.join(F.broadcast(points)).withColumn("part", F.size(F.filter("points", lambda p: p < F.col("key")))).drop("points")
-    parts = _with_before(parted.groupBy("part", "take").agg(*counted), "part")
-    inside = parted.drop("take").join(F.broadcast(parts.where(cut).select("part", (F.col("take") - F.col("before")).alias("take"))), "part")  # one row
-    keys = _with_before(inside.groupBy("key", "take").agg(F.count("*").alias("n"), F.count_if(F.col("key.result") == "R").alias("r")), "key")
-    halves = _halves(days.where(~cut)).unionByName(_halves(parts.where(~cut))).unionByName(_halves(keys))
-    out = halves.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n1", "r1", "n2", "r2")])
+    is_cut = (F.col("before") <= F.col("take")) & (F.col("before") + F.col("n") > F.col("take"))
+    early, late = F.col("before") < F.col("take"), F.col("before") >= F.col("take")
+    found = days.agg(
+        F.max(F.when(is_cut, F.struct("test_date", F.col("n").alias("n"), (F.col("take") - F.col("before")).alias("take")))).alias("cut"),
+        *[F.coalesce(F.sum(F.when(side & ~is_cut, F.col(c))), F.lit(0)).alias(f"{c}{k}") for k, side in ((1, early), (2, late)) for c in ("n", "r")],
+    ).first()  # one row, of counts by day
+    sums, take, day = [found.n1, found.r1, found.n2, found.r2], 0, rows.limit(0)
+    if found.cut is not None:
+        take, day = found.cut.take, rows.where(F.col("test_date") == F.lit(found.cut.test_date))
+        if found.cut.n > ordered_keys:
+            day, take = _middle_part(day, take, counted, sums)
+    keys = _with_before(day.groupBy("key").agg(F.count("*").alias("n"), F.count_if(F.col("key.result") == "R").alias("r")), "key")
+    first = F.greatest(F.lit(0), F.least(F.col("n"), F.lit(take) - F.col("before")))  # of a key's rows, which are alike
+    first_r = F.when(F.col("r") > 0, first).otherwise(0)
+    halves = keys.select(first.alias("n1"), first_r.alias("r1"), (F.col("n") - first).alias("n2"), (F.col("r") - first_r).alias("r2"))
+    out = halves.agg(*[(F.coalesce(F.sum(c), F.lit(0)) + F.lit(s)).alias(c) for c, s in zip(("n1", "r1", "n2", "r2"), sums, strict=True)])
     change = percent(F.col("r2"), F.col("n2")) - percent(F.col("r1"), F.col("n1"))
     enough = F.col("n1") + F.col("n2") >= 2
     return out.select(
@@ -134,27 +156,6 @@ def burden(samples: DataFrame, ast: DataFrame) -> DataFrame:
     )
 
 
-def forecast(ast: DataFrame, periods: int = 3) -> DataFrame:
-    """A least-squares line through the monthly R% (months with tests only, numbered 0, 1, ...) and its next values; one
-    row with an error where there are under 3 dated tests or 2 months."""
-    months = known(ast, "test_date").groupBy(F.trunc("test_date", "MM").alias("month")).agg(percent(n_of("R"), F.count("result")).alias("rate"), F.count("*").alias("n"))
-    numbered = months.withColumn("x", (F.row_number().over(Window.orderBy("month")) - 1).cast("double"))  # one row a month
-    line = numbered.agg(
-        F.regr_slope("rate", "x").alias("slope"), F.regr_intercept("rate", "x").alias("intercept"), F.count("*").alias("months"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")
-    )
-    error = F.when(F.col("n") < 3, "Insufficient data for forecast").when(F.col("months") < 2, "Insufficient monthly data for forecast")
-    ahead = F.when(error.isNull(), F.sequence(F.lit(1), F.lit(periods))).otherwise(F.array(F.lit(None).cast("int")))
-    value = F.round(F.col("slope") * (F.col("months") - 1 + F.col("months_ahead")) + F.col("intercept"), 2)
-    return line.withColumn("error", error).withColumn("months_ahead", F.explode(ahead)).select(
-        "months_ahead",
-        F.when(F.col("error").isNull(), F.greatest(F.lit(0.0), F.least(F.lit(100.0), value))).alias("predicted_resistance_rate"),
-        F.when(F.col("error").isNull(), F.when(F.col("slope") > 0, "increasing").otherwise("decreasing")).alias("trend"),
-        F.when(F.col("error").isNull(), F.round("slope", 4)).alias("trend_slope"),
-        F.when(F.col("error").isNull(), F.when(F.col("months") >= 6, "moderate").otherwise("low")).alias("confidence"),
-        "error",
-    )
-
-
 def kpis(samples: DataFrame, ast: DataFrame, as_of: str) -> DataFrame:
     """One row of indicators as of a date: counts, diversity, tests of the last 30 days (no upper end), coverage."""
     recent = F.count_if(F.col("test_date") >= F.date_sub(F.lit(as_of).cast("date"), 30))

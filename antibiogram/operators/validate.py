@@ -70,15 +70,6 @@ def _out_of_range() -> tuple[str, list[tuple[Column, Column]]]:
     return "row", [(bad, F.concat_ws(", ", "latitude", "longitude"))]
 
 
-def _duplicates(df: DataFrame, *keys: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.count("*").alias("n"), F.min("row_no").alias("row_no")).where(F.col("n") > 1).select("row_no", F.concat_ws(" / ", *keys).alias("value"))
-
-
-def _orphans(ast: DataFrame, samples: DataFrame) -> DataFrame:
-    lost = ast.where(F.col("sample_id").isNotNull()).join(samples.select("sample_id").distinct(), "sample_id", "left_anti")
-    return lost.groupBy(F.col("sample_id").alias("value")).agg(F.min("row_no").alias("row_no"))
-
-
 #: rule -> (sheet, what a report names, [(whether a row is at fault, the value that is reported)]). What a report names:
 #: each ``row``, each distinct ``value`` with its first row, the ``first`` row, or the first row of the first ``column``.
 ROW_RULES: dict[str, tuple[str, Callable[[], tuple[str, list[tuple[Column, Column]]]]]] = {
@@ -95,44 +86,50 @@ ROW_RULES: dict[str, tuple[str, Callable[[], tuple[str, list[tuple[Column, Colum
     "v_a_mic_num": ("ast_results", lambda: _bad_numbers("mic_value")),
     "v_a_zone_num": ("ast_results", lambda: _bad_numbers("zone_diameter")),
 }
-#: rule -> (sheet, function of (samples, ast) that gives row_no and value): rules that look at several rows.
-TABLE_RULES: dict[str, tuple[str, Callable[[DataFrame, DataFrame], DataFrame]]] = {
-    "v_s_dup": ("samples", lambda s, a: _duplicates(s.where(F.col("sample_id").isNotNull()), "sample_id")),
-    "v_a_dup": ("ast_results", lambda s, a: _duplicates(a, "isolate_id", "antibiotic")),
-    "v_a_orphan": ("ast_results", lambda s, a: _orphans(a, s)),
+#: rule -> (sheet, key): rules that look at several rows. Rows with one key meet; which of their groups is at fault, and what is
+#: reported of it, ``_table_faults`` tells.
+TABLE_RULES: dict[str, tuple[str, tuple[str, ...]]] = {
+    "v_s_dup": ("samples", ("sample_id",)),
+    "v_a_dup": ("ast_results", ("isolate_id", "antibiotic")),
+    "v_a_orphan": ("ast_results", ("sample_id",)),
 }
 RULES = {name: sheet for rules in (ROW_RULES, TABLE_RULES) for name, (sheet, _) in rules.items()}
 
 
-def _row_faults(df: DataFrame, sheet: str, names: list[str]) -> DataFrame:
-    """What these rules find in one sheet, by one pass over it and one aggregation."""
-    faults = []
-    for name in names:
+def _entry(name: str, group: Column, case: int, value: Column, is_test: bool = False) -> Column:
+    """What a row adds to a rule's group: the least ``at`` of a group is reported."""
+    at = F.struct(F.lit(case).alias("case"), F.col("row_no").cast("long").alias("row_no"), value.cast("string").alias("value"))
+    return F.struct(F.lit(name).alias("rule_id"), group.cast("array<string>").alias("group"), at.alias("at"), F.lit(is_test).alias("is_test"))
+
+
+def _entries(df: DataFrame, sheet: str, names: list[str]) -> DataFrame:
+    """The entries of one sheet's rows: faults of a row, and its keys for rules that look at several."""
+    found = []
+    for name in (n for n in names if n in ROW_RULES and RULES[n] == sheet):
         kind, cases = ROW_RULES[name][1]()
         for k, (bad, value) in enumerate(cases):
-            group = F.col("row_no").cast("string") if kind == "row" else value.cast("string") if kind == "value" else F.lit("")
-            fault = F.struct(F.lit(name).alias("rule_id"), group.alias("group"), F.struct(F.lit(k).alias("case"), F.col("row_no").cast("long").alias("row_no"), value.cast("string").alias("value")).alias("at"))
-            faults.append(F.when(bad, fault))
-    found = df.select(F.explode(F.array_compact(F.array(*faults))).alias("f")).groupBy("f.rule_id", "f.group").agg(F.min("f.at").alias("at"))
-    return found.select("rule_id", F.lit(sheet).alias("sheet"), "at.row_no", "at.value")
+            group = F.col("row_no") if kind == "row" else value if kind == "value" else F.lit("")
+            found.append(F.when(bad, _entry(name, F.array(group.cast("string")), k, value)))
+    for name in (n for n in names if n in TABLE_RULES):
+        own, key = TABLE_RULES[name]
+        if own == sheet or name == "v_a_orphan":  # whose samples are looked for in the other sheet
+            entry = _entry(name, F.array(*key), 0, F.concat_ws(" / ", *key), sheet == "ast_results")
+            found.append(entry if len(key) > 1 else F.when(F.col(key[0]).isNotNull(), entry))
+    return df.select(F.explode(F.array_compact(F.array(*found))).alias("e")).select("e.*")
 
 
 def rules(names: list[str], samples: DataFrame, ast: DataFrame) -> DataFrame:
-    """rule_id, sheet, row_no and value of what these rules find."""
-    sheets = {"samples": trimmed(samples), "ast_results": trimmed(ast)}
-    found = []
-    for sheet, df in sheets.items():
-        own = [n for n in names if n in ROW_RULES and RULES[n] == sheet]
-        if own:
-            found.append(_row_faults(df, sheet, own))
-    for name in names:
-        if name in TABLE_RULES:
-            rows = TABLE_RULES[name][1](sheets["samples"], sheets["ast_results"])
-            found.append(rows.select(F.lit(name).alias("rule_id"), F.lit(RULES[name]).alias("sheet"), F.col("row_no").cast("long"), F.col("value").cast("string")))
-    out = found[0]
-    for df in found[1:]:
-        out = out.unionByName(df)
-    return out
+    """rule_id, sheet, row_no and value of what these rules find: each sheet is read once, and one aggregation serves all.
+
+    A key that repeats is a duplicate; a test's sample is lost if no entry of its group came from the samples."""
+    sheets = {"samples": samples, "ast_results": ast}
+    read = [s for s in sheets if s in {RULES[n] for n in names} or "v_a_orphan" in names]
+    entries = [_entries(trimmed(sheets[s]), s, names) for s in read]
+    both = entries[0].unionByName(entries[1]) if len(entries) > 1 else entries[0]
+    groups = both.groupBy("rule_id", "group").agg(F.min("at").alias("at"), F.count("*").alias("n"), F.bool_and("is_test").alias("lost"))
+    at_fault = F.when(F.col("rule_id").isin("v_s_dup", "v_a_dup"), F.col("n") > 1).when(F.col("rule_id") == "v_a_orphan", F.col("lost")).otherwise(True)
+    sheet = F.when(F.col("rule_id").isin(*[n for n, s in RULES.items() if s == "samples"]), "samples").otherwise("ast_results")
+    return groups.where(at_fault).select("rule_id", sheet.alias("sheet"), "at.row_no", "at.value")
 
 
 def rule(name: str, samples: DataFrame, ast: DataFrame) -> DataFrame:

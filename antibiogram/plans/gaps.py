@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from antibiogram.operators import compare, detect, filters, rates, score
+from antibiogram.operators import compare, detect, filters, months, rates, score
 
 
 def _unless(gap: Column, col: str) -> Column:
@@ -96,7 +96,7 @@ QUERIES: dict[str, tuple[Callable[[DataFrame, DataFrame], DataFrame], str]] = {
         "SELECT antibiotic, CAST(sum(resistant) AS BIGINT) AS resistant, CAST(sum(total) AS BIGINT) AS total, round(100.0E0 * sum(resistant) / sum(total), 2) AS resistance_rate FROM (" + PAIRS + ") GROUP BY antibiotic",
     ),
     "gaps_category": (lambda s, a: rates.shares(_by(s, a, "source_category"), "source_category"), _shares("source_category", "gj")),
-    "gaps_trend_month": (lambda s, a: rates.trend(a), _shares("period", "(SELECT *, strftime(test_date, '%Y-%m') AS period FROM ga)")),
+    "gaps_trend_month": (lambda s, a: months.trend(months.counts(a)), _shares("period", "(SELECT *, strftime(test_date, '%Y-%m') AS period FROM ga)")),
     "gaps_region": (
         lambda s, a: rates.place_table(_by(s, a, "region"), "region"),
         f"SELECT region, count(*) AS total, {S} AS susceptible, {I} AS intermediate, {R} AS resistant, round({RATE}, 2) AS percent_resistant FROM gj WHERE region IS NOT NULL AND result IS NOT NULL GROUP BY region",
@@ -122,7 +122,7 @@ QUERIES: dict[str, tuple[Callable[[DataFrame, DataFrame], DataFrame], str]] = {
         "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY region ORDER BY resistance_rate DESC, organism) AS rank FROM (" + _by_rows("region, organism", "region IS NOT NULL AND organism IS NOT NULL") + ")) WHERE rank <= 5",
     ),
     "gaps_season": (
-        lambda s, a: rates.seasons(a).select("dry_tests", "wet_tests", "dry_rate"),
+        lambda s, a: months.seasons(months.counts(a)).select("dry_tests", "wet_tests", "dry_rate"),
         "SELECT count(*) FILTER (WHERE d) AS dry_tests, count(*) FILTER (WHERE NOT d) AS wet_tests, 100.0E0 * count(*) FILTER (WHERE d AND result = 'R') / count(*) FILTER (WHERE d) AS dry_rate FROM (SELECT *, month(test_date) IN (11, 12, 1, 2, 3) AS d FROM ga WHERE test_date IS NOT NULL)",
     ),
     "gaps_topn_organism": (

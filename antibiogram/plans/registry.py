@@ -6,6 +6,8 @@ An entry is (function of the tables, SQL body); the SQL reads the adapter's CTEs
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 from collections.abc import Callable
 from functools import cached_property
 
@@ -13,16 +15,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from antibiogram.functions import interpret as ip
-from antibiogram.operators import compare, detect, filters, rates, score, validate
-from antibiogram.sources import adapter, catalog, io
+from antibiogram.operators import compare, detect, filters, months, rates, score, validate
+from antibiogram.sources import adapter, catalog, io, mart, merging, workbook
 
 from . import assistant, gaps, uploads
 
 
-EVERY = ("DS0", "DS1", "DS2", "DS3")
 _STORES: dict[tuple, str] = {}
 
 
+def _delete_folders(spark: SparkSession) -> None:
+    for path in _STORES.values():
+        with contextlib.suppress(Exception):  # the JVM may have ended before
+            io.delete_folder(spark, path)
+
+
+def _mart_name(path: str) -> str:
+    return "mart_" + path.rpartition("-")[2]
+
+
 class Tables:
     """The tables of one directory, each planned once."""
 
@@ -30,32 +41,79 @@ class Tables:
         self.spark, self.dir = spark, sf_dir
 
     @cached_property
+    def _mart(self) -> tuple[DataFrame, DataFrame]:
+        """(samples, tests) as bucketed tables, written from the order tables once in an application."""
+
+        def write(path: str) -> None:
+            samples, tests = adapter.samples(self.spark, self.dir), adapter.tests(self.spark, self.dir)
+            cores = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+            n = adapter.table(self.spark, self.dir, "lineitem").count()
+            mart.write(_mart_name(path), path, samples, tests, mart.buckets_for(n, cores))
+
+        return mart.read(self.spark, _mart_name(self.folder("mart", write)))
+
+    @property
     def samples(self) -> DataFrame:
-        return adapter.samples(self.spark, self.dir)
+        return self._mart[0]
 
-    @cached_property
+    @property
     def ast(self) -> DataFrame:
-        return adapter.tests(self.spark, self.dir)
+        return self._mart[1]
 
     @cached_property
     def datasets(self) -> DataFrame:
-        return adapter.datasets(self.spark, self.dir)
+        return adapter.datasets(self.samples, self.ast)
+
+    @property
+    def months(self) -> DataFrame:
+        """The stored counts by month, one refresh a dataset."""
 
-    def store(self, *ids: str) -> str:
-        """A store of these datasets, written by ``io.write_dataset`` once in an application."""
-        key = (self.spark.sparkContext.applicationId, self.dir, ids)
+        def write(path: str) -> None:
+            for d in [r.dataset_id for r in self.datasets.select("dataset_id").collect()]:  # a row a dataset
+                months.refresh(path, self.ast, d)
+
+        return months.read(self.spark, self.folder("months", write))
+
+    def folder(self, use: str, write: Callable[[str], None], anew: bool = False) -> str:
+        """A folder that ``write`` fills once in an application, or anew with each call; deleted at the end of the process."""
+        key = (self.spark.sparkContext.applicationId, self.dir, use)
+        if anew and key in _STORES:
+            io.delete_folder(self.spark, _STORES.pop(key))
         if key not in _STORES:
+            if not _STORES:
+                atexit.register(_delete_folders, self.spark)
             path = io.store_folder(self.spark)
-            for r in self.datasets.where(F.col("dataset_id").isin(*ids)).collect():  # a row a dataset
-                own = F.col("dataset_id") == r.dataset_id
-                io.write_dataset(path, r.dataset_id, r.dataset_name, self.samples.where(own), self.ast.where(own), r.uploaded_by, r.uploaded_at, r.country, r.is_country_main)
+            write(path)
             _STORES[key] = path
         return _STORES[key]
 
+    def store(self, use: str = "scan", anew: bool = False) -> str:
+        """A store of all datasets."""
+        return self.folder(use, lambda path: io.write_datasets(path, self.datasets, self.samples, self.ast), anew)
+
+    def merged_store(self) -> str:
+        """A store in which DS1 was merged into DS0, by a call that is made twice."""
+
+        def write(path: str) -> None:
+            io.write_datasets(path, self.datasets, self.samples, self.ast)
+            if not merging.merge_stored(self.spark, path, "DS1", "DS0") or merging.merge_stored(self.spark, path, "DS1", "DS0"):
+                raise RuntimeError("a merge happens once")
+
+        return self.folder("merge", write)
+
+    def uploaded(self, sheet: str) -> DataFrame:
+        """A sheet of eight uploaded workbooks, written from the order tables and read again."""
+
+        def write(path: str) -> None:
+            sheets = {"samples": uploads.samples(self.spark, self.dir), "ast_results": uploads.tests(self.spark, self.dir)}
+            workbook.write_workbooks({s: df.withColumn("file", F.concat(F.lit("upload-"), uploads.file_no(s))) for s, df in sheets.items()}, path, "file", "row_no")
+
+        return io.read_workbook(self.spark, self.folder("uploads", write))[sheet]
+
     def scan(self, table: str, dataset_id: str | None = None) -> DataFrame:
         """The stored table, as far as the adapter has its columns."""
         names = {"samples": self.samples, "ast_results": self.ast}[table].columns
-        return io.scan(self.spark, self.store(*EVERY), table, dataset_id).select(names)
+        return io.scan(self.spark, self.store(), table, dataset_id).select(names)
 
     def by(self, *dims: str) -> DataFrame:
         return rates.with_dims(self.ast, self.samples, *dims)
@@ -193,21 +251,37 @@ DRY = "month(test_date) IN (11, 12, 1, 2, 3)"
 CASE_HALF = "(SELECT *, row_number() OVER (ORDER BY test_date, isolate_id, antibiotic) AS rn, count(*) OVER () // 2 AS half FROM ast WHERE test_date IS NOT NULL)"
 TREND_LABEL = {"month": "strftime(test_date, '%Y-%m')", "quarter": "year(test_date) || ' Q' || quarter(test_date)", "year": "CAST(year(test_date) AS VARCHAR)"}
 MERGED = """(SELECT 'DS0' AS dataset_id, CASE WHEN dataset_id = 'DS1' THEN 'DS1-' || sample_id ELSE sample_id END AS sample_id, {} FROM {} WHERE dataset_id IN ('DS0', 'DS1'))"""
+MERGED_REGISTRY = "SELECT * REPLACE (CASE WHEN dataset_id = 'DS0' THEN rows_samples + (SELECT rows_samples FROM datasets WHERE dataset_id = 'DS1') ELSE rows_samples END AS rows_samples, CASE WHEN dataset_id = 'DS0' THEN rows_tests + (SELECT rows_tests FROM datasets WHERE dataset_id = 'DS1') ELSE rows_tests END AS rows_tests) FROM datasets"
 RANGE = " UNION ALL ".join(f"SELECT '{d}' AS dimension, min(resistance_rate) AS lowest, max(resistance_rate) AS highest FROM ({_report(d)})" for d in ("region", "source_category"))
 OPTIONS = {"region": "samples", "district": "samples", "site_type": "samples", "source_category": "samples", "source_type": "samples", "organism": "ast", "antibiotic": "ast"}
 REPORT_SQL = """SELECT ast.isolate_id, ast.antibiotic, ast.result, ast.test_date FROM ast WHERE organism IN ('Escherichia coli', 'Staphylococcus aureus') AND test_date BETWEEN DATE '1994-01-01' AND DATE '1995-12-31'
   AND EXISTS (SELECT 1 FROM samples s WHERE s.sample_id = ast.sample_id AND s.dataset_id = ast.dataset_id AND region IN ('ASIA', 'AFRICA') AND source_category = 'HUMAN')"""
 ALT = "CASE antibiotic " + " ".join(f"WHEN '{k}' THEN [{', '.join(repr(x) for x in v)}]" for k, v in score.ALTERNATIVES.items()) + " ELSE ['Consult specialist'] END"
 BURDEN = f"SELECT source_category, {R} AS r, count(*) AS n FROM {J} GROUP BY source_category"
+REPORT_DIMS = ("organism", "antibiotic", "region", "district", "source_category", "site_type", "source_type")
 RECENT_COLS = ("isolate_id", "antibiotic", "organism", "result", "test_date")
 
 
 ASKED = ("resistance rate of this bacteria", "best treatment", "mechanism behind it", "weather")
 
 
+def _merged_sql(columns: str, table: str) -> str:
+    """All stored rows, and those of DS1 once more as DS0's."""
+    ids = "CASE WHEN new THEN 'DS0' ELSE dataset_id END AS dataset_id, CASE WHEN new THEN 'DS1-' || sample_id ELSE sample_id END AS sample_id"
+    return f"SELECT {ids}, {columns} FROM (SELECT *, FALSE AS new FROM {table} UNION ALL SELECT *, TRUE FROM {table} WHERE dataset_id = 'DS1')"
+
+
+def _template_used(t: Tables) -> DataFrame:
+    """The template's tests as read back from its workbook, with how often the tables have their antibiotics."""
+    path = t.folder("template", lambda p: io.write_template(t.spark, p))
+    tests = io.read_workbook(t.spark, path)["ast_results"].select("sample_id", "isolate_id", "antibiotic", "result", "mic_value", "zone_diameter", "row_no")
+    seen = t.ast.groupBy("antibiotic").agg(F.count("*").alias("tests"), F.count_if(F.col("result") == "R").alias("resistant"))
+    return tests.join(seen, "antibiotic", "left").withColumn("tests", F.coalesce("tests", F.lit(0)))
+
+
 def _deleted(t: Tables) -> DataFrame:
     """What is left of a store of its own, from which one dataset was deleted."""
-    path = t.store("DS2", *EVERY)
+    path = t.store("delete", anew=True)
     io.delete_dataset(t.spark, path, "DS2")
     return io.scan(t.spark, path, "ast_results").groupBy("dataset_id").agg(F.count("*").alias("tests"))
 
@@ -302,14 +376,23 @@ ENTRIES: dict[str, Entry] = {
         "SELECT * REPLACE (CASE WHEN dataset_id = 'DS3' THEN TRUE ELSE is_country_main END AS is_country_main, CASE WHEN dataset_id = 'DS3' THEN 'Benin' ELSE country END AS country) FROM datasets",
     ),
     "sink_dataset": (
-        lambda t: io.scan(t.spark, t.store(*EVERY), "datasets").select("dataset_id", "dataset_name", "rows_samples", "rows_tests", "country", "is_country_main"),
+        lambda t: io.scan(t.spark, t.store(), "datasets").select("dataset_id", "dataset_name", "rows_samples", "rows_tests", "country", "is_country_main"),
         "SELECT dataset_id, dataset_name, rows_samples, rows_tests, country, is_country_main FROM datasets",
     ),
     "del_dataset": (_deleted, "SELECT dataset_id, count(*) AS tests FROM ast WHERE dataset_id <> 'DS2' GROUP BY dataset_id"),
-    "src_health": (lambda t: io.health(t.spark, t.store(*EVERY)), "SELECT count(*) AS datasets FROM datasets"),
+    "src_health": (lambda t: io.health(t.spark, t.store()), "SELECT count(*) AS datasets FROM datasets"),
     "sink_template": (
-        lambda t: io.template(t.spark)["samples"].select("sample_id", "region", "source_category", "row_no"),
-        "SELECT * FROM (VALUES ('SAMPLE_001', 'Ashanti', 'ENVIRONMENT', CAST(2 AS BIGINT)), ('SAMPLE_002', 'Greater Accra', 'FOOD', 3), ('SAMPLE_003', 'Eastern', 'HUMAN', 4)) AS x(sample_id, region, source_category, row_no)",
+        _template_used,
+        """SELECT x.*, coalesce(tests, 0) AS tests, resistant FROM (VALUES
+          ('SAMPLE_001', 'ISO_001', 'Ampicillin', 'R', NULL, '15.0', CAST(2 AS BIGINT)), ('SAMPLE_001', 'ISO_002', 'Ciprofloxacin', 'S', NULL, '28.0', 3), ('SAMPLE_002', 'ISO_003', 'Ampicillin', 'I', '0.5', NULL, 4))
+          AS x(sample_id, isolate_id, antibiotic, result, mic_value, zone_diameter, row_no)
+        LEFT JOIN (SELECT antibiotic, count(*) AS tests, count(*) FILTER (WHERE result = 'R') AS resistant FROM ast GROUP BY antibiotic) t ON t.antibiotic = x.antibiotic""",
+    ),
+    "src_excel_load": (lambda t: t.uploaded("samples"), uploads.SHEET_SQL["samples"]),
+    "src_excel_load_tests": (lambda t: t.uploaded("ast_results").drop("row_no"), uploads.SHEET_SQL["ast_results"]),
+    "agg_report_dims": (
+        lambda t: rates.report_rates_of(t.ast, t.samples, *REPORT_DIMS),
+        " UNION ALL ".join(f"SELECT '{d}' AS dimension, {d} AS value, total_tests, resistant_count, resistance_rate FROM ({_report(d)})" for d in REPORT_DIMS),
     ),
     "v_empty": (
         lambda t: validate.structure(t.spark, uploads.samples(t.spark, t.dir).limit(0), uploads.tests(t.spark, t.dir)),
@@ -331,7 +414,16 @@ ENTRIES: dict[str, Entry] = {
         lambda t: assistant.routed(t.datasets.select(F.concat(F.lit("What is the "), F.element_at(F.array(*[F.lit(q) for q in ASKED]), F.substring("dataset_id", 3, 9).cast("int") + 1)).alias("question"))),
         "SELECT 'What is the ' || q AS question, topic FROM (VALUES (0, 'resistance rate of this bacteria', 'summary'), (1, 'best treatment', 'antibiotic'), (2, 'mechanism behind it', 'explain'), (3, 'weather', 'fallback')) AS x(k, q, topic)",
     ),
-    "merge_main": (lambda t: _merged(t, 2), "SELECT * REPLACE (CASE WHEN dataset_id = 'DS0' THEN rows_samples + (SELECT rows_samples FROM datasets WHERE dataset_id = 'DS1') ELSE rows_samples END AS rows_samples, CASE WHEN dataset_id = 'DS0' THEN rows_tests + (SELECT rows_tests FROM datasets WHERE dataset_id = 'DS1') ELSE rows_tests END AS rows_tests) FROM datasets"),
+    "merge_main": (lambda t: _merged(t, 2), MERGED_REGISTRY),
+    "merge_main_stored": (lambda t: io.scan(t.spark, t.merged_store(), "datasets"), MERGED_REGISTRY),
+    "u_merge_samples_stored": (
+        lambda t: io.scan(t.spark, t.merged_store(), "samples").select("dataset_id", "sample_id", "collection_date", "region", "district", "latitude"),
+        _merged_sql("collection_date, region, district, latitude", "samples"),
+    ),
+    "u_merge_stored": (
+        lambda t: io.scan(t.spark, t.merged_store(), "ast_results").select("dataset_id", "sample_id", "isolate_id", "antibiotic", "result", "mic_value"),
+        _merged_sql("CASE WHEN dataset_id = 'DS1' AND new THEN 'DS1-' || isolate_id ELSE isolate_id END AS isolate_id, antibiotic, result, mic_value", "ast"),
+    ),
     "u_merge_samples": (lambda t: _merged(t, 0).select("dataset_id", "sample_id", "region", "district"), "SELECT * FROM " + MERGED.format("region, district", "samples")),
     "u_merge": (
         lambda t: _merged(t, 1).select("dataset_id", "sample_id", "isolate_id", "antibiotic", "result"),
@@ -406,10 +498,10 @@ ENTRIES: dict[str, Entry] = {
         f"SELECT organism, resistance_mechanism, confidence, count(*) AS count FROM ({SCREENED}) GROUP BY ALL",
     ),
     "agg_nunique": (lambda t: rates.distinct_counts(t.ast), "SELECT count(DISTINCT organism) AS organisms, count(DISTINCT antibiotic) AS antibiotics, count(DISTINCT sample_id) AS samples FROM ast"),
-    **{f"agg_trend_{k}": (lambda t, k=k: rates.trend(t.ast, k), _shares("period", f"(SELECT *, {v} AS period FROM ast WHERE test_date IS NOT NULL)")) for k, v in TREND_LABEL.items()},
+    **{f"agg_trend_{k}": (lambda t, k=k: months.trend(t.months, k), _shares("period", f"(SELECT *, {v} AS period FROM ast WHERE test_date IS NOT NULL)")) for k, v in TREND_LABEL.items()},
     "agg_rate_range": (lambda t: rates.rate_range(rates.report_rates(t.by("region"), "region"), "region").unionByName(rates.rate_range(rates.report_rates(t.by("source_category"), "source_category"), "source_category")), RANGE),
     "agg_season": (
-        lambda t: rates.seasons(t.ast),
+        lambda t: months.seasons(t.months),
         f"SELECT count(*) FILTER (WHERE {DRY}) AS dry_tests, count(*) FILTER (WHERE NOT {DRY}) AS wet_tests, 100.0E0 * count(*) FILTER (WHERE {DRY} AND result = 'R') / count(*) FILTER (WHERE {DRY}) AS dry_rate, 100.0E0 * count(*) FILTER (WHERE NOT {DRY} AND result = 'R') / count(*) FILTER (WHERE NOT {DRY}) AS wet_rate FROM ast",
     ),
     "agg_date_range": (lambda t: rates.date_range(t.ast), "SELECT min(test_date) AS first_date, max(test_date) AS last_date, count(test_date) AS dated_tests FROM ast"),
@@ -491,7 +583,7 @@ ENTRIES: dict[str, Entry] = {
             source_category, round(100.0E0 * r / n, 2) AS category_rate FROM ({BURDEN}) b, (SELECT CAST(sum(r) AS BIGINT) AS tr, CAST(sum(n) AS BIGINT) AS tn FROM ({BURDEN})) WHERE source_category IS NOT NULL""",
     ),
     "s_forecast": (
-        lambda t: score.forecast(t.ast),
+        lambda t: months.forecast(t.months),
         f"""SELECT i AS months_ahead, greatest(0.0E0, least(100.0E0, round(slope * (m - 1 + i) + b, 2))) AS predicted_resistance_rate, CASE WHEN slope > 0 THEN 'increasing' ELSE 'decreasing' END AS trend, round(slope, 4) AS trend_slope, CASE WHEN m >= 6 THEN 'moderate' ELSE 'low' END AS confidence, CAST(NULL AS VARCHAR) AS error
             FROM (SELECT regr_slope(rate, x) AS slope, regr_intercept(rate, x) AS b, count(*) AS m FROM ({MONTHS})), (VALUES (1), (2), (3)) p(i)""",
     ),

@@ -2,30 +2,34 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from html import escape
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from antibiogram.operators import detect, rates, score
+from antibiogram.operators import detect, months, rates, score
 
+#: Sections of rates by one dimension.
+DIMENSIONS = {
+    "Organisms": "organism", "Antibiotics": "antibiotic", "Regions": "region", "Districts": "district", "Source categories": "source_category",
+    "Site types": "site_type", "Source types": "source_type",
+}
 
-def sections(ast: DataFrame, samples: DataFrame) -> dict[str, DataFrame]:
-    by = lambda d: rates.report_rates(rates.with_dims(ast, samples, d), d)
+
+def sections(ast: DataFrame, samples: DataFrame, by_dimension: DataFrame | None = None) -> dict[str, DataFrame]:
+    """``by_dimension``: ``report_rates_of`` the seven dimensions, if it is at hand; all seven come from its one pass."""
+    found = rates.report_rates_of(ast, samples, *DIMENSIONS.values()) if by_dimension is None else by_dimension
+    by_month = months.counts(ast)
+    by = lambda d: found.where(F.col("dimension") == d).select(F.col("value").alias(d), "total_tests", "resistant_count", "resistance_rate").orderBy(F.desc("resistance_rate"), d)
     return {
         "Summary": rates.stats(ast),
-        "Organisms": rates.report_rates(ast, "organism"),
-        "Antibiotics": rates.report_rates(ast, "antibiotic"),
-        "Regions": by("region"),
-        "Districts": by("district"),
-        "Source categories": by("source_category"),
-        "Site types": by("site_type"),
-        "Source types": by("source_type"),
-        "Trend": rates.trend(ast),
-        "Seasons": rates.seasons(ast),
+        **{name: by(d) for name, d in DIMENSIONS.items()},
+        "Trend": months.trend(by_month),
+        "Seasons": months.seasons(by_month),
         "Half trend": score.half_trend(ast),
-        "Forecast": score.forecast(ast),
+        "Forecast": months.forecast(by_month),
         "High-risk organisms": score.high_risk(ast),
         "Alternatives": score.alternatives(ast),
         "Recommendations": score.recommendations(ast),
@@ -40,17 +44,32 @@ def sections(ast: DataFrame, samples: DataFrame) -> dict[str, DataFrame]:
     }
 
 
-def _rendered(ast: DataFrame, samples: DataFrame, rows: int) -> Iterator[tuple[str, list[str], list[list[str]]]]:
-    """(section, columns, its first rows as text); the tests are cached meanwhile, since every section reads them."""
+def run(ast: DataFrame, samples: DataFrame, act: Callable[[DataFrame], object], at_once: int = 8) -> dict[str, object]:
+    """What ``act`` gives for each section. The tests, and the rates of all dimensions, are cached meanwhile; so many sections
+    run at once, since most are small jobs that do not fill a cluster."""
     ast = ast.cache()
+    by_dimension = rates.report_rates_of(ast, samples, *DIMENSIONS.values()).cache()
     try:
-        for name, df in sections(ast, samples).items():
-            flat = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
-            yield name, df.columns, [["" if v is None else v for v in r] for r in flat.limit(rows).collect()]
+        by_dimension.count()
+        found = sections(ast, samples, by_dimension)
+        with ThreadPoolExecutor(at_once) as pool:
+            return dict(zip(found, pool.map(act, found.values()), strict=True))
     finally:
+        by_dimension.unpersist()
         ast.unpersist()
 
 
+def _rendered(ast: DataFrame, samples: DataFrame, rows: int) -> Iterator[tuple[str, list[str], list[list[str]]]]:
+    """(section, columns, its first rows as text)."""
+
+    def first_rows(df: DataFrame) -> tuple[list[str], list[list[str]]]:
+        flat = df.select(*[F.col(c).cast("string").alias(c) for c in df.columns])
+        return df.columns, [["" if v is None else v for v in r] for r in flat.limit(rows).collect()]
+
+    for name, (columns, found) in run(ast, samples, first_rows).items():
+        yield name, columns, found
+
+
 def markdown(ast: DataFrame, samples: DataFrame, title: str = "Antimicrobial resistance report", rows: int = 20) -> str:
     """The sections' first rows as markdown tables."""
     out = [f"# {title}"]

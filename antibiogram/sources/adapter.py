@@ -94,10 +94,10 @@ def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.drop("_nth", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 
-def datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def datasets(samples: DataFrame, tests: DataFrame) -> DataFrame:
     """The registry: one row a dataset, counted from the two tables."""
-    s = samples(spark, sf_dir).groupBy("dataset_id").agg(F.count("*").alias("rows_samples"))
-    t = tests(spark, sf_dir).groupBy("dataset_id").agg(F.count("*").alias("rows_tests"))
+    s = samples.groupBy("dataset_id").agg(F.count("*").alias("rows_samples"))
+    t = tests.groupBy("dataset_id").agg(F.count("*").alias("rows_tests"))
     k = F.substring("dataset_id", 3, 9).cast("int")
     return s.join(t, "dataset_id").select(
         "dataset_id",

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from antibiogram.functions import interpret as ip
 from antibiogram.functions.exprs import ladder
-from antibiogram.operators import compare, detect, filters, rates, score, validate
+from antibiogram.operators import compare, detect, filters, months, rates, score, validate
 from antibiogram.plans import assistant, report
 from antibiogram.sources import catalog, io
 
@@ -49,8 +49,8 @@ def test_scores(quick):
     ast, samples = quick
     risk = {r.organism: (r.risk_score, r.risk_level) for r in score.organism_risk(ast).collect()}
     assert risk["E. coli"] == (55, "HIGH") and risk["Staphylococcus"] == (40, "MODERATE")
-    assert rows(rates.trend(ast), "period", "R") == [("2024-01", pytest.approx(400 / 7)), ("2024-02", pytest.approx(100 / 3))]
-    f = score.forecast(ast).collect()
+    assert rows(months.trend(months.counts(ast)), "period", "R") == [("2024-01", pytest.approx(400 / 7)), ("2024-02", pytest.approx(100 / 3))]
+    f = months.forecast(months.counts(ast)).collect()
     assert len(f) == 3 and {(r.confidence, r.trend, r.error) for r in f} == {("low", "decreasing", None)}
     b = score.burden(samples, ast).first()
     assert b.total_tests == 10 and b.resistance_by_category == {"FOOD": 83.33, "ENVIRONMENT": 0.0}
@@ -175,15 +175,16 @@ def test_half_trend_splits_a_hot_day(spark):
     ordered = sorted(rows, key=lambda r: (r[5], rank(r[1]), rank(r[3]), rank(r[4])))
     half = len(rows) // 2
     share = lambda part: round(100 * sum(r[4] == "R" for r in part) / len(part), 2)
-    r = score.half_trend(fixtures.tests(spark, rows)).first()
-    assert (r.first_half_rate, r.second_half_rate) == (share(ordered[:half]), share(ordered[half:]))
+    for keys in (1_000_000, 100):  # put in order at once, and narrowed to a part before
+        r = score.half_trend(fixtures.tests(spark, rows), keys).first()
+        assert (r.first_half_rate, r.second_half_rate) == (share(ordered[:half]), share(ordered[half:]))
 
 
 def test_empty_frames(spark):
     ast, samples = fixtures.tests(spark, []), fixtures.samples(spark, [])
     assert rates.stats(ast).first().total_tests == 0
-    assert score.forecast(ast).first().error == "Insufficient data for forecast"
-    for df in (detect.mechanisms(ast), detect.mdr(ast), score.emerging(ast), score.high_risk(ast), rates.trend(ast), compare.compare_by(ast, "region", None, samples), rates.heatmap(ast)):
+    assert months.forecast(months.counts(ast)).first().error == "Insufficient data for forecast"
+    for df in (detect.mechanisms(ast), detect.mdr(ast), score.emerging(ast), score.high_risk(ast), months.trend(months.counts(ast)), compare.compare_by(ast, "region", None, samples), rates.heatmap(ast)):
         assert df.isEmpty()
 
 
@@ -297,3 +298,102 @@ def test_invariants(spark, sf_dir):
     assert r.resistance_rate + r.intermediate_rate + r.susceptibility_rate == pytest.approx(100)
     m = detect.mechanisms(ast)
     assert m.count() == m.select("dataset_id", "isolate_id", "resistance_mechanism").distinct().count()
+
+
+def test_months_are_kept_up_to_date(spark, quick, tmp_path):
+    """A refreshed dataset is counted anew, the others stay as they were; what is read equals counting all tests."""
+    path, ast = str(tmp_path / "months"), quick[0]
+    two = ast.unionByName(ast.withColumn("dataset_id", F.lit("E")))
+    same = lambda a, b: sorted(map(str, a.select(*b.columns).collect())) == sorted(map(str, b.collect()))
+    months.refresh(path, two, "D", "E")
+    assert same(months.read(spark, path), months.counts(two))
+    changed = two.where("dataset_id = 'D'").unionByName(two.where("dataset_id = 'E' AND result = 'R'").withColumn("test_date", F.add_months("test_date", 1)))
+    months.refresh(path, changed.withColumn("result", F.when(F.col("dataset_id") != "E", F.col("result"))), "E")
+    assert same(months.read(spark, path, "D"), months.counts(two.where("dataset_id = 'D'")))
+    e = months.read(spark, path, "E").collect()
+    assert {(str(r.month), r.tests, r.rated, r.r) for r in e} == {("2024-02-01", 4, 0, 0), ("2024-03-01", 1, 0, 0)}
+    months.refresh(path, two.limit(0), "E", "new")
+    assert months.read(spark, path, "E", "new").isEmpty() and months.read(spark, path).count() == 2
+    assert rows(months.trend(months.read(spark, path)), "period") == rows(months.trend(months.counts(ast)), "period")
+    plan = months.trend(months.read(spark, path, "D"))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and plan.count("FileScan") == 1
+
+
+def test_alerts_come_once_and_survive_a_restart(spark, tmp_path):
+    from antibiogram.streaming.alerts import once_alerts
+
+    src, out = str(tmp_path / "in"), str(tmp_path / "out")
+
+    def batch(*results):
+        fixtures.tests(spark, [("s", "i", "E. coli", drug, r, "2024-01-01") for drug, rs in results for r in rs] + [("s", "i", None, "x", "R", None)]).coalesce(1).write.mode("append").parquet(src)
+        q = once_alerts(spark.readStream.schema(fixtures.AST).parquet(src), above=50, min_tests=3).writeStream.option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start(out)
+        q.awaitTermination()
+        return sorted((r.antibiotic, r.tests, r.resistance_rate) for r in spark.read.schema("organism string, antibiotic string, tests long, resistance_rate double").parquet(out).collect())
+
+    assert batch(("a", "RRS"), ("b", "RR")) == [("a", 3, 66.67)]
+    assert batch(("a", "R"), ("b", "SS")) == [("a", 3, 66.67)]  # still above; b at its limit
+    assert batch(("a", "SS"), ("b", "R")) == [("a", 3, 66.67), ("b", 5, 60.0)]
+    assert batch(("a", "RR")) == [("a", 3, 66.67), ("a", 8, 62.5), ("b", 5, 60.0)]  # was at the limit meanwhile
+
+
+def test_bucketed_tables_meet_without_a_shuffle(spark, sf_dir, tmp_path):
+    from antibiogram.sources import adapter, mart
+
+    samples, tests = adapter.samples(spark, sf_dir), adapter.tests(spark, sf_dir)
+    own = F.col("dataset_id") == "DS1"
+    try:
+        mart.write("bucketed", str(tmp_path / "mart"), samples.where(~own), tests.where(~own), 4)
+        mart.append("bucketed", str(tmp_path / "mart"), samples.where(own), tests.where(own))
+        s, t = mart.read(spark, "bucketed")
+        joined = rates.with_dims(t, s.hint("merge"), "region")
+        plan = joined._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "Exchange" not in plan
+        assert t.exceptAll(tests).isEmpty() and s.exceptAll(samples).isEmpty() and t.count() == tests.count() and s.count() == samples.count()
+        assert joined.where("region IS NULL").isEmpty()
+    finally:
+        mart.drop(spark, "bucketed")
+    assert [mart.buckets_for(n, 8) for n in (0, 10, 8_000_000 * 8, 8_000_000 * 8 + 1, 10**10)] == [8, 8, 8, 16, 1256]
+
+
+def test_upload_rules_read_each_sheet_once(spark, sf_dir):
+    from antibiogram.plans import uploads
+
+    found = validate.rules(list(validate.RULES), uploads.samples(spark, sf_dir), uploads.tests(spark, sf_dir))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    plan = plan.split("== Initial Plan ==")[-1]
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_duplicate_keys_with_gaps(spark):
+    """Keys of several columns are compared column by column, missing ones included."""
+    good = io.template(spark)
+    a = spark.createDataFrame([("SAMPLE_001", i, "o", x, "R", "MIC", "CLSI", None, None, None, k) for k, (i, x) in enumerate([("p / q", "r"), ("p", "q / r"), (None, "z"), ("z", None), ("d", "d"), ("d", "d")])], good["ast_results"].schema)
+    assert rows(validate.rule("v_a_dup", good["samples"], a), "row_no", "value") == [(4, "d / d")]
+
+
+def test_half_trend_reads_the_tests_twice(spark, sf_dir):
+    from antibiogram.sources import adapter
+
+    ast = adapter.tests(spark, sf_dir)
+    plan = score.half_trend(ast)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [l_orderkey") == 1  # the counts by day were a job of their own
+
+
+def test_one_pass_for_all_dimensions(spark, quick):
+    dims = ("organism", "antibiotic", "region", "district", "source_category")
+    ast, samples = quick
+    out = rates.report_rates_of(ast, samples, *dims)
+    for d in dims:
+        one = rates.report_rates(ast if d in ast.columns else rates.with_dims(ast, samples, d), d)
+        assert rows(out.where(F.col("dimension") == d), "value", "total_tests", "resistant_count", "resistance_rate") == rows(one, d, "total_tests", "resistant_count", "resistance_rate")
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join") == 1
+
+
+@pytest.mark.parametrize("mode", ["reference", "intended"])
+def test_names_matched_once_or_row_by_row(spark, sf_dir, mode):
+    from antibiogram.functions import interpret as ip
+    from antibiogram.sources import adapter
+
+    ast = adapter.tests(spark, sf_dir).withColumn("organism", F.when(F.col("isolate_id") % 7 != 0, F.col("organism"))).withColumn("method", F.when(F.col("isolate_id") % 5 != 0, F.col("method")))
+    by_name, by_row = ip.interpret(ast, mode), ip.interpret(ast, mode, few_names=3)
+    assert by_name.columns == by_row.columns and by_name.exceptAll(by_row).isEmpty() and by_name.count() == by_row.count() == ast.count()
