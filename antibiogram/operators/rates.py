@@ -88,11 +88,9 @@ def heatmap(ast: DataFrame, organisms: int = 8, antibiotics: int = 10) -> DataFr
 
     The names become the pivot's columns, so they are looked up first: at most ``antibiotics`` strings."""
     judged = known(ast, "organism", "antibiotic").where(F.col("result").isin("S", "I", "R"))
-    firsts = lambda c, n: judged.select(c).distinct().orderBy(c).limit(n)
-    names = [r[0] for r in firsts("antibiotic", antibiotics).collect()]
-    rows = judged.join(F.broadcast(firsts("organism", organisms)), "organism", "left_semi")
+    names = [r[0] for r in judged.select("antibiotic").distinct().orderBy("antibiotic").limit(antibiotics).collect()]
     if not names:
-        return rows.select("organism").distinct()
+        return judged.select("organism").distinct()
     cells = [
         F.coalesce(
             percent(F.count_if((F.col("antibiotic") == a) & (F.col("result") == "R")), F.count_if((F.col("antibiotic") == a) & F.col("result").isin("S", "I", "R")), 2),
@@ -100,7 +98,7 @@ def heatmap(ast: DataFrame, organisms: int = 8, antibiotics: int = 10) -> DataFr
         ).alias(a)
         for a in names
     ]
-    return rows.groupBy("organism").agg(*cells).orderBy("organism")
+    return judged.groupBy("organism").agg(*cells).orderBy("organism").limit(organisms)
 
 
 def comparison(ast: DataFrame, dim: str) -> DataFrame:

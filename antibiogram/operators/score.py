@@ -209,8 +209,3 @@ def alternatives(ast: DataFrame, organisms: int = 15, antibiotics: int = 3, keep
         F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "antibiotic"))), lambda x: x["antibiotic"]), ", ").alias("at_risk"),
         F.array_join(F.slice(F.array_sort(F.array_distinct(F.flatten(F.collect_list("_instead")))), 1, keep), ", ").alias("alternatives"),
     )
-
-
-def rate_band(rate: Column) -> Column:
-    """The assistant's words for a rate."""
-    return ladder(rate, [(75, "very high"), (50, "high"), (30, "moderate")], "low")

@@ -7,7 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from antibiogram.functions.exprs import ladder, n_of, percent
 from antibiogram.operators import rates, score
+from antibiogram.operators.rates import known
 
 #: Topics in order of priority, and the words that ask for them.
 TOPICS = (
@@ -22,6 +24,15 @@ TOPICS = (
 )
 
 
+# Above which R% a status holds, its risk, and what is to be done; and those of a rate that is above none.
+BANDS = (
+    (75, "CRITICAL", "CRITICAL RISK", "Immediate intervention required"),
+    (50, "HIGH", "HIGH RISK", "Urgent action needed"),
+    (30, "MODERATE", "MODERATE RISK", "Active surveillance and intervention"),
+)
+LOWEST = ("CONTROLLED", "LOW RISK", "Continue current practices")
+
+
 def topic(query: str) -> str:
     low = query.lower()
     return next((name for name, words in TOPICS if any(w in low for w in words)), "fallback")
@@ -35,6 +46,17 @@ def routed(questions: DataFrame, col: str = "question") -> DataFrame:
     return questions.withColumn("topic", found)
 
 
+def assessment(ast: DataFrame, *by: str) -> DataFrame:
+    """Tests and rates (1 digit) of all tests, or of each group, and the words for the rate: status, risk and what to do."""
+    n = F.count("*")
+    rate = lambda r: percent(n_of(r), n, 1)
+    out = known(ast, *by).groupBy(*by).agg(
+        n.alias("total_tests"), percent(n_of("R"), n).alias("_rate"), rate("R").alias("resistance_rate"), rate("S").alias("susceptible_rate"), rate("I").alias("intermediate_rate")
+    )
+    words = {k: ladder(F.coalesce("_rate", F.lit(0.0)), [(limit, row[i]) for limit, *row in BANDS], LOWEST[i]) for i, k in enumerate(("status", "risk", "action"))}
+    return out.withColumns(words).drop("_rate")
+
+
 def answer(query: str, ast: DataFrame, samples: DataFrame) -> DataFrame:
     """The table that answers a question."""
     found = topic(query)
@@ -48,6 +70,4 @@ def answer(query: str, ast: DataFrame, samples: DataFrame) -> DataFrame:
         return score.half_trend(ast)
     if found == "recommend":
         return score.recommendations(ast)
-    if found == "risk":
-        return score.organism_risk(ast)
-    return rates.stats(ast)
+    return assessment(ast)

@@ -414,6 +414,15 @@ ENTRIES: dict[str, Entry] = {
         lambda t: assistant.routed(t.datasets.select(F.concat(F.lit("What is the "), F.element_at(F.array(*[F.lit(q) for q in ASKED]), F.substring("dataset_id", 3, 9).cast("int") + 1)).alias("question"))),
         "SELECT 'What is the ' || q AS question, topic FROM (VALUES (0, 'resistance rate of this bacteria', 'summary'), (1, 'best treatment', 'antibiotic'), (2, 'mechanism behind it', 'explain'), (3, 'weather', 'fallback')) AS x(k, q, topic)",
     ),
+    "a_assessment": (
+        lambda t: assistant.assessment(t.ast, "organism"),
+        f"""SELECT organism, total_tests, round(rate, 1) AS resistance_rate, susceptible_rate, intermediate_rate,
+          CASE WHEN rate > 75 THEN 'CRITICAL' WHEN rate > 50 THEN 'HIGH' WHEN rate > 30 THEN 'MODERATE' ELSE 'CONTROLLED' END AS status,
+          CASE WHEN rate > 75 THEN 'CRITICAL RISK' WHEN rate > 50 THEN 'HIGH RISK' WHEN rate > 30 THEN 'MODERATE RISK' ELSE 'LOW RISK' END AS risk,
+          CASE WHEN rate > 75 THEN 'Immediate intervention required' WHEN rate > 50 THEN 'Urgent action needed' WHEN rate > 30 THEN 'Active surveillance and intervention'
+            ELSE 'Continue current practices' END AS action
+          FROM (SELECT organism, count(*) AS total_tests, {_rate(None)} AS rate, {_rate(1, S)} AS susceptible_rate, {_rate(1, I)} AS intermediate_rate FROM ast GROUP BY organism)""",
+    ),
     "merge_main": (lambda t: _merged(t, 2), MERGED_REGISTRY),
     "merge_main_stored": (lambda t: io.scan(t.spark, t.merged_store(), "datasets"), MERGED_REGISTRY),
     "u_merge_samples_stored": (

@@ -271,6 +271,8 @@ def test_report_and_assistant(quick):
     assert [assistant.topic(q) for q in ("Give me an overview", "In general?", "Which drug?", "why so?", "Any threat?", "hello")] == ["fallback", "summary", "antibiotic", "explain", "risk", "fallback"]
     assert assistant.answer("which bacteria", *quick).first().organism == "E. coli"
     assert rows(assistant.answer("hotspots", *quick), "region", "count")[0] == ("Ashanti", 2)
+    assert rows(assistant.answer("Any risk?", *quick), "total_tests", "resistance_rate", "status", "risk", "action") == [(10, 50.0, "MODERATE", "MODERATE RISK", "Active surveillance and intervention")]
+    assert assistant.answer("in general", quick[0].where("result = 'R'"), quick[1]).first().status == "CRITICAL" and assistant.answer("?", quick[0].limit(0), quick[1]).first().status == "CONTROLLED"
     html = report.html(*quick, title="A & B")
     assert "<h1>A &amp; B</h1>" in html and "<h2>Forecast</h2>" in html and "<td>Central</td><td>1</td><td>1</td><td>100.0</td>" in html
 
@@ -361,7 +363,7 @@ def test_upload_rules_read_each_sheet_once(spark, sf_dir):
     found = validate.rules(list(validate.RULES), uploads.samples(spark, sf_dir), uploads.tests(spark, sf_dir))
     plan = found._jdf.queryExecution().executedPlan().toString()
     plan = plan.split("== Initial Plan ==")[-1]
-    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 1
+    assert plan.count("FileScan") == 2 and plan.count("Exchange hashpartitioning") == 2  # the second has the faults alone
 
 
 def test_duplicate_keys_with_gaps(spark):
