@@ -14,6 +14,7 @@ from __future__ import annotations
 
 from functools import cached_property
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +32,7 @@ FEW_ORGANISMS = 4095
 #: before 1970, and a missing date comes after all others.
 DRUG_AT, DATE_AT, FIRST_DAY, NO_DATE = 12, 24, 1 << 22, 1 << 23
 NO_ORGANISM = 1 << 50
+NAMES = "kind string, name string"
 
 
 def _many(n_drugs: int, n_organisms: int) -> bool:
@@ -38,28 +40,53 @@ def _many(n_drugs: int, n_organisms: int) -> bool:
 
 
 class Profiles:
-    """The isolates of ``ast``. Making one runs a job that collects its names, at most the two limits of them and a few."""
-
-    def __init__(self, ast: DataFrame):
-        self.ast, self.spark = ast, ast.sparkSession
-        pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("name")) for c in ("antibiotic", "organism")])
-        found = known(ast, "isolate_id").select(F.explode(pairs).alias("p")).select("p.*").distinct().limit(FEW_DRUGS + FEW_ORGANISMS + 3).collect()
+    """The isolates of ``ast``. Making one runs a job that collects its names, at most the two limits of them and a few; ``write``
+    and ``read`` keep them, so that the tests are aggregated once for all patterns."""
+
+    def __init__(self, ast: DataFrame, stored: str | None = None):
+        self.ast, self.spark, self.stored = ast, ast.sparkSession, stored
+        if stored is None:
+            pairs = F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("name")) for c in ("antibiotic", "organism")])
+            names = known(ast, "isolate_id").select(F.explode(pairs).alias("p")).select("p.*").distinct()
+        else:
+            names = self.spark.read.schema(NAMES).parquet(f"{stored}/names")
+        self.names = [tuple(r) for r in names.limit(FEW_DRUGS + FEW_ORGANISMS + 3).collect()]
         # Numbers follow the order of the names, null is 0.
-        names = lambda kind: sorted((r.name for r in found if r.kind == kind and r.name is not None), key=str.encode)
-        self.drugs, self.organisms = names("antibiotic"), names("organism")
+        of = lambda kind: sorted((name for k, name in self.names if k == kind and name is not None), key=str.encode)
+        self.drugs, self.organisms = of("antibiotic"), of("organism")
         self.few = not _many(len(self.drugs), len(self.organisms))
         self.words = range(1 + len(self.drugs) // WORD)
 
+    @classmethod
+    def read(cls, ast: DataFrame, path: str) -> Profiles:
+        """What ``write`` kept of these tests."""
+        return cls(ast, path)
+
+    def write(self, path: str) -> None:
+        """Isolates, then names: a folder without names was not finished. New tests need a new folder, since numbers follow names."""
+        if self.few:
+            self.frame.write.mode("overwrite").parquet(f"{path}/isolates")
+        self._table(self.names, NAMES).coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
+
+    def _table(self, rows: list[tuple], schema: str) -> DataFrame:
+        """A table of the plan itself, no larger than the names."""
+        columns = [c.split()[0] for c in schema.split(",")]
+        kinds = [{"string": pa.string(), "long": pa.int64(), "int": pa.int32()}[c.split()[1]] for c in schema.split(",")]
+        values = list(zip(*rows, strict=True)) if rows else [() for _ in columns]
+        return self.spark.createDataFrame(pa.table([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], names=columns))
+
     def _organisms(self, number: str) -> DataFrame:
         """The organisms under their numbers: ``FEW_ORGANISMS`` + 1 rows at most, so they are broadcast."""
-        return F.broadcast(self.spark.createDataFrame(list(enumerate([None, *self.organisms])), f"{number} long, organism string"))
+        return F.broadcast(self._table(list(enumerate([None, *self.organisms])), f"{number} long, organism string"))
 
     @cached_property
     def frame(self) -> DataFrame:
         """dataset_id, isolate_id; ``first``, the packed order of the first test; ``tested_k`` and ``resisted_k``, bits of drugs;
         ``resistant_rows`` with an antibiotic; ``resistant_first``, ``resistant_sample``; ``tests_k``, ``resistant_k`` and
         ``first_k`` of the k-th class of cross-resistance. What a query does not use is not computed."""
-        listed = self.spark.createDataFrame([(n, name, n // WORD, 1 << n % WORD) for n, name in enumerate([None, *self.drugs])], "_drug long, _name string, _word int, _bit long")
+        if self.stored is not None:
+            return self.spark.read.parquet(f"{self.stored}/isolates")
+        listed = self._table([(n, name, n // WORD, 1 << n % WORD) for n, name in enumerate([None, *self.drugs])], "_drug long, _name string, _word int, _bit long")
         listed = listed.select("*", *[has("_name", *drugs).alias(f"_class_{k}") for k, drugs in enumerate(CROSS_CLASSES.values())])
         organisms = self._organisms("_organism").withColumnRenamed("organism", "_organism_name")
         rows = known(self.ast, "isolate_id").join(F.broadcast(listed), F.col("antibiotic").eqNullSafe(F.col("_name")))
@@ -139,10 +166,12 @@ class Profiles:
         # Of a bit for no drug nothing is spelt.
         spelt = F.concat_ws(", ", *[F.when(F.col(words[n // WORD]).bitwiseAND(F.lit(1 << n % WORD)) != 0, F.lit(name)) for n, name in enumerate(self.drugs, 1)])
         sets = some.where(once).groupBy(*words).agg(F.count("*").alias("_n")).select(spelt.alias("antibiotic_combination"), "_n")
-        twice = some.where(~once).select(*[F.col(c).alias(f"_{c}") for c in ISOLATE])
-        rows = known(self.ast, "isolate_id", "antibiotic").where(F.col("result") == "R")
-        rows = rows.join(twice, (F.col("isolate_id") == F.col("_isolate_id")) & F.col("dataset_id").eqNullSafe(F.col("_dataset_id")), "left_semi")
-        lists = rows.groupBy(*ISOLATE).agg(F.array_join(F.array_sort(F.collect_list("antibiotic")), ", ").alias("antibiotic_combination"))
-        both = sets.unionByName(lists.select("antibiotic_combination", F.lit(1).cast("long").alias("_n")))
-        out = both.groupBy("antibiotic_combination").agg(F.sum("_n").alias("count")).where(F.col("count") >= min_samples)
+        found, twice = sets, some.where(~once).select(*[F.col(c).alias(f"_{c}") for c in ISOLATE])
+        if self.stored is None or not twice.isEmpty():
+            rows = known(self.ast, "isolate_id", "antibiotic").where(F.col("result") == "R")
+            rows = rows.join(twice, (F.col("isolate_id") == F.col("_isolate_id")) & F.col("dataset_id").eqNullSafe(F.col("_dataset_id")), "left_semi")
+            lists = rows.groupBy(*ISOLATE).agg(F.array_join(F.array_sort(F.collect_list("antibiotic")), ", ").alias("antibiotic_combination"))
+            found = sets.unionByName(lists.select("antibiotic_combination", F.lit(1).cast("long").alias("_n")))
+        # Different drugs may be spelt alike ("A", "B" and "A, B"), so combinations meet again by their text.
+        out = found.groupBy("antibiotic_combination").agg(F.sum("_n").alias("count")).where(F.col("count") >= min_samples)
         return out.orderBy(F.desc("count"), "antibiotic_combination")

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from antibiogram.functions import interpret as ip
-from antibiogram.operators import compare, detect, filters, months, rates, score, validate
+from antibiogram.operators import compare, detect, filters, months, profiles, rates, score, validate
 from antibiogram.sources import adapter, catalog, io, mart, merging, workbook
 
 from . import assistant, gaps, uploads
@@ -74,6 +74,11 @@ class Tables:
 
         return months.read(self.spark, self.folder("months", write))
 
+    @cached_property
+    def profiles(self) -> profiles.Profiles:
+        """The stored isolates, aggregated once in an application."""
+        return profiles.Profiles.read(self.ast, self.folder("profiles", lambda path: profiles.Profiles(self.ast).write(path)))
+
     def folder(self, use: str, write: Callable[[str], None], anew: bool = False) -> str:
         """A folder that ``write`` fills once in an application, or anew with each call; deleted at the end of the process."""
         key = (self.spark.sparkContext.applicationId, self.dir, use)
@@ -499,7 +504,7 @@ ENTRIES: dict[str, Entry] = {
     "agg_group_top5_abx": _group_top("source_category", "antibiotic"),
     "agg_sample_rate": (lambda t: rates.sample_rates(t.ast), SAMPLE_RATE),
     "agg_value_counts": (
-        lambda t: rates.value_counts(detect.cross_resistance(t.ast), "antibiotic_class", "cross_resistance_level"),
+        lambda t: rates.value_counts(t.profiles.cross_resistance(), "antibiotic_class", "cross_resistance_level"),
         f"SELECT antibiotic_class, cross_resistance_level, count(*) AS count FROM (SELECT antibiotic_class, CASE WHEN {R} = count(*) THEN 'High' ELSE 'Moderate' END AS cross_resistance_level FROM ({CROSS}) GROUP BY dataset_id, isolate_id, antibiotic_class HAVING {R} >= 2) GROUP BY ALL",
     ),
     "agg_mech_summary": (
@@ -539,16 +544,16 @@ ENTRIES: dict[str, Entry] = {
     **{name: (lambda t, k=name[2:]: detect.screen(t.ast, k), _screen(*x)) for name, x in SCREENS.items()},
     "d_mechanisms": (lambda t: detect.mechanisms(t.ast), f"SELECT * EXCLUDE (nth, k) FROM (SELECT *, row_number() OVER (PARTITION BY dataset_id, isolate_id, resistance_mechanism ORDER BY nth) AS k FROM ({SCREENED})) WHERE k = 1"),
     "d_cross": (
-        lambda t: detect.cross_resistance(t.ast),
+        lambda t: t.profiles.cross_resistance(),
         f"SELECT dataset_id, isolate_id, antibiotic_class, min(organism) AS organism, {R} AS resistant_antibiotics, count(*) AS total_antibiotics, CASE WHEN {R} = count(*) THEN 'High' ELSE 'Moderate' END AS cross_resistance_level FROM ({CROSS}) GROUP BY dataset_id, isolate_id, antibiotic_class HAVING {R} >= 2",
     ),
     "d_multi": (
-        lambda t: detect.multi_resistance(t.ast),
+        lambda t: t.profiles.multi_resistance(),
         "SELECT dataset_id, isolate_id, min(organism) AS organism, count(DISTINCT antibiotic) FILTER (WHERE result = 'R') AS resistant_count, count(DISTINCT antibiotic) AS total_tested, round(100.0E0 * count(DISTINCT antibiotic) FILTER (WHERE result = 'R') / count(DISTINCT antibiotic), 1) AS resistance_percentage, 'MDR' AS resistance_level FROM ast GROUP BY dataset_id, isolate_id HAVING count(DISTINCT antibiotic) FILTER (WHERE result = 'R') >= 3",
     ),
-    "d_mdr": (lambda t: detect.mdr(t.ast), MDR),
+    "d_mdr": (lambda t: t.profiles.mdr(), MDR),
     "d_cores": (
-        lambda t: detect.co_resistance(t.ast),
+        lambda t: t.profiles.co_resistance(),
         "SELECT antibiotic_combination, count(*) AS count FROM (SELECT string_agg(antibiotic, ', ' ORDER BY antibiotic) AS antibiotic_combination FROM ast WHERE result = 'R' GROUP BY dataset_id, isolate_id) GROUP BY ALL HAVING count(*) >= 5",
     ),
     "d_alerts": (

@@ -50,6 +50,16 @@ def test_same_as_from_the_tests(spark, seed):
         assert rows_of(got) == rows_of(want) != []
 
 
+@pytest.mark.parametrize("repeats", [True, False])
+def test_kept_and_read(spark, tmp_path, repeats):
+    ast = odd_tests(spark, 6)
+    if not repeats:
+        ast = spark.createDataFrame(ast.dropDuplicates(["dataset_id", "isolate_id", "antibiotic"]).collect(), ast.schema)
+    profiles.Profiles(ast).write(str(tmp_path))
+    for got, want in pairs(profiles.Profiles.read(ast, str(tmp_path)), ast):
+        assert got.columns == want.columns and rows_of(got) == rows_of(want) != []
+
+
 def test_more_drugs_than_a_word_holds(spark):
     ast = odd_tests(spark, 3, tuple(f"Drug {k:03}" for k in range(150)) + DRUGS)
     p = profiles.Profiles(ast)
