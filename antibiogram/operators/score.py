@@ -160,9 +160,14 @@ def kpis(samples: DataFrame, ast: DataFrame, as_of: str) -> DataFrame:
     """One row of indicators as of a date: counts, diversity, tests of the last 30 days (no upper end), coverage."""
     recent = F.count_if(F.col("test_date") >= F.date_sub(F.lit(as_of).cast("date"), 30))
     t = ast.agg(F.count("*").alias("total_tests_performed"), F.countDistinct("organism").alias("organisms_identified"), F.countDistinct("antibiotic").alias("antibiotics_tested"), recent.alias("tests_last_30_days"))
+    return kpis_of(samples, t)
+
+
+def kpis_of(samples: DataFrame, activity: DataFrame) -> DataFrame:
+    """``kpis`` from the row that tells of the tests."""
     s = samples.agg(F.count("*").alias("total_samples_collected"), F.count("latitude").alias("_with_latitude"))
     n = F.greatest("total_samples_collected", F.lit(1))
-    return s.join(F.broadcast(t)).select(  # one row each
+    return s.join(F.broadcast(activity)).select(  # one row each
         "total_samples_collected", "total_tests_performed", F.round(F.col("total_tests_performed") / n, 2).alias("tests_per_sample"), "organisms_identified", "antibiotics_tested", "tests_last_30_days",
         F.when(F.col("tests_last_30_days") > 0, "active").otherwise("inactive").alias("testing_trend"), percent(F.col("_with_latitude"), n).alias("geographic_coverage"),
     )

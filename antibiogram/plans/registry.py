@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from antibiogram.functions import interpret as ip
-from antibiogram.operators import compare, detect, filters, months, profiles, rates, score, validate
+from antibiogram.operators import compare, days, detect, filters, months, profiles, rates, score, validate
 from antibiogram.sources import adapter, catalog, io, mart, merging, workbook
 
 from . import assistant, gaps, uploads
@@ -74,6 +74,17 @@ class Tables:
 
         return months.read(self.spark, self.folder("months", write))
 
+    @cached_property
+    def days(self) -> days.Days:
+        """The stored days, in two batches."""
+
+        def write(path: str) -> None:
+            early = F.coalesce(F.col("test_date") < BATCHES, F.lit(False))
+            for batch, which in (("early", early), ("late", ~early)):
+                days.add(path, self.ast.where(which), batch)
+
+        return days.Days.read(self.spark, self.folder("days", write))
+
     @cached_property
     def profiles(self) -> profiles.Profiles:
         """The stored isolates, aggregated once in an application."""
@@ -128,6 +139,7 @@ Entry = tuple[Callable[[Tables], DataFrame], str]
 J = "ast LEFT JOIN samples s ON ast.dataset_id = s.dataset_id AND ast.sample_id = s.sample_id"
 R, I, S = (f"count(*) FILTER (WHERE result = '{x}')" for x in "RIS")
 AS_OF = "1998-08-15"
+BATCHES = "1995-06-01"
 P1, P2 = ("1994-01-01", "1995-06-30"), ("1995-06-30", "1996-12-31")
 GROUPS = {"a": {"categories": ("HUMAN", "FOOD")}, "b": {"regions": ("ASIA", "EUROPE")}}
 
@@ -511,7 +523,7 @@ ENTRIES: dict[str, Entry] = {
         lambda t: rates.value_counts(detect.mechanisms(t.ast), "organism", "resistance_mechanism", "confidence"),
         f"SELECT organism, resistance_mechanism, confidence, count(*) AS count FROM ({SCREENED}) GROUP BY ALL",
     ),
-    "agg_nunique": (lambda t: rates.distinct_counts(t.ast), "SELECT count(DISTINCT organism) AS organisms, count(DISTINCT antibiotic) AS antibiotics, count(DISTINCT sample_id) AS samples FROM ast"),
+    "agg_nunique": (lambda t: t.days.distinct_counts(), "SELECT count(DISTINCT organism) AS organisms, count(DISTINCT antibiotic) AS antibiotics, count(DISTINCT sample_id) AS samples FROM ast"),
     **{f"agg_trend_{k}": (lambda t, k=k: months.trend(t.months, k), _shares("period", f"(SELECT *, {v} AS period FROM ast WHERE test_date IS NOT NULL)")) for k, v in TREND_LABEL.items()},
     "agg_rate_range": (lambda t: rates.rate_range(rates.report_rates(t.by("region"), "region"), "region").unionByName(rates.rate_range(rates.report_rates(t.by("source_category"), "source_category"), "source_category")), RANGE),
     "agg_season": (
@@ -602,7 +614,7 @@ ENTRIES: dict[str, Entry] = {
             FROM (SELECT regr_slope(rate, x) AS slope, regr_intercept(rate, x) AS b, count(*) AS m FROM ({MONTHS})), (VALUES (1), (2), (3)) p(i)""",
     ),
     "s_kpis": (
-        lambda t: score.kpis(t.samples, t.ast, AS_OF),
+        lambda t: score.kpis_of(t.samples, t.days.activity(AS_OF)),
         f"SELECT ns AS total_samples_collected, nt AS total_tests_performed, round(nt / ns, 2) AS tests_per_sample, o AS organisms_identified, a AS antibiotics_tested, r AS tests_last_30_days, CASE WHEN r > 0 THEN 'active' ELSE 'inactive' END AS testing_trend, 100.0E0 * nl / ns AS geographic_coverage FROM (SELECT count(*) AS ns, count(latitude) AS nl FROM samples), (SELECT count(*) AS nt, count(DISTINCT organism) AS o, count(DISTINCT antibiotic) AS a, count(*) FILTER (WHERE test_date >= DATE '{AS_OF}' - 30) AS r FROM ast)",
     ),
     "s_insights": (

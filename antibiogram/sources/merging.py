@@ -29,6 +29,13 @@ class Folders:
     def exists(self, name: str) -> bool:
         return self._fs.exists(self._path(name))
 
+    def names(self, name: str, prefix: str) -> list[str]:
+        """What follows the prefix in the names of a folder's entries, in order; none if there is no such folder."""
+        if not self.exists(name):
+            return []
+        entries = [e.getPath().getName() for e in self._fs.listStatus(self._path(name))]
+        return sorted(e.removeprefix(prefix) for e in entries if e.startswith(prefix))
+
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)
 
