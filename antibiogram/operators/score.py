@@ -19,6 +19,12 @@ ALTERNATIVES = {
     "Macrolide": ("Fluoroquinolone", "Cephalosporin", "Tetracycline"),
     "Trimethoprim-sulfamethoxazole": ("Fluoroquinolone", "Cephalosporin", "Macrolide"),
 }
+# What is said of an organism's rate, its tests and its antibiotics, and of the burden, above these percentages.
+RATE_FACTORS = [(70, "Very high resistance rate (>70%)"), (50, "High resistance rate (>50%)"), (30, "Moderate resistance rate (>30%)")]
+VOLUME_FACTOR = "Significant data volume (>100 tests)"
+DIVERSITY_FACTOR = "High antibiotic diversity"
+IMPACTS = [(50, "CRITICAL - Urgent intervention needed"), (30, "HIGH - Enhanced surveillance recommended"), (15, "MODERATE - Continued monitoring")]
+LOW_IMPACT = "LOW - Maintain current practices"
 
 
 #: Keys that a single task may put in order.
@@ -121,9 +127,9 @@ def organism_risk(ast: DataFrame) -> DataFrame:
     rate, n, k = F.col("rate"), F.col("test_count"), F.col("antibiotic_diversity")
     points = ladder(rate, [(70, 40), (50, 30), (30, 20)], 0) + ladder(n, [(100, 20), (50, 15), (20, 10)], 0) + ladder(k, [(10, 40), (5, 25), (2, 15)], 0)
     factors = F.array(
-        ladder(rate, [(70, "Very high resistance rate (>70%)"), (50, "High resistance rate (>50%)"), (30, "Moderate resistance rate (>30%)")], None),
-        F.when(n > 100, "Significant data volume (>100 tests)"),
-        F.when(k > 10, "High antibiotic diversity"),
+        ladder(rate, RATE_FACTORS, None),
+        F.when(n > 100, VOLUME_FACTOR),
+        F.when(k > 10, DIVERSITY_FACTOR),
     )
     return out.select(
         "organism", F.least(points, F.lit(100)).cast("long").alias("risk_score"), ladder(points, [(70, "CRITICAL"), (50, "HIGH"), (30, "MODERATE")], "LOW", strict=False).alias("risk_level"),
@@ -152,7 +158,7 @@ def burden(samples: DataFrame, ast: DataFrame) -> DataFrame:
     rate = percent(F.sum("r"), F.sum("n"))
     return by.agg(F.sum("r").alias("total_resistant_tests"), F.sum("n").alias("total_tests"), rate.alias("overall_resistance_rate"), F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("resistance_by_category")).withColumn(
         "public_health_impact",
-        ladder(F.col("overall_resistance_rate"), [(50, "CRITICAL - Urgent intervention needed"), (30, "HIGH - Enhanced surveillance recommended"), (15, "MODERATE - Continued monitoring")], "LOW - Maintain current practices"),
+        ladder(F.col("overall_resistance_rate"), IMPACTS, LOW_IMPACT),
     )
 
 

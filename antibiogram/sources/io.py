@@ -99,6 +99,7 @@ def store_folder(spark: SparkSession) -> str:
 
 def template(spark: SparkSession) -> dict[str, DataFrame]:
     """The example upload: three samples and three tests."""
+    # The rows of the example.
     samples = [
         ("SAMPLE_001", "2024-01-15", "Ashanti", "Kumasi", "Water Treatment Plant", "ENVIRONMENT", "treated_water", "", "treated_water", "6.6326", "-1.6243"),
         ("SAMPLE_002", "2024-01-20", "Greater Accra", "Accra", "Retail Market", "FOOD", "raw_chicken", "chicken", "", "5.6037", "-0.1870"),
