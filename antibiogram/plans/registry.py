@@ -45,10 +45,9 @@ class Tables:
         """(samples, tests) as bucketed tables, written from the order tables once in an application."""
 
         def write(path: str) -> None:
-            samples, tests = adapter.samples(self.spark, self.dir), adapter.tests(self.spark, self.dir)
             cores = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-            n = adapter.table(self.spark, self.dir, "lineitem").count()
-            mart.write(_mart_name(path), path, samples, tests, mart.buckets_for(n, cores))
+            buckets = mart.buckets_for(adapter.table(self.spark, self.dir, "lineitem").count(), cores, mart.TASK_ROWS)
+            mart.write(_mart_name(path), path, adapter.samples(self.spark, self.dir), adapter.tests(self.spark, self.dir, buckets), buckets)
 
         return mart.read(self.spark, _mart_name(self.folder("mart", write)))
 

@@ -62,15 +62,26 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def raw_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _dealt(df: DataFrame, key: str, parts: int) -> DataFrame:
+    """Rows with the names of their order's sample, dealt by them."""
+    return df.withColumns({"dataset_id": _dataset(key), "sample_id": F.col(key).cast("string")}).repartition(parts, "dataset_id", "sample_id")
+
+
+def raw_tests(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Line items with their order; with ``parts``, both are dealt into so many partitions by (dataset_id, sample_id) before any
+    of the texts is made, and the result is dealt likewise."""
     li, o = table(spark, sf_dir, "lineitem"), table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    if parts is None:
+        rows = li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).withColumns({"dataset_id": _dataset("l_orderkey"), "sample_id": F.col("l_orderkey").cast("string")})
+    else:
+        rows = _dealt(li, "l_orderkey", parts).join(_dealt(o, "o_orderkey", parts), ["dataset_id", "sample_id"])
     base = 4 * (F.col("o_custkey") % 10)
     q = F.col("l_quantity")
     mic = F.col("l_linestatus") == "F"
-    return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
-        _dataset("l_orderkey").alias("dataset_id"),
-        F.col("l_orderkey").cast("string").alias("sample_id"),
-        F.col("l_orderkey").cast("string").alias("isolate_id"),
+    return rows.select(
+        "dataset_id",
+        "sample_id",
+        F.col("sample_id").alias("isolate_id"),
         _one_of(ORGANISMS, F.col("o_custkey") % 10).alias("organism"),
         _one_of(ANTIBIOTICS, F.col("l_partkey") % 24).alias("antibiotic"),
         F.when(q <= 5 + base, "R").when(q <= 9 + base, "I").otherwise("S").alias("result"),
@@ -86,12 +97,14 @@ def raw_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+def tests(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """One row for each isolate and antibiotic. Rows are dealt by the columns that join them with their samples, so the same
-    exchange serves this and that join, and a filter on either column reaches the scan."""
+    exchange serves this and that join, and a filter on either column reaches the scan. ``parts`` as in ``raw_tests``: then
+    line items are moved only once."""
     first = Window.partitionBy("dataset_id", "sample_id", "isolate_id", "antibiotic").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
-    rows = raw_tests(spark, sf_dir).repartition("dataset_id", "sample_id").withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1)
-    return rows.drop("_nth", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = raw_tests(spark, sf_dir, parts)
+    rows = rows.repartition("dataset_id", "sample_id") if parts is None else rows
+    return rows.withColumn("_nth", F.row_number().over(first)).where(F.col("_nth") == 1).drop("_nth", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
 
 
 def datasets(samples: DataFrame, tests: DataFrame) -> DataFrame:

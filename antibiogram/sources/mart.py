@@ -14,15 +14,18 @@ KEYS = ("dataset_id", "sample_id")
 TABLES = ("samples", "tests")
 #: Tests that a bucket should hold at most.
 BUCKET_ROWS = 8_000_000
+#: Rows that a task should sort at most, whatever the tables' size, where their number is known before they are dealt.
+TASK_ROWS = 500_000
 
 
-def buckets_for(n_tests: int, at_least: int) -> int:
+def buckets_for(n_tests: int, at_least: int, rows: int = BUCKET_ROWS) -> int:
     """A number of buckets for so many tests, a multiple of ``at_least`` (the cores that should have work)."""
-    return at_least * max(1, -(-n_tests // (BUCKET_ROWS * at_least)))
+    return at_least * max(1, -(-n_tests // (rows * at_least)))
 
 
 def write(name: str, path: str, samples: DataFrame, tests: DataFrame, buckets: int, mode: str = "overwrite") -> None:
-    """Tables ``name_samples`` and ``name_tests`` under ``path``: each task writes one bucket's file."""
+    """Tables ``name_samples`` and ``name_tests`` under ``path``: each task writes one bucket's file. Rows that are dealt by the keys into as many
+    partitions already are not dealt again."""
     for table, df in zip(TABLES, (samples, tests), strict=True):
         writer = df.repartition(buckets, *KEYS).write.mode(mode).bucketBy(buckets, *KEYS).sortBy(*KEYS)
         writer.option("path", f"{path}/{table}").saveAsTable(f"{name}_{table}")

@@ -399,3 +399,19 @@ def test_names_matched_once_or_row_by_row(spark, sf_dir, mode):
     ast = adapter.tests(spark, sf_dir).withColumn("organism", F.when(F.col("isolate_id") % 7 != 0, F.col("organism"))).withColumn("method", F.when(F.col("isolate_id") % 5 != 0, F.col("method")))
     by_name, by_row = ip.interpret(ast, mode), ip.interpret(ast, mode, few_names=3)
     assert by_name.columns == by_row.columns and by_name.exceptAll(by_row).isEmpty() and by_name.count() == by_row.count() == ast.count()
+
+
+def _executed(df) -> str:
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_line_items_are_dealt_once_for_the_bucketed_tables(spark, sf_dir):
+    """Into as many partitions as their number asks for, and not again for the window or the buckets."""
+    from antibiogram.sources import adapter, mart
+
+    raw = lambda: adapter.tests(spark, sf_dir, 9)
+    plan = _executed(raw().repartition(9, *mart.KEYS))
+    assert plan.count("Exchange hashpartitioning") == 2  # line items, orders
+    assert plan.count("hashpartitioning(dataset_id") == 2 and "9), REPARTITION_BY_NUM" in plan
+    assert raw().exceptAll(adapter.tests(spark, sf_dir)).isEmpty() and raw().count() == adapter.tests(spark, sf_dir).count()
+    assert [mart.buckets_for(n, 12, mart.TASK_ROWS) for n in (0, 6_000_000, 36_000_000, 216_000_000)] == [12, 12, 72, 432]
