@@ -57,15 +57,16 @@ def _named(df: DataFrame, col: str, source: str, kind: str, order: tuple[str, ..
     return filled.unionByName(blank)
 
 
-def upsert(old: DataFrame, new: DataFrame, *key: str) -> DataFrame:
-    """Rows of both; of a key the new one."""
+def upsert(old: DataFrame, new: DataFrame, *key: str, parts: int | None = None) -> DataFrame:
+    """Rows of both; of a key the new one. ``parts``: how many partitions they meet in, where Spark's own number is not meant."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    both = both if parts is None else both.repartition(parts, *key)
     nth = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("_new")))
     return both.withColumn("_nth", nth).where(F.col("_nth") == 1).drop("_nth", "_new")
 
 
-def merge(samples: DataFrame, ast: DataFrame, datasets: DataFrame, source: str, into: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(samples, tests, registry) of dataset ``into`` after copying ``source`` into it under prefixed ids."""
+def merge(samples: DataFrame, ast: DataFrame, datasets: DataFrame, source: str, into: str, parts: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(samples, tests, registry) of dataset ``into`` after copying ``source`` into it under prefixed ids; ``parts`` as in ``upsert``."""
     of = lambda df, d: df.where(F.col("dataset_id") == d)
     s, a = of(samples, source), of(ast, source)
     moved_s = _named(s, "sample_id", source, "sample", ("region", "district", "collection_date")).withColumn("dataset_id", F.lit(into))
@@ -80,4 +81,4 @@ def merge(samples: DataFrame, ast: DataFrame, datasets: DataFrame, source: str,
     registry = datasets.join(F.broadcast(added)).withColumns(
         {c: F.when(F.col("dataset_id") == into, F.col(c) + F.col(x)).otherwise(F.col(c)) for c, x in (("rows_samples", "_s"), ("rows_tests", "_a"))}
     )
-    return upsert(of(samples, into), moved_s, "dataset_id", "sample_id"), upsert(of(ast, into), moved_a, "dataset_id", "isolate_id", "antibiotic"), registry.drop("_s", "_a")
+    return upsert(of(samples, into), moved_s, "dataset_id", "sample_id", parts=parts), upsert(of(ast, into), moved_a, "dataset_id", "isolate_id", "antibiotic", parts=parts), registry.drop("_s", "_a")

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,18 +39,42 @@ def conform(df: DataFrame, schema) -> DataFrame:
 TABLES = {"samples": SAMPLES, "ast_results": AST, "datasets": DATASETS}
 
 
+#: Datasets of which a writing task keeps a file open; only rows of further ones are sorted.
+OPEN_FILES = 8
+
+
+@contextlib.contextmanager
+def unsorted_writes(spark: SparkSession) -> Iterator[None]:
+    """Within it a task writes rows to their datasets' files as they come. Else Spark sorts all rows of a task by dataset first,
+    and such a task may read 128 MB of files, tens of millions of rows."""
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, str(OPEN_FILES))
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def put(path: str, table: str, df: DataFrame) -> None:
     """Rows of whole datasets into a table of the store; each dataset replaces what an earlier attempt left of it."""
-    conform(df, TABLES[table]).write.partitionBy("dataset_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{table}")
+    with unsorted_writes(df.sparkSession):
+        conform(df, TABLES[table]).write.partitionBy("dataset_id").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{table}")
+
+
+def listed(df: DataFrame, registry: DataFrame) -> DataFrame:
+    """Rows of the datasets that the registry lists. It has a row a dataset, so it is broadcast: by dataset, rows would meet in as
+    many tasks as there are datasets."""
+    return df.join(F.broadcast(registry.select("dataset_id")), "dataset_id", "left_semi")
 
 
 def write_datasets(path: str, registry: DataFrame, samples: DataFrame, ast: DataFrame) -> None:
     """The datasets that the registry lists, a write a table whatever their number: samples, tests and then the registry, so
     that a dataset is listed only once it is whole. The registry's counts are those of the written files."""
-    spark, listed = registry.sparkSession, registry.select("dataset_id")
+    spark = registry.sparkSession
     counts = registry.drop("rows_samples", "rows_tests")
     for table, df, rows in (("samples", samples, "rows_samples"), ("ast_results", ast, "rows_tests")):
-        put(path, table, df.join(listed, "dataset_id", "left_semi"))
+        put(path, table, listed(df, registry))
         n = scan(spark, path, table).groupBy("dataset_id").agg(F.count("*").alias(rows))
         counts = counts.join(n, "dataset_id", "left").withColumn(rows, F.coalesce(rows, F.lit(0)))
     put(path, "datasets", counts)

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import catalog, io
+from . import catalog, io, mart
 
 STAGED, DONE = "_staged", "_merged"
 
@@ -54,10 +54,12 @@ def stage(spark: SparkSession, path: str, at: str, source: str, into: str) -> tu
     """Writes the merged tables of ``into`` under ``at``; how many samples and tests the source has."""
     samples, ast, registry = (io.scan(spark, path, t) for t in ("samples", "ast_results", "datasets"))
     added = [df.where(F.col("dataset_id") == source).count() for df in (samples, ast)]
-    merged: tuple[DataFrame, DataFrame, DataFrame] = catalog.merge(samples, ast, registry, source, into)
+    parts = mart.buckets_for(added[1] + io.scan(spark, path, "ast_results", into).count(), int(spark.conf.get("spark.sql.shuffle.partitions")), mart.TASK_ROWS)
+    merged: tuple[DataFrame, DataFrame, DataFrame] = catalog.merge(samples, ast, registry, source, into, parts)
     for table, df in zip(io.TABLES, merged, strict=True):
         own = df.where(F.col("dataset_id") == into)
-        io.conform(own, io.TABLES[table]).write.partitionBy("dataset_id").mode("overwrite").parquet(f"{at}/{table}")
+        with io.unsorted_writes(spark):
+            io.conform(own, io.TABLES[table]).write.partitionBy("dataset_id").mode("overwrite").parquet(f"{at}/{table}")
     return added[0], added[1]
 
 

@@ -415,3 +415,31 @@ def test_line_items_are_dealt_once_for_the_bucketed_tables(spark, sf_dir):
     assert plan.count("hashpartitioning(dataset_id") == 2 and "9), REPARTITION_BY_NUM" in plan
     assert raw().exceptAll(adapter.tests(spark, sf_dir)).isEmpty() and raw().count() == adapter.tests(spark, sf_dir).count()
     assert [mart.buckets_for(n, 12, mart.TASK_ROWS) for n in (0, 6_000_000, 36_000_000, 216_000_000)] == [12, 12, 72, 432]
+
+
+def test_rows_do_not_meet_by_dataset(spark, tmp_path):
+    """The registry is broadcast however large it is thought to be, and no task sorts its rows by dataset."""
+    from antibiogram.sources import io
+
+    name = "spark.sql.maxConcurrentOutputFileWriters"
+    ast = spark.range(200).select(F.concat(F.lit("D"), (F.col("id") % 12).cast("string")).alias("dataset_id"), F.col("id").cast("string").alias("isolate_id"))
+    registry = ast.where("dataset_id <> 'D3'").groupBy("dataset_id").agg(F.count("*").alias("rows_tests")).withColumn("dataset_name", F.col("dataset_id"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert "BroadcastHashJoin" in _executed(io.listed(ast, registry))
+        with io.unsorted_writes(spark):
+            assert spark.conf.get(name) == str(io.OPEN_FILES)
+        assert spark.conf.get(name, None) in (None, "0")
+        io.write_datasets(str(tmp_path), registry, ast, ast)  # more datasets than a task has files open
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    back = io.scan(spark, str(tmp_path), "ast_results").select("dataset_id", "isolate_id")
+    assert back.exceptAll(ast.where("dataset_id <> 'D3'")).isEmpty() and back.count() == 200 - 17
+    assert {r.rows_tests for r in io.scan(spark, str(tmp_path), "datasets").collect()} == {16, 17}
+
+
+def test_merged_rows_meet_in_partitions_by_their_number(spark):
+    rows = spark.range(50).select("id", (F.col("id") * 2).alias("x"))
+    both = catalog.upsert(rows, rows.withColumn("x", F.lit(0).cast("long")).where("id < 20"), "id", parts=9)
+    assert "9), REPARTITION_BY_NUM" in _executed(both) and both.agg(F.sum("x"), F.count("*")).first()[:] == (sum(2 * i for i in range(20, 50)), 50)
