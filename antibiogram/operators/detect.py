@@ -138,9 +138,12 @@ def cross_resistance(ast: DataFrame) -> DataFrame:
 
 
 def multi_resistance(ast: DataFrame, min_resistances: int = 3) -> DataFrame:
-    """Isolates that resist at least so many distinct antibiotics."""
-    out = known(ast, "isolate_id").groupBy(*ISOLATE).agg(
-        first_organism().alias("organism"), F.countDistinct(F.when(F.col("result") == "R", F.col("antibiotic"))).alias("resistant_count"), F.countDistinct("antibiotic").alias("total_tested")
+    """Isolates that resist at least so many distinct antibiotics. An isolate's tests meet by antibiotic first, so that no row is
+    multiplied for the two distinct counts."""
+    order = F.struct(F.col("test_date").isNull(), "test_date", "antibiotic", "organism")
+    drugs = known(ast, "isolate_id").groupBy(*ISOLATE, "antibiotic").agg(F.min(order).alias("_first"), F.bool_or(F.col("result") == "R").alias("_r"))
+    out = drugs.groupBy(*ISOLATE).agg(
+        F.min("_first")["organism"].alias("organism"), F.count_if(F.col("_r") & F.col("antibiotic").isNotNull()).alias("resistant_count"), F.count("antibiotic").alias("total_tested")
     )
     r = F.col("resistant_count")
     return out.where(r >= min_resistances).withColumns(

@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from antibiogram.operators import compare, detect, filters, months, rates, score
+from antibiogram.operators import compare, detect, filters, months, profiles, rates, score
 
 
 def _unless(gap: Column, col: str) -> Column:
@@ -153,7 +153,7 @@ QUERIES: dict[str, tuple[Callable[[DataFrame, DataFrame], DataFrame], str]] = {
         "SELECT region AS item, resistance_rate, total_tests AS total FROM (" + _by_rows("region", "region IS NOT NULL") + ")",
     ),
     "gaps_multi": (
-        lambda s, a: detect.multi_resistance(a).drop("organism"),
+        lambda s, a: profiles.Profiles(a).multi_resistance().drop("organism"),
         "SELECT dataset_id, isolate_id, r AS resistant_count, n AS total_tested, round(100.0E0 * r / n, 1) AS resistance_percentage, 'MDR' AS resistance_level FROM (SELECT dataset_id, isolate_id, count(DISTINCT antibiotic) FILTER (WHERE result = 'R') AS r, count(DISTINCT antibiotic) AS n FROM ga WHERE isolate_id IS NOT NULL GROUP BY ALL) WHERE r >= 3",
     ),
     "gaps_mdr": (lambda s, a: detect.mdr(a), MDR),

@@ -443,3 +443,9 @@ def test_merged_rows_meet_in_partitions_by_their_number(spark):
     rows = spark.range(50).select("id", (F.col("id") * 2).alias("x"))
     both = catalog.upsert(rows, rows.withColumn("x", F.lit(0).cast("long")).where("id < 20"), "id", parts=9)
     assert "9), REPARTITION_BY_NUM" in _executed(both) and both.agg(F.sum("x"), F.count("*")).first()[:] == (sum(2 * i for i in range(20, 50)), 50)
+
+
+def test_distinct_drugs_multiply_no_rows(spark):
+    ast = fixtures.tests(spark, [*fixtures.QUICK_TESTS, ("SAM_001", "ISO_002", "Zymomonas", "Ampicillin", "R", "2024-01-18"), ("SAM_001", "ISO_002", "Z", None, "R", None)])
+    assert "Expand" not in _executed(detect.multi_resistance(ast))
+    assert [tuple(r) for r in detect.multi_resistance(ast).select("isolate_id", "organism", "resistant_count", "total_tested").collect()] == [("ISO_002", "Zymomonas", 3, 3)]
