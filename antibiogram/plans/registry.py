@@ -117,11 +117,12 @@ class Tables:
         return self.folder("merge", write)
 
     def uploaded(self, sheet: str) -> DataFrame:
-        """A sheet of eight uploaded workbooks, written from the order tables and read again."""
+        """A sheet of eight uploaded workbooks, in further files where they are too large for one, written from the order tables and
+        read again."""
 
         def write(path: str) -> None:
             sheets = {"samples": uploads.samples(self.spark, self.dir), "ast_results": uploads.tests(self.spark, self.dir)}
-            workbook.write_workbooks({s: df.withColumn("file", F.concat(F.lit("upload-"), uploads.file_no(s))) for s, df in sheets.items()}, path, "file", "row_no")
+            workbook.write_workbooks({s: df.withColumn("file", F.concat(F.lit("upload-"), uploads.file_no(s))) for s, df in sheets.items()}, path, "file", "row_no", continued=True)
 
         return io.read_workbook(self.spark, self.folder("uploads", write))[sheet]
 

@@ -4,7 +4,8 @@ Read: ``spark.read.format("workbook").option("sheet", name).load(folder or file)
 streams its rows out of the sheet's XML and holds the file's shared strings, nothing else. All cells come as text, with
 ``row_no``, the row's number in the sheet: numbers as short as they can be written, dates as yyyy-MM-dd (with a time of day
 where they have one), booleans as True and False, empty cells and errors as null. Rows without cells that lie between others
-are rows of nulls. The columns are the first file's headers; other files' columns are found by their headers.
+are rows of nulls. The columns are the first file's headers; other files' columns are found by their headers. A sheet has at most
+a million rows, so a larger one goes on in further workbooks ``name.after-n.xlsx``, whose rows are numbered as those after n rows.
 
 Write: rows (file, sheet, row_no, cells) that are ordered within a task, each file's rows in one task, as ``write_workbooks``
 makes them. A task streams its files into a temporary folder; they take their places when all tasks are done.
@@ -35,6 +36,10 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 
 #: Rows of a sheet, the header included: a limit of the format.
 MAX_ROWS = 1_048_576
+#: Rows of a sheet after which a continued workbook goes on in a further file, about.
+PART_ROWS = 400_000
+#: The name of a file that continues another one: so many of its rows come before.
+CONTINUED = re.compile(r"\.after-(\d+)\.xlsx$")
 LONG_FORM = "file string, sheet string, row_no long, cells array<string>"
 # Fixed values of the format: days are counted from here, number formats that are dates, and what makes a custom one a date.
 EPOCHS = {False: datetime.datetime(1899, 12, 30), True: datetime.datetime(1904, 1, 1)}
@@ -44,6 +49,7 @@ NOT_CODE = re.compile(r'"[^"]*"|\[[^\]]*\]|\\.')
 MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
+DATA, ROW, TEXT = (f"{{{MAIN}}}{x}" for x in ("sheetData", "row", "t"))
 
 
 def file_system(path: str):
@@ -122,19 +128,19 @@ class Book:
         """(number, cells) of the sheet's rows, as the XML has them."""
         shared, dates, nth = self._shared(), self._dates(), 0
         with self._zip.open(self.sheets[sheet]) as f:
-            parsed = ElementTree.iterparse(f, events=("start", "end"))
-            _, top = next(parsed)
-            for event, e in parsed:
+            top = None
+            for event, e in ElementTree.iterparse(f, events=("start", "end")):
                 if event == "start":
-                    top = e if _name(e) == "sheetData" else top
+                    top = e if top is None and e.tag == DATA else top
                     continue
-                if _name(e) != "row":
+                if e.tag != ROW:
                     continue
                 nth = int(e.get("r") or nth + 1)
                 cells: list[str | None] = []
                 for c in e:
-                    k = _column(c.get("r")) if c.get("r") else len(cells)
-                    cells += [None] * (k - len(cells))
+                    ref = c.get("r")
+                    if ref:
+                        cells += [None] * (_column(ref) - len(cells))
                     cells.append(self._cell(c, shared, dates))
                 yield nth, cells
                 top.clear()
@@ -142,7 +148,8 @@ class Book:
     def _cell(self, c: ElementTree.Element, shared: list[str], dates: set[int]) -> str | None:
         kind = c.get("t", "n")
         if kind == "inlineStr":
-            return _text(c) or None
+            plain = len(c) == 1 and len(c[0]) == 1 and c[0][0].tag == TEXT
+            return (c[0][0].text if plain else _text(c)) or None
         value = next((e.text for e in c if _name(e) == "v"), None)
         if not value or kind == "e":
             return None
@@ -194,13 +201,14 @@ class WorkbookReader(DataSourceReader):
         with Book(self.path, partition.file) as book:
             at = {name: k for k, name in enumerate(book.header(self.sheet))}
             order = [at.get(c, -1) for c in self.columns[:-1]]
-            last = 1
+            last, found = 1, CONTINUED.search(partition.file)
+            before = int(found[1]) if found else 0
             for nth, cells in book.rows(self.sheet):
                 if nth == 1 or all(c is None for c in cells):
                     continue
                 for gap in range(last + 1, nth):
-                    yield (*[None] * len(order), gap)
-                yield (*[cells[k] if 0 <= k < len(cells) else None for k in order], nth)
+                    yield (*[None] * len(order), before + gap)
+                yield (*[cells[k] if 0 <= k < len(cells) else None for k in order], before + nth)
                 last = nth
 
 
@@ -291,7 +299,7 @@ class BookOut:
             elif kind == "boolean":
                 out.append(f'<c t="b"><v>{int(c == "true")}</v></c>')
             elif kind == "string" or c in ("NaN", "Infinity", "-Infinity"):
-                out.append(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(NOT_XML.sub("", c))}</t></is></c>')
+                out.append(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(NOT_XML.sub("", c)) if MARKED.search(c) else c}</t></is></c>')
             else:
                 out.append(f"<c><v>{c}</v></c>")
         self._open.write(f'<row r="{self._nth}">{"".join(out)}</row>'.encode())
@@ -320,7 +328,8 @@ class BookOut:
         self._sink.close()
 
 
-#: Characters that XML cannot hold.
+#: Characters that XML cannot hold, and with those that it escapes.
+MARKED = re.compile("[&<>\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
 NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
 
 
@@ -368,12 +377,38 @@ def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     return spark.read.format("workbook").option("sheet", sheet).load(path)
 
 
-def write_workbooks(sheets: dict[str, DataFrame], path: str, by: str | None = None, order: str | None = None) -> None:
+def _continued(rows: DataFrame) -> tuple[DataFrame, int]:
+    """Rows whose file is the part that they are in, and how many files there are.
+
+    Parts of a sheet are cut at quantiles of its rows' order, so rows are counted by part and never ranked one by one. The driver
+    gets a number a part, which fixes the cuts for counting and writing; rows of one place in the order stay in one part."""
+    keys, spark = ["file", "sheet"], rows.sparkSession
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    most = sizes.agg(F.max("n")).first()[0] or 0
+    k = -(-most // PART_ROWS)
+    if k <= 1:
+        return rows, sizes.select("file").distinct().count()
+    cuts = rows.groupBy(*keys).agg(F.percentile_approx("row_no", [i / k for i in range(1, k)], 10_000).alias("cuts"), F.count("*").alias("n"))
+    of = {(r.file, r.sheet): sorted(set(r.cuts)) if r.n > PART_ROWS else [] for r in cuts.collect()}
+    part = F.size(F.filter("cuts", lambda c: c < F.col("row_no")))
+    placed = rows.join(F.broadcast(spark.createDataFrame([(*key, c) for key, c in of.items()], "file string, sheet string, cuts array<long>")), keys).withColumn("part", part).drop("cuts")
+    counted = {(r.file, r.sheet, r.part): r["count"] for r in placed.groupBy(*keys, "part").count().collect()}
+    names = []
+    for (file, sheet), c in of.items():
+        before = 0
+        for p in range(len(c) + 1):
+            names.append((file, sheet, p, f"{file}.after-{before}" if before else file))
+            before += counted.get((file, sheet, p), 0)
+    named = spark.createDataFrame(names, "file string, sheet string, part int, name string")
+    return placed.join(F.broadcast(named), [*keys, "part"]).select(F.col("name").alias("file"), "sheet", "row_no", "cells"), len({n[3] for n in names})
+
+
+def write_workbooks(sheets: dict[str, DataFrame], path: str, by: str | None = None, order: str | None = None, continued: bool = False) -> None:
     """These sheets as workbooks in a folder: one for each value of the column ``by`` (a text that every sheet has and that is
     not written), else a single one ``workbook``; rows in the order of the column ``order``, which is not written either.
 
     What replaces another write of the folder is there at once. A file's rows meet in one task, in order: the format bounds
-    them (``MAX_ROWS`` a sheet)."""
+    them (``MAX_ROWS`` a sheet). More rows are an error, or, if ``continued``, go on in further files, which are read as one."""
     spark = next(iter(sheets.values())).sparkSession
     spark.dataSource.register(Workbooks)
     kinds = {s: [(c, k) for c, k in df.dtypes if c not in (by, order)] for s, df in sheets.items()}
@@ -384,5 +419,10 @@ def write_workbooks(sheets: dict[str, DataFrame], path: str, by: str | None = No
         one = df.select((F.col(by).cast("string") if by else F.lit("workbook")).alias("file"), F.lit(s).alias("sheet"), at.alias("row_no"), cells.alias("cells"))
         rows = one if rows is None else rows.unionByName(one)
     nth = F.array_position(F.array(*[F.lit(s) for s in sheets]), F.col("sheet"))
-    ordered = rows.repartition("file").sortWithinPartitions("file", nth, "row_no")
+    if continued:
+        rows, n_files = _continued(rows)
+        rows = rows.repartition(4 * n_files, "file")  # so many that few tasks get two files
+    else:
+        rows = rows.repartition("file")
+    ordered = rows.sortWithinPartitions("file", nth, "row_no")
     ordered.write.format("workbook").option("sheets", json.dumps(kinds)).mode("overwrite").save(path)

@@ -119,3 +119,23 @@ def test_template_is_read_back(spark, tmp_path):
         want = df.replace("", None)
         assert back[sheet].exceptAll(want).isEmpty() and want.exceptAll(back[sheet]).isEmpty() and back[sheet].columns == df.columns
     assert validate.validate(spark, back["samples"], back["ast_results"]).isEmpty()
+
+
+def test_a_large_sheet_goes_on_in_further_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(workbook, "MAX_ROWS", 40)
+    monkeypatch.setattr(workbook, "PART_ROWS", 20)
+    file = F.when(F.col("id") % 10 == 0, "few").otherwise("many").alias("f")
+    big, small = spark.range(200).select(file, (F.col("id") * 3).alias("x"), F.col("id").alias("k")), spark.range(10).select(file, F.col("id").alias("y"), F.col("id").alias("k"))
+    for continued in (False, True):
+        if not continued:
+            with pytest.raises(Exception, match="at most 40 rows"):
+                workbook.write_workbooks({"big": big, "small": small}, str(tmp_path / "b"), "f", "k")
+            continue
+        workbook.write_workbooks({"big": big, "small": small}, str(tmp_path / "b"), "f", "k", continued)
+    names = [p.name for p in (tmp_path / "b").iterdir()]
+    assert len(names) >= 10 and {"few.xlsx", "many.xlsx"} < set(names) and all(n.startswith("many.after-") for n in names if n not in ("few.xlsx", "many.xlsx"))
+    rows = workbook.read_sheet(spark, str(tmp_path / "b"), "big").select(F.col("x").cast("int"), "row_no").collect()
+    many = sorted((r.x, r.row_no) for r in rows if r.x % 30)
+    assert many == [(3 * i, k) for k, i in enumerate((i for i in range(200) if i % 10), 2)]
+    assert sorted((r.x, r.row_no) for r in rows if r.x % 30 == 0) == [(30 * i, i + 2) for i in range(20)]
+    assert sorted((int(r.y), r.row_no) for r in workbook.read_sheet(spark, str(tmp_path / "b"), "small").collect()) == [(0, 2), *[(i, i + 1) for i in range(1, 10)]]
