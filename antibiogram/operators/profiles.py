@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from antibiogram.functions.exprs import has, percent
+from antibiogram.sources import mart
 
 from . import detect
 from .detect import CROSS_CLASSES, DRUG_CLASSES, ISOLATE
@@ -65,7 +66,10 @@ class Profiles:
     def write(self, path: str) -> None:
         """Isolates, then names: a folder without names was not finished. New tests need a new folder, since numbers follow names."""
         if self.few:
-            self.frame.write.mode("overwrite").parquet(f"{path}/isolates")
+            # Isolates meet in partitions by the tests' number; Spark's own number would let a task grow with the tables.
+            parts = mart.buckets_for(self.ast.count(), int(self.spark.conf.get("spark.sql.shuffle.partitions")), mart.TASK_ROWS)
+            with mart.shuffle_partitions(self.spark, parts):
+                self.frame.write.mode("overwrite").parquet(f"{path}/isolates")
         self._table(self.names, NAMES).coalesce(1).write.mode("overwrite").parquet(f"{path}/names")
 
     def _table(self, rows: list[tuple], schema: str) -> DataFrame:

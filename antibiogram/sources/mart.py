@@ -7,6 +7,9 @@ deals its rows into the same buckets.
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,19 @@ def buckets_for(n_tests: int, at_least: int, rows: int = BUCKET_ROWS) -> int:
     return at_least * max(1, -(-n_tests // (rows * at_least)))
 
 
+@contextlib.contextmanager
+def shuffle_partitions(spark: SparkSession, parts: int) -> Iterator[None]:
+    """Within it rows meet in so many partitions, fewer only where Spark finds them small: for aggregations, whose rows are combined
+    before they are dealt, so that no ``repartition`` may come before."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(parts))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write(name: str, path: str, samples: DataFrame, tests: DataFrame, buckets: int, mode: str = "overwrite") -> None:
     """Tables ``name_samples`` and ``name_tests`` under ``path``: each task writes one bucket's file. Rows that are dealt by the keys into as many
     partitions already are not dealt again."""

@@ -87,3 +87,19 @@ def test_one_exchange_and_fixed_buffers(spark):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert len(re.findall(r"Exchange hashpartitioning", plan)) == 1
         assert "HashAggregate" in plan and "SortAggregate" not in plan and "ObjectHashAggregate" not in plan
+
+
+def test_isolates_meet_in_partitions_by_the_tests_number(spark, tmp_path, monkeypatch):
+    from antibiogram.sources import mart
+
+    ast, parts, small = odd_tests(spark, 7), "spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled"
+    monkeypatch.setattr(mart, "TASK_ROWS", 100)
+    before = spark.conf.get(parts), spark.conf.get(small)
+    try:
+        spark.conf.set(small, "false")
+        profiles.Profiles(ast).write(str(tmp_path))
+    finally:
+        spark.conf.set(small, before[1])
+    assert len(list(tmp_path.glob("isolates/part-*"))) == 16 and spark.conf.get(parts) == before[0] == "4"
+    for got, want in pairs(profiles.Profiles.read(ast, str(tmp_path)), ast):
+        assert rows_of(got) == rows_of(want) != []
