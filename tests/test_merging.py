@@ -6,7 +6,7 @@ import fixtures
 import pytest
 from pyspark.sql import functions as F
 
-from antibiogram.sources import catalog, io, merging
+from antibiogram.sources import catalog, io, mart, merging
 
 
 class Killed(BaseException):
@@ -98,3 +98,14 @@ def test_again_under_another_name_and_errors(spark, stored):
     with pytest.raises(ValueError, match="'three' is empty"):
         merging.merge_stored(spark, stored, "three", "two")
     assert io.health(spark, stored).first().datasets == 3
+
+
+def test_merged_rows_are_staged_in_partitions_by_the_tests_number(spark, stored, monkeypatch):
+    """Not in as many as Spark's setting says, which lets a task grow with the tables."""
+    want = by_frames(spark, stored)
+    monkeypatch.setattr(mart, "TASK_ROWS", 1, raising=False)
+    assert merging.merge_stored(spark, stored, "one", "two") and content(spark, stored) == want
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for table in ("samples", "ast_results"):
+        rows = io.scan(spark, stored, table, "two")
+        assert rows.select(F.input_file_name()).distinct().count() > parts, table
