@@ -449,3 +449,21 @@ def test_distinct_drugs_multiply_no_rows(spark):
     ast = fixtures.tests(spark, [*fixtures.QUICK_TESTS, ("SAM_001", "ISO_002", "Zymomonas", "Ampicillin", "R", "2024-01-18"), ("SAM_001", "ISO_002", "Z", None, "R", None)])
     assert "Expand" not in _executed(detect.multi_resistance(ast))
     assert [tuple(r) for r in detect.multi_resistance(ast).select("isolate_id", "organism", "resistant_count", "total_tested").collect()] == [("ISO_002", "Zymomonas", 3, 3)]
+
+
+def test_rows_of_a_store_stay_in_their_tasks(spark, tmp_path):
+    """A dataset's rows are written by every task that has some; a deleted dataset is gone and the others are whole."""
+    from antibiogram.sources import io
+
+    ast = spark.range(0, 240, 1, 6).select(F.concat(F.lit("D"), (F.col("id") % 3).cast("string")).alias("dataset_id"), F.col("id").cast("string").alias("isolate_id"))
+    registry = spark.createDataFrame([(f"D{k}", f"Dataset {k}") for k in range(3)], "dataset_id string, dataset_name string")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        io.write_datasets(str(tmp_path), registry, ast, ast)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    for table in ("samples", "ast_results"):
+        assert [len(list(tmp_path.glob(f"{table}/dataset_id=D{k}/part-*"))) for k in range(3)] == [6, 6, 6]
+    io.delete_dataset(spark, str(tmp_path), "D2")
+    assert sorted(io.scan(spark, str(tmp_path), "ast_results").groupBy("dataset_id").count().collect()) == [("D0", 80), ("D1", 80)]
