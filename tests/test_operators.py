@@ -467,3 +467,20 @@ def test_rows_of_a_store_stay_in_their_tasks(spark, tmp_path):
         assert [len(list(tmp_path.glob(f"{table}/dataset_id=D{k}/part-*"))) for k in range(3)] == [6, 6, 6]
     io.delete_dataset(spark, str(tmp_path), "D2")
     assert sorted(io.scan(spark, str(tmp_path), "ast_results").groupBy("dataset_id").count().collect()) == [("D0", 80), ("D1", 80)]
+
+
+def test_queries_over_tables_in_more_buckets_than_shuffle_partitions(spark, sf_dir, tmp_path, monkeypatch):
+    """A bucket holds the tests that a task should sort, whatever the tables' size, and the rows are the same."""
+    from antibiogram.plans import registry
+    from antibiogram.sources import mart
+
+    names = ("agg_group_top5", "i_apply", "agg_heatmap", "agg_report_region", "gaps_abx_rates", "d_cores")
+    want = {n: sorted(map(str, registry.queries()[n](spark, sf_dir).collect())) for n in names}
+    monkeypatch.setattr(mart, "TASK_ROWS", 400, raising=False)
+    again = tmp_path / "again"  # another path, of which nothing is stored
+    again.symlink_to(sf_dir)
+    t = registry.Tables(spark, str(again))
+    n_tests = t.ast.count()
+    files = t.ast.groupBy(F.input_file_name()).count().agg(F.count("*"), F.max("count")).first()
+    assert files[0] > int(spark.conf.get("spark.sql.shuffle.partitions")) and n_tests > 800 and files[1] < 800
+    assert {n: sorted(map(str, registry.queries()[n](spark, str(again)).collect())) for n in names} == want
