@@ -35,6 +35,28 @@ def test_word_encoder_equals_whole_texts(spark, sf_dir):
         assert enc.encode(t).tolist() == whole_ids(t), t
 
 
+def test_words_of_letters_go_to_the_model_alone():
+    enc = packing.WordEncoder(WORD_BPE, 1, max_words=4)
+    letters = "ÀÉÎÕÜßàéîõüÿÆæØøÞþÐð"
+    texts = ["Straße, ÜBER señor Çaile!", "ü Ã¼ ü Ã¼", "Hello HELLO hello HeLLo", *(f"{a}{c}{b} {c}" for c in letters for a, b in (("", "x"), ("X", "")))]
+    want = [whole_ids(t) for t in texts]
+    for t, ids in zip(texts, want, strict=True):
+        assert enc.encode(t).tolist() == ids, t
+    enc.tokenizer = None  # none of these needs more than the model
+    assert enc.encode("Zweifelhafte ÉTRÉTIONLE uncachedwords x").tolist() == whole_ids("Zweifelhafte ÉTRÉTIONLE uncachedwords x")
+
+
+def test_word_encoder_of_a_file_that_keeps_cases(tmp_path):
+    from tokenizers import Tokenizer, normalizers
+
+    plain = Tokenizer.from_file(WORD_BPE)
+    plain.normalizer = normalizers.NFC()
+    path = str(tmp_path / "cases.json")
+    plain.save(path)
+    text = "Hello HELLO hello Über ÜBER."
+    assert packing.WordEncoder(path, 1).encode(text).tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1]
+
+
 def test_cut():
     for n in [*range(1, 5000, 7), 2047, 2048, 2049, 100_000]:
         parts = packing.cut(n)
