@@ -1,7 +1,8 @@
 """Workbooks (xlsx) as the Spark data source ``workbook``.
 
 Read: ``spark.read.format("workbook").option("sheet", name).load(folder or file)``. A partition is one file's sheet; the task
-streams its rows out of the sheet's XML and holds the file's shared strings, nothing else. All cells come as text, with
+streams its rows out of the sheet's XML, some thousands at a time (``sheetrows``), and holds the file's shared strings, nothing
+else. Bytes that are not in plain form are parsed cell by cell. All cells come as text, with
 ``row_no``, the row's number in the sheet: numbers as short as they can be written, dates as yyyy-MM-dd (with a time of day
 where they have one), booleans as True and False, empty cells and errors as null. Rows without cells that lie between others
 are rows of nulls. The columns are the first file's headers; other files' columns are found by their headers. A sheet has at most
@@ -25,19 +26,28 @@ import uuid
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 from xml.etree import ElementTree
 from xml.sax.saxutils import escape, quoteattr
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.internal import InternalFunction
+
+from . import sheetrows
 
 #: Rows of a sheet, the header included: a limit of the format.
 MAX_ROWS = 1_048_576
 #: Rows of a sheet after which a continued workbook goes on in a further file, about.
 PART_ROWS = 400_000
+#: Rows that are put into XML at once, and how hard a written workbook is compressed (1 to 9).
+PIECE, DEFLATE = 10_000, 1
 #: The name of a file that continues another one: so many of its rows come before.
 CONTINUED = re.compile(r"\.after-(\d+)\.xlsx$")
 LONG_FORM = "file string, sheet string, row_no long, cells array<string>"
@@ -50,6 +60,9 @@ MAIN = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
 LINKS = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
 PACKAGE = "http://schemas.openxmlformats.org/package/2006"
 DATA, ROW, TEXT = (f"{{{MAIN}}}{x}" for x in ("sheetData", "row", "t"))
+#: Bytes of a sheet's XML that are taken at once, and beyond which a piece of it without the end of a row is parsed as it comes.
+CHUNK, LONGEST = 1 << 20, 1 << 24
+ENCODING = re.compile(rb"""<\?xml[^>]*encoding=["']([^"']*)["']""")
 
 
 def file_system(path: str):
@@ -97,6 +110,7 @@ class Book:
     def _xml(self, name: str) -> ElementTree.Element:
         return ElementTree.fromstring(self._zip.read(name))
 
+    @cached_property
     def _shared(self) -> list[str]:
         if "xl/sharedStrings.xml" not in self._zip.namelist():
             return []
@@ -108,6 +122,7 @@ class Book:
                     e.clear()
         return out
 
+    @cached_property
     def _dates(self) -> set[int]:
         """Numbers of the cell styles that are dates."""
         if "xl/styles.xml" not in self._zip.namelist():
@@ -126,38 +141,59 @@ class Book:
 
     def rows(self, sheet: str) -> Iterator[tuple[int, list[str | None]]]:
         """(number, cells) of the sheet's rows, as the XML has them."""
-        shared, dates, nth = self._shared(), self._dates(), 0
+        parsed = Parsed(self)
+        with self._zip.open(self.sheets[sheet]) as f:
+            while data := f.read(1 << 14):
+                yield from parsed.rows(data)
+            yield from parsed.rows(None)
+
+    def pieces(self, sheet: str, width: int) -> Iterator[sheetrows.Rows | list[tuple[int, list[str | None]]]]:
+        """The same in pieces: arrays, with the first ``width`` cells of each row, or where the XML is not plain as ``rows`` has them."""
+        parsed, rest, plain = Parsed(self), b"", None
         with self._zip.open(self.sheets[sheet]) as f:
-            top = None
-            for event, e in ElementTree.iterparse(f, events=("start", "end")):
-                if event == "start":
-                    top = e if top is None and e.tag == DATA else top
-                    continue
-                if e.tag != ROW:
-                    continue
-                nth = int(e.get("r") or nth + 1)
-                cells: list[str | None] = []
-                for c in e:
-                    ref = c.get("r")
-                    if ref:
-                        cells += [None] * (_column(ref) - len(cells))
-                    cells.append(self._cell(c, shared, dates))
-                yield nth, cells
-                top.clear()
-
-    def _cell(self, c: ElementTree.Element, shared: list[str], dates: set[int]) -> str | None:
+            while data := f.read(CHUNK):
+                data, rest = rest + data, b""
+                if plain is None:  # the first piece: what comes before the rows is always parsed
+                    head = data.find(b"<sheetData>") + len(b"<sheetData>")
+                    encoding = ENCODING.match(data.removeprefix(b"\xef\xbb\xbf"))
+                    plain = head >= len(b"<sheetData>") and b"<!" not in data[:head] and (not encoding or encoding[1].lower() in (b"utf-8", b"us-ascii"))
+                    if plain:
+                        yield list(parsed.rows(data[:head]))
+                        data, plain = data[head:], parsed.top is not None
+                if plain:
+                    end = data.rfind(b"</row>") + len(b"</row>")
+                    if end >= len(b"</row>"):
+                        data, rest = data[:end], data[end:]
+                    elif len(data) < LONGEST:
+                        rest = data
+                        continue
+                    found = sheetrows.plain(data, width, parsed.nth, self._value)
+                    if found:
+                        parsed.nth = int(found.numbers[-1])
+                        yield found
+                        continue
+                    # What begins in such a piece may end in a later one.
+                    plain = not any(x in data for x in (b"<!", b"<?", b"</sheetData", b"<sheetData"))
+                yield list(parsed.rows(data if plain else data + rest))
+                rest = rest if plain else b""
+            yield [*parsed.rows(rest), *parsed.rows(None)]
+
+    def cell(self, c: ElementTree.Element) -> str | None:
         kind = c.get("t", "n")
         if kind == "inlineStr":
             plain = len(c) == 1 and len(c[0]) == 1 and c[0][0].tag == TEXT
             return (c[0][0].text if plain else _text(c)) or None
         value = next((e.text for e in c if _name(e) == "v"), None)
-        if not value or kind == "e":
+        return self._value(kind, value, int(c.get("s", 0))) if value else None
+
+    def _value(self, kind: str, value: str, style: int) -> str | None:
+        if kind == "e":
             return None
         if kind == "s":
-            return shared[int(value)] or None
+            return self._shared[int(value)] or None
         if kind == "b":
             return "True" if value == "1" else "False"
-        return self._number(value, int(c.get("s", 0)) in dates) if kind == "n" else value
+        return self._number(value, style in self._dates) if kind == "n" else value
 
     def header(self, sheet: str) -> list[str]:
         """The first row's names; an empty one is named by its place, a repeated one numbered."""
@@ -170,21 +206,39 @@ class Book:
         return names
 
 
+class Parsed:
+    """Rows of a sheet's XML as an XML parser finds them in what it is given, piece after piece."""
+
+    def __init__(self, book: Book):
+        self._book, self._parser = book, ElementTree.XMLPullParser(("start", "end"))
+        self.top: ElementTree.Element | None = None
+        self.nth = 0
+
+    def rows(self, data: bytes | None) -> Iterator[tuple[int, list[str | None]]]:
+        """Rows that end in this piece; None is the end of the XML."""
+        self._parser.close() if data is None else self._parser.feed(data)
+        for event, e in self._parser.read_events():
+            if event == "start":
+                self.top = e if self.top is None and e.tag == DATA else self.top
+                continue
+            if e.tag != ROW:
+                continue
+            self.nth = int(e.get("r") or self.nth + 1)
+            cells: list[str | None] = []
+            for c in e:
+                ref = c.get("r")
+                if ref:
+                    cells += [None] * (sheetrows.column(ref) - len(cells))
+                cells.append(self._book.cell(c))
+            yield self.nth, cells
+            self.top.clear()
+
+
 def _text(e: ElementTree.Element) -> str:
     """All text of a string item but its phonetic hints."""
     return "".join(t.text or "" for part in e if _name(part) != "rPh" for t in part.iter() if _name(t) == "t")
 
 
-def _column(ref: str) -> int:
-    """0 for A1, 26 for AA1."""
-    k = 0
-    for c in ref:
-        if not c.isalpha():
-            break
-        k = 26 * k + ord(c.upper()) - 64
-    return k - 1
-
-
 @dataclass
 class SheetOfFile(InputPartition):
     file: str
@@ -197,19 +251,50 @@ class WorkbookReader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [SheetOfFile(f) for f in files(self.path)]
 
-    def read(self, partition: SheetOfFile) -> Iterator[tuple]:
+    def read(self, partition: SheetOfFile) -> Iterator[pa.RecordBatch]:
         with Book(self.path, partition.file) as book:
             at = {name: k for k, name in enumerate(book.header(self.sheet))}
             order = [at.get(c, -1) for c in self.columns[:-1]]
-            last, found = 1, CONTINUED.search(partition.file)
+            found = CONTINUED.search(partition.file)
             before = int(found[1]) if found else 0
-            for nth, cells in book.rows(self.sheet):
-                if nth == 1 or all(c is None for c in cells):
-                    continue
-                for gap in range(last + 1, nth):
-                    yield (*[None] * len(order), before + gap)
-                yield (*[cells[k] if 0 <= k < len(cells) else None for k in order], before + nth)
-                last = nth
+            last = 1
+            for piece in book.pieces(self.sheet, len(at)):
+                if isinstance(piece, list):
+                    numbers, columns = _listed(piece, order, last)
+                else:
+                    numbers, columns = _taken(piece, order, last)
+                if len(numbers):
+                    last = int(numbers[-1])
+                    yield pa.RecordBatch.from_arrays([*columns, pa.array(numbers + before, pa.int64())], self.columns)
+
+
+def _listed(rows: list[tuple[int, list[str | None]]], order: list[int], last: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """Numbers and columns of rows but the header; rows without cells that lie between others are rows of nulls."""
+    numbers: list[int] = []
+    out: list[list[str | None]] = []
+    for nth, cells in rows:
+        if nth == 1 or all(c is None for c in cells):
+            continue
+        gap = range(last + 1, nth)
+        numbers += [*gap, nth]
+        out += [[]] * len(gap) + [cells]
+        last = nth
+    return np.array(numbers, np.int64), [pa.array([cells[k] if 0 <= k < len(cells) else None for cells in out], pa.string()) for k in order]
+
+
+def _taken(rows: sheetrows.Rows, order: list[int], last: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """The same from arrays."""
+    kept = np.flatnonzero(rows.filled & (rows.numbers != 1))
+    numbers, cells = rows.numbers[kept], rows.cells[kept]
+    steps = np.diff(numbers, prepend=last)
+    if (steps > 1).any():  # the n-th place of a step's rows is its last one's
+        gaps = np.maximum(steps, 1)
+        to = np.cumsum(gaps) - 1
+        spread = np.full((int(gaps.sum()), cells.shape[1]), -1)
+        spread[to] = cells
+        numbers, cells = np.repeat(numbers - to, gaps) + np.arange(len(spread)), spread
+    none = pa.nulls(len(numbers), pa.string())
+    return numbers, [none if k < 0 else rows.pool.take(pa.array(cells[:, k], mask=cells[:, k] < 0)) for k in order]
 
 
 @dataclass
@@ -217,25 +302,25 @@ class Written(WriterCommitMessage):
     names: list[str]
 
 
-class WorkbookWriter(DataSourceWriter):
+class WorkbookWriter(DataSourceArrowWriter):
     def __init__(self, path: str, overwrite: bool, sheets: dict[str, list[list[str]]]):
         self.path, self.overwrite, self.sheets = path, overwrite, sheets
         self.part = f"_temporary-{uuid.uuid4().hex}"
 
-    def write(self, rows: Iterator) -> WriterCommitMessage:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> WriterCommitMessage:
         store, at = file_system(self.path)
         task = uuid.uuid4().hex
         folder = f"{at}/{self.part}/{task}"
         store.create_dir(folder, recursive=True)
         names: list[str] = []
         out = None
-        for file, sheet, _, cells in rows:
+        for file, sheet, cells in _runs(iterator):
             if not names or names[-1] != file:
                 if out:
                     out.close()
                 names.append(file)
                 out = BookOut(store, f"{folder}/{file}.xlsx", self.sheets)
-            out.row(sheet, cells)
+            out.rows(sheet, cells)
         if out:
             out.close()
         return Written([f"{task}/{n}.xlsx" for n in names])
@@ -258,18 +343,32 @@ class WorkbookWriter(DataSourceWriter):
             store.delete_dir(f"{at}/{self.part}")
 
 
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, pa.ListArray]]:
+    """(file, sheet, cells) of rows that come one after another."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, PIECE):
+            file, sheet, _, cells = batch.slice(k, PIECE).columns
+            coded = [c.dictionary_encode() for c in (file, sheet)]
+            changes = np.flatnonzero(sum(np.diff(c.indices.to_numpy()) != 0 for c in coded)) + 1
+            for a, b in zip([0, *changes.tolist()], [*changes.tolist(), len(cells)], strict=True):
+                yield file[a].as_py(), sheet[a].as_py(), cells.slice(a, b - a)
+
+
 class BookOut:
     """A workbook that is written sheet after sheet, row after row; sheets that get no rows have their header alone."""
 
     def __init__(self, store, path: str, sheets: dict[str, list[list[str]]]):
         self._sink = store.open_output_stream(path)
-        self._zip = zipfile.ZipFile(self._sink, "w", zipfile.ZIP_DEFLATED)
+        self._zip = zipfile.ZipFile(self._sink, "w", zipfile.ZIP_DEFLATED, compresslevel=DEFLATE)
         self._sheets, self._open, self._begun, self._nth = sheets, None, [], 0
 
-    def row(self, sheet: str, cells: list[str | None]) -> None:
+    def rows(self, sheet: str, cells: pa.ListArray) -> None:
         if not self._begun or self._begun[-1] != sheet:
             self._begin(sheet)
-        self._put(cells, [kind for _, kind in self._sheets[sheet]])
+        kinds, flat = [kind for _, kind in self._sheets[sheet]], cells.flatten()
+        if len(flat) != len(kinds) * len(cells):
+            raise ValueError(f"rows of {sheet!r} have {len(kinds)} cells")
+        self._put([flat.take(pa.array(np.arange(k, len(flat), len(kinds)))) for k in range(len(kinds))], kinds, len(cells))
 
     def _begin(self, sheet: str) -> None:
         self._end()
@@ -277,7 +376,7 @@ class BookOut:
         self._open, self._nth = self._zip.open(f"xl/worksheets/sheet{list(self._sheets).index(sheet) + 1}.xml", "w"), 0
         self._open.write(f'<?xml version="1.0" encoding="UTF-8"?><worksheet xmlns="{MAIN}"><sheetData>'.encode())
         names = [name for name, _ in self._sheets[sheet]]
-        self._put(names, ["string"] * len(names))
+        self._put([pa.array([name], pa.string()) for name in names], ["string"] * len(names), 1)
 
     def _end(self) -> None:
         if self._open:
@@ -285,24 +384,19 @@ class BookOut:
             self._open.close()
             self._open = None
 
-    def _put(self, cells: list[str | None], kinds: list[str]) -> None:
-        self._nth += 1
-        if self._nth > MAX_ROWS:
+    def _put(self, columns: list[pa.Array], kinds: list[str], n: int) -> None:
+        if self._nth + n > MAX_ROWS:
             raise ValueError(f"a sheet has at most {MAX_ROWS} rows; write more files")
-        out = []
-        for c, kind in zip(cells, kinds, strict=True):
-            if c is None or c == "":
-                out.append("<c/>")
-            elif kind == "date":
-                day = datetime.datetime.fromisoformat(c) - EPOCHS[False]
-                out.append(f'<c s="1"><v>{day.days}</v></c>')
-            elif kind == "boolean":
-                out.append(f'<c t="b"><v>{int(c == "true")}</v></c>')
-            elif kind == "string" or c in ("NaN", "Infinity", "-Infinity"):
-                out.append(f'<c t="inlineStr"><is><t xml:space="preserve">{escape(NOT_XML.sub("", c)) if MARKED.search(c) else c}</t></is></c>')
-            else:
-                out.append(f"<c><v>{c}</v></c>")
-        self._open.write(f'<row r="{self._nth}">{"".join(out)}</row>'.encode())
+        numbers = pa.array(np.arange(self._nth + 1, self._nth + 1 + n)).cast(pa.large_string())
+        self._nth += n
+        cells = []
+        for column, kind in zip(columns, kinds, strict=True):  # each different value is put into XML once
+            coded = column.dictionary_encode("encode")
+            cells.append(pa.array([_cell(c, kind) for c in coded.dictionary.to_pylist()], pa.large_string()).take(coded.indices))
+        begin, attributes_end, end, nothing = (pa.scalar(x, pa.large_string()) for x in ('<row r="', '">', "</row>", ""))
+        text = pc.binary_join_element_wise(begin, numbers, attributes_end, *cells, end, nothing)
+        size = int(np.frombuffer(text.buffers()[1], np.int64)[n])
+        self._open.write(memoryview(text.buffers()[2])[:size])
 
     def close(self) -> None:
         for sheet in self._sheets:
@@ -328,9 +422,26 @@ class BookOut:
         self._sink.close()
 
 
-#: Characters that XML cannot hold, and with those that it escapes.
-MARKED = re.compile("[&<>\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
-NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f￾￿]")
+def _cell(c: str | None, kind: str) -> str:
+    if c is None or c == "":
+        return "<c/>"
+    if kind == "date":
+        return f'<c s="1"><v>{(datetime.datetime.fromisoformat(c) - EPOCHS[False]).days}</v></c>'
+    if kind == "boolean":
+        return f'<c t="b"><v>{int(c == "true")}</v></c>'
+    if kind != "string" and c not in ("NaN", "Infinity", "-Infinity"):
+        return f"<c><v>{c}</v></c>"
+    if SPECIAL.search(c):
+        space = ' xml:space="preserve"' if SPACE.search(c) else ""
+        return f'<c t="inlineStr"><is><t{space}>{escape(NOT_XML.sub("", c))}</t></is></c>'
+    return f'<c t="inlineStr"><is><t>{c}</t></is></c>'
+
+
+#: White space that a reader may take away: at the ends, or more than one, or other than a space.
+SPACE = re.compile(r"^\s|\s$|\s\s|[^\S ]")
+#: Characters that XML cannot hold; with those that it escapes and that white space.
+NOT_XML = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\ufffe\uffff]")
+SPECIAL = re.compile(rf"[&<>]|{NOT_XML.pattern}|{SPACE.pattern}")
 
 
 class Workbooks(DataSource):
@@ -362,7 +473,8 @@ class Workbooks(DataSource):
         return WorkbookWriter(self.options["path"], overwrite, json.loads(self.options["sheets"]))
 
 
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+for _module in (sys.modules[__name__], sheetrows):
+    cloudpickle.register_pickle_by_value(_module)
 
 
 def sheet_names(path: str) -> list[str]:
@@ -390,17 +502,22 @@ def _continued(rows: DataFrame) -> tuple[DataFrame, int]:
         return rows, sizes.select("file").distinct().count()
     cuts = rows.groupBy(*keys).agg(F.percentile_approx("row_no", [i / k for i in range(1, k)], 10_000).alias("cuts"), F.count("*").alias("n"))
     of = {(r.file, r.sheet): sorted(set(r.cuts)) if r.n > PART_ROWS else [] for r in cuts.collect()}
-    part = F.size(F.filter("cuts", lambda c: c < F.col("row_no")))
-    placed = rows.join(F.broadcast(spark.createDataFrame([(*key, c) for key, c in of.items()], "file string, sheet string, cuts array<long>")), keys).withColumn("part", part).drop("cuts")
-    counted = {(r.file, r.sheet, r.part): r["count"] for r in placed.groupBy(*keys, "part").count().collect()}
-    names = []
+    texts = T.StructType([T.StructField(k, T.StringType()) for k in keys])
+    sorted_cuts = T.StructType([*texts, T.StructField("cuts", T.ArrayType(T.LongType(), containsNull=False))])
+    found = InternalFunction.array_binary_search(F.col("cuts"), F.col("row_no"))  # -1 less the place where it is none of them
+    part = F.when(found < 0, -found - 1).otherwise(found)
+    in_part = rows.join(F.broadcast(spark.createDataFrame([(*key, c) for key, c in of.items()], sorted_cuts)), keys)
+    counted = {(r.file, r.sheet, r.part): r["count"] for r in in_part.groupBy(*keys, part.alias("part")).count().collect()}
+    parts = []
     for (file, sheet), c in of.items():
-        before = 0
+        before, names = 0, []
         for p in range(len(c) + 1):
-            names.append((file, sheet, p, f"{file}.after-{before}" if before else file))
+            names.append(f"{file}.after-{before}" if before else file)
             before += counted.get((file, sheet, p), 0)
-    named = spark.createDataFrame(names, "file string, sheet string, part int, name string")
-    return placed.join(F.broadcast(named), [*keys, "part"]).select(F.col("name").alias("file"), "sheet", "row_no", "cells"), len({n[3] for n in names})
+        parts.append((file, sheet, c, names))
+    named = spark.createDataFrame(parts, T.StructType([*sorted_cuts, T.StructField("names", T.ArrayType(T.StringType()))]))
+    placed = rows.join(F.broadcast(named), keys).select(F.get("names", part).alias("file"), "sheet", "row_no", "cells", "nth")
+    return placed, len({n for *_, names in parts for n in names})
 
 
 def write_workbooks(sheets: dict[str, DataFrame], path: str, by: str | None = None, order: str | None = None, continued: bool = False) -> None:
@@ -413,16 +530,15 @@ def write_workbooks(sheets: dict[str, DataFrame], path: str, by: str | None = No
     spark.dataSource.register(Workbooks)
     kinds = {s: [(c, k) for c, k in df.dtypes if c not in (by, order)] for s, df in sheets.items()}
     rows = None
-    for s, df in sheets.items():
+    for nth, (s, df) in enumerate(sheets.items()):
         cells = F.array(*[F.col(f"`{c}`").cast("string") for c, _ in kinds[s]])
         at = F.col(order).cast("long") if order else F.monotonically_increasing_id()
-        one = df.select((F.col(by).cast("string") if by else F.lit("workbook")).alias("file"), F.lit(s).alias("sheet"), at.alias("row_no"), cells.alias("cells"))
+        one = df.select((F.col(by).cast("string") if by else F.lit("workbook")).alias("file"), F.lit(s).alias("sheet"), at.alias("row_no"), cells.alias("cells"), F.lit(nth).alias("nth"))
         rows = one if rows is None else rows.unionByName(one)
-    nth = F.array_position(F.array(*[F.lit(s) for s in sheets]), F.col("sheet"))
     if continued:
         rows, n_files = _continued(rows)
         rows = rows.repartition(4 * n_files, "file")  # so many that few tasks get two files
     else:
         rows = rows.repartition("file")
-    ordered = rows.sortWithinPartitions("file", nth, "row_no")
+    ordered = rows.sortWithinPartitions("file", "nth", "row_no").drop("nth")
     ordered.write.format("workbook").option("sheets", json.dumps(kinds)).mode("overwrite").save(path)

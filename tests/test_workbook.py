@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime
+import random
+import re
 import zipfile
 
 import pytest
@@ -10,7 +12,7 @@ from pyspark.sql import functions as F
 
 from antibiogram.operators import validate
 from antibiogram.plans import uploads
-from antibiogram.sources import io, workbook
+from antibiogram.sources import io, sheetrows, workbook
 
 TYPES = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"/>'
 BOOK = f"""<workbook xmlns="{workbook.MAIN}" xmlns:r="{workbook.LINKS}"><workbookPr{{}}/><sheets><sheet name="notes" sheetId="1" r:id="rId1"/><sheet name="samples" sheetId="2" r:id="rId7"/></sheets></workbook>"""
@@ -139,3 +141,92 @@ def test_a_large_sheet_goes_on_in_further_files(spark, tmp_path, monkeypatch):
     assert many == [(3 * i, k) for k, i in enumerate((i for i in range(200) if i % 10), 2)]
     assert sorted((r.x, r.row_no) for r in rows if r.x % 30 == 0) == [(30 * i, i + 2) for i in range(20)]
     assert sorted((int(r.y), r.row_no) for r in workbook.read_sheet(spark, str(tmp_path / "b"), "small").collect()) == [(0, 2), *[(i, i + 1) for i in range(1, 10)]]
+
+
+def by_parser(path: str, columns: list[str]) -> list[tuple]:
+    """What the reader gives, from an XML parser alone and row by row."""
+    with workbook.Book(path, path) as b:
+        at = {name: k for k, name in enumerate(b.header("samples"))}
+        out, last = [], 1
+        for nth, cells in b.rows("samples"):
+            if nth == 1 or all(c is None for c in cells):
+                continue
+            out += [(*[None] * len(columns), gap) for gap in range(last + 1, nth)]
+            out.append((*[cells[at[c]] if at[c] < len(cells) else None for c in columns], nth))
+            last = nth
+    return out
+
+
+def by_reader(path: str, columns: list[str]) -> list[tuple]:
+    batches = list(workbook.WorkbookReader(path, "samples", [*columns, "row_no"]).read(workbook.SheetOfFile(path)))
+    return [tuple(r.values()) for b in batches for r in b.to_pylist()]
+
+
+HEAD = '<row r="1">' + "".join(f'<c r="{k}1" t="str"><v>{c}</v></c>' for k, c in zip("ABCDEF", "abcdef", strict=True)) + "</row>"
+PLAIN = ['<c t="inlineStr"><is><t>x{}</t></is></c>', '<c t="inlineStr"><is><t xml:space="preserve"> y </t></is></c>', "<c><v>{}.50</v></c>", "<c/>", '<c s="1"><v>4530{}</v></c>', '<c t="s"><v>1</v></c>',
+         '<c t="b"><v>1</v></c>', '<c t="str"><v>é&amp;&#65;</v></c>', '<c t="e"><v>#N/A</v></c>', "<c></c>", '<c t="s"><v>3</v></c>', "<c><v></v></c>", '<c t="str"><v>a\nb</v></c>', '<c s="4"><v>45306.75</v></c>']
+OTHER = ['<c t="inlineStr"><is><r><t>rich</t></r><r><t> text</t></r><rPh><t>no</t></rPh></is></c>', "<c><f>1+1</f><v>2</v></c>", '<c t="str"><v><![CDATA[<row r="3"></row>]]></v></c>', '<c t="str"><v>a > b</v></c>',
+         "<c t='str'><v>q</v></c>", "<c><v>1</v><extLst/></c>", "<c t=\"inlineStr\"><v>z</v></c>", '<c t="str"><v>c\r\nd</v></c>', '<!-- <row r="4"><c><v>4</v></c></row> --><c><v>5</v></c>', "<c><v/></c>"]
+BETWEEN = ["", "\n", '<row r="{}"/>', "<!-- </row> -->", "<row r='{}'></row>"]
+
+
+def random_rows(rng, cells: list[str], between: list[str], referenced: bool, numbered: bool) -> str:
+    head = HEAD if referenced else re.sub(' r="[A-F]1"', "", HEAD)
+    out, nth = [head if numbered else head.replace(' r="1"', "")], 1
+    for k in range(60):
+        nth += rng.choice([1, 1, 1, 2, 5]) if numbered else 1
+        texts = []
+        for c, letter in zip(range(rng.randrange(9)), "ABCDEFGHI", strict=False):
+            if not referenced or rng.random() < 0.7:
+                cell = rng.choice(cells).replace("{}", str(rng.randrange(10)))
+                texts.append(cell.replace("<c", f'<c r="{letter}{nth}"', 1) if referenced and cell.startswith("<c") else cell)
+        number = rng.choice([f' r="{nth}"', f' spans="1:6" r="{nth}" ht="1.5"']) if numbered else ""
+        out.append(f"<row{number}>{''.join(texts)}</row>")
+        filler = rng.choice(between)
+        if "row r" not in filler or numbered:
+            nth += "{}" in filler
+            out.append(filler.replace("{}", str(nth)))
+    return "".join(out)
+
+
+@pytest.mark.parametrize("other", [False, True])
+def test_rows_in_pieces_are_those_of_the_parser(tmp_path, monkeypatch, other):
+    """Rows taken many at a time from the XML, whatever it holds and wherever it is cut, are those of an XML parser."""
+    rng = random.Random(7)
+    taken = []
+    plain = sheetrows.plain
+    monkeypatch.setattr(sheetrows, "plain", lambda *a: taken.append(plain(*a)) or taken[-1])
+    for k in range(60):
+        monkeypatch.setattr(workbook, "CHUNK", rng.choice([40, 300, 1000, 5000, 1 << 20]))
+        rare = [rng.choice(OTHER)] if other else []
+        rows = random_rows(rng, PLAIN * 4 + rare, BETWEEN if other else BETWEEN[:3], referenced=k % 2 == 0, numbered=k % 3 > 0)
+        path = book(tmp_path / f"{k}.xlsx", rows)
+        want = by_parser(path, list("fabcd"))
+        assert by_reader(path, list("fabcd")) == want and len(want) > 40
+    if not other:
+        assert len(taken) > 60 and None not in taken  # all of it was taken as plain rows
+
+
+def test_broken_sheets_are_errors(tmp_path):
+    for k, rows in enumerate(["<row><c><v>1</v></row>", "<row><c><v>1</c></v></row>", "<row><c><v>&none;</v></c></row>", '<row><c t="s"><v>99</v></c></row>', "<row><c><v>x</v></c></row>", "<row><c><v>\x01</v></c></row>", "<row><c></row>", "<row>"]):
+        path = book(tmp_path / f"{k}.xlsx", HEAD + rows)
+        with pytest.raises((SyntaxError, ValueError, IndexError)):
+            by_reader(path, ["a"])
+
+
+def test_written_rows_are_taken_many_at_a_time(spark, tmp_path, monkeypatch):
+    """A written sheet is put into XML and read back in batches; no row but the header passes an XML parser."""
+    path = str(tmp_path / "many")
+    df = spark.range(3000).select(F.col("id").alias("k"), F.concat(F.lit(" a & b "), F.col("id")).alias("x"), F.col("id").cast("double").alias("y"), F.expr("date_add(date'2024-01-01', int(id % 9))").alias("z"))
+    workbook.write_workbooks({"samples": df}, path, order="k")
+    parsed = []
+    cell = workbook.Book.cell
+    monkeypatch.setattr(workbook.Book, "cell", lambda *a: parsed.append(a) or cell(*a))
+    file = f"{path}/workbook.xlsx"
+    batches = list(workbook.WorkbookReader(path, "samples", ["x", "y", "z", "row_no"]).read(workbook.SheetOfFile(file)))
+    assert len(batches) < 5 and len(parsed) == 3  # the header's cells
+    got = [r for b in batches for r in b.to_pylist()]
+    day = datetime.date(2024, 1, 1)
+    assert got == [{"x": f" a & b {i}", "y": str(i), "z": str(day + datetime.timedelta(i % 9)), "row_no": i + 2} for i in range(3000)]
+    with zipfile.ZipFile(file) as z:
+        assert z.read("xl/worksheets/sheet1.xml").count(b'<row r="') == 3001
