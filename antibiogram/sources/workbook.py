@@ -387,14 +387,13 @@ class BookOut:
     def _put(self, columns: list[pa.Array], kinds: list[str], n: int) -> None:
         if self._nth + n > MAX_ROWS:
             raise ValueError(f"a sheet has at most {MAX_ROWS} rows; write more files")
-        numbers = pa.array(np.arange(self._nth + 1, self._nth + 1 + n)).cast(pa.large_string())
         self._nth += n
         cells = []
         for column, kind in zip(columns, kinds, strict=True):  # each different value is put into XML once
             coded = column.dictionary_encode("encode")
             cells.append(pa.array([_cell(c, kind) for c in coded.dictionary.to_pylist()], pa.large_string()).take(coded.indices))
-        begin, attributes_end, end, nothing = (pa.scalar(x, pa.large_string()) for x in ('<row r="', '">', "</row>", ""))
-        text = pc.binary_join_element_wise(begin, numbers, attributes_end, *cells, end, nothing)
+        begin, end, nothing = (pa.scalar(x, pa.large_string()) for x in ("<row>", "</row>", ""))
+        text = pc.binary_join_element_wise(begin, *cells, end, nothing)
         size = int(np.frombuffer(text.buffers()[1], np.int64)[n])
         self._open.write(memoryview(text.buffers()[2])[:size])
 
@@ -434,7 +433,7 @@ def _cell(c: str | None, kind: str) -> str:
     if SPECIAL.search(c):
         space = ' xml:space="preserve"' if SPACE.search(c) else ""
         return f'<c t="inlineStr"><is><t{space}>{escape(NOT_XML.sub("", c))}</t></is></c>'
-    return f'<c t="inlineStr"><is><t>{c}</t></is></c>'
+    return f'<c t="str"><v>{c}</v></c>'  # the shortest form of a text
 
 
 #: White space that a reader may take away: at the ends, or more than one, or other than a space.
@@ -489,23 +488,28 @@ def read_sheet(spark: SparkSession, path: str, sheet: str) -> DataFrame:
     return spark.read.format("workbook").option("sheet", sheet).load(path)
 
 
-def _continued(rows: DataFrame) -> tuple[DataFrame, int]:
-    """Rows whose file is the part that they are in, and how many files there are.
+def _thinned(cuts: list[int], n: int) -> list[int]:
+    """Of the cuts into many equal parts those into ``n``, or next to them."""
+    return sorted({cuts[i * (len(cuts) + 1) // n - 1] for i in range(1, n)})
+
+
+def _continued(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
+    """Rows whose file is the part that they are in, and how many files there are; a sheet has ``most`` rows in all files.
 
     Parts of a sheet are cut at quantiles of its rows' order, so rows are counted by part and never ranked one by one. The driver
     gets a number a part, which fixes the cuts for counting and writing; rows of one place in the order stay in one part."""
     keys, spark = ["file", "sheet"], rows.sparkSession
-    sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
-    most = sizes.agg(F.max("n")).first()[0] or 0
-    k = -(-most // PART_ROWS)
-    if k <= 1:
-        return rows, sizes.select("file").distinct().count()
-    cuts = rows.groupBy(*keys).agg(F.percentile_approx("row_no", [i / k for i in range(1, k)], 10_000).alias("cuts"), F.count("*").alias("n"))
-    of = {(r.file, r.sheet): sorted(set(r.cuts)) if r.n > PART_ROWS else [] for r in cuts.collect()}
+    # How many parts a file has is not known yet: cuts into four times as many as it can have, of which some are taken.
+    k = 4 * -(-most // PART_ROWS) if most > PART_ROWS else 1
+    cuts = F.percentile_approx("row_no", [i / k for i in range(1, k)], 10_000) if k > 1 else F.array().cast("array<long>")
+    sizes = rows.groupBy(*keys).agg(cuts.alias("cuts"), F.count("*").alias("n")).collect()
+    of = {(r.file, r.sheet): _thinned(r.cuts, -(-r.n // PART_ROWS)) for r in sizes}
+    if not any(of.values()):
+        return rows, len({file for file, _ in of})
     texts = T.StructType([T.StructField(k, T.StringType()) for k in keys])
     sorted_cuts = T.StructType([*texts, T.StructField("cuts", T.ArrayType(T.LongType(), containsNull=False))])
     found = InternalFunction.array_binary_search(F.col("cuts"), F.col("row_no"))  # -1 less the place where it is none of them
-    part = F.when(found < 0, -found - 1).otherwise(found)
+    part = F.coalesce(F.when(found < 0, -found - 1).otherwise(found), F.lit(0))
     in_part = rows.join(F.broadcast(spark.createDataFrame([(*key, c) for key, c in of.items()], sorted_cuts)), keys)
     counted = {(r.file, r.sheet, r.part): r["count"] for r in in_part.groupBy(*keys, part.alias("part")).count().collect()}
     parts = []
@@ -536,7 +540,7 @@ def write_workbooks(sheets: dict[str, DataFrame], path: str, by: str | None = No
         one = df.select((F.col(by).cast("string") if by else F.lit("workbook")).alias("file"), F.lit(s).alias("sheet"), at.alias("row_no"), cells.alias("cells"), F.lit(nth).alias("nth"))
         rows = one if rows is None else rows.unionByName(one)
     if continued:
-        rows, n_files = _continued(rows)
+        rows, n_files = _continued(rows, max(df.count() for df in sheets.values()))
         rows = rows.repartition(4 * n_files, "file")  # so many that few tasks get two files
     else:
         rows = rows.repartition("file")

@@ -229,4 +229,4 @@ def test_written_rows_are_taken_many_at_a_time(spark, tmp_path, monkeypatch):
     day = datetime.date(2024, 1, 1)
     assert got == [{"x": f" a & b {i}", "y": str(i), "z": str(day + datetime.timedelta(i % 9)), "row_no": i + 2} for i in range(3000)]
     with zipfile.ZipFile(file) as z:
-        assert z.read("xl/worksheets/sheet1.xml").count(b'<row r="') == 3001
+        assert z.read("xl/worksheets/sheet1.xml").count(b"<row>") == 3001
