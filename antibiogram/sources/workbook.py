@@ -8,8 +8,8 @@ where they have one), booleans as True and False, empty cells and errors as null
 are rows of nulls. The columns are the first file's headers; other files' columns are found by their headers. A sheet has at most
 a million rows, so a larger one goes on in further workbooks ``name.after-n.xlsx``, whose rows are numbered as those after n rows.
 
-Write: rows (file, sheet, row_no, cells) that are ordered within a task, each file's rows in one task, as ``write_workbooks``
-makes them. A task streams its files into a temporary folder; they take their places when all tasks are done.
+Write: rows (file, number of the sheet, cells in one text) that are ordered within a task, each file's rows in one task, as
+``write_workbooks`` makes them. A task streams its files into a temporary folder; they take their places when all tasks are done.
 
 Files are reached by ``pyarrow.fs`` (local paths, file://, hdfs://, s3://, gs://), on the executors. Both classes are pickled
 by value, so that executors need no copy of this package.
@@ -50,7 +50,8 @@ PART_ROWS = 400_000
 PIECE, DEFLATE = 10_000, 1
 #: The name of a file that continues another one: so many of its rows come before.
 CONTINUED = re.compile(r"\.after-(\d+)\.xlsx$")
-LONG_FORM = "file string, sheet string, row_no long, cells array<string>"
+#: What is between cells of a row that is to be written: a character that XML cannot hold.
+BETWEEN = "\x1f"
 # Fixed values of the format: days are counted from here, number formats that are dates, and what makes a custom one a date.
 EPOCHS = {False: datetime.datetime(1899, 12, 30), True: datetime.datetime(1904, 1, 1)}
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
@@ -320,7 +321,7 @@ class WorkbookWriter(DataSourceArrowWriter):
                     out.close()
                 names.append(file)
                 out = BookOut(store, f"{folder}/{file}.xlsx", self.sheets)
-            out.rows(sheet, cells)
+            out.rows(list(self.sheets)[sheet], cells)
         if out:
             out.close()
         return Written([f"{task}/{n}.xlsx" for n in names])
@@ -343,13 +344,12 @@ class WorkbookWriter(DataSourceArrowWriter):
             store.delete_dir(f"{at}/{self.part}")
 
 
-def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, pa.ListArray]]:
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, pa.Array]]:
     """(file, sheet, cells) of rows that come one after another."""
     for batch in batches:
         for k in range(0, batch.num_rows, PIECE):
-            file, sheet, _, cells = batch.slice(k, PIECE).columns
-            coded = [c.dictionary_encode() for c in (file, sheet)]
-            changes = np.flatnonzero(sum(np.diff(c.indices.to_numpy()) != 0 for c in coded)) + 1
+            file, sheet, cells = batch.slice(k, PIECE).columns
+            changes = np.flatnonzero((np.diff(file.dictionary_encode().indices.to_numpy()) != 0) | (np.diff(sheet.to_numpy()) != 0)) + 1
             for a, b in zip([0, *changes.tolist()], [*changes.tolist(), len(cells)], strict=True):
                 yield file[a].as_py(), sheet[a].as_py(), cells.slice(a, b - a)
 
@@ -362,10 +362,11 @@ class BookOut:
         self._zip = zipfile.ZipFile(self._sink, "w", zipfile.ZIP_DEFLATED, compresslevel=DEFLATE)
         self._sheets, self._open, self._begun, self._nth = sheets, None, [], 0
 
-    def rows(self, sheet: str, cells: pa.ListArray) -> None:
+    def rows(self, sheet: str, cells: pa.Array) -> None:
         if not self._begun or self._begun[-1] != sheet:
             self._begin(sheet)
-        kinds, flat = [kind for _, kind in self._sheets[sheet]], cells.flatten()
+        kinds = [kind for _, kind in self._sheets[sheet]]
+        flat = pc.split_pattern(cells, BETWEEN).flatten() if kinds else cells[:0]
         if len(flat) != len(kinds) * len(cells):
             raise ValueError(f"rows of {sheet!r} have {len(kinds)} cells")
         self._put([flat.take(pa.array(np.arange(k, len(flat), len(kinds)))) for k in range(len(kinds))], kinds, len(cells))
@@ -392,6 +393,9 @@ class BookOut:
         for column, kind in zip(columns, kinds, strict=True):  # each different value is put into XML once
             coded = column.dictionary_encode("encode")
             cells.append(pa.array([_cell(c, kind) for c in coded.dictionary.to_pylist()], pa.large_string()).take(coded.indices))
+        if not cells:
+            self._open.write(b"<row></row>" * n)
+            return
         begin, end, nothing = (pa.scalar(x, pa.large_string()) for x in ("<row>", "</row>", ""))
         text = pc.binary_join_element_wise(begin, *cells, end, nothing)
         size = int(np.frombuffer(text.buffers()[1], np.int64)[n])
@@ -506,8 +510,7 @@ def _continued(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
     of = {(r.file, r.sheet): _thinned(r.cuts, -(-r.n // PART_ROWS)) for r in sizes}
     if not any(of.values()):
         return rows, len({file for file, _ in of})
-    texts = T.StructType([T.StructField(k, T.StringType()) for k in keys])
-    sorted_cuts = T.StructType([*texts, T.StructField("cuts", T.ArrayType(T.LongType(), containsNull=False))])
+    sorted_cuts = T.StructType([T.StructField("file", T.StringType()), T.StructField("sheet", T.IntegerType()), T.StructField("cuts", T.ArrayType(T.LongType(), containsNull=False))])
     found = InternalFunction.array_binary_search(F.col("cuts"), F.col("row_no"))  # -1 less the place where it is none of them
     part = F.coalesce(F.when(found < 0, -found - 1).otherwise(found), F.lit(0))
     in_part = rows.join(F.broadcast(spark.createDataFrame([(*key, c) for key, c in of.items()], sorted_cuts)), keys)
@@ -520,7 +523,7 @@ def _continued(rows: DataFrame, most: int) -> tuple[DataFrame, int]:
             before += counted.get((file, sheet, p), 0)
         parts.append((file, sheet, c, names))
     named = spark.createDataFrame(parts, T.StructType([*sorted_cuts, T.StructField("names", T.ArrayType(T.StringType()))]))
-    placed = rows.join(F.broadcast(named), keys).select(F.get("names", part).alias("file"), "sheet", "row_no", "cells", "nth")
+    placed = rows.join(F.broadcast(named), keys).select(F.get("names", part).alias("file"), "sheet", "row_no", "cells")
     return placed, len({n for *_, names in parts for n in names})
 
 
@@ -535,14 +538,14 @@ def write_workbooks(sheets: dict[str, DataFrame], path: str, by: str | None = No
     kinds = {s: [(c, k) for c, k in df.dtypes if c not in (by, order)] for s, df in sheets.items()}
     rows = None
     for nth, (s, df) in enumerate(sheets.items()):
-        cells = F.array(*[F.col(f"`{c}`").cast("string") for c, _ in kinds[s]])
+        cells = F.concat_ws(BETWEEN, *[F.coalesce(F.replace(F.col(f"`{c}`").cast("string"), F.lit(BETWEEN)), F.lit("")) for c, _ in kinds[s]])
         at = F.col(order).cast("long") if order else F.monotonically_increasing_id()
-        one = df.select((F.col(by).cast("string") if by else F.lit("workbook")).alias("file"), F.lit(s).alias("sheet"), at.alias("row_no"), cells.alias("cells"), F.lit(nth).alias("nth"))
+        one = df.select((F.col(by).cast("string") if by else F.lit("workbook")).alias("file"), F.lit(nth).alias("sheet"), at.alias("row_no"), cells.alias("cells"))
         rows = one if rows is None else rows.unionByName(one)
     if continued:
         rows, n_files = _continued(rows, max(df.count() for df in sheets.values()))
         rows = rows.repartition(4 * n_files, "file")  # so many that few tasks get two files
     else:
         rows = rows.repartition("file")
-    ordered = rows.sortWithinPartitions("file", "nth", "row_no").drop("nth")
+    ordered = rows.sortWithinPartitions("file", "sheet", "row_no").drop("row_no")
     ordered.write.format("workbook").option("sheets", json.dumps(kinds)).mode("overwrite").save(path)

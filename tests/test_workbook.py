@@ -230,3 +230,11 @@ def test_written_rows_are_taken_many_at_a_time(spark, tmp_path, monkeypatch):
     assert got == [{"x": f" a & b {i}", "y": str(i), "z": str(day + datetime.timedelta(i % 9)), "row_no": i + 2} for i in range(3000)]
     with zipfile.ZipFile(file) as z:
         assert z.read("xl/worksheets/sheet1.xml").count(b"<row>") == 3001
+
+
+def test_cells_with_the_character_between_them(spark, tmp_path):
+    """A cell may hold what rows to be written have between their cells; a sheet may have no column at all."""
+    df = spark.createDataFrame([(1, f"a{workbook.BETWEEN}b", None), (2, workbook.BETWEEN, ""), (3, None, "c")], "k int, x string, y string")
+    workbook.write_workbooks({"s": df, "none": df.select("k")}, str(tmp_path / "b"), order="k")
+    assert sorted(map(tuple, workbook.read_sheet(spark, str(tmp_path / "b"), "s").collect()), key=str) == [("ab", None, 2), (None, "c", 4), (None, None, 3)]
+    assert workbook.read_sheet(spark, str(tmp_path / "b"), "none").count() == 0
