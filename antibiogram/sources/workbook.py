@@ -434,7 +434,7 @@ def _cell(c: str | None, kind: str) -> str:
         return f'<c t="b"><v>{int(c == "true")}</v></c>'
     if kind != "string" and c not in ("NaN", "Infinity", "-Infinity"):
         return f"<c><v>{c}</v></c>"
-    if SPECIAL.search(c):
+    if not c.isalnum() and SPECIAL.search(c):
         space = ' xml:space="preserve"' if SPACE.search(c) else ""
         return f'<c t="inlineStr"><is><t{space}>{escape(NOT_XML.sub("", c))}</t></is></c>'
     return f'<c t="str"><v>{c}</v></c>'  # the shortest form of a text
